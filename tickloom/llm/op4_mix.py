@@ -154,7 +154,7 @@ def mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     plan = written(plan.where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "shards"), "mix-plan")
     on = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (size == F.col("_z"))
-    out = docs.join(plan, on).select(*[docs[c] for c in docs.columns], F.posexplode("shards").alias("_copy", "_shard"))
+    out = docs.join(plan.hint("merge"), on).select(*[docs[c] for c in docs.columns], F.posexplode("shards").alias("_copy", "_shard"))
     return out.withColumn("_order", F.xxhash64(F.lit(seed + 3), "_copy", "doc_id")).drop("_copy")
 
 

@@ -95,7 +95,7 @@ def simhash_groups(docs: DataFrame, max_distance: int = 2, shingle: int = 3, id_
     placed = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", root, "low"), "simhash-placed")
     least = written(placed.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-least")
     named = written(placed.join(least, "root").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    return rows.join(named.hint("merge"), "fp").select(id_col, "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +103,7 @@ def simhash_dedup(docs: DataFrame, max_distance: int = 2, id_col: str = "doc_id"
     that repeat an id stay once; rows with a null id stay."""
     groups = simhash_groups(docs, max_distance, id_col=id_col, text_col=text_col)
     keep = written(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "simhash-keep")
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    return docs.join(keep.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import op5_ann as o5
+from . import op10_toxicity as o10
 from . import op2_line_dedup as o2
 from . import op4_mix as o4
 from . import op6_quality as o6
@@ -12,9 +14,11 @@ from . import op9_tokens as o9
 QUERIES = {
     "op2_line_dedup": o2.op2_line_dedup,
     "op4_mix": o4.op4_mix,
+    "op5_ann": o5.op5_ann,
     "op6_quality": o6.op6_quality,
     "op7_simhash": o7.op7_simhash,
     "op8_decontaminate": o8.op8_decontaminate,
     "op9_tokens": o9.op9_tokens,
+    "op10_toxicity": o10.op10_toxicity,
 }
 SQL = {"op2_line_dedup": o2.SQL, "op8_decontaminate": o8.SQL}
