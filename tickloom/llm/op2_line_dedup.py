@@ -37,9 +37,9 @@ def line_dedup(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_co
     spots = spots.select("_d", "_h", "_p", F.xxhash64("_w.p").alias("_a"), F.xxhash64("_w.q").alias("_b"))
     first = F.min(F.struct("_d", "_h", "_p"))
     again = written(spots.groupBy("_a", "_b").agg(first.alias("_f"), F.max(F.struct("_d", "_h", "_p")).alias("_z")).where("_f <> _z").drop("_z"), "lines-again")
-    later = spots.join(again, ["_a", "_b"]).where(F.struct("_d", "_h", "_p") != F.col("_f"))
+    later = spots.join(again.hint("merge"), ["_a", "_b"]).where(F.struct("_d", "_h", "_p") != F.col("_f"))
     starts = later.groupBy("_d", "_h").agg(F.collect_set("_p").alias("_s"))
-    starts = written(starts, "lines-later").select(F.col("_d").alias("_d2"), F.col("_h").alias("_h2"), "_s")
+    starts = written(starts, "lines-later").select(F.col("_d").alias("_d2"), F.col("_h").alias("_h2"), "_s").hint("merge")
     joined = keyed.join(starts, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left")
     joined = joined.withColumn("_l", F.split("_t", "\n", -1))
     gone = F.array_distinct(F.flatten(F.transform("_s", lambda p: F.sequence(p, p + (window - 1)))))
