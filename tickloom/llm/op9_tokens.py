@@ -19,7 +19,7 @@ from .common import new_path, table, text_batches
 from .sstable import Reader, Writer
 
 #: Words whose ids an encoder remembers; the memory starts anew when full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -77,14 +77,21 @@ class Encoder:
             out[i] = self._library([texts[i]])[0]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        memory = self.memory
+        memory, held, missed = self.memory, {}, set()
         for i, t in enumerate(texts):
             if out[i] is None:
                 pieces = self.cut.findall(t)
-                new = [p for p in set(pieces) if p not in memory]
-                if new:
-                    memory.update(zip(new, self._library(new), strict=True))
-                out[i] = b"".join(map(memory.__getitem__, pieces))
+                found = list(map(memory.get, pieces))
+                gaps = [(k, pieces[k]) for k, v in enumerate(found) if v is None] if None in found else []
+                missed.update(p for _, p in gaps)
+                held[i] = found, gaps
+        if missed:
+            new = list(missed)
+            memory.update(zip(new, self._library(new), strict=True))
+        for i, (found, gaps) in held.items():
+            for k, p in gaps:
+                found[k] = memory[p]
+            out[i] = b"".join(found)
         return out
 
 

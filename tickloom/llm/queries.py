@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op5_ann as o5
 from . import op10_toxicity as o10
+from . import op1_html as o1
 from . import op2_line_dedup as o2
 from . import op4_mix as o4
 from . import op6_quality as o6
@@ -12,6 +13,7 @@ from . import op8_decontaminate as o8
 from . import op9_tokens as o9
 
 QUERIES = {
+    "op1_html": o1.op1_html,
     "op2_line_dedup": o2.op2_line_dedup,
     "op4_mix": o4.op4_mix,
     "op5_ann": o5.op5_ann,
