@@ -6,6 +6,7 @@ from . import op5_ann as o5
 from . import op10_toxicity as o10
 from . import op1_html as o1
 from . import op2_line_dedup as o2
+from . import op3_suffix_dedup as o3
 from . import op4_mix as o4
 from . import op6_quality as o6
 from . import op7_simhash as o7
@@ -15,6 +16,7 @@ from . import op9_tokens as o9
 QUERIES = {
     "op1_html": o1.op1_html,
     "op2_line_dedup": o2.op2_line_dedup,
+    "op3_suffix_dedup": o3.op3_suffix_dedup,
     "op4_mix": o4.op4_mix,
     "op5_ann": o5.op5_ann,
     "op6_quality": o6.op6_quality,
