@@ -16,8 +16,6 @@ from .suffixes import repeated_starts
 
 #: Bytes of an anchor gram.
 GRAM = 32
-#: Starts of a block; their hits fit one long.
-BLOCK = 64
 #: Distinct blocks of one core beyond which their starts are compared one by one.
 CROWD = 512
 #: Bytes of one suffix array, about.
@@ -92,10 +90,10 @@ def _encoded(width: int):
                 cut = np.searchsorted(own, np.arange(len(part) + 1))
                 for i, t in enumerate(part):
                     on = slice(cut[i], cut[i + 1])
-                    out.append((zip_.compress(t), hashes[on].view(np.int64), (place[on] - doc[i]).astype(np.int32), (first[on] - doc[i]).astype(np.int32), (last[on] - doc[i]).astype(np.int32)))
+                    out.append((zip_.compress(t), hashes[on].view(np.int64), (first[on] - doc[i]).astype(np.int32), (last[on] - doc[i]).astype(np.int32)))
             cols = [b.column(0), b.column(1), pa.array([x[0] for x in out], pa.binary())]
-            cols += [pa.array([x[i] for x in out], pa.list_(pa.int64() if i == 1 else pa.int32())) for i in range(1, 5)]
-            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "zip", "hash", "place", "first", "last"])
+            cols += [pa.array([x[i] for x in out], pa.list_(pa.int64() if i == 1 else pa.int32())) for i in range(1, 4)]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "zip", "hash", "first", "last"])
 
     return run
 
@@ -112,32 +110,23 @@ def _slices(texts: list[bytes], most: int = 1 << 20):
 
 
 def _blocks(width: int):
-    """Blocks of the marked anchors' runs: (rid, start, core, h1, h2, bytes). Starts are cut
-    into blocks at fixed distances from the anchor, so that equal strings lie in blocks with
-    the same core, the bytes that all strings of the block hold. Bytes are null where this
-    task has sent the same block before."""
-    reach = width - GRAM
+    """The marked anchors' runs as blocks: (rid, start, core, h1, h2, bytes). A block holds
+    the bytes of all strings of the run; its core is the anchor's hash. Bytes are null where
+    this task has sent the same block before."""
 
     def run(batches):
         unzip, seen = zstandard.ZstdDecompressor(), set()
         for b in batches:
             rows: list[tuple] = []
-            for rid, packed, place, first, last, marked in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for rid, packed, core, first, last, marked in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 text = unzip.decompress(packed)
                 for k in marked:
-                    base = place[k] - reach
-                    lo, end = first[k], last[k]
-                    while lo <= end:
-                        n = (lo - base) // BLOCK
-                        hi = min(end, base + n * BLOCK + BLOCK - 1)
-                        core = base + n * BLOCK + BLOCK - 1
-                        part = text[lo : hi + width]
-                        h = xxhash.xxh3_128_digest(part)
-                        new = h not in seen
-                        if new:
-                            seen.add(h)
-                        rows.append((rid, lo, xxhash.xxh3_64_digest(text[core : core + width - BLOCK + 1]), h, part if new else None))
-                        lo = hi + 1
+                    part = text[first[k] : last[k] + width]
+                    h = xxhash.xxh3_128_digest(part)
+                    new = h not in seen
+                    if new:
+                        seen.add(h)
+                    rows.append((rid, first[k], core[k], h, part if new else None))
                 if len(rows) > 20_000:
                     yield _block_batch(rows)
                     rows = []
@@ -150,24 +139,25 @@ def _blocks(width: int):
 
 def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
     whole = np.frombuffer(b"".join(r[3] for r in rows), "<i8").reshape(-1, 2)
-    cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(np.frombuffer(b"".join(r[2] for r in rows), "<i8")), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array([r[4] for r in rows], pa.binary())]
+    cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array([r[4] for r in rows], pa.binary())]
     return pa.RecordBatch.from_arrays(cols, names=["rid", "start", "core", "h1", "h2", "bytes"])
 
 
 def _sorted_hits(width: int):
-    """Suffix arrays over whole cores (rows come sorted by core): (h1, h2, hits), hits a
-    long with a bit for each start. Several cores share an array: equal strings lie in one."""
+    """Suffix arrays over whole cores (rows come sorted by core): (h1, h2, mask), a bit for
+    each start that hits, for blocks with any. Several cores share an array: equal strings
+    lie in one. A block that occurs more than once hits at every start."""
 
     def emit(rows: list[tuple]):
         hits = repeated_starts([r[3] for r in rows], width)
-        mask = [int.from_bytes(np.packbits(np.pad(m, (0, 64 - len(m))), bitorder="little").tobytes(), "little", signed=True) for m in hits]
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(mask, pa.int64())], names=["h1", "h2", "hits"])
+        out = [(r[1], r[2], np.packbits(m if r[4] == 1 else np.ones(len(m), bool)).tobytes()) for r, m in zip(rows, hits, strict=True) if r[4] > 1 or m.any()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 2 else pa.int64()) for i in range(3)], names=["h1", "h2", "mask"])
 
     def run(batches):
         rows: list[tuple] = []
         held = 0
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if held > ARRAY_BYTES and r[0] != rows[-1][0]:
                     yield emit(rows)
                     rows, held = [], 0
@@ -180,11 +170,16 @@ def _sorted_hits(width: int):
 
 
 def _single_starts(width: int):
+    """Every start of a block by itself: (h1, h2, i, w1, w2, n)."""
+
     def run(batches):
         for b in batches:
-            rows = [(h1, h2, i, xxhash.xxh3_128_digest(part[i : i + width])) for h1, h2, part in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True) for i in range(len(part) - width + 1)]
-            w = np.frombuffer(b"".join(r[3] for r in rows), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)] + [pa.array([r[2] for r in rows], pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["h1", "h2", "i", "w1", "w2"])
+            blocks = list(zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True))
+            for at in range(0, len(blocks), 100):
+                rows = [(h1, h2, i, n, xxhash.xxh3_128_digest(part[i : i + width])) for h1, h2, part, n in blocks[at : at + 100] for i in range(len(part) - width + 1)]
+                w = np.frombuffer(b"".join(r[4] for r in rows), "<i8").reshape(-1, 2)
+                cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array([r[3] for r in rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "i", "w1", "w2", "n"])
 
     return run
 
@@ -194,14 +189,14 @@ def _finish(width: int):
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for packed, starts, hits in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for packed, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text = unzip.decompress(packed)
-                if not starts:
+                if not hits:
                     out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text.decode()))
                     continue
-                bits = np.unpackbits(np.array(hits, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                row, bit = np.nonzero(bits)
-                at = np.array(starts, np.int64)[row] + bit
+                at = [np.flatnonzero(np.unpackbits(np.frombuffer(h["mask"], np.uint8))) + h["start"] for h in hits if h["mask"] is not None]
+                at += [np.array(h["list"], np.int64) + h["start"] for h in hits if h["mask"] is None]
+                at = np.concatenate(at)
                 edge = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + width, minlength=len(text) + 1)
                 gone = np.cumsum(edge)[: len(text)] > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -222,48 +217,42 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
     kept_sha256 string (of what stays), text string (what stays, less what is left of cut
     characters). Null texts count as empty. Strings are judged on the input and never cross
     texts. Repeated rows are texts of their own and cover each other. Texts shorter than
-    `width` lose nothing. Null ids pass through. width > GRAM + BLOCK.
+    `width` lose nothing. Null ids pass through. width > GRAM.
 
     Each string of `width` bytes has an anchor (its least hashed gram). Strings whose
     anchor's hash occurs once in all texts can't repeat; this first filter moves 8 bytes
-    for about 85 bytes of text. The starts around the other anchors go into blocks, and
-    blocks with the same core into one bucket, where a suffix array (two-stage sorting) and
+    for about 85 bytes of text. The strings of each other anchor occurrence make a block, and
+    blocks with the same anchor hash (core) one bucket, where a suffix array (two-stage sorting) and
     its adjacent common prefixes tell which strings repeat. Blocks that are equal as a
     whole (copies) combine on the map side and are sorted once. A core with very many
     distinct blocks, a passage that many texts hold in different surroundings, doesn't go
     to one task: its strings are compared by their 128-bit hash in a combining aggregation.
     The last step puts hits into their texts; its hot keys are texts, of bounded size.
     """
-    if width <= GRAM + BLOCK:
-        raise ValueError(f"width must be over {GRAM + BLOCK}")
+    if width <= GRAM:
+        raise ValueError(f"width must be over {GRAM}")
     text_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    texts = written(rows.mapInArrow(_encoded(width), "rid long, doc_id long, zip binary, hash array<long>, place array<int>, first array<int>, last array<int>"), "suffix-texts")
+    texts = written(rows.mapInArrow(_encoded(width), "rid long, doc_id long, zip binary, hash array<long>, first array<int>, last array<int>"), "suffix-texts")
     spots = texts.select("rid", F.posexplode("hash").alias("k", "h"))
     again = written(spots.groupBy("h").count().where("count > 1").select("h"), "suffix-anchors")
     marked = spots.join(again.hint("merge"), "h").groupBy("rid").agg(F.collect_list("k").alias("marked"))
-    parts = texts.select("rid", "zip", "place", "first", "last").join(marked.hint("merge"), "rid")
+    parts = texts.select("rid", "zip", "hash", "first", "last").join(marked.hint("merge"), "rid")
     kind = "rid long, start int, core long, h1 long, h2 long, bytes binary"
-    blocks = written(parts.select("rid", "zip", "place", "first", "last", "marked").mapInArrow(_blocks(width), kind), "suffix-blocks")
+    blocks = written(parts.select("rid", "zip", "hash", "first", "last", "marked").mapInArrow(_blocks(width), kind), "suffix-blocks")
     same = written(blocks.groupBy("core", "h1", "h2").agg(F.first("bytes", ignorenulls=True).alias("bytes"), F.count(F.lit(1)).alias("n")), "suffix-same")
     crowds = written(same.groupBy("core").count().where(F.col("count") > CROWD).select("core"), "suffix-crowds")
     cold = same.join(crowds.hint("merge"), "core", "left_anti").repartition("core").sortWithinPartitions("core")
-    hits = cold.select("core", "h1", "h2", "bytes").mapInArrow(_sorted_hits(width), "h1 long, h2 long, hits long")
-    single = same.join(crowds.hint("merge"), "core", "left_semi").select("core", "h1", "h2", "bytes").mapInArrow(_single_starts(width), "h1 long, h2 long, i int, w1 long, w2 long")
+    hits = cold.select("core", "h1", "h2", "bytes", "n").mapInArrow(_sorted_hits(width), "h1 long, h2 long, mask binary")
+    single = same.join(crowds.hint("merge"), "core", "left_semi").select("core", "h1", "h2", "bytes", "n").mapInArrow(_single_starts(width), "h1 long, h2 long, i int, w1 long, w2 long, n long")
     single = written(single, "suffix-single")
-    twice = written(single.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "suffix-twice")
-    bit = F.expr("shiftleft(1L, i)").alias("bit")
-    crowd_hits = single.join(twice.hint("merge"), ["w1", "w2"]).select("h1", "h2", bit).groupBy("h1", "h2").agg(F.bit_or("bit").alias("hits"))
-    found = hits.unionByName(crowd_hits).withColumnRenamed("hits", "some")
-    copies = same.where("n > 1").select("h1", "h2", F.lit(-1).cast("long").alias("some"))
-    every = written(found.where("some <> 0").unionByName(copies).groupBy("h1", "h2").agg(F.bit_or("some").alias("some")), "suffix-hits")
-    # A copy's hits are all of its starts: bits beyond a block's last start are cut off.
-    size = written(same.select("h1", "h2", (F.length("bytes") - width + 1).alias("starts")).join(every.hint("merge"), ["h1", "h2"]), "suffix-sized")
-    cut = F.when(F.col("starts") >= 64, F.col("some")).otherwise(F.col("some").bitwiseAND(F.expr("~shiftleft(-1L, starts)")))
-    placed = blocks.select("rid", "start", "h1", "h2").join(size.select("h1", "h2", cut.alias("hit")).hint("merge"), ["h1", "h2"])
-    per_text = placed.groupBy("rid").agg(F.collect_list(F.struct("start", "hit")).alias("s"))
-    per_text = per_text.select("rid", F.col("s.start").alias("starts"), F.col("s.hit").alias("hits"))
-    whole = texts.select("rid", "doc_id", "zip").join(per_text.hint("merge"), "rid", "left").select("doc_id", "zip", "starts", "hits")
+    twice = written(single.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "suffix-twice")
+    crowd_hits = single.join(twice.hint("merge"), ["w1", "w2"]).groupBy("h1", "h2").agg(F.collect_list("i").alias("list"))
+    every = hits.select("h1", "h2", "mask", F.lit(None).cast("array<int>").alias("list")).unionAll(crowd_hits.select("h1", "h2", F.lit(None).cast("binary").alias("mask"), "list"))
+    every = written(every, "suffix-hits")
+    placed = blocks.select("rid", "start", "h1", "h2").join(every.hint("merge"), ["h1", "h2"])
+    per_text = placed.groupBy("rid").agg(F.collect_list(F.struct("start", "mask", "list")).alias("hits"))
+    whole = texts.select("rid", "doc_id", "zip").join(per_text.hint("merge"), "rid", "left").select("doc_id", "zip", "hits")
     return whole.mapInArrow(_finish(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
