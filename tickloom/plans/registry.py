@@ -1,6 +1,355 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and name -> DuckDB SQL."""
+"""Registered queries over the supplied tables: name -> (spark, sf_dir) -> DataFrame, and
+name -> DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.operators import bars as B
+from tickloom.operators import graph as G
+from tickloom.operators import joins as J
+from tickloom.operators import labels as L
+from tickloom.operators import recurrence as R
+from tickloom.operators import scans as S
+from tickloom.operators import splits as P
+from tickloom.operators import stats as ST
+from tickloom.operators import tables as T
+from tickloom.operators import windows as W
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def ticks(spark, sf) -> DataFrame:
+    """events as ticks: price = value, size 1, symbol = event_type."""
+    e = read(spark, sf, "events")
+    return e.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
+
+
+def hourly(spark, sf) -> DataFrame:
+    return B.time_bars(ticks(spark, sf))
+
+
+def out(df: DataFrame, *columns: str, digits: int = 6, **named) -> DataFrame:
+    """Columns, doubles rounded."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
+
+
+TICKS = "t AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, 1.0::DOUBLE AS size FROM events)"
+BARS = TICKS + """, b AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
+ arg_max(price, (ts, seq)) AS close, sum(size) AS volume, count(*) AS num_trades FROM t GROUP BY 1, 2),
+bars AS (SELECT *, CASE WHEN high = low THEN 0 ELSE trunc(volume * ((close - low) / (high - low) * 2 - 1)) END::BIGINT AS delta FROM b)"""
+W20 = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+O = "(PARTITION BY symbol ORDER BY ts)"  # noqa: E741
+EFFORT = BARS + f""", e AS (SELECT *, coalesce(abs(close - lag(close) OVER {O}) / volume, 0) AS er FROM bars),
+r AS (SELECT *, CASE WHEN avg(er) OVER {W20} = 0 THEN 1 ELSE er / avg(er) OVER {W20} END AS er_ratio, avg(volume) OVER {W20} AS av FROM e)"""
+
+
+@query("bars_absorption", f"WITH {EFFORT} SELECT symbol, ts, round(er, 6) AS er, round(er_ratio, 6) AS er_ratio, (volume > av * 1.5 AND er_ratio < 0.5)::INT AS absorption, CASE WHEN volume > av * 1.5 AND er_ratio < 0.5 THEN CASE WHEN delta >= 0 THEN 1 ELSE -1 END ELSE 0 END::INT AS absorption_side FROM r")
+def bars_absorption(spark, sf):
+    return out(W.absorption(hourly(spark, sf)), "symbol", "ts", "er", "er_ratio", "absorption", "absorption_side")
+
+
+@query("time_bars", f"WITH {BARS} SELECT symbol, ts, open, high, low, close, volume, num_trades, delta, sum(delta) OVER {O}::BIGINT AS cvd FROM bars")
+def time_bars(spark, sf):
+    return hourly(spark, sf).withColumn("cvd", F.sum("delta").over(W.past()))
+
+
+@query("tick_rule", f"WITH {TICKS}, c AS (SELECT *, sign(price - lag(price) OVER w) AS c FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)) SELECT symbol, ts, seq, price, coalesce(last_value(nullif(c, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 0)::INT AS side FROM c")
+def tick_rule(spark, sf):
+    return B.tick_rule(ticks(spark, sf)).select("symbol", "ts", "seq", "price", "side")
+
+
+@query("rolling_stats", f"WITH {BARS}, i AS (SELECT *, row_number() OVER {O} AS n FROM bars) SELECT symbol, ts, round(avg(close) OVER {W20}, 6) AS mean, round(stddev_pop(close) OVER {W20}, 6) AS sd, min(low) OVER {W20} AS lo, max(high) OVER {W20} AS hi, round(CASE WHEN count(*) OVER {W20} >= 2 THEN coalesce(regr_slope(close, n) OVER {W20}, 0) ELSE 0 END, 6) AS slope FROM i")
+def rolling_stats(spark, sf):
+    b = W.with_slope(hourly(spark, sf), "slope", "close", 20)
+    c = F.col("close")
+    b = b.withColumn("mean", W.rolling_mean(c, 20)).withColumn("sd", W.rolling_std(c, 20)).withColumn("lo", F.min("low").over(W.last(20))).withColumn("hi", F.max("high").over(W.last(20)))
+    return out(b, "symbol", "ts", "mean", "sd", "lo", "hi", "slope")
+
+
+@query("drawdown_forward", f"WITH {BARS} SELECT symbol, ts, round(close / max(close) OVER {O} - 1, 6) AS drawdown, round(coalesce(lead(close, 1) OVER {O} / close - 1, 0), 6) AS fwd1, round(coalesce(lead(close, 5) OVER {O} / close - 1, 0), 6) AS fwd5 FROM bars")
+def drawdown_forward(spark, sf):
+    c = F.col("close")
+    b = hourly(spark, sf).withColumn("drawdown", W.drawdown(c)).withColumn("fwd1", W.forward_return(c, 1)).withColumn("fwd5", W.forward_return(c, 5))
+    return out(b, "symbol", "ts", "drawdown", "fwd1", "fwd5")
+
+
+SWING = BARS + f""", s AS (SELECT *, min(low) OVER {W20} AS lo0, max(high) OVER {W20} AS hi0, avg(volume) OVER {W20} AS av, row_number() OVER {O} AS n FROM bars),
+p AS (SELECT *, lag(lo0) OVER {O} AS lo, lag(hi0) OVER {O} AS hi FROM s),
+f AS (SELECT *, coalesce((n > 21 AND high > low AND low < lo AND close > lo)::INT, 0) AS spring, coalesce((n > 21 AND high > low AND high > hi AND close < hi)::INT, 0) AS upthrust,
+coalesce((n > 21 AND high > low AND volume > av * 1.5 AND low <= lo AND (close - low) / (high - low) > 0.5)::INT, 0) AS selling_climax,
+coalesce((n > 21 AND high > low AND volume > av * 1.5 AND high >= hi AND (close - low) / (high - low) < 0.5)::INT, 0) AS buying_climax FROM p)"""
+SIDES = {"spring": 1, "upthrust": -1, "selling_climax": 1, "buying_climax": -1}
+
+
+@query("swing_events", f"WITH {SWING} SELECT symbol, ts, spring, upthrust, selling_climax, buying_climax FROM f")
+def swing_events(spark, sf):
+    return W.swing_events(hourly(spark, sf)).select("symbol", "ts", *SIDES)
+
+
+@query("event_rows", f"WITH {SWING} SELECT symbol, ts, close, event_type, side::INT AS side FROM (SELECT *, unnest(['spring','upthrust','selling_climax','buying_climax']) AS event_type, unnest([spring, upthrust, selling_climax, buying_climax]) AS fl, unnest([1,-1,1,-1]) AS side FROM f) WHERE fl = 1")
+def event_rows(spark, sf):
+    return L.events_long(W.swing_events(hourly(spark, sf)), SIDES, ["symbol", "ts", "close"])
+
+
+@query("bars_since_event", f"WITH {SWING}, i AS (SELECT *, n - 1 AS i FROM f) SELECT symbol, ts, (i - coalesce(last_value(CASE WHEN spring = 1 THEN i END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), -500))::BIGINT AS since FROM i")
+def bars_since_event(spark, sf):
+    b = W.swing_events(hourly(spark, sf))
+    return b.select("symbol", "ts", W.bars_since(F.col("spring") == 1, 500).cast("bigint").alias("since"))
+
+
+@query("candles", f"WITH {BARS} SELECT symbol, ts, round(CASE WHEN high - low > 1e-8 THEN abs(close - open) / (high - low) ELSE 0 END, 6) AS body_ratio, round(CASE WHEN high - low > 1e-8 THEN (high - greatest(open, close)) / (high - low) ELSE 0 END, 6) AS upper_wick, round(CASE WHEN high - low > 1e-8 THEN (close - low) / (high - low) ELSE 0.5 END, 6) AS close_location FROM bars")
+def candles(spark, sf):
+    return out(W.candle(hourly(spark, sf)), "symbol", "ts", "body_ratio", "upper_wick", "close_location")
+
+
+ATR = f", tr AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {O}), abs(low - lag(close) OVER {O})) AS tr FROM bars), atr AS (SELECT *, avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING) AS atr, row_number() OVER {O} AS bar_no FROM tr)"
+
+
+@query("atr", f"WITH {BARS}{ATR} SELECT symbol, ts, round(atr, 6) AS atr FROM atr")
+def atr(spark, sf):
+    return out(W.with_atr(hourly(spark, sf)), "symbol", "ts", "atr")
+
+
+@query("rolling_rank", f"WITH {BARS}, r AS (SELECT *, list(close) OVER {W20} AS l, min(close) OVER {W20} AS lo, max(close) OVER {W20} AS hi FROM bars) SELECT symbol, ts, round(len(list_filter(l, lambda x: x <= l[-1])) / len(l), 6) AS pct, round(CASE WHEN len(l) < 20 THEN 0 WHEN hi - lo < 1e-10 THEN 0.5 ELSE (close - lo) / (hi - lo) END, 6) AS minmax FROM r")
+def rolling_rank(spark, sf):
+    b = hourly(spark, sf)
+    b = b.withColumn("pct", W.percentile_rank(F.col("close"), 20)).withColumn("minmax", W.minmax(F.col("close"), 20))
+    return out(b, "symbol", "ts", "pct", "minmax")
+
+
+@query("wma", f"WITH {BARS}, r AS (SELECT *, list(close) OVER {W20} AS l FROM bars) SELECT symbol, ts, round(CASE WHEN len(l) = 20 THEN list_sum(list_transform(l, lambda x, i: x * i)) / 210 END, 6) AS wma FROM r")
+def wma(spark, sf):
+    return out(hourly(spark, sf).withColumn("wma", W.wma(F.col("close"), 20)), "symbol", "ts", "wma")
+
+
+@query("trading_range", f"WITH {BARS}{ATR}, h AS (SELECT *, max(high) OVER x AS range_high, min(low) OVER x AS range_low FROM atr WINDOW x AS (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING)), g AS (SELECT *, coalesce((close > lag(range_high) OVER {O} + 1.5 * atr OR close < lag(range_low) OVER {O} - 1.5 * atr)::INT, 0) AS re FROM h), i AS (SELECT *, sum(re) OVER {O}::BIGINT AS island FROM g) SELECT symbol, ts, island, range_high, range_low, sum((low <= range_low + (range_high - range_low) * 0.15)::INT) OVER (PARTITION BY symbol, island ORDER BY ts)::BIGINT AS support_touches, sum((high >= range_high - (range_high - range_low) * 0.15)::INT) OVER (PARTITION BY symbol, island ORDER BY ts)::BIGINT AS resistance_touches FROM i")
+def trading_range(spark, sf):
+    return W.trading_range(hourly(spark, sf)).select("symbol", "ts", "island", "range_high", "range_low", "support_touches", "resistance_touches")
+
+
+def fold(seed: str, step: str) -> str:
+    """SQL for a recurrence over a symbol's closes in order."""
+    return f"WITH {BARS}, l AS (SELECT symbol, list(close ORDER BY ts) AS c, list(ts ORDER BY ts) AS ts FROM bars GROUP BY symbol), y AS (SELECT symbol, ts, list_transform(range(1, len(c) + 1), lambda k: list_reduce(c[1:k], lambda a, x: {step})) AS y FROM l) SELECT symbol, unnest(ts) AS ts, round(unnest(y), 6) AS y FROM y"
+
+
+@query("ema", fold("", "a * (1 - 2.0 / 21) + x * (2.0 / 21)"))
+def ema(spark, sf):
+    return out(R.ema(hourly(spark, sf), "close", 20, "y"), "symbol", "ts", "y")
+
+
+@query("wilder", fold("", "a * (1 - 1.0 / 14) + x * (1.0 / 14)"))
+def wilder(spark, sf):
+    return out(R.wilder(hourly(spark, sf), "close", 14, "y"), "symbol", "ts", "y")
+
+
+@query("kama")
+def kama(spark, sf):
+    return out(R.kama(hourly(spark, sf), "close", 10, "y"), "symbol", "ts", "y")
+
+
+def steps(spark, sf):
+    e = read(spark, sf, "events")
+    return e.select(F.col("user_id").cast("string").alias("symbol"), F.col("event_id").alias("t"), (F.col("value") / 100).alias("r"), (F.col("event_type") != "purchase").cast("int").alias("undone"), F.col("value").alias("v"))
+
+
+@query("discounted_return", "WITH l AS (SELECT user_id::VARCHAR AS symbol, list(value / 100 ORDER BY event_id DESC) AS r, list((event_type <> 'purchase')::INT ORDER BY event_id DESC) AS u, list(event_id ORDER BY event_id DESC) AS t FROM events GROUP BY 1) SELECT symbol, unnest(t) AS t, round(unnest(list_transform(range(1, len(r) + 1), lambda k: list_sum(list_transform(range(1, k + 1), lambda j: r[j] * coalesce(list_product(list_transform(range(j + 1, k + 1), lambda i: 0.99 * u[i])), 1))))), 3) AS g FROM l")
+def discounted_return(spark, sf):
+    return out(R.discounted_return(steps(spark, sf), "r", "undone", "g", order="t"), "symbol", "t", "g", digits=3)
+
+
+@query("advantage")
+def advantage(spark, sf):
+    return out(R.advantage(steps(spark, sf), "r", "undone", "v", "adv", order="t"), "symbol", "t", "adv")
+
+
+def atr_bars(spark, sf):
+    return W.with_atr(hourly(spark, sf)).withColumn("bar_no", W.position().cast("bigint"))
+
+
+def labelled(spark, sf):
+    bars = atr_bars(spark, sf)
+    events = L.events_long(W.swing_events(bars), SIDES, ["symbol", "bar_no"])
+    return L.triple_barrier(bars, events)
+
+
+BARRIER = f"""{SWING}{ATR}, ev AS (SELECT symbol, n AS bar_no, event_type, side::INT AS side FROM (SELECT *, unnest(['spring','upthrust','selling_climax','buying_climax']) AS event_type, unnest([spring, upthrust, selling_climax, buying_climax]) AS fl, unnest([1,-1,1,-1]) AS side FROM f) WHERE fl = 1),
+pr AS (SELECT ev.*, a.close AS p, a.atr, x.bar_no AS n2, x.close AS c2, CASE WHEN (side > 0 AND x.high >= a.close + 2 * a.atr) OR (side < 0 AND x.low <= a.close - 2 * a.atr) THEN 'tp' WHEN (side > 0 AND x.low <= a.close - a.atr) OR (side < 0 AND x.high >= a.close + a.atr) THEN 'sl' END AS touch
+ FROM ev JOIN atr a USING (symbol, bar_no) JOIN atr x ON x.symbol = ev.symbol AND x.bar_no > ev.bar_no AND x.bar_no <= ev.bar_no + 20),
+tb AS (SELECT symbol, bar_no, event_type, side, p, coalesce(min(n2) FILTER (WHERE touch IS NOT NULL), max(n2)) AS exit_bar, coalesce(arg_min(touch, n2) FILTER (WHERE touch IS NOT NULL), 'vertical') AS exit_type, coalesce(arg_min(c2, n2) FILTER (WHERE touch IS NOT NULL), arg_max(c2, n2)) AS c FROM pr GROUP BY ALL)"""
+
+
+@query("triple_barrier", f"WITH {BARRIER} SELECT symbol, bar_no, event_type, side, (exit_type = 'tp')::INT AS label, round(side * (c / p - 1), 6) AS ret, exit_bar, exit_type FROM tb")
+def triple_barrier(spark, sf):
+    return out(labelled(spark, sf), "symbol", "bar_no", "event_type", "side", "label", "ret", "exit_bar", "exit_type")
+
+
+@query("sample_weights", f"WITH {BARRIER}, x AS (SELECT symbol, bar_no, event_type, exit_bar, unnest(range(bar_no, exit_bar + 1)) AS i FROM tb), c AS (SELECT symbol, i, count(*) AS n FROM x GROUP BY ALL), u AS (SELECT symbol, bar_no, event_type, avg(1.0 / n) AS u FROM x JOIN c USING (symbol, i) GROUP BY ALL) SELECT symbol, bar_no, event_type, round(u, 6) AS uniqueness, round(u * count(*) OVER (PARTITION BY symbol) / sum(u) OVER (PARTITION BY symbol), 6) AS weight FROM u")
+def sample_weights(spark, sf):
+    return out(L.sample_weights(labelled(spark, sf)), "symbol", "bar_no", "event_type", "uniqueness", "weight")
+
+
+@query("concurrency", f"WITH {BARRIER}, e AS (SELECT symbol, bar_no AS k, 1 AS d FROM tb UNION ALL SELECT symbol, exit_bar + 1, -1 FROM tb), st AS (SELECT symbol, k, sum(d) AS d FROM e GROUP BY ALL) SELECT symbol, k AS \"at\", sum(d) OVER (PARTITION BY symbol ORDER BY k)::BIGINT AS active FROM st")
+def concurrency(spark, sf):
+    return J.concurrency(labelled(spark, sf), "bar_no", "exit_bar")
+
+
+@query("asof_last", f"WITH {TICKS}, p AS (SELECT * FROM t WHERE symbol = 'purchase'), o AS (SELECT o_orderkey, o_orderdate FROM orders), q AS (SELECT 'k' AS k, ts, max(seq) AS seq FROM p GROUP BY ts), z AS (SELECT 'k' AS k, event_id, ts FROM events WHERE event_type = 'click') SELECT z.event_id, z.ts, q.seq FROM z ASOF LEFT JOIN q ON z.k = q.k AND z.ts >= q.ts")
+def asof_last(spark, sf):
+    t = ticks(spark, sf)
+    right = t.where("symbol = 'purchase'").groupBy(F.lit("k").alias("k"), "ts").agg(F.max("seq").alias("seq"))
+    left = t.where("symbol = 'click'").select(F.lit("k").alias("k"), "ts", F.col("seq").alias("event_id"))
+    return J.asof_last(left, right, "k", "ts", ["seq"]).select("event_id", "ts", "seq")
+
+
+@query("grid_fill", f"WITH {BARS}, g AS (SELECT DISTINCT ts FROM bars), s AS (SELECT DISTINCT symbol FROM bars), j AS (SELECT g.ts, s.symbol, open, high, low, close, volume FROM g CROSS JOIN s LEFT JOIN bars USING (ts, symbol)), c AS (SELECT *, coalesce(close, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), first_value(open IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS fill FROM j) SELECT symbol, ts, coalesce(open, fill) AS open, coalesce(high, fill) AS high, coalesce(low, fill) AS low, coalesce(close, fill) AS close, coalesce(volume, 0) AS volume FROM c")
+def grid_fill(spark, sf):
+    b = hourly(spark, sf)
+    return J.grid_fill(b, b.select("ts"))
+
+
+def returns(spark, sf) -> DataFrame:
+    """Daily revenue by nation, percent change."""
+    li, o, c, n = (read(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation"))
+    rev = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v")
+    month = F.date_format("l_shipdate", "yyyy-MM").alias("ts")
+    m = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("symbol"), month).agg(rev)
+    w = W.order()
+    m = m.withColumn("r", F.round(F.col("v") / F.lag("v").over(w) - 1, 8)).where(F.col("r").isNotNull())
+    return m.withColumn("t", F.row_number().over(w) - 1)
+
+
+RET = "m AS (SELECT n_name AS symbol, strftime(l_shipdate, '%Y-%m') AS ts, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), ret AS (SELECT symbol, ts, round(v / lag(v) OVER (PARTITION BY symbol ORDER BY ts) - 1, 8) AS r FROM m QUALIFY r IS NOT NULL)"
+
+
+@query("return_summary", f"WITH {RET} SELECT symbol, count(r) AS n, round(avg(r), 5) AS mean, round(stddev_samp(r), 5) AS sd, round(avg(r) / stddev_samp(r) * sqrt(252), 5) AS sharpe, round(avg(r) / (stddev_pop(r) + 1e-8) * sqrt(252), 5) AS sharpe_eval, round(avg(r) / sqrt(avg(greatest(-r, 0) ** 2)), 5) AS sortino, round(1 + avg(r) / avg(greatest(-r, 0)), 5) AS omega, round(avg(r) / (avg(greatest(-r, 0) ** 3) ** (1.0 / 3)), 5) AS kappa3, round(abs(quantile_cont(r, 0.95) / quantile_cont(r, 0.05)), 5) AS tail_ratio, round(exp(avg(ln(1 + r))) - 1, 5) AS gmean FROM ret GROUP BY symbol")
+def return_summary(spark, sf):
+    return out(ST.summary(returns(spark, sf)), "symbol", "n", "mean", "sd", "sharpe", "sharpe_eval", "sortino", "omega", "kappa3", "tail_ratio", "gmean", digits=5)
+
+
+@query("equity", f"WITH {RET}, e AS (SELECT *, exp(sum(ln(1 + r)) OVER {O}) AS equity FROM ret) SELECT symbol, ts, round(equity, 5) AS equity, round(equity / max(equity) OVER {O} - 1, 5) AS drawdown FROM e")
+def equity(spark, sf):
+    return out(ST.equity_drawdown(returns(spark, sf)), "symbol", "ts", "equity", "drawdown", digits=5)
+
+
+@query("pbo")
+def pbo(spark, sf):
+    return out(ST.pbo(returns(spark, sf)), "combo", "best", "is_sr", "oos_sr", "omega", "logit")
+
+
+@query("cpcv_ranges")
+def cpcv_ranges(spark, sf):
+    return P.cpcv_ranges(spark, read(spark, sf, "events").count(), 6, 2, 1, 20)
+
+
+@query("cpcv_sizes", "WITH n AS (SELECT count(*) AS n, count(*) // 6 AS s FROM events), c AS (SELECT a, b FROM range(6) x(a), range(6) y(b) WHERE a < b), i AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i FROM events), k AS (SELECT a, b, i, a * s AS a0, CASE WHEN a = 5 THEN n ELSE (a + 1) * s END AS a1, b * s AS b0, CASE WHEN b = 5 THEN n ELSE (b + 1) * s END AS b1 FROM c, i, n), r AS (SELECT a, b, CASE WHEN (i >= a0 AND i < a1) OR (i >= b0 AND i < b1) THEN 'test' WHEN (i >= a0 - 1 AND i < a1 + 20) OR (i >= b0 - 1 AND i < b1 + 20) THEN 'out' ELSE 'train' END AS role FROM k) SELECT a::INT AS fold_a, b::INT AS fold_b, role, count(*) AS n FROM r WHERE role <> 'out' GROUP BY ALL")
+def cpcv_sizes(spark, sf):
+    e = read(spark, sf, "events").select("event_id")
+    ranges = P.cpcv_ranges(spark, e.count(), 6, 2, 1, 20)
+    i = e.select(F.col("event_id").alias("idx"))  # ids count from 0 or 1 without gaps
+    i = i.crossJoin(F.broadcast(i.agg(F.min("idx").alias("lo0")))).select((F.col("idx") - F.col("lo0")).alias("idx"))
+    got = P.assign(i, ranges).groupBy("folds", "role").agg(F.count(F.lit(1)).alias("n"))
+    return got.select(F.col("folds")[0].alias("fold_a"), F.col("folds")[1].alias("fold_b"), "role", "n")
+
+
+@query("backtest_paths", "WITH c AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS split_id, a, b FROM range(6) x(a), range(6) y(b) WHERE a < b), f AS (SELECT split_id, a AS fold FROM c UNION ALL SELECT split_id, b FROM c) SELECT fold::INT AS fold, split_id::INT AS split_id, (row_number() OVER (PARTITION BY fold ORDER BY split_id) - 1)::INT AS path_id FROM f")
+def backtest_paths(spark, sf):
+    return P.backtest_paths(spark, 6, 2)
+
+
+@query("islands", f"WITH {BARS}, h AS (SELECT symbol, (epoch(ts) // 3600)::BIGINT AS i FROM bars), g AS (SELECT symbol, i, i - row_number() OVER (PARTITION BY symbol ORDER BY i) AS g FROM h) SELECT symbol, min(i) AS lo, max(i) AS hi, count(*) AS n FROM g GROUP BY symbol, g")
+def islands(spark, sf):
+    h = hourly(spark, sf).select("symbol", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).cast("bigint").alias("i"))
+    return P.islands(h, "i")
+
+
+@query("range_bars")
+def range_bars(spark, sf):
+    return B.range_bars(B.tick_rule(ticks(spark, sf)), 100.0)
+
+
+@query("zigzag_waves")
+def zigzag_waves(spark, sf):
+    return S.waves(hourly(spark, sf), 100.0).select("symbol", "ts", "close", "wave", "direction")
+
+
+@query("executed_orders")
+def executed_orders(spark, sf):
+    b = W.effort_result(hourly(spark, sf))
+    target = F.when(F.col("delta") > 0, 1.0).when(F.col("delta") < 0, -1.0).otherwise(0.0)
+    return out(S.execute(b.select("symbol", "ts", target.alias("target"), F.col("close").alias("price"))), "symbol", "ts", "position", "realised")
+
+
+def edges(spark, sf):
+    li = read(spark, sf, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst")).agg(F.sum("l_quantity").alias("w"))
+
+
+EDGES = "e AS (SELECT l_suppkey AS src, l_partkey + 1000000000 AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY ALL)"
+
+
+@query("graph_objectives", f"WITH {EDGES} SELECT sum(CASE WHEN src % 2 <> dst % 2 THEN w ELSE 0 END) AS cut, count(*) FILTER (WHERE src % 2 = 0 AND dst % 2 = 0) AS uncovered, count(*) FILTER (WHERE src % 2 = 1 AND dst % 2 = 1) AS both, count(*) FILTER (WHERE src % 2 = dst % 2) AS clashes FROM e")
+def graph_objectives(spark, sf):
+    e = edges(spark, sf)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return G.objectives(e, nodes.withColumn("label", F.col("node") % 2))
+
+
+@query("graph_degrees", f"WITH {EDGES}, b AS (SELECT src AS node, w FROM e UNION ALL SELECT dst, w FROM e) SELECT node, count(*) AS degree, sum(w) AS strength FROM b GROUP BY node")
+def graph_degrees(spark, sf):
+    return G.degrees(edges(spark, sf))
+
+
+@query("best_per_group", "SELECT o_orderpriority AS split, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def best_per_group(spark, sf):
+    return T.best_per_group(read(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey").select(F.col("o_orderpriority").alias("split"), "o_orderkey", "o_totalprice")
+
+
+@query("metric_summary", "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, round(quantile_cont(o_totalprice, 0.5), 4) AS median, min(o_totalprice) AS low, max(o_totalprice) AS high, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 4) AS iqr, round(stddev_samp(o_totalprice) / abs(avg(o_totalprice)), 4) AS cv FROM orders GROUP BY 1")
+def metric_summary(spark, sf):
+    return out(T.metric_summary(read(spark, sf, "orders"), "o_totalprice", "o_orderpriority"), "o_orderpriority", "n", "mean", "sd", "median", "low", "high", "iqr", "cv", digits=4)
+
+
+@query("trade_summary", "WITH t AS (SELECT o_orderstatus, o_totalprice - avg(o_totalprice) OVER () AS p FROM orders) SELECT o_orderstatus, count(*) AS n, sum((p > 0)::INT)::BIGINT AS wins, round(sum(greatest(p, 0)) / -sum(least(p, 0)), 4) AS profit_factor FROM t GROUP BY 1")
+def trade_summary(spark, sf):
+    o = read(spark, sf, "orders")
+    p = o.crossJoin(F.broadcast(o.agg(F.avg("o_totalprice").alias("m")))).withColumn("p", F.col("o_totalprice") - F.col("m"))
+    return out(T.trade_summary(p, "p", "o_orderstatus"), "o_orderstatus", "n", "wins", "profit_factor", digits=4)
+
+
+@query("pivot_close", f"WITH {BARS} SELECT ts, first(close) FILTER (WHERE symbol = 'click') AS click, first(close) FILTER (WHERE symbol = 'purchase') AS purchase FROM bars GROUP BY ts")
+def pivot_close(spark, sf):
+    return T.pivot_first(hourly(spark, sf), "ts", "symbol", ["click", "purchase"], "close")
+
+
+@query("zscore_tanh", f"WITH {BARS} SELECT symbol, ts, round(tanh((close - (SELECT avg(close) FROM bars)) / (SELECT stddev_pop(close) FROM bars)), 6) AS close FROM bars")
+def zscore_tanh(spark, sf):
+    return out(T.zscore_tanh(hourly(spark, sf).select("symbol", "ts", "close"), ["close"]), "symbol", "ts", "close")
+
+
+@query("transitions", "SELECT user_id, event_id, value, next_state FROM (SELECT *, lead(value) OVER (PARTITION BY user_id ORDER BY event_id) AS next_state FROM events) WHERE next_state IS NOT NULL")
+def transitions(spark, sf):
+    return T.transitions(read(spark, sf, "events"), "user_id", "event_id", "value").select("user_id", "event_id", "value", "next_state")
+
+
+@query("feature_correlation", f"WITH {BARS}, f AS (SELECT symbol, volume AS a, coalesce(lead(close) OVER {O} / close - 1, 0) AS b FROM bars), r AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY a) + (count(*) OVER (PARTITION BY symbol, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY symbol ORDER BY b) + (count(*) OVER (PARTITION BY symbol, b) - 1) / 2 AS rb FROM f) SELECT symbol, round(corr(ra, rb), 5) AS spearman FROM r GROUP BY symbol")
+def feature_correlation(spark, sf):
+    b = hourly(spark, sf).withColumn("b", W.forward_return(F.col("close"), 1))
+    return out(T.feature_correlation(b, "volume", "b", "symbol"), "symbol", "spearman", digits=5)
