@@ -89,7 +89,9 @@ def test_op4(spark):
     for s in {"a", "b", "é", None}:
         rows = [x for x in plan if x["source"] == s]
         taken = sum(x["size"] * x["copies"] * x["n_rows"] for x in rows)
-        assert abs(taken - rows[0]["target"]) <= 5 and all(0 <= x["copies"] <= 3 and len(x["shards"]) == x["copies"] for x in rows)
+        # First fit leaves less than the smallest unit left out, or half of that if taken.
+        skipped = [x["size"] * x["n_rows"] for x in rows if x["copies"] == min(y["copies"] for y in rows)]
+        assert abs(taken - rows[0]["target"]) <= min(skipped) / 2 + 1 and all(0 <= x["copies"] <= 3 and len(x["shards"]) == x["copies"] for x in rows)
     assert op4_mix.share_out([1, 2, 3], [100, 100, 100]) == pytest.approx([50, 100, 150])
     assert op4_mix.share_out([1, 2, 3], [10, 10, 400]) == pytest.approx([30, 30, 360])
     leaves = op4_mix.split_quotas([10, 0, 7], 5, 3)
