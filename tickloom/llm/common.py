@@ -55,3 +55,17 @@ def utf8(column: pa.Array) -> list[bytes]:
 def remainder(doc_id: Column, base: int) -> Column:
     """crc32 of doc_id as text modulo base; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % base
+
+
+def sample(docs: DataFrame, labels: DataFrame, mark: str, usable: Column, most: dict[int, int], chars: int) -> list[tuple[int, str]]:
+    """(label, text) of labelled rows to fit on: for each label at most `most` of the usable
+    ids, those of least hash, and of these the whole texts of at most `chars` characters. One scan
+    of `docs` against a broadcast of at most sum(most) ids."""
+    ids = None
+    for side, n in most.items():
+        of = labels.where((F.col(mark) == side) & usable).select("doc_id").dropDuplicates()
+        of = of.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(n).withColumn("_side", F.lit(side))
+        ids = of if ids is None else ids.unionByName(of)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.where(F.length(text) <= chars).join(F.broadcast(ids), "doc_id").select("doc_id", "_side", text.alias("text")).collect()
+    return [(r["_side"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["_side"], r["text"]))]

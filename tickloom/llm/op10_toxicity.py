@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table, text_batches
+from .common import remainder, sample, table, text_batches
 
 #: The fit takes at most so many toxic rows and twice as many others, those of least hash.
 SAMPLE_ROWS = 800
-#: Characters of a training text that the fit looks at (scores take whole texts).
-SAMPLE_CHARS = 12_000
+#: The fit takes whole texts of at most so many characters (scores take every text).
+SAMPLE_CHARS = 20_000
 #: Landmarks of the Nystroem map at most.
 LANDMARKS = 192
 #: Decay of the kernel for each character that a subsequence spans, and the widest span.
@@ -46,50 +46,56 @@ _CLASS = _classes()
 _PAIRS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 
+#: Marks the triples of letters (class 0 is a gap); gives each word's norm.
+_LETTERS = np.pad(np.ones((K - 1,) * 3), ((1, 0),) * 3).ravel()
+
+
 class Words:
-    """Words as one array of letter classes, each followed by blanks that no subsequence
-    crosses; vectorised subsequence features over all of them."""
+    """Words as one array of letter classes, each followed by SPAN - 1 gaps, so that no
+    subsequence reaches another word; vectorised subsequence features over all of them."""
 
     def __init__(self, words: list[str]):
-        joined = "\n".join([*words, ""])
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        end = codes == 10
-        self.cls = np.where(end, 0, np.where(codes < 0x250, _CLASS[np.minimum(codes, 0x24F)], 27 + codes % 5)).astype(np.int32)
-        self.word = np.cumsum(end) - end
-        self.n = len(words)
-        self._norm = None
+        gap = "\n" * (SPAN - 1)
+        codes = np.frombuffer((gap.join(words) + gap).encode("utf-32-le"), np.uint32)
+        cls = np.where(codes == 10, 0, np.where(codes < 0x250, _CLASS[np.minimum(codes, 0x24F)], 27 + codes % 5)).astype(np.int32)
+        self.n, self.size = len(words), len(cls) - SPAN + 1
+        length = np.fromiter(map(len, words), np.int64, self.n) + SPAN - 1
+        self.start = np.cumsum(length) - length
+        self.x, self.y, self.z = cls[: self.size] * K * K, cls * K, cls
+
+    def _triples(self, a: int, b: int) -> np.ndarray:
+        return self.x + self.y[a : a + self.size] + self.z[a + b : a + b + self.size]
 
     def parts(self):
-        """(triple ids, words, weight) of each pair of gaps; letters of one word only."""
-        size = len(self.cls)
+        """(triple ids, words, weight) of each pair of gaps."""
+        word = np.repeat(np.arange(self.n), np.diff(self.start, append=self.size))
         for a, b in _PAIRS:
-            if size <= a + b:
-                continue
-            x, y, z = self.cls[: size - a - b], self.cls[a : size - b], self.cls[a + b :]
-            ok = (x > 0) & (y > 0) & (z > 0) & (self.word[: size - a - b] == self.word[a + b :])
-            yield ((x * K + y) * K + z)[ok], self.word[: size - a - b][ok], DECAY ** (a + b + 1)
-
-    def norm(self) -> np.ndarray:
-        if self._norm is None:
-            total = np.zeros(self.n)
-            for _, w, weight in self.parts():
-                total += np.bincount(w, minlength=self.n) * weight**2
-            self._norm = np.sqrt(np.maximum(total, 1e-12))
-        return self._norm
+            t = self._triples(a, b)
+            ok = _LETTERS[t] > 0
+            yield t[ok], word[ok], DECAY ** (a + b + 1)
 
     def dot(self, table: np.ndarray) -> np.ndarray:
-        """<phi(word), table> / |word| for each word."""
-        total = np.zeros(self.n)
-        for t, w, weight in self.parts():
-            total += np.bincount(w, table[t] * weight, minlength=self.n)
-        return total / self.norm()
-
-    def dense(self) -> np.ndarray:
-        """Normalised features, (words, K**3): for few words only."""
-        out = np.zeros((self.n, K**3), np.float32)
+        """<phi(word), table> / |word| for each word: one look-up finds a triple's weight
+        and whether it counts for the norm."""
+        both = (table * _LETTERS + 1j * _LETTERS).astype(np.complex64)
+        total, square = np.zeros(self.size), np.zeros(self.size)
+        for span in range(2, SPAN):
+            found = sum(both[self._triples(a, b)] for a, b in _PAIRS if a + b == span)
+            total += DECAY ** (span + 1) * found.real
+            square += DECAY ** (2 * span + 2) * found.imag
+        norm = np.sqrt(np.maximum(np.add.reduceat(square, self.start), 1e-12))
+        return np.round(np.add.reduceat(total, self.start) / norm, 6)
+
+    def dense(self, columns: np.ndarray) -> np.ndarray:
+        """Normalised features of these triples, (words, columns): for few words at a time."""
+        place = np.full(K**3, -1, np.int64)
+        place[columns] = np.arange(len(columns))
+        out, square = np.zeros(self.n * len(columns)), np.zeros(self.n)
         for t, w, weight in self.parts():
-            np.add.at(out, (w, t), weight)
-        return out / self.norm()[:, None].astype(np.float32)
+            square += np.bincount(w, minlength=self.n) * weight**2
+            at, ok = place[t], place[t] >= 0
+            out += np.bincount(w[ok] * len(columns) + at[ok], minlength=len(out)) * weight
+        return out.reshape(self.n, -1) / np.sqrt(np.maximum(square, 1e-12))[:, None]
 
 
 def words_of(text: str) -> list[str]:
@@ -128,26 +134,30 @@ class ToxicityModel:
 
     def set_landmarks(self, words: list[str], seen: list[str], y: np.ndarray, c: np.ndarray) -> None:
         """Nystroem map at these landmarks, then the SVM on the words seen."""
-        phi = Words(words).dense()
-        values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
+        columns = np.unique(np.concatenate([t for t, _, _ in Words(words).parts()]))
+        phi = Words(words).dense(columns)
+        values, vectors = np.linalg.eigh(phi @ phi.T)
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        w = Words(seen)
-        kernel = np.stack([w.dot(row) for row in phi.astype(np.float64)], 1)
+        kernel = np.concatenate([Words(seen[i : i + 256]).dense(columns) @ phi.T for i in range(0, len(seen), 256)])
         fit = _svm(kernel @ root, y, c)
-        self.table, self.bias, self.landmarks = (root @ fit[:-1]) @ phi.astype(np.float64), float(fit[-1]), words
+        self.table, self.bias, self.landmarks = np.zeros(K**3), float(fit[-1]), words
+        self.table[columns] = (root @ fit[:-1]) @ phi
 
     def values(self, words: list[str]) -> np.ndarray:
         return Words(words).dot(self.table) + self.bias if words else np.zeros(0)
 
-    def value(self, text: str) -> float:
-        words = set(words_of(text))
+    def text_values(self, texts: list[str]) -> list[float]:
+        """The largest of each text's word values; new words of all texts at once."""
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        new = [w for w in words if w not in self.memory]
-        if new:
-            self.memory.update(zip(new, self.values(new).tolist(), strict=True))
-        return max(map(self.memory.__getitem__, words), default=-4.0)
+        bags = [set(words_of(t)) for t in texts]
+        new = list(set().union(*bags).difference(self.memory))
+        self.memory.update(zip(new, self.values(new).tolist(), strict=True))
+        return [max(map(self.memory.__getitem__, bag), default=-4.0) for bag in bags]
+
+    def value(self, text: str) -> float:
+        return self.text_values([text])[0]
 
     def score(self, value: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.curve[0] * value + self.curve[1], -30, 30))))
@@ -172,7 +182,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 6) -> ToxicityModel:
     df = np.zeros((2, len(vocab)))
     tf = np.zeros((2, K**3))
     triples = [np.zeros(0, np.int64)] * len(vocab)
-    near = [(t, w) for (t, w, _), (a, b) in zip(all_words.parts(), _PAIRS, strict=False) if max(a, b) <= 2]
+    near = [(t, w) for (t, w, _), (a, b) in zip(all_words.parts(), _PAIRS, strict=True) if max(a, b) <= 2]
     ids, own = np.concatenate([t for t, _ in near]), np.concatenate([w for _, w in near])
     order = np.argsort(own, kind="stable")
     cut = np.searchsorted(own[order], np.arange(len(vocab) + 1))
@@ -238,16 +248,10 @@ def _curve(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0: at most
-    `sample_rows` toxic and twice as many other rows, those of the least hash of the id."""
-    got = []
-    for side, most in ((1, sample_rows), (0, 2 * sample_rows)):
-        of = labels.where((F.col("toxic") == side) & (remainder(F.col("doc_id"), 5) != 0)).select("doc_id").dropDuplicates()
-        ids = of.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(most)
-        text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")
-        rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", text).collect()
-        got += [(r["doc_id"], side, r["text"]) for r in rows]
-    got.sort()
-    return train([t for _, _, t in got], [s for _, s, _ in got])
+    `sample_rows` toxic and twice as many other rows, those of the least hash of the id
+    (of these, the texts of at most SAMPLE_CHARS characters)."""
+    got = sample(docs, labels, "toxic", (remainder(F.col("doc_id"), 5) != 0), {1: sample_rows, 0: 2 * sample_rows}, SAMPLE_CHARS)
+    return train([t for _, t in got], [s for s, _ in got])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -264,7 +268,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
     def run(batches):
         for b in batches:
             m = shared.value
-            score = np.array([m.score(m.value(t or "")) for t in b.column(at).to_pylist()], np.float64)
+            texts, value = b.column(at), []
+            for i in range(0, len(texts), 64):
+                value += m.text_values([t or "" for t in texts.slice(i, 64).to_pylist()])
+            score = np.array([m.score(v) for v in value], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

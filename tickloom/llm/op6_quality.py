@@ -8,12 +8,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table, text_batches, utf8
+from .common import remainder, sample, table, text_batches, utf8
 
 #: The fit takes at most so many labelled rows of each label, those of the least hash.
 SAMPLE_ROWS = 1500
-#: Bytes of a training text that the fit looks at (scores take whole texts).
-SAMPLE_BYTES = 20_000
+#: The fit takes whole texts of at most so many characters (scores take every text).
+SAMPLE_CHARS = 20_000
 DICT_BYTES = 64 << 10
 #: Each chunk is compressed by itself, so that a long text's own history doesn't replace
 #: the dictionary.
@@ -82,15 +82,10 @@ class QualityModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Fits on labelled rows whose crc32(doc_id as text) mod 4 is not 2: at most
-    `sample_rows` of each label, those of the least hash of the id, a documented bound that
-    lets the driver hold them. Two thirds make the dictionaries, the rest the curve."""
-    sides = {}
-    for side in (0, 1):
-        of = labels.where((F.col("quality") == side) & (remainder(F.col("doc_id"), 4) != 2)).select("doc_id").dropDuplicates()
-        ids = of.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample_rows)
-        text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_BYTES).alias("text")
-        got = docs.join(F.broadcast(ids), "doc_id").select("doc_id", text).collect()
-        sides[side] = [r["text"].encode() for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
+    `sample_rows` of each label, those of the least hash of the id (of these, the texts of at
+    most SAMPLE_CHARS characters), a documented bound that lets the driver hold them. Two thirds make the dictionaries, the rest the curve."""
+    got = sample(docs, labels, "quality", remainder(F.col("doc_id"), 4) != 2, {0: sample_rows, 1: sample_rows}, SAMPLE_CHARS)
+    sides = {side: [t.encode() for s, t in got if s == side] for side in (0, 1)}
     parts = {s: ([t for i, t in enumerate(v) if i % 3], [t for i, t in enumerate(v) if i % 3 == 0]) for s, v in sides.items()}
     model = QualityModel(parts[1][0], parts[0][0])
     held = [(model.difference(t), s) for s in (0, 1) for t in parts[s][1] if t]
