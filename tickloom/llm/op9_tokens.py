@@ -19,7 +19,7 @@ from .common import new_path, table, text_batches
 from .sstable import Reader, Writer
 
 #: Words whose ids an encoder remembers; the memory starts anew when full.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def default_tokenizer() -> str:
@@ -77,21 +77,13 @@ class Encoder:
             out[i] = self._library([texts[i]])[0]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        memory, held, missed = self.memory, {}, set()
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                pieces = self.cut.findall(t)
-                found = list(map(memory.get, pieces))
-                gaps = [(k, pieces[k]) for k, v in enumerate(found) if v is None] if None in found else []
-                missed.update(p for _, p in gaps)
-                held[i] = found, gaps
-        if missed:
-            new = list(missed)
+        memory = self.memory
+        pieces = {i: self.cut.findall(t) for i, t in enumerate(texts) if out[i] is None}
+        new = list(set().union(*pieces.values()).difference(memory))
+        if new:
             memory.update(zip(new, self._library(new), strict=True))
-        for i, (found, gaps) in held.items():
-            for k, p in gaps:
-                found[k] = memory[p]
-            out[i] = b"".join(found)
+        for i, found in pieces.items():
+            out[i] = b"".join(map(memory.__getitem__, found))
         return out
 
 
@@ -146,17 +138,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     return rows.mapInArrow(run, "shard int, file string, n_docs long, n_ids long")
 
 
-def read_tokens(spark: SparkSession, path: str, manifest: list, id_col: str = "doc_id") -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, manifest: list, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Reads the shards of a collected manifest (one row a shard) back, a block at a time.
 
     Returns id, start long (ids of all documents before it), n_tokens long, ids_crc32 long
-    (crc32 of the ids as little-endian unsigned 32-bit integers), ids array<int>.
+    (crc32 of the ids as little-endian unsigned 32-bit integers) and, unless with_ids is
+    False, ids array<int>.
     """
     plan, total = [], 0
     for r in sorted(manifest, key=lambda r: r["shard"]):
         plan.append((r["file"], total))
         total += r["n_ids"]
-    schema = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, ids array<int>"
+    schema = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     if not plan:
         return spark.createDataFrame([], schema)
 
@@ -168,33 +161,35 @@ def read_tokens(spark: SparkSession, path: str, manifest: list, id_col: str = "d
                     reader, rows = Reader(f), []
                     for doc_id, value in reader.scan():
                         ids = np.frombuffer(value, f"<u{reader.width}").astype("<u4")
-                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), ids.view("<i4")))
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), *[ids.view("<i4")] * with_ids))
                         start += len(ids)
                         if len(rows) == 256:
-                            yield _batch(rows, id_col)
+                            yield _batch(rows, id_col, with_ids)
                             rows = []
-                    yield _batch(rows, id_col)
+                    yield _batch(rows, id_col, with_ids)
 
     files = spark.createDataFrame(plan, "file string, start long").repartition(len(plan))
     return files.mapInArrow(run, schema)
 
 
-def _batch(rows: list[tuple], id_col: str) -> pa.RecordBatch:
-    cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
-    offsets = np.concatenate(([0], np.cumsum([len(r[4]) for r in rows]))).astype(np.int32)
-    values = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, np.int32)
-    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())))
-    return pa.RecordBatch.from_arrays(cols, names=[id_col, "start", "n_tokens", "ids_crc32", "ids"])
+def _batch(rows: list[tuple], id_col: str, with_ids: bool) -> pa.RecordBatch:
+    cols, names = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], [id_col, "start", "n_tokens", "ids_crc32"]
+    if with_ids:
+        offsets = np.concatenate(([0], np.cumsum([len(r[4]) for r in rows]))).astype(np.int32)
+        values = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, np.int32)
+        cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """write_tokens to a new folder of the shared directory, then read_tokens."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     manifest = write_tokens(docs, path, tokenizer, end_id).collect()  # one row a shard
-    return read_tokens(spark, path, manifest)
+    return read_tokens(spark, path, manifest, with_ids=with_ids)
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token_table over all of `documents` with the 50k byte-level BPE, end id 0."""
-    return token_table(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_table(table(spark, sf_dir, "documents"), with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
