@@ -44,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_table(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_table(docs, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [
