@@ -219,7 +219,7 @@ def test_op6_held_out(spark):
     assert scored(spark, op6_quality.op6_quality(spark, "/root/testdata/sf0.01"), "quality", 4, 2) > 0.93
     model = op6_quality.QualityModel([b"good text here " * 9] * 20, [b"$$$ bad %%% " * 9] * 20)
     model.calibrate(np.array([0.2, 0.1, -0.1, -0.2]), np.array([1, 1, 0, 0]))
-    got = op6_quality.score_quality(docs_of(spark, ODD).drop("score"), model).collect()
+    got = op6_quality.score_quality(docs_of(spark, ODD), model).collect()
     assert len(got) == len(ODD) and got[0]["score"] == got[1]["score"]
 
 
@@ -232,7 +232,37 @@ def test_op10_held_out(spark):
     model = op10_toxicity.train(texts, [int(any(b in t for b in bad)) for t in texts])
     score = lambda t: model.score(model.value(t))
     assert min(map(score, ("you blo.ckhead", "a b l o c k h e a d", "numb-skull there", "bl0ckhead"))) > 0.5 > score("an honest note") and score("") < 0.5
-    assert op10_toxicity.score_toxicity(docs_of(spark, ODD).drop("score"), model).count() == len(ODD)
+    assert op10_toxicity.score_toxicity(docs_of(spark, ODD), model).count() == len(ODD)
+
+
+def test_fits_of_odd_tables(spark):
+    """No labels, null labels, nulls and clashing names: constant or usable models, every row scored."""
+    docs = docs_of(spark, ODD).withColumn("_side", F.lit(7)).withColumn("predicted", F.lit("p"))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(i, i % 2, i % 2) for i in range(len(ODD))] + [(None, None, None), (3, 1, 1), (3, 1, 1)], none.schema)
+    for labels in (none, some):
+        for got in (
+            op6_quality.score_quality(docs, op6_quality.fit_quality(docs, labels)),
+            op10_toxicity.score_toxicity(docs, op10_toxicity.fit_toxicity(docs, labels)),
+        ):
+            assert len(set(got.columns)) == len(got.columns)
+            rows = got.collect()
+            assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in rows)
+    assert op10_toxicity.score_toxicity(docs.limit(0), op10_toxicity.fit_toxicity(docs.limit(0), some)).count() == 0
+    assert op6_quality.score_quality(docs.limit(0), op6_quality.fit_quality(docs.limit(0), some)).count() == 0
+
+
+def test_op10_text_values_do_not_depend_on_the_batch(spark):
+    bad = ["blarg", "zonk"]
+    texts = ["plain words of prose", "you are a blarg", "some other line", "what a zonk", "nothing here", "blarg zonk"] * 5
+    model = op10_toxicity.train(texts, [int(any(b in t for b in bad)) for t in texts])
+    together = model.text_values(ODD[1:] + texts)
+    model.memory.clear()
+    assert together == [model.value(t) for t in ODD[1:] + texts]
+    phi = op10_toxicity.Words(["blarg", "b1arg", "b-l-arg", "q", "1"])
+    columns = np.arange(op10_toxicity.K**3)
+    weights = np.random.default_rng(1).normal(size=len(columns))
+    assert np.allclose(phi.dense(columns) @ weights, phi.dot(weights), atol=1e-4)
 
 
 def test_op1(spark):

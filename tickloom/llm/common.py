@@ -66,6 +66,6 @@ def sample(docs: DataFrame, labels: DataFrame, mark: str, usable: Column, most:
         of = labels.where((F.col(mark) == side) & usable).select("doc_id").dropDuplicates()
         of = of.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(n).withColumn("_side", F.lit(side))
         ids = of if ids is None else ids.unionByName(of)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.where(F.length(text) <= chars).join(F.broadcast(ids), "doc_id").select("doc_id", "_side", text.alias("text")).collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
+    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "_side", "text").collect()
     return [(r["_side"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["_side"], r["text"]))]

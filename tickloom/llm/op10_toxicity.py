@@ -259,10 +259,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
     (score >= threshold), from whole texts.
 
     Null, empty and blank texts get the score of the least value. Every row is scored by
-    itself: repeated rows, ties and other columns need no rule. One map over Arrow batches,
+    itself: repeated rows, ties and other columns need no rule; columns that are already
+    named score or predicted are replaced. One map over Arrow batches,
     no shuffle; the model is one table of 32,768 weights.
     """
     text_batches(docs.sparkSession)
+    docs = docs.drop("score", "predicted")
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):

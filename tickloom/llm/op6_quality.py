@@ -99,9 +99,10 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7,
 
     Scores take whole texts. Null and empty texts have difference 0 and the curve's score
     there. Every row is scored by itself: repeated rows, ties and other columns need no
-    rule. One map over Arrow batches, no shuffle; the model is at most two dictionaries.
+    rule; columns that are already named score or predicted are replaced. One map over Arrow batches, no shuffle; the model is at most two dictionaries.
     """
     text_batches(docs.sparkSession)
+    docs = docs if keep_only else docs.drop("score", "predicted")
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
