@@ -16,7 +16,7 @@ from .suffixes import repeated_starts
 
 #: Bytes of an anchor gram.
 GRAM = 32
-#: Distinct blocks of one core beyond which their starts are compared one by one.
+#: Distinct blocks of one core beyond which they are cut into parts.
 CROWD = 512
 #: Bytes of one suffix array, about.
 ARRAY_BYTES = 1 << 20
@@ -169,21 +169,68 @@ def _sorted_hits(width: int):
     return run
 
 
-def _single_starts(width: int):
-    """Every start of a block by itself: (h1, h2, i, w1, w2, n)."""
+def _parts(width: int, size: int):
+    """Blocks cut by the offset of the anchor in their strings, ranges of `size` offsets:
+    (p1, p2, off, core, h1, h2, bytes, n), the parent block, where the part starts in it,
+    and the part as a block. Its core is a hash of the bytes that all strings of the range
+    hold around the anchor, so that equal strings lie in parts of one core."""
 
     def run(batches):
         for b in batches:
-            blocks = list(zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True))
-            for at in range(0, len(blocks), 100):
-                rows = [(h1, h2, i, n, xxhash.xxh3_128_digest(part[i : i + width])) for h1, h2, part, n in blocks[at : at + 100] for i in range(len(part) - width + 1)]
-                w = np.frombuffer(b"".join(r[4] for r in rows), "<i8").reshape(-1, 2)
-                cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array([r[3] for r in rows], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "i", "w1", "w2", "n"])
+            blocks = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+            for lo, hi in _slices([x[2] for x in blocks]):
+                yield cut(blocks[lo:hi])
+
+    def cut(blocks: list[tuple]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *[len(x[2]) for x in blocks]])
+        own, _, _, place, _ = anchors(np.frombuffer(b"".join(x[2] for x in blocks), np.uint8), ends, width)
+        rows = []
+        for k, at in zip(own.tolist(), (place - ends[own]).tolist(), strict=True):
+            p1, p2, data, n = blocks[k]
+            least = at - len(data) + width  # offsets in this block: least ... at
+            for node in range(least // size, at // size + 1):
+                lo, hi = node * size, min(node * size + size - 1, width - GRAM)
+                off = at - min(at, hi)
+                part = data[off : at - max(least, lo) + width]
+                core = xxhash.xxh3_64_intdigest(data[at - lo : at - hi + width], node)
+                rows.append((p1, p2, off, core, xxhash.xxh3_128_digest(part), part, n))
+        whole = np.frombuffer(b"".join(r[4] for r in rows), "<i8").reshape(-1, 2)
+        cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array(np.array([r[3] for r in rows], np.uint64).view(np.int64)), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array([r[5] for r in rows], pa.binary()), pa.array([r[6] for r in rows], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["p1", "p2", "off", "core", "h1", "h2", "bytes", "n"])
 
     return run
 
 
+def _block_hits(same: DataFrame, width: int) -> DataFrame:
+    """(h1, h2, off int, mask): for distinct blocks, the starts that hit, a bit for each from
+    `off` on; a block may have several rows.
+
+    Cores of at most CROWD distinct blocks are suffix-sorted. The blocks of a larger core are
+    cut into parts, of 64 offsets of the anchor, then 16, 4 and 1: parts inside what the
+    texts share are equal and combine, those beyond it differ in their core, and only the parts
+    across its border are cut again. Parts of one offset are single strings, equal within
+    their core, so that no core is too large at the end.
+    """
+    sizes = [4**k for k in range(16, -1, -1) if 4**k <= width - GRAM]
+    found, cuts = [], []
+    for level in range(len(sizes) + 1):
+        crowds = written(same.groupBy("core").count().where(F.col("count") > CROWD).select("core"), "suffix-crowds")
+        cold = same.join(crowds.hint("merge"), "core", "left_anti").repartition("core").sortWithinPartitions("core")
+        hits = cold.select("core", "h1", "h2", "bytes", "n").mapInArrow(_sorted_hits(width), "h1 long, h2 long, mask binary")
+        found.append(written(hits.select("h1", "h2", F.lit(0).alias("off"), "mask"), "suffix-found"))
+        if level == len(sizes) or crowds.isEmpty():
+            break
+        crowded = same.join(crowds.hint("merge"), "core", "left_semi").select("h1", "h2", "bytes", "n")
+        parts = written(crowded.mapInArrow(_parts(width, sizes[level]), "p1 long, p2 long, off int, core long, h1 long, h2 long, bytes binary, n long"), "suffix-parts")
+        cuts.append(parts.select("p1", "p2", F.col("off").alias("by"), "h1", "h2"))
+        same = written(parts.groupBy("core", "h1", "h2").agg(F.first("bytes").alias("bytes"), F.sum("n").alias("n")), "suffix-same")
+    hits = found.pop()
+    while cuts:
+        up = cuts.pop().join(hits.hint("merge"), ["h1", "h2"])
+        hits = written(found.pop().unionAll(up.select(F.col("p1").alias("h1"), F.col("p2").alias("h2"), (F.col("by") + F.col("off")).alias("off"), "mask")), "suffix-hits")
+    return hits
+
+
 def _finish(width: int):
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
@@ -194,9 +241,7 @@ def _finish(width: int):
                 if not hits:
                     out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text.decode()))
                     continue
-                at = [np.flatnonzero(np.unpackbits(np.frombuffer(h["mask"], np.uint8))) + h["start"] for h in hits if h["mask"] is not None]
-                at += [np.array(h["list"], np.int64) + h["start"] for h in hits if h["mask"] is None]
-                at = np.concatenate(at)
+                at = np.concatenate([np.flatnonzero(np.unpackbits(np.frombuffer(h["mask"], np.uint8))) + h["start"] for h in hits])
                 edge = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + width, minlength=len(text) + 1)
                 gone = np.cumsum(edge)[: len(text)] > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -226,7 +271,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
     its adjacent common prefixes tell which strings repeat. Blocks that are equal as a
     whole (copies) combine on the map side and are sorted once. A core with very many
     distinct blocks, a passage that many texts hold in different surroundings, doesn't go
-    to one task: its strings are compared by their 128-bit hash in a combining aggregation.
+    to one task: its blocks are cut into smaller ones with more bytes in their core, until
+    no core is large (_block_hits).
     The last step puts hits into their texts; its hot keys are texts, of bounded size.
     """
     if width <= GRAM:
@@ -241,17 +287,9 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
     kind = "rid long, start int, core long, h1 long, h2 long, bytes binary"
     blocks = written(parts.select("rid", "zip", "hash", "first", "last", "marked").mapInArrow(_blocks(width), kind), "suffix-blocks")
     same = written(blocks.groupBy("core", "h1", "h2").agg(F.first("bytes", ignorenulls=True).alias("bytes"), F.count(F.lit(1)).alias("n")), "suffix-same")
-    crowds = written(same.groupBy("core").count().where(F.col("count") > CROWD).select("core"), "suffix-crowds")
-    cold = same.join(crowds.hint("merge"), "core", "left_anti").repartition("core").sortWithinPartitions("core")
-    hits = cold.select("core", "h1", "h2", "bytes", "n").mapInArrow(_sorted_hits(width), "h1 long, h2 long, mask binary")
-    single = same.join(crowds.hint("merge"), "core", "left_semi").select("core", "h1", "h2", "bytes", "n").mapInArrow(_single_starts(width), "h1 long, h2 long, i int, w1 long, w2 long, n long")
-    single = written(single, "suffix-single")
-    twice = written(single.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "suffix-twice")
-    crowd_hits = single.join(twice.hint("merge"), ["w1", "w2"]).groupBy("h1", "h2").agg(F.collect_list("i").alias("list"))
-    every = hits.select("h1", "h2", "mask", F.lit(None).cast("array<int>").alias("list")).unionAll(crowd_hits.select("h1", "h2", F.lit(None).cast("binary").alias("mask"), "list"))
-    every = written(every, "suffix-hits")
+    every = _block_hits(same, width)
     placed = blocks.select("rid", "start", "h1", "h2").join(every.hint("merge"), ["h1", "h2"])
-    per_text = placed.groupBy("rid").agg(F.collect_list(F.struct("start", "mask", "list")).alias("hits"))
+    per_text = placed.groupBy("rid").agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("start"), "mask")).alias("hits"))
     whole = texts.select("rid", "doc_id", "zip").join(per_text.hint("merge"), "rid", "left").select("doc_id", "zip", "hits")
     return whole.mapInArrow(_finish(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
