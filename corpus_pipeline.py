@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import new_path, table
+from tickloom.llm.common import table, written
 from tickloom.llm.op4_mix import mix
 from tickloom.llm.op6_quality import fit_quality, score_quality
 from tickloom.llm.op7_simhash import simhash_dedup
@@ -62,7 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to `documents`."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
