@@ -124,6 +124,27 @@ def test_op5(spark):
     assert op5_ann.ann_search(df.limit(0), df).count() == 0
 
 
+@pytest.mark.parametrize("n, cells", [(60_000, None), (8_000, 500)])
+def test_op5_recall_with_more_cells_than_probes(spark, tmp_path, n, cells):
+    """Without clusters a fixed number of cells loses true neighbours as the table grows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(5).normal(size=(n, 48)).astype(np.float32)
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 48).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": vectors}), tmp_path / "x.parquet", row_group_size=n // 8)
+    df = spark.read.parquet(str(tmp_path / "x.parquet"))
+    more = {} if cells is None else {"cells": cells}
+    got = op5_ann.ann_search(df, df.where(f"vec_id % {n // 200} = 0"), **more).toPandas()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    asked = np.arange(0, n, n // 200)
+    score = unit[asked] @ unit.T
+    score[np.arange(len(asked)), asked] = -9
+    want = {q: set(np.argpartition(-s, 5)[:5]) for q, s in zip(asked, score, strict=True)}
+    assert len(got) == 5 * len(asked)
+    assert sum(v in want[q] for q, v in zip(got["query_id"], got["vec_id"], strict=True)) >= 0.95 * 5 * len(asked)
+
+
 def test_op7(spark):
     texts = ODD + ["a b c d e f g h i j k l m n o p"] * 3
     got = {x["doc_id"]: x for x in op7_simhash.simhash_groups(docs_of(spark, texts)).collect()}

@@ -14,8 +14,14 @@ from .common import table, written
 SAMPLE_ROWS = 20_000
 #: Rows of a data block and queries of a query block, on average.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
-#: Candidates of a block that are reranked for each query.
+#: Candidates of a block that are reranked for each query, at first.
 RERANK = 48
+#: Cells that a query visits at least, where there are as many.
+LEAST_PROBE = 24
+#: Queries that probe and rerank are measured on, those of the least hash.
+TRIAL_QUERIES = 256
+#: Shares of the trial's true neighbours that must lie in probed cells, and be found in all.
+CELL_RECALL, RECALL = 0.985, 0.975
 
 
 class AnisotropicIndex:
@@ -25,14 +31,14 @@ class AnisotropicIndex:
     an error parallel to x changes large inner products most, and eta > 1 penalises it.
     """
 
-    def __init__(self, sample: np.ndarray, n: int, threshold: float = 0.2, seed: int = 7):
+    def __init__(self, sample: np.ndarray, n: int, threshold: float = 0.2, seed: int = 7, cells: int | None = None):
         d = sample.shape[1]
         self.dim, self.pad = d, -d % 4
         self.m = (d + self.pad) // 2
         self.eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
         rng = np.random.default_rng(seed)
         x = self._wide(sample)
-        self.cells = self._kmeans(sample, max(1, min(2048, len(sample) // 8, round(n**0.5 / 4))), rng)
+        self.cells = self._kmeans(sample, max(1, min(2048, len(sample) // 8, cells or round(n**0.5 / 4))), rng)
         parts = x.reshape(len(x), self.m, 2)
         self.books = np.stack([self._centroids(parts[:, j], rng) for j in range(self.m)])
         for _ in range(4):
@@ -115,7 +121,32 @@ def _unit(vectors) -> tuple[np.ndarray, np.ndarray]:
     return x, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: int = 24, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _truth(placed: DataFrame, ids: np.ndarray, unit: np.ndarray, k: int) -> pd.DataFrame:
+    """(q, cell, score): the k nearest of all of `placed` for each trial query, by brute force.
+    A task holds BLOCK_ROWS rows and k neighbours a query at a time."""
+    shared = placed.sparkSession.sparkContext.broadcast((ids, unit))
+
+    def run(frames):
+        own, q = shared.value
+        score, cell = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int32)
+        for pdf in frames:
+            for at in range(0, len(pdf), BLOCK_ROWS):
+                rows = pdf.iloc[at : at + BLOCK_ROWS]
+                here = q @ _unit(rows["v"])[1].T
+                here[own[:, None] == rows["vec_id"].to_numpy()] = -np.inf
+                score = np.hstack([score, here])
+                cell = np.hstack([cell, np.broadcast_to(rows["cell"].to_numpy(np.int32), here.shape)])
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                score, cell = np.take_along_axis(score, top, 1), np.take_along_axis(cell, top, 1)
+        at, j = np.nonzero(score > -np.inf)
+        yield pd.DataFrame({"q": at.astype(np.int32), "cell": cell[at, j], "score": score[at, j]})
+
+    got = placed.select("vec_id", "v", "cell").mapInPandas(run, "q int, cell int, score double")
+    got = got.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cell")))
+    return got.where(F.col("_n") <= k).drop("_n").toPandas()
+
+
+def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: int | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "vec_id", vec_col: str = "embedding", cells: int | None = None) -> DataFrame:
     """The k rows of `vectors` of largest cosine that the index finds for each row of
     `queries` (same columns), its own id left out.
 
@@ -129,8 +160,13 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: int =
     nearest; a grouped limit, which Spark applies before its shuffle, leaves those, so that
     copies cost nothing. Rows fall into coarse cells, cells into blocks of bounded size; a
     query visits the blocks of its `probe` nearest cells, in query blocks of bounded size.
-    Every block is one task's work: four-bit table scan, then exact rerank of RERANK rows.
-    The index (cells, codebooks) is fitted on at most `sample_rows` rows on the driver.
+    Every block is one task's work: four-bit table scan, then exact rerank of its best rows.
+    The index (`cells` cells or by size, codebooks) is fitted on at most `sample_rows` rows on
+    the driver.
+
+    Without `probe`, it is measured: of TRIAL_QUERIES of the queries, brute force over all
+    rows tells how many cells hold CELL_RECALL of the true neighbours (LEAST_PROBE at least, up
+    to all cells), and the rows reranked are doubled until the search itself finds RECALL of them.
     """
     spark = vectors.sparkSession
     fine = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)
@@ -146,7 +182,7 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: int =
     lens = pd.Series([len(r["v"]) for r in sample]).mode()
     dim = int(lens[0])
     n = base.count()
-    index = AnisotropicIndex(_unit([r["v"] for r in sample if len(r["v"]) == dim])[1], n)
+    index = AnisotropicIndex(_unit([r["v"] for r in sample if len(r["v"]) == dim])[1], n, cells=cells)
     shared = spark.sparkContext.broadcast(index)
 
     def to_cells(most: int):
@@ -161,7 +197,42 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: int =
     placed = base.where(F.size("v") == dim).mapInPandas(to_cells(1), "vec_id long, v array<double>, cell array<int>").select("vec_id", "v", F.col("cell")[0].alias("cell"))
     placed = written(placed, "ann-cells")
     asked = pick(queries).where(F.size("v") == dim).dropDuplicates(["vec_id"])
-    asked = written(asked.mapInPandas(to_cells(probe), "vec_id long, v array<double>, cell array<int>").select(F.col("vec_id").alias("query_id"), "v", F.explode("cell").alias("cell")), "ann-queries")
+    if probe is not None:
+        return _search(placed, asked.mapInPandas(to_cells(probe), "vec_id long, v array<double>, cell array<int>"), shared, k, RERANK)
+    trial = asked.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(TRIAL_QUERIES).toPandas()
+    if not len(trial):
+        return empty
+    probe, rerank = _measured(placed, trial, shared, k)
+    return _search(placed, asked.mapInPandas(to_cells(probe), "vec_id long, v array<double>, cell array<int>"), shared, k, rerank)
+
+
+def _measured(placed: DataFrame, trial: pd.DataFrame, shared, k: int) -> tuple[int, int]:
+    """(probe, rerank) of which the trial queries find RECALL of their true neighbours."""
+    index, unit = shared.value, _unit(trial["v"])[1]
+    true = _truth(placed, trial["vec_id"].to_numpy(), unit, k)
+    if not len(true):
+        return 1, RERANK
+    order = np.argsort(-(unit @ index.cells.T - 0.5 * (index.cells**2).sum(1)), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)[true["q"], true["cell"]]
+    probe = max(LEAST_PROBE, int(np.sort(place)[int(np.ceil(CELL_RECALL * len(place))) - 1]) + 1)
+    least = pd.Series(true.groupby("q")["score"].min().to_numpy(), trial["vec_id"].to_numpy()[np.unique(true["q"])])
+    spark = placed.sparkSession
+    rows = [(int(i), list(map(float, v)), c.tolist()) for i, v, c in zip(trial["vec_id"], trial["v"], index.cell(unit, probe).astype(int), strict=True)]
+    asked = written(spark.createDataFrame(rows, "vec_id long, v array<double>, cell array<int>"), "ann-trial")
+    largest = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    rerank = RERANK
+    while rerank < largest:
+        got = _search(placed, asked, shared, k, rerank).select("query_id", "score").toPandas()
+        # By score, so that of equally near rows any counts.
+        if (got["score"] >= got["query_id"].map(least) - 1e-9).sum() >= RECALL * len(true):
+            break
+        rerank *= 2
+    return probe, rerank
+
+
+def _search(placed: DataFrame, asked: DataFrame, shared, k: int, rerank: int) -> DataFrame:
+    """The search itself: rows with their cell, queries with the array of their cells."""
+    asked = written(asked.select(F.col("vec_id").alias("query_id"), "v", F.explode("cell").alias("cell")), "ann-queries")
     # Cells are at most 2048: what is broadcast has that bound.
     counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("cell").agg(F.count(F.lit(1)).alias("q")), "cell")
     blocks = F.broadcast(counts.select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("nb"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qb")))
@@ -178,7 +249,7 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: int =
         q, q_unit = _unit(asks["v"])
         ids, own, codes = rows["vec_id"].to_numpy(), asks["query_id"].to_numpy(), shared.value.encode(unit)
         x_len, q_len = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-        found, most = [], min(len(ids), RERANK)
+        found, most = [], min(len(ids), rerank)
         for at in range(0, len(q), 64):
             lut = shared.value.tables(q_unit[at : at + 64])
             near = np.zeros((len(lut), len(ids)), np.float32)
@@ -189,8 +260,8 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: int =
                 top = top[ids[top] != own[at + i]]
                 score = x[top] @ q[at + i] / (x_len[top] * q_len[at + i])
                 best = np.lexsort((ids[top], -score))[:k]
-                found.append(pd.DataFrame({"query_id": own[at + i], "vec_id": ids[top][best], "score": score[best]}))
-        return pd.concat(found)
+                found.append((np.full(len(best), own[at + i]), ids[top][best], score[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     keys = ["cell", "b", "c"]
     got = data.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
