@@ -33,6 +33,17 @@ def test_against_sql(spark, duck, name):
     assert flat(got) == flat(want)
 
 
+@pytest.mark.parametrize("ids", [[*range(5, 900, 3), *range(2000, 2400)], [7] * 500 + [*range(300)] + [None] * 9, [4, None], [-(2**40), 3, 2**60, 2**60 + 1] * 40])
+def test_cpcv_sizes_of_any_ids(spark, tmp_path, ids):
+    """Gaps, repeats and nulls among the ids: rows are numbered by their order."""
+    spark.createDataFrame([(i,) for i in ids], "event_id long").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = registry.QUERIES["cpcv_sizes"](spark, str(tmp_path)).select("fold_a", "fold_b", "role", "n")
+    want = con.execute(f"SELECT fold_a, fold_b, role, n FROM ({registry.SQL['cpcv_sizes']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_goldens():
     assert scalar.expected_max(100) == pytest.approx(2.5306028932016846)
     assert scalar.psr(1.585 / 12**0.5, 24, -2.448, 10.164) == pytest.approx(0.91323430688486018)

@@ -38,11 +38,36 @@ def backtest_paths(spark: SparkSession, folds: int, tests: int) -> DataFrame:
     return df.withColumn("path_id", F.row_number().over(Window.partitionBy("fold").orderBy("split_id")) - 1)
 
 
+def runs(df: DataFrame, by: str) -> DataFrame:
+    """(by, start, n): each value of the numeric column `by`, nulls last, with its number of
+    rows and the 0-based index of its first row in that order. Ranges of values are summed
+    apart and offset by the rows before them, a table of one row a range; their bounds are
+    fixed values, so that every evaluation deals alike."""
+    one = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = one.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)])).first()[0]
+    cuts = sorted(set(cuts or []))
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < F.col(by))) if cuts else F.lit(0)
+    one = one.withColumn("_part", F.when(F.col(by).isNull(), len(cuts) + 1).otherwise(below))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = one.groupBy("_part").agg(F.sum("n").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = one.withColumn("start", F.sum("n").over(within) - F.col("n")).join(F.broadcast(offsets), "_part")
+    return one.select(by, (F.col("start") + F.col("_offset")).alias("start"), "n")
+
+
 def assign(rows: DataFrame, ranges: DataFrame, idx: str = "idx") -> DataFrame:
     """Rows in the ranges that hold them. The ranges table is a few rows a split."""
     return rows.join(F.broadcast(ranges), (F.col(idx) >= F.col("lo")) & (F.col(idx) < F.col("hi"))).drop("lo", "hi")
 
 
+def sizes(runs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(folds, role, n): rows in each range, of runs of rows rather than single ones."""
+    lo, hi = F.greatest("lo", "start"), F.least("hi", F.col("start") + F.col("n"))
+    both = runs.join(F.broadcast(ranges), (F.col("start") < F.col("hi")) & (F.col("start") + F.col("n") > F.col("lo")))
+    return both.groupBy("folds", "role").agg(F.sum(hi - lo).alias("n"))
+
+
 def leakage(assigned: DataFrame, idx: str = "idx") -> DataFrame:
     """(split_id, shared): indexes that are both train and test; all 0 in a sound split."""
     both = assigned.groupBy("split_id", idx).agg(F.countDistinct("role").alias("n"))

@@ -263,9 +263,7 @@ def cpcv_ranges(spark, sf):
 def cpcv_sizes(spark, sf):
     e = read(spark, sf, "events").select("event_id")
     ranges = P.cpcv_ranges(spark, e.count(), 6, 2, 1, 20)
-    i = e.select(F.col("event_id").alias("idx"))  # ids count from 0 or 1 without gaps
-    i = i.crossJoin(F.broadcast(i.agg(F.min("idx").alias("lo0")))).select((F.col("idx") - F.col("lo0")).alias("idx"))
-    got = P.assign(i, ranges).groupBy("folds", "role").agg(F.count(F.lit(1)).alias("n"))
+    got = P.sizes(P.runs(e, "event_id"), ranges)
     return got.select(F.col("folds")[0].alias("fold_a"), F.col("folds")[1].alias("fold_b"), "role", "n")
 
 
