@@ -301,6 +301,22 @@ def test_op1(spark):
     assert got[2]["text"] == "" and got[3]["n_chars"] == 0
 
 
+def test_op1_unclosed_heads():
+    texts = lambda html: [b.text for b in html_blocks.blocks(html)]
+    assert texts("<html><head><title>t</title><meta x=1><link y><style>p{}</style><p>One<p>Two") == ["One", "Two"]
+    assert texts("<head><title>t</title>\n<script>1</script>\nBare text<p>One") == ["Bare text", "One"]
+    assert texts("<head><title>t</title><b>Bold</b> text") == ["Bold text"]
+    assert texts("<html><head><title>t</title></head><body><p>One<head><p>Two") == ["One", "Two"]
+    assert texts("<html>\n<head>\n<title>t</title>\n</head>\n<body>One") == ["One"]
+
+
+def test_op1_digits_of_the_whole_block():
+    late = html_blocks.Block("word " * 50 + "1234567 " * 60, (), 0, 0)
+    digits = [f for f in op1_html.text_features(late, 0.5, 5) if f.startswith("digits:")]
+    plain = [f for f in op1_html.text_features(late._replace(text="word " * 146), 0.5, 5) if f.startswith("digits:")]
+    assert len(digits) == 1 and digits != plain
+
+
 def test_pipeline_against_steps(spark):
     import corpus_pipeline as p
 

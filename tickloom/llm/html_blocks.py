@@ -12,6 +12,8 @@ RAW = frozenset("script style noscript template textarea svg iframe object math
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line of text; every other element starts a new block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp nobr".split())
+#: Start tags that leave the head open; any other one, or text, begins the body.
+HEAD = frozenset("html head title meta link base basefont bgsound style script noscript template".split())
 #: A start tag that ends an open element of these names.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -53,14 +55,14 @@ def blocks(html: str) -> list[Block]:
     """Text blocks in page order. A block is the text between two borders of block
     elements, character references decoded, white space runs as one space, trimmed; blocks
     without text are left out. Comments, declarations and RAW elements hold no text, nor
-    does the head. Unclosed, wrongly nested and stray tags are taken as browsers do: a
+    does the head, which ends with its end tag, a start tag that can't be in it, or text. Unclosed, wrongly nested and stray tags are taken as browsers do: a
     paragraph ends where a block element starts, an end tag closes what is open inside its
     element, and one without an element is ignored."""
     out: list[Block] = []
     stack: list[tuple[str, tuple]] = []
     text: list[str] = []
     state = [0, 0, 0]  # characters in links, links, open links
-    at, size, head = 0, len(html), False
+    at, size, head = 0, len(html), None  # head: None before it, True inside, False after
 
     def flush():
         if text:
@@ -71,6 +73,9 @@ def blocks(html: str) -> list[Block]:
         state[0] = state[1] = 0
 
     def add(raw: str):
+        nonlocal head
+        if head is not False and raw.strip():
+            head = False
         if raw and not head:
             piece = unescape(raw) if "&" in raw else raw
             text.append(piece)
@@ -103,6 +108,8 @@ def blocks(html: str) -> list[Block]:
                         del stack[i:]
                         break
             continue
+        if tag not in HEAD:
+            head = False
         if tag in RAW or tag == "title":
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             if not m[0].endswith("/>"):
@@ -119,12 +126,10 @@ def blocks(html: str) -> list[Block]:
             state[2] = 1
             continue
         if tag == "head":
-            head = True
+            head = True if head is None else head
             continue
         if tag in INLINE:
             continue
-        if tag == "body":
-            head = False
         flush()
         if stack and stack[-1][0] == "p":
             stack.pop()

@@ -46,7 +46,7 @@ def text_features(b: Block, place: float, count: int) -> list[str]:
         f"linked:{_bucket(density, (0.01, 0.2, 0.5, 0.9))}",
         f"end:{last if last in '.!?:;,' else 'letter' if last.isalnum() else 'other'}",
         f"sign:{'©' in text}",
-        f"digits:{_bucket(sum(map(str.isdigit, text[:200])) / min(size, 200), (0.01, 0.1, 0.3))}",
+        f"digits:{_bucket(sum(map(str.isdigit, text)) / size, (0.01, 0.1, 0.3))}",
         f"place:{_bucket(place, (0.05, 0.25, 0.75, 0.95))}",
         f"blocks:{_bucket(count, (3, 8, 20, 60))}",
     ]
