@@ -1,4 +1,4 @@
-"""State-machine scans: zigzag waves, simulated execution, fixed-hold backtest."""
+"""State-machine scans: zigzag waves, simulated execution."""
 
 from __future__ import annotations
 
