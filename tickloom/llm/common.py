@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own
-    where the session names none (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session
+    names none, a local session gets a folder of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tickloom-"))
     return found.rstrip("/")
@@ -42,13 +45,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tickloom_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables, once what was made of them is written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._tickloom_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Texts can be long: Arrow batches hold at most this many rows, so that a Python
-    worker holds a few MB of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Texts can be long: an Arrow batch ends at so many bytes (a longer text is a batch by
+    itself), so that a Python worker holds a few MB of text at a time. A session setting, as
+    Spark reads it when the job runs; one that the session has set itself stays."""
+    if spark.conf.get(_BYTES, None) in (None, "-1", "268435456", "256MB"):
+        spark.conf.set(_BYTES, "4MB")
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -64,15 +78,15 @@ def remainder(doc_id: Column, base: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % base
 
 
-def sample(docs: DataFrame, labels: DataFrame, mark: str, usable: Column, most: dict[int, int], chars: int) -> list[tuple[int, str]]:
+def sample(docs: DataFrame, labels: DataFrame, mark: str, usable: Column, most: dict[int, int]) -> list[tuple[int, str]]:
     """(label, text) of labelled rows to fit on: for each label at most `most` of the usable
-    ids, those of least hash, and of these the whole texts of at most `chars` characters. One scan
-    of `docs` against a broadcast of at most sum(most) ids."""
+    ids, those of least hash, with their whole texts of any length. One scan of `docs` against
+    a broadcast of at most sum(most) ids."""
     ids = None
     for side, n in most.items():
         of = labels.where((F.col(mark) == side) & usable).select("doc_id").dropDuplicates()
         of = of.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(n).withColumn("_side", F.lit(side))
         ids = of if ids is None else ids.unionByName(of)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "_side", "text").collect()
     return [(r["_side"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["_side"], r["text"]))]

@@ -14,8 +14,8 @@ from .common import remainder, sample, table, text_batches
 
 #: The fit takes at most so many toxic rows and twice as many others, those of least hash.
 SAMPLE_ROWS = 800
-#: The fit takes whole texts of at most so many characters (scores take every text).
-SAMPLE_CHARS = 20_000
+#: Words of other texts that a round of the fit takes: those scored highest, and random ones.
+HARD_WORDS, RANDOM_WORDS = 2500, 2500
 #: Landmarks of the Nystroem map at most.
 LANDMARKS = 192
 #: Decay of the kernel for each character that a subsequence spans, and the widest span.
@@ -163,12 +163,13 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.curve[0] * value + self.curve[1], -30, 30))))
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 6) -> ToxicityModel:
+def train(texts: list[str], toxic: list[int], rounds: int = 6, hard_words: int = HARD_WORDS, random_words: int = RANDOM_WORDS) -> ToxicityModel:
     """Multiple-instance fit: a toxic text holds at least one toxic word, others none.
 
     Each round fits the SVM on the witness words of toxic texts (first those whose
     subsequences are significantly more frequent in toxic texts, then those that the last
-    round scores highest) against words of other texts, the hardest among them. Witness
+    round scores highest) against words of other texts: the `hard_words`
+    that score highest and `random_words` more, a bound on the fit's sample. Witness
     words and hardest others are the landmarks of the Nystroem map.
     """
     model, y = ToxicityModel(), np.array(toxic)
@@ -216,8 +217,8 @@ def train(texts: list[str], toxic: list[int], rounds: int = 6) -> ToxicityModel:
         good = np.array([i for i in witness if clean[i]], np.int64)
         if not len(good) or not len(negative):
             break
-        hard = negative[np.argsort(-value[negative] if r else -start[negative], kind="stable")[:2500]]
-        some = rng.choice(negative, min(2500, len(negative)), replace=False)
+        hard = negative[np.argsort(-value[negative] if r else -start[negative], kind="stable")[:hard_words]]
+        some = rng.choice(negative, min(random_words, len(negative)), replace=False)
         bad = np.unique(np.concatenate([hard, some]))
         marks = sorted(good, key=lambda i: (-witness[i], vocab[i]))[: LANDMARKS // 2] + list(hard[: LANDMARKS // 2])
         seen = np.concatenate([good, bad])
@@ -248,9 +249,9 @@ def _curve(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0: at most
-    `sample_rows` toxic and twice as many other rows, those of the least hash of the id
-    (of these, the texts of at most SAMPLE_CHARS characters)."""
-    got = sample(docs, labels, "toxic", (remainder(F.col("doc_id"), 5) != 0), {1: sample_rows, 0: 2 * sample_rows}, SAMPLE_CHARS)
+    `sample_rows` toxic and twice as many other rows, those of the least hash of the id, with their
+    whole texts of any length."""
+    got = sample(docs, labels, "toxic", (remainder(F.col("doc_id"), 5) != 0), {1: sample_rows, 0: 2 * sample_rows})
     return train([t for _, t in got], [s for s, _ in got])
 
 

@@ -12,8 +12,6 @@ from .common import remainder, sample, table, text_batches, utf8
 
 #: The fit takes at most so many labelled rows of each label, those of the least hash.
 SAMPLE_ROWS = 1500
-#: The fit takes whole texts of at most so many characters (scores take every text).
-SAMPLE_CHARS = 20_000
 DICT_BYTES = 64 << 10
 #: Each chunk is compressed by itself, so that a long text's own history doesn't replace
 #: the dictionary.
@@ -35,7 +33,7 @@ class QualityModel:
         try:
             return zstandard.train_dictionary(min(DICT_BYTES, max(1024, held // 8)), chunks).as_bytes()
         except zstandard.ZstdError:  # too little text: its own bytes serve as a raw dictionary
-            return b"".join(chunks)[-DICT_BYTES:] or (b"good text", b"bad text")[side]
+            return b"".join(chunks) or (b"good text", b"bad text")[side]
 
     def __getstate__(self):
         return {**self.__dict__, "_zip": None}
@@ -82,9 +80,10 @@ class QualityModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Fits on labelled rows whose crc32(doc_id as text) mod 4 is not 2: at most
-    `sample_rows` of each label, those of the least hash of the id (of these, the texts of at
-    most SAMPLE_CHARS characters), a documented bound that lets the driver hold them. Two thirds make the dictionaries, the rest the curve."""
-    got = sample(docs, labels, "quality", remainder(F.col("doc_id"), 4) != 2, {0: sample_rows, 1: sample_rows}, SAMPLE_CHARS)
+    `sample_rows` of each label, those of the least hash of the id, with their whole texts: a documented
+    bound that lets the driver hold them. Two thirds make the dictionaries, the rest the
+    curve."""
+    got = sample(docs, labels, "quality", remainder(F.col("doc_id"), 4) != 2, {0: sample_rows, 1: sample_rows})
     sides = {side: [t.encode() for s, t in got if s == side] for side in (0, 1)}
     parts = {s: ([t for i, t in enumerate(v) if i % 3], [t for i, t in enumerate(v) if i % 3 == 0]) for s, v in sides.items()}
     model = QualityModel(parts[1][0], parts[0][0])
