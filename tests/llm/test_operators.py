@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tickloom.llm import html_blocks, op1_html, op3_suffix_dedup, op4_mix, op5_ann, op6_quality, op7_simhash, op8_decontaminate, op9_tokens, op10_toxicity
@@ -158,16 +160,34 @@ def test_op7(spark):
     assert [got[i]["component_id"] for i in range(len(fps))] == root
     assert [got[i]["fp"] % 2**64 for i in range(len(fps))] == fps and fps[0] == 0
     kept = op7_simhash.simhash_dedup(docs_of(spark, [*texts, "z", "z"], [*range(len(texts)), None, 5]))
-    assert kept.where("doc_id is null").count() == 1 and kept.columns == docs_of(spark, ["a"]).columns
+    assert kept.where("doc_id is null").count() == 0 and kept.where("text = 'z'").count() == 1 and kept.columns == docs_of(spark, ["a"]).columns
+    far = ["alpha beta gamma delta", "one two three four five", "red green blue"]
+    assert op7_simhash.simhash_dedup(docs_of(spark, far, [1, 1, 2])).count() == 3
+    assert op7_simhash.simhash_dedup(docs_of(spark, far[:1] * 4, [1, 1, None, None])).count() == 1
     assert op7_simhash.simhash_groups(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_links_and_components(spark):
+def plain_fingerprint(text):
+    """The SimHash by its definition, one bit and one shingle at a time."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_by_definition(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + ODD + ["A\x0bB\x0cC d", "é É Ü", "a\xa0b c d"]
+    assert [op7_simhash.fingerprint((t or "").encode()) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+@pytest.mark.parametrize("crowded", [64, 3, 0])
+def test_links_and_components(spark, crowded):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(12)]
     fps = sorted({b ^ m for b in base for m in [0, *(1 << r.randrange(64) | 1 << r.randrange(64) for _ in range(6))]})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = op7_simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    edges = op7_simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), crowded=crowded)
     got = {x["node"]: x["root"] for x in connected_components(edges).collect()}
     root = {f: f for f in signed}
     for _ in signed:
@@ -213,6 +233,24 @@ def test_op9(spark):
     assert op9_tokens.token_table(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_op9_pieces_against_the_library(monkeypatch):
+    r, e = random.Random(5), op9_tokens.Encoder(op9_tokens.default_tokenizer())
+    marks = [*"ab Z19'sdmtlvre \n\t  é\x85\xa0ß.,!-_²½'' \x1c\x1fÀ", "'ll", "'ve", "'re", " '", "  ", "\r\n", "漢", "<|endoftext|>"]
+    texts = ["".join(r.choices(marks, [9] * (len(marks) - 2) + [1, 1], k=r.randint(0, 60))) for _ in range(4000)]
+    want = [np.array(x.ids, e.kind).tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for size in (4 << 20, 40):
+        monkeypatch.setattr(op9_tokens, "SLICE_BYTES", size)
+        assert [v for i in range(0, len(texts), 50) for v in e.encode([t.encode() for t in texts[i : i + 50]])] == want
+    monkeypatch.setattr(op9_tokens, "REMEMBERED", 100)
+    assert e.encode([t.encode() for t in texts[:500]]) == want[:500]
+
+
+def test_op9_repeated_ids(spark, tmp_path):
+    got = op9_tokens.token_table(docs_of(spark, ["a b", "c", "a b", "d e f"], [3, 3, 3, 1])).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3, 3, 3] and sorted(r["start"] for r in got)[0] == 0
+    assert sum(r["n_tokens"] for r in got) == max(r["start"] + r["n_tokens"] for r in got)
+
+
 def test_sstable(tmp_path):
     from tickloom.llm.sstable import Reader, Writer
 
