@@ -96,13 +96,45 @@ def test_op4(spark):
         assert abs(taken - rows[0]["target"]) <= min(skipped) / 2 + 1 and all(0 <= x["copies"] <= 3 and len(x["shards"]) == x["copies"] for x in rows)
     assert op4_mix.share_out([1, 2, 3], [100, 100, 100]) == pytest.approx([50, 100, 150])
     assert op4_mix.share_out([1, 2, 3], [10, 10, 400]) == pytest.approx([30, 30, 360])
-    leaves = op4_mix.split_quotas([10, 0, 7], 5, 3)
-    assert leaves.sum(0).tolist() == [10, 0, 7] and leaves.sum(1).max() - leaves.sum(1).min() <= 1
-    mixed = op4_mix.mix(docs_of(spark, texts, sources=sources).drop("_shard"), shards=4)
-    assert mixed.count() == sum(x["copies"] * x["n_rows"] for x in plan)
+    mixed = op4_mix.mix(docs_of(spark, texts, sources=sources), shards=4).collect()
+    assert len(mixed) == sum(x["copies"] * x["n_rows"] for x in plan) and {x["_shard"] for x in mixed} == {0, 1, 2, 3}
+    assert op4_mix.mix(docs_of(spark, ["a"]).limit(0)).count() == 0
     assert op4_mix.mix_plan(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 7, 3000])
+def test_op4_tree(spark, shards):
+    """Units are drawn once each; every shard has its exact share; reruns agree."""
+    quotas = [1000, 0, 1, 350]
+    rows = op4_mix.tree_leaves(spark, quotas, shards, 3).collect()
+    drawn = Counter((r["k"], u) for r in rows for u in range(r["lo"], r["hi"]))
+    assert drawn == Counter({(k, u): 1 for k, q in enumerate(quotas) for u in range(q)})
+    size = Counter()
+    for r in rows:
+        size[r["shard"]] += r["hi"] - r["lo"]
+    assert max(size.values()) - min(size.get(i, 0) for i in range(shards)) <= 2
+    assert sorted(rows) == sorted(op4_mix.tree_leaves(spark, quotas, shards, 3).collect())
+
+
+def test_op4_draws_make_what_is_taken(spark, monkeypatch):
+    """Small blocks, a hot source, repeated ids and rows: shards of the written mix against the plan."""
+    monkeypatch.setattr(op4_mix, "BLOCK_DOCS", 8)
+    r = random.Random(6)
+    texts = ["w " * r.randint(0, 40) for _ in range(400)]
+    ids = [5 if i % 10 == 0 else i for i in range(400)]
+    docs = docs_of(spark, texts, ids, ["hot" if i % 3 else r.choice(["b", "c", None]) for i in range(400)])
+    plan = op4_mix.mix_plan(docs, shards=9).collect()
+    mixed = Counter((x["doc_id"], x["source"], len(x["text"].split()), x["_shard"]) for x in op4_mix.mix(docs, shards=9).collect())
+    want = Counter()
+    for x in plan:
+        for s in x["shards"]:
+            want[x["doc_id"], x["source"], x["size"], s] += x["n_rows"]
+    assert mixed == want and sum(x["n_rows"] for x in plan) == 400
+    for s in {x["source"] for x in plan}:
+        rows = [x for x in plan if x["source"] == s]
+        assert abs(sum(x["size"] * x["copies"] * x["n_rows"] for x in rows) - rows[0]["target"]) <= 40
+
+
 def test_op5(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16)).astype(np.float32)

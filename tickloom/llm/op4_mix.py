@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -40,126 +40,187 @@ def share_out(weights: list[float], sizes: list[int], cap: float = 3.0) -> list[
     return out
 
 
-def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """(shards, sources) exact block quotas: at each node of a binary tree, how many of each
-    source's blocks go left is one multivariate hypergeometric draw."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-    nodes = [(0, shards, np.array(quotas, np.int64))]
-    while nodes:
-        lo, hi, q = nodes.pop()
-        if hi - lo == 1:
-            out[lo] = q
-            continue
-        mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(q, int(q.sum()) * (mid - lo) // (hi - lo), method="marginals") if q.sum() else q
-        nodes += [(lo, mid, left), (mid, hi, q - left)]
-    return out
+def _split(lo: int, hi: int, counts: np.ndarray, seed: int) -> tuple[int, np.ndarray]:
+    """Where a node's shards part, and how many of each source's units go left: one
+    multivariate hypergeometric draw, seeded by the node."""
+    mid, rng = (lo + hi) // 2, np.random.default_rng([seed, lo, hi])
+    total = int(counts.sum())
+    return mid, rng.multivariate_hypergeometric(counts, total * (mid - lo) // (hi - lo), method="marginals") if total else counts
+
+
+def _grow(node: tuple, seed: int, enough: int | None = None) -> list[tuple]:
+    """Splits nodes (lo, hi, sources, starts, counts) down to single shards, or until there
+    are `enough` entries. A child's units are a part of its parent's range of each source's
+    units, so that those of different leaves are disjoint."""
+    done, open_ = [], [node]
+    while open_ and (enough is None or sum(len(n[2]) for n in done + open_) < enough):
+        after = []
+        for lo, hi, src, start, count in open_:
+            if hi - lo == 1:
+                done.append((lo, hi, src, start, count))
+                continue
+            mid, left = _split(lo, hi, count, seed)
+            for low, high, first, n in ((lo, mid, start, left), (mid, hi, start + left, count - left)):
+                on = n > 0
+                after.append((low, high, src[on], first[on], n[on]))
+        open_ = after
+    return done + open_
+
+
+def tree_leaves(spark: SparkSession, quotas: list[int], shards: int, seed: int) -> DataFrame:
+    """(shard int, k int, lo long, hi long): the units lo..hi - 1 of source k that a shard
+    draws. The tree's top is split on the driver until it has some thousand entries; below,
+    each node is one task's work, which holds no more than its own units."""
+    src = np.arange(len(quotas))
+    top = _grow((0, shards, src, np.zeros(len(src), np.int64), np.array(quotas, np.int64)), seed, max(4096, 2 * len(src)))
+    rows = [(int(lo), int(hi), int(k), int(a), int(n)) for lo, hi, ks, starts, counts in top for k, a, n in zip(ks, starts, counts, strict=True) if n]
+    nodes = spark.createDataFrame(rows, "node int, stop int, k int, start long, n long")
+
+    def below(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        found = _grow((int(key[0]), int(key[1]), pdf["k"].to_numpy(), pdf["start"].to_numpy(), pdf["n"].to_numpy()), seed)
+        parts = [pd.DataFrame({"shard": lo, "k": ks, "lo": a, "hi": a + n}) for lo, _, ks, a, n in found]
+        return pd.concat(parts) if parts else pd.DataFrame({"shard": [], "k": [], "lo": [], "hi": []})
+
+    leaves = nodes.where("stop - node = 1").select(F.col("node").alias("shard"), "k", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
+    if all(r[1] - r[0] == 1 for r in rows):
+        return leaves
+    return leaves.unionByName(nodes.where("stop - node > 1").groupBy("node", "stop").applyInPandas(below, "shard int, k int, lo long, hi long"))
 
 
 def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Takes documents of the block in permuted order while they fit what is left; the
-    last that doesn't fit is taken too if that comes nearer."""
-    pdf = pdf.sort_values(["_o", "doc_id"], kind="stable")
+    """Takes documents of the border block in permuted order while they fit what is left;
+    the smallest that doesn't fit is taken too if that comes nearer."""
+    pdf = pdf.sort_values(["_o", "doc_id", "size"], kind="stable")
     left, take, spare = float(pdf["_left"].iloc[0]), [], None
     for i, words in enumerate(pdf["_words"]):
-        take.append(int(words <= left))
+        take.append(words <= left)
         if words <= left:
             left -= words
         elif spare is None or words < spare[0]:
             spare = (words, i)
     if spare and spare[0] - left < left:
-        take[spare[1]] = 1
-    return pdf.assign(_extra=take)[["doc_id", "source", "size", "_extra"]]
-
-
-def mix_plan(docs: DataFrame, weights: Callable[[list], list[float]] = cycle_weights, cap: int = 3, shards: int | None = None, seed: int = 11) -> DataFrame:
-    """What the mix takes of each document.
+        take[spare[1]] = True
+    return pdf[take][["_k", "doc_id", "size"]]
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast, where the rows (some hundred bytes each) are few."""
+    return F.broadcast(df) if rows <= 50_000 else df
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+class Mix:
+    """What each output shard draws: the recipe by source, each block's draws, and the
+    documents that the owner of a source's border block takes."""
+
+    def __init__(self, docs: DataFrame, weights: Callable[[list], list[float]] = cycle_weights, cap: int = 3, shards: int | None = None, seed: int = 11):
+        spark, self.seed = docs.sparkSession, seed
+        rows = docs.select("doc_id", "source", _size().alias("size"))
+        self.keyed = written(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")), "mix-sizes")
+        recipe = self.keyed.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("w"), F.count(F.lit(1)).alias("n")).collect()
+        recipe.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+        sizes = [int(r["w"]) for r in recipe]
+        targets, plan = share_out(weights([r["source"] for r in recipe]), sizes, cap), []
+        for k, (r, w, t) in enumerate(zip(recipe, sizes, targets, strict=True)):
+            full = min(cap, int(t // w)) if w else 1
+            rest = max(0.0, float(t - full * w)) if full < cap and w else 0.0
+            plan.append((k, r["source"], w, float(t), full, rest, max(1, -(-int(r["n"]) // BLOCK_DOCS))))
+        self.recipe = _small(spark.createDataFrame(plan, "_k int, _s string, source_size long, target double, _full int, _rest double, _nb int"), len(plan))
+        words = F.col("size") * F.col("n_rows")
+        blocks = self.place(self.keyed).groupBy("_k", "_b", "_full", "_rest").agg(F.sum(words).alias("_w"))
+        order = Window.partitionBy("_k").orderBy(F.xxhash64(F.lit(seed + 1), "_k", "_b"), "_b")
+        blocks = blocks.withColumn("_rank", (F.row_number().over(order) - 1).cast("long")).withColumn("_to", F.sum("_w").over(order))
+        # 2: the last, partial copy takes the block; 1: its border runs through it; 0: it stays out.
+        state = F.when(F.col("_rest") <= 0, 0).when(F.col("_to") <= F.col("_rest"), 2).when(F.col("_to") - F.col("_w") < F.col("_rest"), 1).otherwise(0)
+        blocks = written(blocks.withColumn("_state", state).withColumn("_left", F.col("_rest") - F.col("_to") + F.col("_w")), "mix-blocks")
+        quota = {r["_k"]: r for r in blocks.groupBy("_k").agg(F.sum(F.col("_full") + (F.col("_state") > 0).cast("int")).alias("q"), F.count(F.lit(1)).alias("n")).collect()}
+        n = shards or max(1, -(-sum(sizes) // SHARD_WORDS))
+        leaves = tree_leaves(spark, [int(quota[k]["q"]) if k in quota else 0 for k in range(len(plan))], n, seed)
+        counts = _small(spark.createDataFrame([(k, int(r["n"])) for k, r in quota.items()], "k int, blocks long"), len(quota))
+        # Unit u of a source is its block of rank u mod blocks, in copy u div blocks.
+        units = leaves.join(counts, "k").select(F.col("k").alias("_k"), "shard", "blocks", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("u"))
+        units = units.select("_k", "shard", (F.col("u") % F.col("blocks")).alias("_rank"), F.expr("cast(u div blocks as int)").alias("copy"))
+        drawn = blocks.join(units, ["_k", "_rank"])
+        border = (F.col("copy") == F.col("_full")) & (F.col("_state") == 1)
+        drawn = drawn.groupBy("_k", "_b").agg(F.array_sort(F.collect_list(F.struct("copy", "shard", border.alias("border")))).alias("_draws"))
+        self.draws = written(drawn, "mix-draws")
+        self.n_blocks = sum(int(r["n"]) for r in quota.values())
+        edge = _small(blocks.where("_state = 1").select("_k", "_b", "_left"), len(plan))
+        edge = self.place(self.keyed).join(edge, ["_k", "_b"]).select("_k", "_b", "doc_id", "size", words.alias("_words"), "_left", F.xxhash64(F.lit(seed + 2), "doc_id", "size").alias("_o"))
+        kind = self.keyed.schema["doc_id"].dataType.simpleString()
+        self.chosen = written(edge.groupBy("_k", "_b").applyInPandas(_first_fit, f"_k int, doc_id {kind}, size long"), "mix-border")
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """Adds source number and block, and the source's recipe. A block is a hash of id and
+        size, so that a repeated id spreads over blocks."""
+        rows = rows.join(self.recipe, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        return rows.withColumn("_b", F.pmod(F.xxhash64(F.lit(self.seed), "doc_id", "size"), F.col("_nb")).cast("int"))
+
+    def draw(self, rows: DataFrame) -> DataFrame:
+        """Placed rows with their _draws: array of (copy, shard, border), empty if none."""
+        chosen = self.chosen.select(F.col("_k").alias("_ck"), F.col("doc_id").alias("_ci"), F.col("size").alias("_cs"), F.lit(True).alias("_taken"))
+        on = (F.col("_k") == F.col("_ck")) & F.col("doc_id").eqNullSafe(F.col("_ci")) & (F.col("size") == F.col("_cs"))
+        rows = rows.join(_small(self.draws, self.n_blocks), ["_k", "_b"], "left").join(chosen, on, "left")
+        mine = F.filter("_draws", lambda d: ~d["border"] | F.col("_taken").isNotNull())
+        return rows.withColumn("_draws", F.when(F.col("_draws").isNotNull(), mine).otherwise(F.array().cast("array<struct<copy:int,shard:int,border:boolean>>"))).drop("_ck", "_ci", "_cs", "_taken")
+
+
+def mix_plan(docs: DataFrame, **options) -> DataFrame:
+    """What the mix draws of each document.
 
     Returns doc_id, source, size long (words; null text: 0), n_rows long (rows with these
-    three values alike: they count as one unit), source_size long, target double, copies
-    int, shards array<int> (the output shard of each copy). One row for each distinct
-    (doc_id, source, size). Nulls in doc_id or source are values of their own (null source:
-    last). Documents without words fit any quota. An empty table gives an empty result.
+    three values alike: they count as one unit), source_size long, target double, copies int
+    (draws over all shards), shards array<int> (the shard of each draw). One row for each
+    distinct (doc_id, source, size). Nulls in doc_id or source are values of their own (null
+    source: last). Documents without words fit any quota. An empty table gives an empty
+    result.
 
     A source's documents fall into hashed blocks of about BLOCK_DOCS documents, which a
-    seeded hash permutes. Whole copies of the source come first; of the last, partial one,
-    the mix takes blocks in permuted order, and documents of the block at the border by
-    first fit. Blocks are the units of the splitting tree, which gives each output shard
-    its exact quota of every source; a shard's units are a disjoint range of the permuted
-    ones. The recipe (one row a source: size, target, quotas) passes through the driver;
-    documents and blocks don't. No task gathers more than a block or a source's blocks.
+    seeded hash permutes. Its units are whole copies of all its blocks, then the blocks of
+    one more, partial copy as far as its target goes. The splitting tree gives each shard
+    its exact quota of every source's units, and the shard draws that many of the permuted
+    ones, none drawn twice; of the block at the border, the shard that owns it takes
+    documents by first fit. Through the driver pass one row a source (size, target, quota)
+    and the top of the tree; documents, blocks and leaves don't. No task gathers more than a
+    block's documents, a source's blocks or a node's units.
     """
-    spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"))
-    keyed = written(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")), "mix-sizes")
-    recipe = keyed.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("w"), F.count(F.lit(1)).alias("n")).collect()
-    recipe.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [int(r["w"]) for r in recipe]
-    targets = share_out(weights([r["source"] for r in recipe]), sizes, cap)
-    plan, schema = [], "source string, source_size long, target double, _full int, _rest double, _blocks int"
-    for r, w, t in zip(recipe, sizes, targets, strict=True):
-        full = min(cap, int(t // w)) if w else 1
-        plan.append((r["source"], w, float(t), full, max(0.0, float(t - full * w)) if full < cap and w else 0.0, -(-int(r["n"]) // BLOCK_DOCS)))
-    if not plan:
-        return keyed.select("doc_id", "source", "size", "n_rows", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"), F.array().cast("array<int>").alias("shards"))
-
-    def with_recipe(df: DataFrame, values: list[tuple], kind: str) -> DataFrame:
-        small = spark.createDataFrame(values, kind.replace("source ", "_s ", 1))
-        small = F.broadcast(small) if len(values) <= 100_000 else small
-        return df.join(small, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-
-    placed = with_recipe(keyed, plan, schema).withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_blocks")).cast("int"))
-    words = F.col("size") * F.col("n_rows")
-    blocks = placed.groupBy("source", "_b", "_full", "_rest", "_blocks").agg(F.sum(words).alias("_w"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "_b"), "_b")
-    blocks = blocks.withColumn("_rank", F.row_number().over(order) - 1).withColumn("_to", F.sum("_w").over(order))
-    # 2: the last copy takes the block; 1: the border runs through it; 0: it stays out.
-    state = F.when(F.col("_rest") <= 0, 0).when(F.col("_to") <= F.col("_rest"), 2).when(F.col("_to") - F.col("_w") < F.col("_rest"), 1).otherwise(0)
-    blocks = written(blocks.withColumn("_state", state).withColumn("_left", F.col("_rest") - F.col("_to") + F.col("_w")), "mix-blocks")
-    quota = {r["source"]: int(r["q"]) for r in blocks.groupBy("source").agg(F.sum(F.col("_full") + (F.col("_state") > 0).cast("int")).alias("q")).collect()}
-    n = shards or max(1, -(-sum(sizes) // SHARD_WORDS))
-    leaves = split_quotas([quota.get(r["source"], 0) for r in recipe], n, seed)
-    bounds = np.cumsum(leaves, axis=0)
-    blocks = with_recipe(blocks, [(r["source"], bounds[:, i].tolist()) for i, r in enumerate(recipe)], "source string, _bounds array<long>")
-    unit = lambda p: F.size(F.filter("_bounds", lambda x: x <= p * F.col("_blocks") + F.col("_rank")))
-    shard = F.when(F.col("_full") + F.col("_state") > 0, F.transform(F.sequence(F.lit(0), F.col("_full") + (F.col("_state") > 0).cast("int") - 1), unit))
-    blocks = blocks.select("source", "_b", "_state", "_left", F.coalesce(shard, F.array().cast("array<int>")).alias("_shards"))
-    right = blocks.select(F.col("source").alias("_s"), F.col("_b").alias("_c"), "_state", "_left", "_shards")
-    placed = placed.join(right, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c"))).drop("_s", "_c")
-    border = placed.where("_state = 1").select("doc_id", "source", "size", words.alias("_words"), "_left", F.xxhash64(F.lit(seed + 2), "doc_id", "size").alias("_o"), "_b")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[:3])
-    fitted = border.groupBy("source", "_b").applyInPandas(_first_fit, f"{kinds}, _extra int")
-    inner = placed.where("_state <> 1").withColumn("_extra", (F.col("_state") == 2).cast("int"))
-    edge = _joined(placed.where("_state = 1"), fitted)
-    out = inner.unionByName(edge).withColumn("copies", F.col("_full") + F.col("_extra"))
-    return out.select("doc_id", "source", "size", "n_rows", "source_size", "target", "copies", F.slice("_shards", F.lit(1), F.col("copies")).alias("shards"))
-
-
-def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    names = ["doc_id", "source", "size"]
-    right = right.select(*[F.col(n).alias(f"_r_{n}") for n in names], "_extra")
-    on = F.lit(True)
-    for n in names:
-        on = on & F.col(n).eqNullSafe(F.col(f"_r_{n}"))
-    return left.join(right, on).drop(*[f"_r_{n}" for n in names])
-
-
-def mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
-    """The mixed documents: each row of `docs` once for each copy that the mix takes, with
-    _shard int and _order long; write with repartitionByRange on both, or partition by
-    _shard and sort by _order, to get shards that are shuffled locally."""
-    plan = mix_plan(docs, seed=seed, **options)
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    plan = written(plan.where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "shards"), "mix-plan")
-    on = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (size == F.col("_z"))
-    out = docs.join(plan.hint("merge"), on).select(*[docs[c] for c in docs.columns], F.posexplode("shards").alias("_copy", "_shard"))
-    return out.withColumn("_order", F.xxhash64(F.lit(seed + 3), "_copy", "doc_id")).drop("_copy")
+    if docs.isEmpty():
+        schema = "long size, long n_rows, long source_size, double target, int copies, array<int> shards"
+        kinds = [x.split() for x in schema.split(", ")]
+        return docs.select("doc_id", "source", *[F.lit(None).cast(t).alias(n) for t, n in kinds]).limit(0)
+    m = Mix(docs, **options)
+    drawn = m.draw(m.place(m.keyed))
+    return drawn.select("doc_id", "source", "size", "n_rows", "source_size", "target", F.size("_draws").alias("copies"), F.transform("_draws", lambda d: d["shard"]).alias("shards"))
+
+
+def mix(docs: DataFrame, seed: int = 11, sort: bool = True, **options) -> DataFrame:
+    """The mixed documents: each row of `docs` once for each draw, with _shard int and
+    _order long (columns of `docs` with these names are replaced; other names don't matter,
+    as rows travel as one struct). sort: shards lie together, each shuffled locally by a
+    seeded hash, so that writing the result writes the shards. Nulls, repeats and empty
+    tables as in mix_plan."""
+    columns = [c for c in docs.columns if c not in ("_shard", "_order")]
+    names = [F.col(f"_row.`{c}`").alias(c) for c in columns]
+    if docs.isEmpty():
+        return docs.select(*columns, F.lit(0).alias("_shard"), F.lit(0).cast("long").alias("_order"))
+    m = Mix(docs, seed=seed, **options)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "source", _size().alias("size"))
+    drawn = m.draw(m.place(packed)).select("_row", "doc_id", "size", F.explode("_draws").alias("_d"))
+    order = F.xxhash64(F.lit(seed + 3), F.col("_d.copy"), "doc_id", "size")
+    out = drawn.select("_row", F.col("_d.shard").alias("_shard"), order.alias("_order"))
+    if sort:
+        out = out.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order")
+    return out.select(*names, "_shard", "_order")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mix_plan over all of `documents`: weights 1, 2, 3, at most three copies."""
+    """mix_plan over all of `documents`: weights 1, 2, 3, at most three copies. `taken` counts
+    the draws; shards has the shard of each."""
     plan = mix_plan(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
-    return plan.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows")))).select("doc_id", "size", "source_size", "target", taken)
+    rows = plan.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    return rows.select("doc_id", "size", "source_size", "target", taken, "shards")
