@@ -40,6 +40,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shards lie together in the written table, each shuffled locally."""
     return mix(docs.select(COLUMNS)).select(COLUMNS)
 
 
