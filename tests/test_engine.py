@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar
-from tickloom.operators import bars, joins, recurrence, scans, splits, stats
+from tickloom.operators import bars, joins, labels, recurrence, scans, splits, stats, windows
 from tickloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -24,12 +24,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["bars_absorption", "rolling_stats", "swing_events", "ema", "triple_barrier", "grid_fill", "cpcv_sizes", "return_summary", "concurrency"])
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_against_sql(spark, duck, name):
     got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.execute(registry.SQL[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    flat = lambda d: sorted(map(tuple, d[cols].astype(str).to_numpy()))
+    flat = lambda d: sorted(map(tuple, d[cols].astype(object).where(d[cols].notna(), None).map(lambda v: str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)).to_numpy()))
     assert flat(got) == flat(want)
 
 
@@ -70,18 +70,55 @@ def test_affine_scan_over_chunks(spark, monkeypatch):
 
 
 def test_range_bars_step():
+    """Worked by hand: the range is high less low, the close no further than it from the open."""
     at, s = dt.datetime(2024, 1, 1), bars.RangeBarState(10.0)
-    out = [s.step(at + dt.timedelta(seconds=i), p, 1.0, 1.0) for i, p in enumerate((100, 105, 111, 0, 99, 120))]
+    out = [s.step(at + dt.timedelta(seconds=i), p, 1.0, 1.0) for i, p in enumerate((100, 106, 95, 0, 99, 120))]
     done = [b for b in out if b]
-    assert [b[5] for b in done] == [110.0, 100.0, 110.0]
-    assert [b[2] for b in done] == [100, 110.0, 100.0]
-    assert done[-1][10] == sum(b[7] for b in done)
+    assert [b[2:6] for b in done] == [(100, 106, 95, 95), (95, 120, 95, 105)]
+    assert [b[6] for b in done] == [3, 2] and [b[9] for b in done] == [2.0, 3.0] and done[-1][10] == 5
 
 
 def test_execution_books_reversals(spark):
-    t = [dt.datetime(2024, 1, 1, h) for h in range(4)]
-    df = spark.createDataFrame([("s", t[0], 1.0, 10.0), ("s", t[1], -1.0, 12.0), ("s", t[2], 0.0, 9.0), ("s", t[3], 0.0, 5.0)], "symbol string, ts timestamp_ntz, target double, price double")
-    assert [r["realised"] for r in scans.execute(df).orderBy("ts").collect()] == [0.0, 2.0, 3.0, 0.0]
+    """By hand: the last fill is the entry, twice the cost a unit closed, capital 100."""
+    t = [dt.datetime(2024, 1, 1, h) for h in range(5)]
+    df = spark.createDataFrame([("s", t[i], float(q), float(p)) for i, (q, p) in enumerate([(1, 10), (2, 20), (1, 30), (-1, 28), (0, 9)])], "symbol string, ts timestamp_ntz, target double, price double")
+    got = scans.execute(df, 0.5, 2.0, 100.0).orderBy("ts").collect()
+    assert [r["realised"] for r in got] == [0.0, 0.0, 19.0, -5.0, 37.0] and got[-1]["equity"] == 151.0
+
+
+def bar_table(spark, rows):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("s", at + dt.timedelta(hours=i), *map(float, r)) for i, r in enumerate(rows)]
+    return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, delta double")
+
+
+def test_swing_events_by_hand(spark):
+    flat = [(10, 11, 9, 10, 5, 1)] * 6
+    last = [(10, 10, 8, 9.5, 5, 1), (9, 12, 9, 10, 5, -1), (10, 10.5, 9, 9.2, 50, 2), (9, 11, 9, 10.9, 400, -3), (10, 10, 8, 9.5, 5, -1)]
+    got = windows.swing_events(bar_table(spark, flat + last), 3).orderBy("ts").select("spring", "upthrust", "selling_climax", "buying_climax").collect()
+    assert [tuple(r) for r in got[6:]] == [(1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (0, 0, 0, 0)] and not any(map(any, got[:6]))
+
+
+def test_kama_head_by_hand(spark):
+    df = bar_table(spark, [(c, c, c, c, 1, 0) for c in (10, 12, 11, 14)])
+    y, want, x = 10.0, [10.0], [10, 12, 11, 14]
+    for i in range(1, 4):
+        part = x[max(0, i - 3) : i + 1]
+        er = abs(part[-1] - part[0]) / sum(abs(b - a) for a, b in zip(part, part[1:]))
+        y += (er * (2 / 3 - 2 / 31) + 2 / 31) ** 2 * (x[i] - y)
+        want.append(y)
+    assert [r["y"] for r in recurrence.kama(df, "close", 3, "y").orderBy("ts").collect()] == pytest.approx(want)
+    strict = [r["y"] for r in recurrence.kama(df, "close", 3, "y", strict=True).orderBy("ts").collect()]
+    assert strict[:3] == [None, None, 11.0] and strict[3] > 11
+
+
+def test_barriers_of_events_on_the_last_bar(spark):
+    b = bar_table(spark, [(10, 10.4, 9.8, 10, 1, 0), (10, 12.5, 9.9, 11, 1, 0), (11, 11, 11, 11, 1, 0)]).withColumn("atr", F.lit(1.0))
+    b = b.withColumn("bar_no", windows.position().cast("long"))
+    e = spark.createDataFrame([("s", 1, "a", 1), ("s", 3, "b", -1)], "symbol string, bar_no long, event_type string, side int")
+    got = labels.triple_barrier(b, e).orderBy("bar_no").collect()
+    assert [(r["label"], r["exit_bar"], r["exit_type"]) for r in got] == [(1, 2, "tp"), (0, 3, "vertical")]
+    assert got[0]["ret"] == pytest.approx(math.log(1.1)) and got[1]["ret"] == 0
 
 
 def test_splits_are_disjoint_and_cover(spark):
@@ -132,7 +169,7 @@ def test_scid_source(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     from tickloom.streaming.bars import stream_range_bars
 
-    t = bars.tick_rule(registry.ticks(spark, SF)).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", "price", "size", "side")
+    t = bars.tick_rule(registry.ticks(spark, SF)).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", "price", "size", "signed")
     t.coalesce(1).orderBy("ts", "seq").write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
     q = stream_range_bars(s, 100.0).writeStream.format("memory").queryName("bars").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()

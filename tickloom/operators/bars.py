@@ -17,10 +17,10 @@ def by_symbol() -> Window:
 
 def time_bars(ticks: DataFrame, every: str = "1 hour") -> DataFrame:
     """(symbol, ts, seq, price, size) -> OHLCV by time bucket, empty buckets left out, with
-    the running volume delta: sizes signed by `side` if the ticks have it, else by the sign
-    of the bar's body."""
+    the running volume delta: the sum of `signed` sizes if the ticks have them, else an
+    estimate from the close's place in the range."""
     order = F.struct("ts", "seq")
-    signed = F.sum(F.col("size") * F.col("side")) if "side" in ticks.columns else None
+    signed = F.sum("signed") if "signed" in ticks.columns else None
     bars = ticks.groupBy(KEY, F.window("ts", every).alias("w")).agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
@@ -41,11 +41,11 @@ def delta_estimate() -> Column:
 
 
 def tick_rule(ticks: DataFrame) -> DataFrame:
-    """side of each tick: the sign of its price change, the last one's where there is none,
-    0 at the start. Windows only."""
+    """signed size of each tick: its size with the sign of its price change; without a
+    change, the signed size of the tick before; 0 at the start. Windows only."""
     change = F.signum(F.col("price") - F.lag("price").over(by_symbol()))
-    marked = ticks.withColumn("_c", F.when(change != 0, change))
-    return marked.withColumn("side", F.coalesce(F.last("_c", ignorenulls=True).over(by_symbol()), F.lit(0.0)).cast("int")).drop("_c")
+    marked = ticks.withColumn("_c", F.when(change != 0, change * F.col("size")))
+    return marked.withColumn("signed", F.coalesce(F.last("_c", ignorenulls=True).over(by_symbol()), F.lit(0.0))).drop("_c")
 
 
 @dataclass
@@ -64,29 +64,23 @@ class RangeBarState:
     number: int = field(default=0)
 
     def step(self, ts, price: float, volume: float, delta: float) -> tuple | None:
-        """A finished bar or None. Ticks without price or volume are skipped; the close is
-        clamped to the bar's range, and the next bar opens there."""
+        """A finished bar or None: a bar ends once its high and low are `size` apart. Its
+        close is the price, but no further from the open than `size`; the next bar opens
+        there and then. Ticks without price or volume are skipped."""
         if not (price > 0 and volume > 0):
             return None
         if self.open is None:
-            self.open = self.high = self.low = price
-        if self.start is None:
-            self.start = ts
+            self.open, self.high, self.low, self.start = price, price, price, ts
         self.high, self.low = max(self.high, price), min(self.low, price)
-        self.volume += volume
-        self.delta += delta
-        self.trades += 1
-        up, down = self.high - self.open >= self.size, self.open - self.low >= self.size
-        if not up and not down:
+        self.volume, self.delta, self.trades = self.volume + volume, self.delta + delta, self.trades + 1
+        if self.high - self.low < self.size:
             return None
-        close = self.open + self.size if price >= self.open + self.size else self.open - self.size if price <= self.open - self.size else price
+        close = min(max(price, self.open - self.size), self.open + self.size)
         self.cvd += self.delta
         seconds = max(0.1, (ts - self.start).total_seconds())
-        bar = (self.number, ts, self.open, min(self.high, max(self.open, close, self.open + self.size)), max(self.low, min(self.open, close, self.open - self.size)), close, self.volume, self.delta, self.trades, seconds, self.cvd)
-        self.number += 1
+        bar = (self.number, ts, self.open, self.high, self.low, close, self.volume, self.delta, self.trades, seconds, self.cvd)
         self.open = self.high = self.low = close
-        self.volume = self.delta = 0.0
-        self.trades, self.start = 0, None
+        self.volume, self.delta, self.trades, self.start, self.number = 0.0, 0.0, 0, ts, self.number + 1
         return bar
 
 
@@ -95,17 +89,17 @@ BAR_SCHEMA = "symbol string, bar_no long, ts timestamp_ntz, open double, high do
 
 
 def range_bars(ticks: DataFrame, size: float) -> DataFrame:
-    """Range bars of (symbol, ts, seq, price, size, side): a bar ends when the price has
-    gone `size` from its open; the unfinished one is dropped. A state scan: one task holds a
+    """Range bars of (symbol, ts, seq, price, size, signed): a bar ends when its high and
+    low are `size` apart; the unfinished one is dropped. A state scan: one task holds a
     symbol's ticks, so that long histories need a session in the key."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         state, out = RangeBarState(size), []
         pdf = pdf.sort_values(SEQ)
-        for ts, p, v, s in zip(pdf["ts"], pdf["price"], pdf["size"], pdf["side"], strict=True):
-            bar = state.step(ts, p, v, v * s)
+        for ts, p, v, s in zip(pdf["ts"], pdf["price"], pdf["size"], pdf["signed"], strict=True):
+            bar = state.step(ts, p, v, s)
             if bar:
                 out.append((key[0], *bar))
         return pd.DataFrame(out, columns=[KEY, *BAR_COLUMNS])
 
-    return ticks.select(KEY, "ts", "seq", "price", "size", "side").groupBy(KEY).applyInPandas(run, BAR_SCHEMA)
+    return ticks.select(KEY, "ts", "seq", "price", "size", "signed").groupBy(KEY).applyInPandas(run, BAR_SCHEMA)

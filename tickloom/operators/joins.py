@@ -43,11 +43,11 @@ def uniqueness(intervals: DataFrame, start: str, end: str, key: str = "symbol")
 
 def grid_fill(bars: DataFrame, grid: DataFrame, key: str = "symbol", on: str = "ts") -> DataFrame:
     """Every symbol on every grid time: gaps take the last close on all of OHLC with volume
-    0, a leading gap the first one (0 if none). `grid` is one column of times; its size
+    0, a leading gap the first close there is (0 if none). `grid` is one column of times; its size
     times the symbols is the result's."""
     symbols = bars.select(key).distinct()
     full = grid.select(on).distinct().crossJoin(F.broadcast(symbols)).join(bars, [on, key], "left")
     w = Window.partitionBy(key).orderBy(on)
-    close = F.coalesce("close", F.last("close", ignorenulls=True).over(w), F.first("open", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
+    close = F.coalesce("close", F.last("close", ignorenulls=True).over(w), F.first("close", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
     full = full.withColumn("_c", close)
     return full.select(key, on, *[F.coalesce(c, F.col("_c")).alias(c) for c in ("open", "high", "low", "close")], F.coalesce("volume", F.lit(0.0)).alias("volume"))

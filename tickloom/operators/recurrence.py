@@ -47,16 +47,22 @@ def wilder(df: DataFrame, x: str, n: int, out: str, **kw) -> DataFrame:
     return ema(df, x, n, out, alpha=1 / n, **kw)
 
 
-def kama(df: DataFrame, x: str, n: int, out: str, fast: int = 2, slow: int = 30) -> DataFrame:
-    """Kaufman's adaptive mean seeded with the first value: the smoothing constant comes
-    from the efficiency ratio over n rows, 0 before there are n."""
+def kama(df: DataFrame, x: str, n: int, out: str, fast: int = 2, slow: int = 30, strict: bool = False) -> DataFrame:
+    """Kaufman's adaptive mean: y moves towards x by the square of a smoothing constant that
+    the efficiency ratio, net over summed moves of n rows, sets between slow and fast. It
+    starts from the first value with as many rows as there are; strict: it starts from row
+    n's value, null before."""
     w = Window.partitionBy("symbol").orderBy("ts")
     f, s = 2 / (fast + 1), 2 / (slow + 1)
-    df = df.withColumn("_d", F.abs(F.col(x) - F.lag(x).over(w)))
-    er = F.coalesce(F.try_divide(F.abs(F.col(x) - F.lag(x, n).over(w)), F.sum("_d").over(w.rowsBetween(-(n - 1), 0))), F.lit(0.0))
-    df = df.withColumn("_k", F.pow(er * (f - s) + s, 2)).withColumn("_n1", F.row_number().over(w))
-    df = df.withColumn("_a", F.when(F.col("_n1") == 1, 0.0).otherwise(1 - F.col("_k"))).withColumn("_b", F.when(F.col("_n1") == 1, F.col(x)).otherwise(F.col(x) * F.col("_k")))
-    return affine_scan(df.drop("_n1", "_d", "_k"), "_a", "_b", out).drop("_a", "_b")
+    i = F.row_number().over(w)
+    df = df.withColumn("_d", F.abs(F.col(x) - F.lag(x).over(w))).withColumn("_i", i)
+    net = F.abs(F.col(x) - F.first(x).over(w.rowsBetween(-n, 0)))
+    er = F.coalesce(F.try_divide(net, F.sum("_d").over(w.rowsBetween(-(n - 1), 0))), F.lit(0.0))
+    df = df.withColumn("_k", F.pow(er * (f - s) + s, 2))
+    seed = n if strict else 1
+    df = df.withColumn("_a", F.when(F.col("_i") <= seed, 0.0).otherwise(1 - F.col("_k"))).withColumn("_b", F.when(F.col("_i") <= seed, F.col(x)).otherwise(F.col(x) * F.col("_k")))
+    got = affine_scan(df.drop("_d", "_k"), "_a", "_b", out)
+    return got.withColumn(out, F.when(F.col("_i") >= seed, F.col(out))).drop("_a", "_b", "_i")
 
 
 def discounted_return(df: DataFrame, reward: str, undone: str, out: str, gamma: float = 0.99, key: str = "symbol", order: str = "ts") -> DataFrame:
@@ -65,9 +71,9 @@ def discounted_return(df: DataFrame, reward: str, undone: str, out: str, gamma:
     return affine_scan(df, "_a", "_b", out, key=key, order=order, descending=True).drop("_a", "_b")
 
 
-def advantage(df: DataFrame, reward: str, undone: str, value: str, out: str, gamma: float = 0.99, lam: float = 0.95, key: str = "symbol", order: str = "ts") -> DataFrame:
+def advantage(df: DataFrame, reward: str, undone: str, value: str, out: str, gamma: float = 0.99, lam: float = 0.95, key: str = "symbol", order: str = "ts", bootstrap: float = 0.0) -> DataFrame:
     """Generalised advantage: A[t] = d[t] + gamma lam undone[t] A[t+1], with
-    d[t] = r[t] + gamma undone[t] V[t+1] - V[t] and V beyond the end 0."""
-    after = F.coalesce(F.lead(value).over(Window.partitionBy(key).orderBy(order)), F.lit(0.0))
+    d[t] = r[t] + gamma undone[t] V[t+1] - V[t] and V beyond the end `bootstrap`."""
+    after = F.coalesce(F.lead(value).over(Window.partitionBy(key).orderBy(order)), F.lit(bootstrap))
     df = df.withColumn("_b", F.col(reward) + gamma * F.col(undone) * after - F.col(value)).withColumn("_a", F.lit(gamma * lam) * F.col(undone))
     return affine_scan(df, "_a", "_b", out, key=key, order=order, descending=True).drop("_a", "_b")

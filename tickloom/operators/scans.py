@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def zigzag_step(state: dict, i: int, close: float, points: float) -> None:
@@ -36,26 +37,17 @@ def waves(bars: DataFrame, points: float) -> DataFrame:
     return bars.groupBy("symbol").applyInPandas(run, f"{fields}, wave long, direction int")
 
 
-def execute(orders: DataFrame, cost: float = 0.0) -> DataFrame:
-    """(symbol, ts, target, price) -> position and realised profit: what is closed realises
-    against the average entry, a reversal closes all and opens the rest, `cost` a unit."""
-    schema = "symbol string, ts timestamp_ntz, target double, price double, position double, realised double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, held, entry, out, pos = pdf.sort_values("ts"), 0.0, 0.0, [], []
-        for target, price in zip(pdf["target"], pdf["price"], strict=True):
-            move, profit = target - held, 0.0
-            if held * move < 0:
-                closed = min(abs(move), abs(held))
-                profit = closed * (price - entry) * (1 if held > 0 else -1)
-                if abs(move) > abs(held):
-                    entry = price
-            elif move:
-                entry = (entry * abs(held) + price * abs(move)) / (abs(held) + abs(move))
-            profit -= cost * abs(move)
-            held = target
-            pos.append(held)
-            out.append(profit)
-        return pdf.assign(position=pos, realised=out)
-
-    return orders.select("symbol", "ts", "target", "price").groupBy("symbol").applyInPandas(run, schema)
+def execute(orders: DataFrame, cost: float = 0.0, multiplier: float = 1.0, capital: float = 0.0) -> DataFrame:
+    """(symbol, ts, target, price) -> position, realised profit and equity. What an order
+    closes realises against the last fill's price, times `multiplier`, less twice `cost` a
+    unit (the round trip); a reversal closes all first. Windows only: the entry price is that
+    of the last order that left a position."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    held = F.coalesce(F.lag("target").over(w), F.lit(0.0))
+    df = orders.select("symbol", "ts", "target", "price").withColumn("_h", held).withColumn("_q", F.col("target") - F.col("_h"))
+    fill = F.when((F.col("_q") != 0) & (F.col("target") != 0), F.col("price"))
+    df = df.withColumn("_e", F.last(fill, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    closed = F.when(F.col("_h") * F.col("_q") < 0, F.least(F.abs("_h"), F.abs("_q"))).otherwise(0.0)
+    profit = closed * (F.col("price") - F.col("_e")) * F.signum("_h") * multiplier - closed * cost * 2
+    df = df.withColumn("position", F.col("target")).withColumn("realised", F.coalesce(profit, F.lit(0.0)))
+    return df.withColumn("equity", F.lit(capital) + F.sum("realised").over(w)).drop("_h", "_q", "_e")

@@ -18,10 +18,10 @@ def metric_summary(df: DataFrame, x: str, group: str) -> DataFrame:
 
 
 def trade_summary(trades: DataFrame, pnl: str, group: str) -> DataFrame:
-    """Wins, losses, profit factor (null without losses) by group."""
+    """Wins, losses, profit factor (infinity without losses) by group."""
     p = F.col(pnl)
     win, loss = F.sum(F.greatest(p, F.lit(0.0))), -F.sum(F.least(p, F.lit(0.0)))
-    return trades.groupBy(group).agg(F.count(p).alias("n"), F.sum((p > 0).cast("long")).alias("wins"), F.sum(p).alias("total"), F.try_divide(win, loss).alias("profit_factor"))
+    return trades.groupBy(group).agg(F.count(p).alias("n"), F.sum((p > 0).cast("long")).alias("wins"), F.sum(p).alias("total"), F.when(loss > 0, F.try_divide(win, loss)).otherwise(F.lit(float("inf"))).alias("profit_factor"))
 
 
 def pivot_first(df: DataFrame, on: str, column: str, values: list[str], x: str) -> DataFrame:

@@ -96,27 +96,31 @@ def effort_result(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def absorption(df: DataFrame, volume: float = 1.5, effort: float = 0.5, n: int = 20) -> DataFrame:
-    """Flag of much volume with little result, and its side by the sign of delta."""
+    """Flag of much volume (at least `volume` times its mean) with little result (er_ratio at
+    most `effort`), and its side by the sign of delta, 0 where delta is 0."""
     df = effort_result(df, n)
-    flag = (F.col("volume") > F.avg("volume").over(last(n)) * volume) & (F.col("er_ratio") < effort)
-    return df.withColumn("absorption", flag.cast("int")).withColumn("absorption_side", F.when(flag, F.when(F.col("delta") >= 0, 1).otherwise(-1)).otherwise(0))
+    flag = (F.try_divide(F.col("volume"), F.avg("volume").over(last(n))) >= volume) & (F.col("er_ratio") <= effort)
+    df = df.withColumn("absorption", F.coalesce(flag.cast("int"), F.lit(0)))
+    return df.withColumn("absorption_side", F.when(F.col("absorption") == 1, F.signum("delta").cast("int")).otherwise(0))
 
 
-def swing_events(df: DataFrame, n: int = 20, multiple: float = 1.5) -> DataFrame:
-    """spring, upthrust, selling and buying climax flags from row n + 1 on: bars with a
-    range that pierce the previous row's swing and close back, or close near their end on
-    high volume."""
+def swing_events(df: DataFrame, n: int = 20, multiple: float = 2.0, near: float = 0.3) -> DataFrame:
+    """spring, upthrust, selling and buying climax flags, from row n + 2 on, of bars with a
+    range. Spring: the low pierces the previous row's swing low, the close is back above it,
+    delta is positive; upthrust: the mirror image. Selling climax: volume at least `multiple`
+    times its mean, a lower close within `near` of the range from the low, and yet positive
+    delta; buying climax: the mirror image."""
     df = df.withColumn("_lo", F.min("low").over(last(n))).withColumn("_hi", F.max("high").over(last(n)))
     before_low, before_high = F.lag("_lo").over(order()), F.lag("_hi").over(order())
-    span = F.col("high") - F.col("low")
+    span, change = F.col("high") - F.col("low"), F.col("close") - F.lag("close").over(order())
     ok = (position() > n + 1) & (span > 0)
-    place = F.try_divide(F.col("close") - F.col("low"), span)
-    heavy = F.col("volume") > F.avg("volume").over(last(n)) * multiple
+    heavy = F.col("volume") >= F.avg("volume").over(last(n)) * multiple
+    bought, sold = F.col("delta") > 0, F.col("delta") < 0
     flags = {
-        "spring": (F.col("low") < before_low) & (F.col("close") > before_low),
-        "upthrust": (F.col("high") > before_high) & (F.col("close") < before_high),
-        "selling_climax": heavy & (F.col("low") <= before_low) & (place > 0.5),
-        "buying_climax": heavy & (F.col("high") >= before_high) & (place < 0.5),
+        "spring": (F.col("low") < before_low) & (F.col("close") > before_low) & bought,
+        "upthrust": (F.col("high") > before_high) & (F.col("close") < before_high) & sold,
+        "selling_climax": heavy & (change < 0) & (F.try_divide(F.col("close") - F.col("low"), span) < near) & bought,
+        "buying_climax": heavy & (change > 0) & (F.try_divide(F.col("high") - F.col("close"), span) < near) & sold,
     }
     for name, flag in flags.items():
         df = df.withColumn(name, F.coalesce((ok & flag).cast("int"), F.lit(0)))
@@ -137,15 +141,21 @@ def candle(df: DataFrame) -> DataFrame:
     )
 
 
-def trading_range(df: DataFrame, n: int = 50, multiple: float = 1.5, atr: int = 14) -> DataFrame:
-    """Rolling range with a reset when the close leaves the previous row's range by more
-    than multiple * ATR; island number and touches of its lower and upper 15 % so far."""
-    df = with_atr(df, atr).withColumn("_hi", F.max("high").over(last(n))).withColumn("_lo", F.min("low").over(last(n)))
-    hi, lo = F.lag("_hi").over(order()), F.lag("_lo").over(order())
-    out = (F.col("close") > hi + multiple * F.col("atr")) | (F.col("close") < lo - multiple * F.col("atr"))
+def trading_range(df: DataFrame, n: int = 50, multiple: float = 1.5, atr: int = 20, zone: float = 0.15) -> DataFrame:
+    """Rolling range, reset when the close leaves the previous row's range by more than
+    multiple * (mean of the last `atr` absolute close changes, the first one 0). Adds island
+    number, bars_in_range, and how many closes of the island so far lay in the lower or upper
+    `zone` of their range."""
+    move = F.coalesce(F.abs(F.col("close") - F.lag("close").over(order())), F.lit(0.0))
+    df = df.withColumn("_m", move).withColumn("_a", F.greatest(F.avg("_m").over(last(atr)), F.lit(1e-8)))
+    df = df.withColumn("range_high", F.max("high").over(last(n))).withColumn("range_low", F.min("low").over(last(n)))
+    hi, lo = F.lag("range_high").over(order()), F.lag("range_low").over(order())
+    out = (F.col("close") > hi + multiple * F.col("_a")) | (F.col("close") < lo - multiple * F.col("_a"))
     df = df.withColumn("_r", F.coalesce(out.cast("int"), F.lit(0))).withColumn("island", F.sum("_r").over(past()))
-    zone = (F.col("_hi") - F.col("_lo")) * 0.15
+    span = F.when(F.col("range_high") - F.col("range_low") > 1e-8, F.col("range_high") - F.col("range_low"))
+    touch = lambda d: F.coalesce((F.try_divide(d, span) < zone).cast("int"), F.lit(0))
     inside = Window.partitionBy("symbol", "island").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("support_touches", F.sum((F.col("low") <= F.col("_lo") + zone).cast("int")).over(inside))
-    df = df.withColumn("resistance_touches", F.sum((F.col("high") >= F.col("_hi") - zone).cast("int")).over(inside))
-    return df.withColumnRenamed("_hi", "range_high").withColumnRenamed("_lo", "range_low").drop("_r")
+    df = df.withColumn("bars_in_range", F.count(F.lit(1)).over(inside))
+    df = df.withColumn("support_touches", F.sum(touch(F.col("close") - F.col("range_low"))).over(inside))
+    df = df.withColumn("resistance_touches", F.sum(touch(F.col("range_high") - F.col("close"))).over(inside))
+    return df.drop("_r", "_m", "_a")

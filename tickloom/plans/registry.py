@@ -45,6 +45,11 @@ def hourly(spark, sf) -> DataFrame:
     return B.time_bars(ticks(spark, sf))
 
 
+def hourly_signed(spark, sf) -> DataFrame:
+    """Hourly bars whose delta is the sum of the ticks' signed sizes."""
+    return B.time_bars(B.tick_rule(ticks(spark, sf)))
+
+
 def out(df: DataFrame, *columns: str, digits: int = 6, **named) -> DataFrame:
     """Columns, doubles rounded."""
     kinds = dict(df.dtypes)
@@ -55,15 +60,25 @@ TICKS = "t AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price,
 BARS = TICKS + """, b AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
  arg_max(price, (ts, seq)) AS close, sum(size) AS volume, count(*) AS num_trades FROM t GROUP BY 1, 2),
 bars AS (SELECT *, CASE WHEN high = low THEN 0 ELSE trunc(volume * ((close - low) / (high - low) * 2 - 1)) END::BIGINT AS delta FROM b)"""
+SBARS = TICKS + """, chg AS (SELECT *, sign(price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq)) AS c FROM t),
+ sg AS (SELECT *, coalesce(last_value(CASE WHEN c <> 0 THEN c * size END IGNORE NULLS)
+   OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 0) AS signed FROM chg),
+ bars AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
+   arg_max(price, (ts, seq)) AS close, sum(size) AS volume, count(*) AS num_trades, sum(signed) AS delta FROM sg GROUP BY 1, 2)"""
 W20 = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 O = "(PARTITION BY symbol ORDER BY ts)"  # noqa: E741
-EFFORT = BARS + f""", e AS (SELECT *, coalesce(abs(close - lag(close) OVER {O}) / volume, 0) AS er FROM bars),
+EFFORT = SBARS + f""", e AS (SELECT *, coalesce(abs(close - lag(close) OVER {O}) / volume, 0) AS er FROM bars),
 r AS (SELECT *, CASE WHEN avg(er) OVER {W20} = 0 THEN 1 ELSE er / avg(er) OVER {W20} END AS er_ratio, avg(volume) OVER {W20} AS av FROM e)"""
 
 
-@query("bars_absorption", f"WITH {EFFORT} SELECT symbol, ts, round(er, 6) AS er, round(er_ratio, 6) AS er_ratio, (volume > av * 1.5 AND er_ratio < 0.5)::INT AS absorption, CASE WHEN volume > av * 1.5 AND er_ratio < 0.5 THEN CASE WHEN delta >= 0 THEN 1 ELSE -1 END ELSE 0 END::INT AS absorption_side FROM r")
+@query(
+    "bars_absorption",
+    f"""WITH {EFFORT}, g AS (SELECT *, (volume / av >= 1.5 AND er_ratio <= 0.5)::INT AS absorption FROM r)
+    SELECT symbol, ts, round(er, 6) AS er, round(er_ratio, 6) AS er_ratio, absorption,
+      CASE WHEN absorption = 1 THEN sign(delta) ELSE 0 END::INT AS absorption_side FROM g""",
+)
 def bars_absorption(spark, sf):
-    return out(W.absorption(hourly(spark, sf)), "symbol", "ts", "er", "er_ratio", "absorption", "absorption_side")
+    return out(W.absorption(hourly_signed(spark, sf)), "symbol", "ts", "er", "er_ratio", "absorption", "absorption_side")
 
 
 @query("time_bars", f"WITH {BARS} SELECT symbol, ts, open, high, low, close, volume, num_trades, delta, sum(delta) OVER {O}::BIGINT AS cvd FROM bars")
@@ -71,9 +86,16 @@ def time_bars(spark, sf):
     return hourly(spark, sf).withColumn("cvd", F.sum("delta").over(W.past()))
 
 
-@query("tick_rule", f"WITH {TICKS}, c AS (SELECT *, sign(price - lag(price) OVER w) AS c FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)) SELECT symbol, ts, seq, price, coalesce(last_value(nullif(c, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 0)::INT AS side FROM c")
+@query(
+    "tick_rule",
+    f"""WITH {TICKS.replace("1.0::DOUBLE AS size", "(event_id % 7 + 1)::DOUBLE AS size")},
+    c AS (SELECT *, sign(price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq)) AS c FROM t)
+    SELECT symbol, ts, seq, price, coalesce(last_value(CASE WHEN c <> 0 THEN c * size END IGNORE NULLS)
+      OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 0) AS signed FROM c""",
+)
 def tick_rule(spark, sf):
-    return B.tick_rule(ticks(spark, sf)).select("symbol", "ts", "seq", "price", "side")
+    sized = ticks(spark, sf).withColumn("size", (F.col("seq") % 7 + 1).cast("double"))
+    return B.tick_rule(sized).select("symbol", "ts", "seq", "price", "signed")
 
 
 @query("rolling_stats", f"WITH {BARS}, i AS (SELECT *, row_number() OVER {O} AS n FROM bars) SELECT symbol, ts, round(avg(close) OVER {W20}, 6) AS mean, round(stddev_pop(close) OVER {W20}, 6) AS sd, min(low) OVER {W20} AS lo, max(high) OVER {W20} AS hi, round(CASE WHEN count(*) OVER {W20} >= 2 THEN coalesce(regr_slope(close, n) OVER {W20}, 0) ELSE 0 END, 6) AS slope FROM i")
@@ -91,27 +113,29 @@ def drawdown_forward(spark, sf):
     return out(b, "symbol", "ts", "drawdown", "fwd1", "fwd5")
 
 
-SWING = BARS + f""", s AS (SELECT *, min(low) OVER {W20} AS lo0, max(high) OVER {W20} AS hi0, avg(volume) OVER {W20} AS av, row_number() OVER {O} AS n FROM bars),
-p AS (SELECT *, lag(lo0) OVER {O} AS lo, lag(hi0) OVER {O} AS hi FROM s),
-f AS (SELECT *, coalesce((n > 21 AND high > low AND low < lo AND close > lo)::INT, 0) AS spring, coalesce((n > 21 AND high > low AND high > hi AND close < hi)::INT, 0) AS upthrust,
-coalesce((n > 21 AND high > low AND volume > av * 1.5 AND low <= lo AND (close - low) / (high - low) > 0.5)::INT, 0) AS selling_climax,
-coalesce((n > 21 AND high > low AND volume > av * 1.5 AND high >= hi AND (close - low) / (high - low) < 0.5)::INT, 0) AS buying_climax FROM p)"""
+SWING = SBARS + f""", s AS (SELECT *, min(low) OVER {W20} AS lo0, max(high) OVER {W20} AS hi0, avg(volume) OVER {W20} AS av,
+   lag(close) OVER {O} AS pc, row_number() OVER {O} AS n FROM bars),
+ p AS (SELECT *, lag(lo0) OVER {O} AS lo, lag(hi0) OVER {O} AS hi, n > 21 AND high > low AS ok, volume >= 2 * av AS heavy FROM s),
+ f AS (SELECT *, coalesce((ok AND low < lo AND close > lo AND delta > 0)::INT, 0) AS spring,
+   coalesce((ok AND high > hi AND close < hi AND delta < 0)::INT, 0) AS upthrust,
+   coalesce((ok AND heavy AND close < pc AND (close - low) / (high - low) < 0.3 AND delta > 0)::INT, 0) AS selling_climax,
+   coalesce((ok AND heavy AND close > pc AND (high - close) / (high - low) < 0.3 AND delta < 0)::INT, 0) AS buying_climax FROM p)"""
 SIDES = {"spring": 1, "upthrust": -1, "selling_climax": 1, "buying_climax": -1}
 
 
 @query("swing_events", f"WITH {SWING} SELECT symbol, ts, spring, upthrust, selling_climax, buying_climax FROM f")
 def swing_events(spark, sf):
-    return W.swing_events(hourly(spark, sf)).select("symbol", "ts", *SIDES)
+    return W.swing_events(hourly_signed(spark, sf)).select("symbol", "ts", *SIDES)
 
 
 @query("event_rows", f"WITH {SWING} SELECT symbol, ts, close, event_type, side::INT AS side FROM (SELECT *, unnest(['spring','upthrust','selling_climax','buying_climax']) AS event_type, unnest([spring, upthrust, selling_climax, buying_climax]) AS fl, unnest([1,-1,1,-1]) AS side FROM f) WHERE fl = 1")
 def event_rows(spark, sf):
-    return L.events_long(W.swing_events(hourly(spark, sf)), SIDES, ["symbol", "ts", "close"])
+    return L.events_long(W.swing_events(hourly_signed(spark, sf)), SIDES, ["symbol", "ts", "close"])
 
 
 @query("bars_since_event", f"WITH {SWING}, i AS (SELECT *, n - 1 AS i FROM f) SELECT symbol, ts, (i - coalesce(last_value(CASE WHEN spring = 1 THEN i END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), -500))::BIGINT AS since FROM i")
 def bars_since_event(spark, sf):
-    b = W.swing_events(hourly(spark, sf))
+    b = W.swing_events(hourly_signed(spark, sf))
     return b.select("symbol", "ts", W.bars_since(F.col("spring") == 1, 500).cast("bigint").alias("since"))
 
 
@@ -140,9 +164,21 @@ def wma(spark, sf):
     return out(hourly(spark, sf).withColumn("wma", W.wma(F.col("close"), 20)), "symbol", "ts", "wma")
 
 
-@query("trading_range", f"WITH {BARS}{ATR}, h AS (SELECT *, max(high) OVER x AS range_high, min(low) OVER x AS range_low FROM atr WINDOW x AS (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING)), g AS (SELECT *, coalesce((close > lag(range_high) OVER {O} + 1.5 * atr OR close < lag(range_low) OVER {O} - 1.5 * atr)::INT, 0) AS re FROM h), i AS (SELECT *, sum(re) OVER {O}::BIGINT AS island FROM g) SELECT symbol, ts, island, range_high, range_low, sum((low <= range_low + (range_high - range_low) * 0.15)::INT) OVER (PARTITION BY symbol, island ORDER BY ts)::BIGINT AS support_touches, sum((high >= range_high - (range_high - range_low) * 0.15)::INT) OVER (PARTITION BY symbol, island ORDER BY ts)::BIGINT AS resistance_touches FROM i")
+@query(
+    "trading_range",
+    f"""WITH {BARS}, m AS (SELECT *, coalesce(abs(close - lag(close) OVER {O}), 0) AS m FROM bars),
+    h AS (SELECT *, greatest(avg(m) OVER {W20}, 1e-8) AS a, max(high) OVER x AS range_high, min(low) OVER x AS range_low FROM m
+      WINDOW x AS (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING)),
+    g AS (SELECT *, coalesce((close > lag(range_high) OVER {O} + 1.5 * a OR close < lag(range_low) OVER {O} - 1.5 * a)::INT, 0) AS re,
+      range_high - range_low > 1e-8 AS wide FROM h),
+    i AS (SELECT *, sum(re) OVER {O}::BIGINT AS island FROM g)
+    SELECT symbol, ts, island, range_high, range_low, count(*) OVER z AS bars_in_range,
+      sum((wide AND (close - range_low) / (range_high - range_low) < 0.15)::INT) OVER z::BIGINT AS support_touches,
+      sum((wide AND (range_high - close) / (range_high - range_low) < 0.15)::INT) OVER z::BIGINT AS resistance_touches
+    FROM i WINDOW z AS (PARTITION BY symbol, island ORDER BY ts)""",
+)
 def trading_range(spark, sf):
-    return W.trading_range(hourly(spark, sf)).select("symbol", "ts", "island", "range_high", "range_low", "support_touches", "resistance_touches")
+    return W.trading_range(hourly(spark, sf)).select("symbol", "ts", "island", "range_high", "range_low", "bars_in_range", "support_touches", "resistance_touches")
 
 
 def fold(seed: str, step: str) -> str:
@@ -160,9 +196,18 @@ def wilder(spark, sf):
     return out(R.wilder(hourly(spark, sf), "close", 14, "y"), "symbol", "ts", "y")
 
 
-@query("kama")
+@query(
+    "kama",
+    f"""WITH RECURSIVE {BARS}, d AS (SELECT symbol, ts, close, row_number() OVER {O} AS n, abs(close - lag(close) OVER {O}) AS d,
+      first_value(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 10 PRECEDING) AS c0 FROM bars),
+    k AS (SELECT *, ((CASE WHEN sum(d) OVER x > 0 THEN abs(close - c0) / sum(d) OVER x ELSE 0 END) * (2.0 / 3 - 2.0 / 31) + 2.0 / 31) ** 2 AS k
+      FROM d WINDOW x AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING)),
+    y AS (SELECT symbol, n, ts, close AS y FROM k WHERE n = 1
+      UNION ALL SELECT k.symbol, k.n, k.ts, y.y + k.k * (k.close - y.y) FROM y JOIN k ON k.symbol = y.symbol AND k.n = y.n + 1)
+    SELECT symbol, ts, round(y, 5) AS y FROM y""",
+)
 def kama(spark, sf):
-    return out(R.kama(hourly(spark, sf), "close", 10, "y"), "symbol", "ts", "y")
+    return out(R.kama(hourly(spark, sf), "close", 10, "y"), "symbol", "ts", "y", digits=5)
 
 
 def steps(spark, sf):
@@ -170,18 +215,33 @@ def steps(spark, sf):
     return e.select(F.col("user_id").cast("string").alias("symbol"), F.col("event_id").alias("t"), (F.col("value") / 100).alias("r"), (F.col("event_type") != "purchase").cast("int").alias("undone"), F.col("value").alias("v"))
 
 
-@query("discounted_return", "WITH l AS (SELECT user_id::VARCHAR AS symbol, list(value / 100 ORDER BY event_id DESC) AS r, list((event_type <> 'purchase')::INT ORDER BY event_id DESC) AS u, list(event_id ORDER BY event_id DESC) AS t FROM events GROUP BY 1) SELECT symbol, unnest(t) AS t, round(unnest(list_transform(range(1, len(r) + 1), lambda k: list_sum(list_transform(range(1, k + 1), lambda j: r[j] * coalesce(list_product(list_transform(range(j + 1, k + 1), lambda i: 0.99 * u[i])), 1))))), 3) AS g FROM l")
+STEPS = """s AS (SELECT user_id::VARCHAR AS symbol, event_id AS t, value / 100 AS r, (event_type <> 'purchase')::INT AS u, value AS v,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n,
+  coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS v1 FROM events)"""
+
+
+@query(
+    "discounted_return",
+    f"""WITH RECURSIVE {STEPS}, g AS (SELECT symbol, t, n, r AS g FROM s WHERE n = 1
+      UNION ALL SELECT s.symbol, s.t, s.n, s.r + 0.99 * s.u * g.g FROM g JOIN s ON s.symbol = g.symbol AND s.n = g.n + 1)
+    SELECT symbol, t, round(g, 7) AS g FROM g""",
+)
 def discounted_return(spark, sf):
-    return out(R.discounted_return(steps(spark, sf), "r", "undone", "g", order="t"), "symbol", "t", "g", digits=3)
+    return out(R.discounted_return(steps(spark, sf), "r", "undone", "g", order="t"), "symbol", "t", "g", digits=7)
 
 
-@query("advantage")
+@query(
+    "advantage",
+    f"""WITH RECURSIVE {STEPS}, d AS (SELECT *, r + 0.99 * u * v1 - v AS d FROM s), g AS (SELECT symbol, t, n, d AS g FROM d WHERE n = 1
+      UNION ALL SELECT d.symbol, d.t, d.n, d.d + 0.99 * 0.95 * d.u * g.g FROM g JOIN d ON d.symbol = g.symbol AND d.n = g.n + 1)
+    SELECT symbol, t, round(g, 5) AS adv FROM g""",
+)
 def advantage(spark, sf):
-    return out(R.advantage(steps(spark, sf), "r", "undone", "v", "adv", order="t"), "symbol", "t", "adv")
+    return out(R.advantage(steps(spark, sf), "r", "undone", "v", "adv", order="t"), "symbol", "t", "adv", digits=5)
 
 
 def atr_bars(spark, sf):
-    return W.with_atr(hourly(spark, sf)).withColumn("bar_no", W.position().cast("bigint"))
+    return W.with_atr(hourly_signed(spark, sf)).withColumn("bar_no", W.position().cast("bigint"))
 
 
 def labelled(spark, sf):
@@ -192,11 +252,11 @@ def labelled(spark, sf):
 
 BARRIER = f"""{SWING}{ATR}, ev AS (SELECT symbol, n AS bar_no, event_type, side::INT AS side FROM (SELECT *, unnest(['spring','upthrust','selling_climax','buying_climax']) AS event_type, unnest([spring, upthrust, selling_climax, buying_climax]) AS fl, unnest([1,-1,1,-1]) AS side FROM f) WHERE fl = 1),
 pr AS (SELECT ev.*, a.close AS p, a.atr, x.bar_no AS n2, x.close AS c2, CASE WHEN (side > 0 AND x.high >= a.close + 2 * a.atr) OR (side < 0 AND x.low <= a.close - 2 * a.atr) THEN 'tp' WHEN (side > 0 AND x.low <= a.close - a.atr) OR (side < 0 AND x.high >= a.close + a.atr) THEN 'sl' END AS touch
- FROM ev JOIN atr a USING (symbol, bar_no) JOIN atr x ON x.symbol = ev.symbol AND x.bar_no > ev.bar_no AND x.bar_no <= ev.bar_no + 20),
-tb AS (SELECT symbol, bar_no, event_type, side, p, coalesce(min(n2) FILTER (WHERE touch IS NOT NULL), max(n2)) AS exit_bar, coalesce(arg_min(touch, n2) FILTER (WHERE touch IS NOT NULL), 'vertical') AS exit_type, coalesce(arg_min(c2, n2) FILTER (WHERE touch IS NOT NULL), arg_max(c2, n2)) AS c FROM pr GROUP BY ALL)"""
+ FROM ev JOIN atr a USING (symbol, bar_no) LEFT JOIN atr x ON x.symbol = ev.symbol AND x.bar_no > ev.bar_no AND x.bar_no <= ev.bar_no + 20),
+tb AS (SELECT symbol, bar_no, event_type, side, p, coalesce(min(n2) FILTER (WHERE touch IS NOT NULL), max(n2), bar_no) AS exit_bar, coalesce(arg_min(touch, n2) FILTER (WHERE touch IS NOT NULL), 'vertical') AS exit_type, coalesce(arg_min(c2, n2) FILTER (WHERE touch IS NOT NULL), arg_max(c2, n2), p) AS c FROM pr GROUP BY symbol, bar_no, event_type, side, p)"""
 
 
-@query("triple_barrier", f"WITH {BARRIER} SELECT symbol, bar_no, event_type, side, (exit_type = 'tp')::INT AS label, round(side * (c / p - 1), 6) AS ret, exit_bar, exit_type FROM tb")
+@query("triple_barrier", f"WITH {BARRIER} SELECT symbol, bar_no, event_type, side, (exit_type = 'tp')::INT AS label, round(side * ln(c / p), 6) AS ret, exit_bar, exit_type FROM tb")
 def triple_barrier(spark, sf):
     return out(labelled(spark, sf), "symbol", "bar_no", "event_type", "side", "label", "ret", "exit_bar", "exit_type")
 
@@ -211,15 +271,21 @@ def concurrency(spark, sf):
     return J.concurrency(labelled(spark, sf), "bar_no", "exit_bar")
 
 
-@query("asof_last", f"WITH {TICKS}, p AS (SELECT * FROM t WHERE symbol = 'purchase'), o AS (SELECT o_orderkey, o_orderdate FROM orders), q AS (SELECT 'k' AS k, ts, max(seq) AS seq FROM p GROUP BY ts), z AS (SELECT 'k' AS k, event_id, ts FROM events WHERE event_type = 'click') SELECT z.event_id, z.ts, q.seq FROM z ASOF LEFT JOIN q ON z.k = q.k AND z.ts >= q.ts")
+@query(
+    "asof_last",
+    """WITH q AS (SELECT user_id, ts, max(event_id) AS seq FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+    z AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click')
+    SELECT z.event_id, z.ts, q.seq FROM z ASOF LEFT JOIN q ON z.user_id = q.user_id AND z.ts >= q.ts""",
+)
 def asof_last(spark, sf):
-    t = ticks(spark, sf)
-    right = t.where("symbol = 'purchase'").groupBy(F.lit("k").alias("k"), "ts").agg(F.max("seq").alias("seq"))
-    left = t.where("symbol = 'click'").select(F.lit("k").alias("k"), "ts", F.col("seq").alias("event_id"))
-    return J.asof_last(left, right, "k", "ts", ["seq"]).select("event_id", "ts", "seq")
+    """Each click with its user's last purchase."""
+    e = read(spark, sf, "events")
+    right = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("seq"))
+    left = e.where("event_type = 'click'").select("user_id", "ts", "event_id")
+    return J.asof_last(left, right, "user_id", "ts", ["seq"]).select("event_id", "ts", "seq")
 
 
-@query("grid_fill", f"WITH {BARS}, g AS (SELECT DISTINCT ts FROM bars), s AS (SELECT DISTINCT symbol FROM bars), j AS (SELECT g.ts, s.symbol, open, high, low, close, volume FROM g CROSS JOIN s LEFT JOIN bars USING (ts, symbol)), c AS (SELECT *, coalesce(close, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), first_value(open IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS fill FROM j) SELECT symbol, ts, coalesce(open, fill) AS open, coalesce(high, fill) AS high, coalesce(low, fill) AS low, coalesce(close, fill) AS close, coalesce(volume, 0) AS volume FROM c")
+@query("grid_fill", f"WITH {BARS}, g AS (SELECT DISTINCT ts FROM bars), s AS (SELECT DISTINCT symbol FROM bars), j AS (SELECT g.ts, s.symbol, open, high, low, close, volume FROM g CROSS JOIN s LEFT JOIN bars USING (ts, symbol)), c AS (SELECT *, coalesce(close, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS fill FROM j) SELECT symbol, ts, coalesce(open, fill) AS open, coalesce(high, fill) AS high, coalesce(low, fill) AS low, coalesce(close, fill) AS close, coalesce(volume, 0) AS volume FROM c")
 def grid_fill(spark, sf):
     b = hourly(spark, sf)
     return J.grid_fill(b, b.select("ts"))
@@ -254,9 +320,18 @@ def pbo(spark, sf):
     return out(ST.pbo(returns(spark, sf)), "combo", "best", "is_sr", "oos_sr", "omega", "logit")
 
 
-@query("cpcv_ranges")
+@query(
+    "cpcv_ranges",
+    """WITH n AS (SELECT count(*) AS n, count(*) // 6 AS s FROM events), f AS (SELECT a AS fold, a * s AS lo, CASE WHEN a = 5 THEN n ELSE (a + 1) * s END AS hi FROM range(6) x(a), n),
+    c AS (SELECT row_number() OVER (ORDER BY x.fold, y.fold) - 1 AS k, x.fold AS a, y.fold AS b, x.lo AS l1, x.hi AS h1, y.lo AS l2, y.hi AS h2 FROM f x, f y WHERE x.fold < y.fold),
+    r AS (SELECT k, a, b, 'test' AS role, l1 AS lo, h1 AS hi FROM c UNION ALL SELECT k, a, b, 'test', l2, h2 FROM c
+      UNION ALL SELECT k, a, b, 'train', 0, l1 - 1 FROM c UNION ALL SELECT k, a, b, 'train', h1 + 20, l2 - 1 FROM c
+      UNION ALL SELECT k, a, b, 'train', h2 + 20, n FROM c, n)
+    SELECT k::INT AS split_id, a::INT AS fold_a, b::INT AS fold_b, role, lo::BIGINT AS lo, hi::BIGINT AS hi FROM r WHERE hi > lo""",
+)
 def cpcv_ranges(spark, sf):
-    return P.cpcv_ranges(spark, read(spark, sf, "events").count(), 6, 2, 1, 20)
+    got = P.cpcv_ranges(spark, read(spark, sf, "events").count(), 6, 2, 1, 20)
+    return got.select("split_id", F.col("folds")[0].alias("fold_a"), F.col("folds")[1].alias("fold_b"), "role", "lo", "hi")
 
 
 @query("cpcv_sizes", "WITH n AS (SELECT count(*) AS n, count(*) // 6 AS s FROM events), c AS (SELECT a, b FROM range(6) x(a), range(6) y(b) WHERE a < b), i AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i FROM events), k AS (SELECT a, b, i, a * s AS a0, CASE WHEN a = 5 THEN n ELSE (a + 1) * s END AS a1, b * s AS b0, CASE WHEN b = 5 THEN n ELSE (b + 1) * s END AS b1 FROM c, i, n), r AS (SELECT a, b, CASE WHEN (i >= a0 AND i < a1) OR (i >= b0 AND i < b1) THEN 'test' WHEN (i >= a0 - 1 AND i < a1 + 20) OR (i >= b0 - 1 AND i < b1 + 20) THEN 'out' ELSE 'train' END AS role FROM k) SELECT a::INT AS fold_a, b::INT AS fold_b, role, count(*) AS n FROM r WHERE role <> 'out' GROUP BY ALL")
@@ -278,7 +353,19 @@ def islands(spark, sf):
     return P.islands(h, "i")
 
 
-@query("range_bars")
+@query(
+    "range_bars",
+    f"""WITH RECURSIVE {SBARS}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS n FROM sg WHERE price > 0),
+    st AS (SELECT symbol, n, ts, price AS o, price AS h, price AS l, size AS v, signed AS d, 1 AS k, ts AS t0, 0 AS bar, false AS done, price AS c, price AS o1, price AS h1, price AS l1 FROM i WHERE n = 1
+      UNION ALL SELECT symbol, n, ts, o, h, l, v, d, k, t0, bar, h - l >= 100, CASE WHEN h - l >= 100 THEN least(greatest(p, o - 100), o + 100) END, o, h, l FROM (
+        SELECT i.symbol, i.n, i.ts, i.price AS p, CASE WHEN st.done THEN st.c ELSE st.o END AS o,
+          greatest(CASE WHEN st.done THEN st.c ELSE st.h END, i.price) AS h, least(CASE WHEN st.done THEN st.c ELSE st.l END, i.price) AS l,
+          CASE WHEN st.done THEN 0 ELSE st.v END + i.size AS v, CASE WHEN st.done THEN 0 ELSE st.d END + i.signed AS d, CASE WHEN st.done THEN 0 ELSE st.k END + 1 AS k,
+          CASE WHEN st.done THEN st.ts ELSE st.t0 END AS t0, st.bar + st.done::INT AS bar
+        FROM st JOIN i ON i.symbol = st.symbol AND i.n = st.n + 1))
+    SELECT symbol, bar::BIGINT AS bar_no, ts, o AS open, h AS high, l AS low, c AS close, v AS volume, d AS delta, k::BIGINT AS num_trades,
+      greatest(0.1, (epoch_us(ts) - epoch_us(t0)) / 1e6) AS duration_seconds, sum(d) OVER (PARTITION BY symbol ORDER BY bar) AS cvd FROM st WHERE done""",
+)
 def range_bars(spark, sf):
     return B.range_bars(B.tick_rule(ticks(spark, sf)), 100.0)
 
@@ -288,11 +375,20 @@ def zigzag_waves(spark, sf):
     return S.waves(hourly(spark, sf), 100.0).select("symbol", "ts", "close", "wave", "direction")
 
 
-@query("executed_orders")
+@query(
+    "executed_orders",
+    f"""WITH {BARS}, o AS (SELECT symbol, ts, CASE WHEN delta > 0 THEN 1.0 WHEN delta < 0 THEN -1.0 ELSE 0.0 END::DOUBLE AS target, close AS price FROM bars),
+    h AS (SELECT *, coalesce(lag(target) OVER {O}, 0) AS h FROM o),
+    e AS (SELECT *, target - h AS q, last_value(CASE WHEN target <> h AND target <> 0 THEN price END IGNORE NULLS)
+      OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM h),
+    r AS (SELECT *, coalesce(CASE WHEN h * q < 0 THEN least(abs(h), abs(q)) * ((price - e) * sign(h) * 20 - 5) ELSE 0 END, 0) AS r FROM e)
+    SELECT symbol, ts, target AS "position", round(r, 5) AS realised, round(100000 + sum(r) OVER {O}, 5) AS equity FROM r""",
+)
 def executed_orders(spark, sf):
-    b = W.effort_result(hourly(spark, sf))
+    b = hourly(spark, sf)
     target = F.when(F.col("delta") > 0, 1.0).when(F.col("delta") < 0, -1.0).otherwise(0.0)
-    return out(S.execute(b.select("symbol", "ts", target.alias("target"), F.col("close").alias("price"))), "symbol", "ts", "position", "realised")
+    got = S.execute(b.select("symbol", "ts", target.alias("target"), F.col("close").alias("price")), 2.5, 20.0, 100_000.0)
+    return out(got, "symbol", "ts", "position", "realised", "equity", digits=5)
 
 
 def edges(spark, sf):
@@ -325,7 +421,7 @@ def metric_summary(spark, sf):
     return out(T.metric_summary(read(spark, sf, "orders"), "o_totalprice", "o_orderpriority"), "o_orderpriority", "n", "mean", "sd", "median", "low", "high", "iqr", "cv", digits=4)
 
 
-@query("trade_summary", "WITH t AS (SELECT o_orderstatus, o_totalprice - avg(o_totalprice) OVER () AS p FROM orders) SELECT o_orderstatus, count(*) AS n, sum((p > 0)::INT)::BIGINT AS wins, round(sum(greatest(p, 0)) / -sum(least(p, 0)), 4) AS profit_factor FROM t GROUP BY 1")
+@query("trade_summary", "WITH t AS (SELECT o_orderstatus, o_totalprice - avg(o_totalprice) OVER () AS p FROM orders) SELECT o_orderstatus, count(*) AS n, sum((p > 0)::INT)::BIGINT AS wins, CASE WHEN sum(least(p, 0)) < 0 THEN round(sum(greatest(p, 0)) / -sum(least(p, 0)), 4) ELSE 'inf'::DOUBLE END AS profit_factor FROM t GROUP BY 1")
 def trade_summary(spark, sf):
     o = read(spark, sf, "orders")
     p = o.crossJoin(F.broadcast(o.agg(F.avg("o_totalprice").alias("m")))).withColumn("p", F.col("o_totalprice") - F.col("m"))

@@ -22,7 +22,7 @@ def stream_time_bars(ticks: DataFrame, every: str = "1 hour", late: str = "10 mi
 
 
 def stream_range_bars(ticks: DataFrame, size: float) -> DataFrame:
-    """Range bars of (symbol, ts, seq, price, size, side) with the batch step function; the
+    """Range bars of (symbol, ts, seq, price, size, signed) with the batch step function; the
     open bar of each symbol is the state. Ticks are taken in (ts, seq) order inside a
     micro-batch."""
 
@@ -32,8 +32,8 @@ def stream_range_bars(ticks: DataFrame, size: float) -> DataFrame:
             for name, value in zip(_FIELDS, state.get, strict=True):
                 setattr(bar, name, value)
         out, rows = [], pd.concat(list(frames)).sort_values(["ts", "seq"])
-        for ts, p, v, s in zip(rows["ts"], rows["price"], rows["size"], rows["side"], strict=True):
-            done = bar.step(ts, p, v, v * s)
+        for ts, p, v, s in zip(rows["ts"], rows["price"], rows["size"], rows["signed"], strict=True):
+            done = bar.step(ts, p, v, s)
             if done:
                 out.append((key[0], *done))
         start = bar.start.to_pydatetime() if hasattr(bar.start, "to_pydatetime") else bar.start
