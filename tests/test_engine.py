@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalar
 from tickloom.operators import bars, joins, labels, recurrence, scans, splits, stats, windows
-from tickloom.plans import registry
+from tickloom.plans import analytics, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

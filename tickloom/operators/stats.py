@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 def sharpe(r: Column, variant: str = "iid", factor: float = 252.0, bench: float = 0.0) -> Column:
     """iid: mean / sample deviation; pbo: the same, deviation floored at 1e-10; eval: mean /
-    (population deviation + 1e-8). All times the root of factor. Aggregates."""
+    (population deviation + 1e-8); agents: iid, 0 below a deviation of 1e-10; adjusted: iid
+    corrected by bias-corrected skewness and excess kurtosis; bars: log returns, population
+    deviation, times the root of their number (320,000 at most) in place of the factor.
+    All others times the root of factor. Aggregates."""
     x, root = r - F.lit(bench), factor**0.5
     if variant == "iid":
         return F.try_divide(F.avg(x), F.stddev_samp(x)) * root
@@ -18,7 +21,17 @@ def sharpe(r: Column, variant: str = "iid", factor: float = 252.0, bench: float
         return F.avg(x) / F.greatest(F.stddev_samp(x), F.lit(1e-10)) * root
     if variant == "eval":
         return F.avg(x) / (F.stddev_pop(x) + 1e-8) * root
-    raise ValueError("variant: iid, pbo or eval")
+    if variant == "agents":
+        return F.when(F.stddev_samp(x) < 1e-10, 0.0).otherwise(F.try_divide(F.avg(x), F.stddev_samp(x)) * root)
+    if variant == "adjusted":
+        n, sr = F.count(x), F.try_divide(F.avg(x), F.stddev_samp(x))
+        skew = F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)
+        kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)
+        return sr * (1 + skew / 6 * sr + kurt / 24 * sr * sr) * root
+    if variant == "bars":
+        g = F.log1p(x)
+        return F.when(F.stddev_pop(g) > 1e-12, F.avg(g) / F.stddev_pop(g) * F.sqrt(F.least(F.count(g), F.lit(320_000)))).otherwise(0.0)
+    raise ValueError("variant: iid, pbo, eval, agents, adjusted or bars")
 
 
 def lpm(r: Column, target: float, order: int) -> Column:
@@ -36,7 +49,48 @@ def sortino(r: Column, variant: str = "lpm", target: float = 0.0, factor: float
         return F.avg(r) / F.greatest(F.stddev_samp(F.least(r, F.lit(0.0))), F.lit(1e-10)) * root
     if variant == "eval":
         return F.avg(r) / (F.stddev_pop(F.when(r < 0, r)) + 1e-8) * root
-    raise ValueError("variant: lpm, pbo or eval")
+    if variant == "pipeline":
+        return F.try_divide(F.avg(r), F.stddev_pop(F.when(r < 0, r)))
+    if variant == "bars":
+        g = F.log1p(r)
+        down = F.coalesce(F.sqrt(F.avg(F.when(g < 0, g * g))), F.lit(1e-12))
+        return F.try_divide(F.avg(g), down) * F.sqrt(F.least(F.count(g), F.lit(320_000)))
+    raise ValueError("variant: lpm, pbo, eval, pipeline or bars")
+
+
+def annual_geometric(r: Column, factor: float = 252.0) -> Column:
+    """Growth a year of log returns."""
+    return F.pow(F.exp(F.sum(r)), F.lit(factor) / F.count(r)) - 1
+
+
+def annualized(total: Column, days: Column, factor: float = 252.0, log: bool = False) -> Column:
+    """A total growth (1.5 for half more) or, with log, a total log return, a year."""
+    return total / (days / factor) if log else F.pow(total, F.lit(1.0) / (days / factor)) - 1
+
+
+def calmar(returns: DataFrame, r: str = "r", key: str = "symbol", on: str = "ts", factor: float = 252.0) -> DataFrame:
+    """(key, annual, max_drawdown, calmar, calmar_mean) of simple returns: growth a year, and
+    factor * mean, over the largest drawdown of the equity."""
+    curve = equity_drawdown(returns, r, key, on)
+    got = curve.groupBy(key).agg((F.pow(F.max_by("equity", on), F.lit(factor) / F.count(r)) - 1).alias("annual"), F.min("drawdown").alias("max_drawdown"), (F.avg(r) * factor).alias("_m"))
+    depth = F.abs("max_drawdown")
+    return got.select(key, "annual", "max_drawdown", F.try_divide(F.col("annual"), depth).alias("calmar"), F.try_divide(F.col("_m"), depth).alias("calmar_mean"))
+
+
+def dominance(returns: DataFrame, chosen: Column, points: int = 100, r: str = "r") -> DataFrame:
+    """Second-order stochastic dominance: (i, x, chosen, other, gap) on a grid from the least
+    to the largest return: both empirical distributions and the running sum of their
+    difference times the step. Returns fall into grid cells first, so that no row meets the
+    grid."""
+    low, high = returns.agg(F.min(r), F.max(r)).first()
+    spark, step = returns.sparkSession, ((high or 0.0) - (low or 0.0)) / (points - 1)
+    cell = F.least(F.ceil((F.col(r) - F.lit(low)) / F.lit(step or 1.0)).cast("int"), F.lit(points - 1))
+    cells = returns.select(cell.alias("i"), chosen.cast("int").alias("c")).groupBy("i").agg(F.sum("c").alias("a"), F.sum(1 - F.col("c")).alias("b"))
+    grid = spark.range(points).select(F.col("id").cast("int").alias("i"), (F.lit(low) + F.col("id") * F.lit(step)).alias("x")).join(cells, "i", "left")
+    w, all_ = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    share = lambda c: F.try_divide(F.coalesce(F.sum(c).over(w), F.lit(0)), F.sum(c).over(all_))
+    got = grid.select("i", "x", share("a").alias("chosen"), share("b").alias("other"))
+    return got.withColumn("gap", F.sum((F.col("other") - F.col("chosen")) * F.lit(step)).over(w))
 
 
 def omega(r: Column, target: float = 0.0) -> Column:
