@@ -152,7 +152,7 @@ def calmar(spark, sf):
     k AS (SELECT i, sum(c) AS a, sum(1 - c) AS o FROM c GROUP BY i),
     g AS (SELECT q.i::INT AS i, lo + q.i * st AS x, st, coalesce(a, 0) AS a, coalesce(o, 0) AS o FROM range(100) q(i) CROSS JOIN b LEFT JOIN k ON k.i = q.i),
     s AS (SELECT i, x, st, sum(a) OVER (ORDER BY i) / sum(a) OVER () AS chosen, sum(o) OVER (ORDER BY i) / sum(o) OVER () AS other FROM g)
-    SELECT i, round(x, 5) AS x, round(chosen, 5) AS chosen, round(other, 5) AS other, round(sum((other - chosen) * st) OVER (ORDER BY i), 5) AS gap FROM s""",
+    SELECT i, round(x, 5) AS x, round(chosen, 5) AS chosen, round(other, 5) AS other, round(sum((other - chosen) * st) OVER (ORDER BY i), 5) + 0.0 AS gap FROM s""",
 )
 def dominance(spark, sf):
     got = ST.dominance(returns(spark, sf), F.col("symbol").contains("1"))

@@ -212,10 +212,10 @@ def kama(spark, sf):
 
 def steps(spark, sf):
     e = read(spark, sf, "events")
-    return e.select(F.col("user_id").cast("string").alias("symbol"), F.col("event_id").alias("t"), (F.col("value") / 100).alias("r"), (F.col("event_type") != "purchase").cast("int").alias("undone"), F.col("value").alias("v"))
+    return e.select(F.col("user_id").cast("string").alias("symbol"), F.col("event_id").alias("t"), (F.col("value") / 7).alias("r"), (F.col("event_type") != "purchase").cast("int").alias("undone"), F.col("value").alias("v"))
 
 
-STEPS = """s AS (SELECT user_id::VARCHAR AS symbol, event_id AS t, value / 100 AS r, (event_type <> 'purchase')::INT AS u, value AS v,
+STEPS = """s AS (SELECT user_id::VARCHAR AS symbol, event_id AS t, value / 7 AS r, (event_type <> 'purchase')::INT AS u, value AS v,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n,
   coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS v1 FROM events)"""
 
@@ -224,10 +224,10 @@ STEPS = """s AS (SELECT user_id::VARCHAR AS symbol, event_id AS t, value / 100 A
     "discounted_return",
     f"""WITH RECURSIVE {STEPS}, g AS (SELECT symbol, t, n, r AS g FROM s WHERE n = 1
       UNION ALL SELECT s.symbol, s.t, s.n, s.r + 0.99 * s.u * g.g FROM g JOIN s ON s.symbol = g.symbol AND s.n = g.n + 1)
-    SELECT symbol, t, round(g, 7) AS g FROM g""",
+    SELECT symbol, t, round(g, 5) AS g FROM g""",
 )
 def discounted_return(spark, sf):
-    return out(R.discounted_return(steps(spark, sf), "r", "undone", "g", order="t"), "symbol", "t", "g", digits=7)
+    return out(R.discounted_return(steps(spark, sf), "r", "undone", "g", order="t"), "symbol", "t", "g", digits=5)
 
 
 @query(
@@ -256,7 +256,7 @@ pr AS (SELECT ev.*, a.close AS p, a.atr, x.bar_no AS n2, x.close AS c2, CASE WHE
 tb AS (SELECT symbol, bar_no, event_type, side, p, coalesce(min(n2) FILTER (WHERE touch IS NOT NULL), max(n2), bar_no) AS exit_bar, coalesce(arg_min(touch, n2) FILTER (WHERE touch IS NOT NULL), 'vertical') AS exit_type, coalesce(arg_min(c2, n2) FILTER (WHERE touch IS NOT NULL), arg_max(c2, n2), p) AS c FROM pr GROUP BY symbol, bar_no, event_type, side, p)"""
 
 
-@query("triple_barrier", f"WITH {BARRIER} SELECT symbol, bar_no, event_type, side, (exit_type = 'tp')::INT AS label, round(side * ln(c / p), 6) AS ret, exit_bar, exit_type FROM tb")
+@query("triple_barrier", f"WITH {BARRIER} SELECT symbol, bar_no, event_type, side, (exit_type = 'tp')::INT AS label, round(side * ln(c / p), 6) + 0.0 AS ret, exit_bar, exit_type FROM tb")
 def triple_barrier(spark, sf):
     return out(labelled(spark, sf), "symbol", "bar_no", "event_type", "side", "label", "ret", "exit_bar", "exit_type")
 
