@@ -212,10 +212,10 @@ def kama(spark, sf):
 
 def steps(spark, sf):
     e = read(spark, sf, "events")
-    return e.select(F.col("user_id").cast("string").alias("symbol"), F.col("event_id").alias("t"), (F.col("value") / 7).alias("r"), (F.col("event_type") != "purchase").cast("int").alias("undone"), F.col("value").alias("v"))
+    return e.select(F.col("user_id").cast("string").alias("symbol"), F.col("event_id").alias("t"), F.sqrt("value").alias("r"), (F.col("event_type") != "purchase").cast("int").alias("undone"), F.col("value").alias("v"))
 
 
-STEPS = """s AS (SELECT user_id::VARCHAR AS symbol, event_id AS t, value / 7 AS r, (event_type <> 'purchase')::INT AS u, value AS v,
+STEPS = """s AS (SELECT user_id::VARCHAR AS symbol, event_id AS t, sqrt(value) AS r, (event_type <> 'purchase')::INT AS u, value AS v,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n,
   coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS v1 FROM events)"""
 
