@@ -156,6 +156,9 @@ def test_op5(spark):
         hit += len(want & {g["vec_id"] for g in mine})
     assert {g["query_id"] for g in got} == set(asked) and hit >= 0.9 * 5 * len(asked)
     assert op5_ann.ann_search(df.limit(0), df).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [0.0, 1.0]), (2, [2.0, 0.1]), (0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = op5_ann.ann_search(few, few.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(g["rank"], g["vec_id"]) for g in got] == [(1, 2), (2, 1)] and got[1]["score"] == pytest.approx(0.5**0.5)
 
 
 @pytest.mark.parametrize("n, cells", [(60_000, None), (8_000, 500)])

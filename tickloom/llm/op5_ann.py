@@ -154,7 +154,8 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: int |
     the original vectors in double precision), nearest first, ties to the smaller id. Null
     and zero vectors, vectors with null or non-finite components, vectors of another length
     than the sample's most frequent one and null ids take no part. All candidates, if fewer
-    than k. Repeated rows with one id count once. No vectors: an empty result.
+    than k. Repeated rows with one id count once, by their nearest vector; a repeated query asks
+    with its least vector. No vectors: an empty result.
 
     Of rows with the same vector only the k + 1 of least id can be among anybody's k
     nearest; a grouped limit, which Spark applies before its shuffle, leaves those, so that
@@ -171,7 +172,9 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: int |
     spark = vectors.sparkSession
     fine = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)
     good = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec_col, lambda x: x != 0)
-    pick = lambda df: df.where(fine).where(good).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    pick = lambda df: df.where(fine).where(good).select(F.col(id_col).cast("long").alias("vec_id"), (F.col(vec_col) if kind == "array<float>" else F.col(vec_col).cast("array<double>")).alias("v"))
     base = pick(vectors)
     same = Window.partitionBy("v").orderBy("vec_id")
     base = written(base.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n"), "ann-vectors")
@@ -194,16 +197,23 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: int |
 
         return run
 
-    placed = base.where(F.size("v") == dim).mapInPandas(to_cells(1), "vec_id long, v array<double>, cell array<int>").select("vec_id", "v", F.col("cell")[0].alias("cell"))
-    placed = written(placed, "ann-cells")
-    asked = pick(queries).where(F.size("v") == dim).dropDuplicates(["vec_id"])
+    def to_codes(frames):
+        for pdf in frames:
+            for at in range(0, len(pdf), BLOCK_ROWS):
+                rows = pdf.iloc[at : at + BLOCK_ROWS]
+                unit = _unit(rows["v"])[1]
+                yield rows.assign(cell=shared.value.cell(unit)[:, 0].astype(np.int32), code=[c.tobytes() for c in shared.value.encode(unit)])
+
+    # The index: each vector's cell and code, made once; searches read them.
+    placed = written(base.where(F.size("v") == dim).mapInPandas(to_codes, f"vec_id long, v {kind}, cell int, code binary"), "ann-index")
+    asked = pick(queries).where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     if probe is not None:
-        return _search(placed, asked.mapInPandas(to_cells(probe), "vec_id long, v array<double>, cell array<int>"), shared, k, RERANK)
+        return _search(placed, asked.mapInPandas(to_cells(probe), f"vec_id long, v {kind}, cell array<int>"), shared, k, RERANK)
     trial = asked.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(TRIAL_QUERIES).toPandas()
     if not len(trial):
         return empty
     probe, rerank = _measured(placed, trial, shared, k)
-    return _search(placed, asked.mapInPandas(to_cells(probe), "vec_id long, v array<double>, cell array<int>"), shared, k, rerank)
+    return _search(placed, asked.mapInPandas(to_cells(probe), f"vec_id long, v {kind}, cell array<int>"), shared, k, rerank)
 
 
 def _measured(placed: DataFrame, trial: pd.DataFrame, shared, k: int) -> tuple[int, int]:
@@ -237,7 +247,7 @@ def _search(placed: DataFrame, asked: DataFrame, shared, k: int, rerank: int) ->
     counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("cell").agg(F.count(F.lit(1)).alias("q")), "cell")
     blocks = F.broadcast(counts.select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("nb"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qb")))
     data = placed.join(blocks, "cell").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int"))
-    data = data.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("cell", "b", "c", "vec_id", "v")
+    data = data.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("cell", "b", "c", "vec_id", "v", "code")
     ask = asked.join(blocks, "cell").withColumn("c", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int"))
     ask = ask.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("cell", "b", "c", "query_id", "v")
 
@@ -245,9 +255,10 @@ def _search(placed: DataFrame, asked: DataFrame, shared, k: int, rerank: int) ->
         if not len(rows) or not len(asks):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         rows = rows.sort_values("vec_id", kind="stable")
-        x, unit = _unit(rows["v"])
+        x = np.array(list(rows["v"]), np.float64)
         q, q_unit = _unit(asks["v"])
-        ids, own, codes = rows["vec_id"].to_numpy(), asks["query_id"].to_numpy(), shared.value.encode(unit)
+        ids, own = rows["vec_id"].to_numpy(), asks["query_id"].to_numpy()
+        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
         x_len, q_len = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
         found, most = [], min(len(ids), rerank)
         for at in range(0, len(q), 64):
@@ -256,7 +267,7 @@ def _search(placed: DataFrame, asked: DataFrame, shared, k: int, rerank: int) ->
             for j in range(codes.shape[1]):
                 near += lut[:, j].take(codes[:, j], axis=1)
             for i in range(len(lut)):
-                top = np.argsort(-near[i], kind="stable")[:most] if most < len(ids) else np.arange(len(ids))
+                top = np.argpartition(-near[i], most - 1)[:most] if most < len(ids) else np.arange(len(ids))
                 top = top[ids[top] != own[at + i]]
                 score = x[top] @ q[at + i] / (x_len[top] * q_len[at + i])
                 best = np.lexsort((ids[top], -score))[:k]
@@ -266,7 +277,7 @@ def _search(placed: DataFrame, asked: DataFrame, shared, k: int, rerank: int) ->
     keys = ["cell", "b", "c"]
     got = data.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    got = got.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    got = got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
