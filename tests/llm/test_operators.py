@@ -241,12 +241,18 @@ def test_op8(spark):
     texts = ["x " + item.upper().replace(" ", "--") + " y", "übung Macht! Übung-macht", "quick brown fox", None, "secret phrase"]
     got = {x["doc_id"]: x for x in op8_decontaminate.decontaminate(docs_of(spark, texts), bench).collect()}
     assert (got[0]["n_words"], got[0]["n_hit"], got[0]["items"]) == (13, 11, ["1", "10"])
-    assert (got[1]["n_hit"], got[1]["items"]) == (0, []) or got[1]["n_hit"] == 2
+    assert (got[1]["n_hit"], got[1]["items"]) == (2, ["2"])
     assert not got[2]["contaminated"] and got[3]["n_words"] == 0 and got[4]["n_hit"] == 2 and got[4]["items"] == []
     parts = op8_decontaminate.decontaminate(docs_of(spark, texts), bench, part_words=3)
     assert sorted(map(str, parts.collect())) == sorted(map(str, got.values()))
-    spans = op8_decontaminate.decontaminate(docs_of(spark, texts), bench, mode="spans").orderBy("doc_id").collect()
-    assert spans[0]["text"] == "x  y" and spans[3]["text"] is None
+    for words in (2_000_000, 3):
+        spans = op8_decontaminate.decontaminate(docs_of(spark, texts), bench, mode="spans", part_words=words).orderBy("doc_id").collect()
+        assert spans[0]["text"] == "x  y" and spans[3]["text"] is None and len(spans) == len(texts)
+        clean = op8_decontaminate.decontaminate(docs_of(spark, texts), bench, mode="documents", part_words=words)
+        assert clean.count() == sum(not x["contaminated"] for x in got.values()) and clean.columns == docs_of(spark, ["a"]).columns
+    again = docs_of(spark, [texts[0]] * 3 + [texts[2]], [0, 0, None, 0])
+    assert sorted(r["n_hit"] for r in op8_decontaminate.decontaminate(again, bench, part_words=3).collect()) == [0, 11, 11, 11]
+    assert op8_decontaminate.decontaminate(again.limit(0), bench).count() == 0
     assert op8_decontaminate.decontaminate(docs_of(spark, texts), bench, mode="documents").count() == sum(not x["contaminated"] for x in got.values())
     assert op8_decontaminate.decontaminate(docs_of(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 

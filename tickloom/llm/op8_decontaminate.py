@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, utf8
+from .common import table, text_batches, utf8, written
 
 #: A-Z lowered; every other ASCII byte but digits and letters becomes a blank.
 _TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -73,7 +74,7 @@ class GramIndex:
 def gram_indexes(benchmark: DataFrame, n: int = 10, part_words: int = 2_000_000, id_col: str = "item_id", text_col: str = "text"):
     """Yields one GramIndex after another, each over at most `part_words` words of items
     (a single longer item makes an index of its own). The items stream to the driver by
-    partitions; what is broadcast at once has that bound, whatever the benchmark's size."""
+    partitions, and no more than one part and one item are held."""
     held, total = [], 0
     rows = benchmark.select(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
     for name, text in rows.toLocalIterator():
@@ -99,21 +100,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
     separates its words. Null and empty texts have no words and stay. Every row is judged
     by itself, so that ties and repeated rows need no rule.
 
-    No shuffle: the hash sets are broadcast in parts of bounded size, and each part costs
-    one more scan inside the same task.
+    A benchmark of at most `part_words` words is one broadcast hash set, and one map without
+    a shuffle judges all. A larger one goes part by part: each part is broadcast by itself,
+    its hits are written (one row a contaminated document, known by id and text hash), and
+    the broadcast is destroyed before the next; the hits are then merged and joined.
     """
+    if mode not in ("report", "documents", "spans"):
+        raise ValueError("mode: report, documents or spans")
     spark = docs.sparkSession
     text_batches(spark)
-    shared = [spark.sparkContext.broadcast(x) for x in gram_indexes(benchmark, n, part_words)]
+    parts = gram_indexes(benchmark, n, part_words)
+    first, second = next(parts, None), next(parts, None)
+    if second is not None:
+        return _by_parts(docs, chain([first, second], parts), mode, id_col, text_col)
+    shared = spark.sparkContext.broadcast(first or GramIndex([], n))
 
     def judged(text: bytes):
-        words, items = words_of(text), set()
-        mask = np.zeros(len(words), bool)
-        for b in shared:
-            m, hit = b.value.scan(words)
-            mask |= m
-            items.update(b.value.names[i] for i in hit)
-        return words, mask, sorted(x for x in items if x is not None)
+        index, words = shared.value, words_of(text)
+        mask, hit = index.scan(words)
+        return words, mask, sorted({index.names[i] for i in hit} - {None})
 
     if mode == "report":
 
@@ -145,7 +150,69 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
                 yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
         return docs.mapInArrow(cut, docs.schema)
-    raise ValueError("mode: report, documents or spans")
+    return docs
+
+
+def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
+    return list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def _by_parts(docs: DataFrame, parts, mode: str, id_col: str, text_col: str) -> DataFrame:
+    """decontaminate with one part of the benchmark live at a time."""
+    spark = docs.sparkSession
+    text_hash = F.xxhash64(F.lit(8), F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("_i"), text_hash.alias("_h"), F.col(text_col).alias("_t"))
+    kind = rows.schema["_i"].dataType.simpleString()
+    found = None
+    for index in parts:
+        shared = spark.sparkContext.broadcast(index)
+
+        def scan(batches, shared=shared):
+            for b in batches:
+                keep, spans, items = [], [], []
+                for at, t in enumerate(utf8(b.column(2))):
+                    mask, hit = shared.value.scan(words_of(t))
+                    if hit:
+                        keep.append(at)
+                        spans.append([{"lo": lo, "hi": hi} for lo, hi in _runs(mask)])
+                        items.append(sorted({shared.value.names[i] for i in hit} - {None}))
+                ids = b.select([0, 1]).take(pa.array(keep, pa.int64()))
+                span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=["_i", "_h", "spans", "items"])
+
+        got = rows.mapInArrow(scan, f"_i {kind}, _h long, spans array<struct<lo:int,hi:int>>, items array<string>")
+        got = written(got.dropDuplicates(["_i", "_h"]), "bench-hits")
+        shared.destroy()
+        found = got if found is None else found.unionByName(got)
+    merged = found.groupBy("_i", "_h").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
+    merged = merged.select(F.col("_i").alias("_mi"), F.col("_h").alias("_mh"), "_spans", "_items")
+    on = F.col("_i").eqNullSafe(F.col("_mi")) & (F.col("_h") == F.col("_mh"))
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_i"), text_hash.alias("_h"))
+    if mode == "documents":
+        return packed.join(merged, on, "left_anti").select("_row.*")
+    joined = packed.join(merged, on, "left")
+    text = F.col("_row").getField(text_col)
+    if mode == "report":
+        places = F.flatten(F.transform("_spans", lambda s: F.sequence(s["lo"], s["hi"] - 1)))
+        n_hit = F.coalesce(F.when(F.col("_spans").isNotNull(), F.size(F.array_distinct(places))), F.lit(0)).cast("long")
+        items = F.coalesce("_items", F.array().cast("array<string>"))
+        words = F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+        return joined.select(F.col("_i").alias(id_col), words.alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, found in zip(texts, spans, strict=True):
+            raw = t.encode()
+            mask = np.zeros(len(words_of(raw)), bool)
+            for s in found:
+                mask[s["lo"] : s["hi"]] = True
+            out.append(cut_spans(raw, mask))
+        return pd.Series(out, dtype=object)
+
+    hit = joined.where(F.col("_spans").isNotNull()).select(F.col("_row").withField(text_col, cut(text, F.col("_spans"))).alias("_row"))
+    return joined.where(F.col("_spans").isNull()).select("_row").unionByName(hit).select("_row.*")
 
 
 def cut_spans(text: bytes, mask: np.ndarray) -> str:
