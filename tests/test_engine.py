@@ -178,3 +178,42 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.table("bars").select("symbol", "bar_no", "close", "volume")
     want = bars.range_bars(t.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 100.0).select("symbol", "bar_no", "close", "volume")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_adaptive_bounds_by_hand(spark):
+    """Borders 6 and 12 of 18 rows, pieces of 2: low at row 6 moves it later, high at row 12 earlier."""
+    x = [5.0] * 6 + [0.0] + [5.0] * 5 + [9.0] + [4.0] + [5.0] * 4
+    df = spark.createDataFrame(list(enumerate(x)), "i long, x double")
+    assert splits.adaptive_bounds(df, "i", "x", 3, 3, 0.25, 0.75) == [(0, 8), (8, 10), (10, 18)]
+    flat = spark.createDataFrame([(i, 1.0) for i in range(18)], "i long, x double")
+    assert splits.adaptive_bounds(flat, "i", "x", 3) == [(0, 6), (6, 12), (12, 18)]
+
+
+def test_split_families(spark):
+    assert splits.purged_folds(20, 4, 1, 2)[2:5] == [(1, "test", 5, 10), (1, "train", 0, 4), (1, "train", 12, 20)]
+    assert splits.hold_out(10, 0.7, 1) == [(0, "train", 0, 7), (0, "test", 8, 10)]
+    assert splits.anchored(30, 3, 0.2, 1) == [(0, "train", 0, 7), (0, "test", 8, 10), (1, "train", 0, 17), (1, "test", 18, 20), (2, "train", 0, 27), (2, "test", 28, 30)]
+    rows = [r for r in splits.two_sided(100, 5, 2, 0.05) if r[0] == 0]
+    assert rows == [(0, (0, 1), "test", 0, 20), (0, (0, 1), "test", 20, 40), (0, (0, 1), "train", 45, 60), (0, (0, 1), "train", 60, 80), (0, (0, 1), "train", 80, 100)]
+    ranges = splits.cpcv_ranges(spark, 100, 5, 2, 1, 3, bounds=[(0, 10), (10, 30), (30, 60), (60, 61), (61, 100)])
+    assigned = splits.assign(spark.range(100).withColumnRenamed("id", "idx"), ranges)
+    assert tuple(splits.coverage(assigned, 100).first()) == (0, 4, 4)
+    assert splits.leakage(assigned).agg(F.max("shared")).first()[0] == 0
+
+
+def test_stream_hands_state_over_micro_batches(spark, tmp_path):
+    from tickloom.streaming.bars import stream_range_bars
+
+    t = bars.tick_rule(registry.ticks(spark, SF)).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", "price", "size", "signed")
+    rows = t.orderBy("ts", "seq").toPandas()
+    for k in range(4):  # one file a micro-batch
+        part = rows.iloc[k * len(rows) // 4 : (k + 1) * len(rows) // 4]
+        spark.createDataFrame(part, t.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_range_bars(s, 100.0).writeStream.format("memory").queryName("bars4").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    batches = [p["numInputRows"] for p in q.recentProgress]
+    q.stop()
+    want = bars.range_bars(t.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 100.0)
+    pick = lambda d: sorted(map(tuple, d.select("symbol", "bar_no", "open", "close", "volume", "num_trades").collect()))
+    assert sum(n > 0 for n in batches) >= 4 and pick(spark.table("bars4")) == pick(want)

@@ -15,11 +15,11 @@ def fold_bounds(total: int, folds: int) -> list[tuple[int, int]]:
     return [(i * size, total if i == folds - 1 else (i + 1) * size) for i in range(folds)]
 
 
-def cpcv_ranges(spark: SparkSession, total: int, folds: int, tests: int, purge: int = 1, embargo: int = 0) -> DataFrame:
+def cpcv_ranges(spark: SparkSession, total: int, folds: int, tests: int, purge: int = 1, embargo: int = 0, bounds: list[tuple[int, int]] | None = None) -> DataFrame:
     """(split_id, folds array, role, lo, hi) for every choice of `tests` folds, keyed by the
     fold set; train is what lies outside the test folds, `purge` before and `embargo` after
-    each."""
-    bounds, rows = fold_bounds(total, folds), []
+    each. `bounds`: folds of another kind than equal ones."""
+    bounds, rows = bounds or fold_bounds(total, folds), []
     for k, chosen in enumerate(combinations(range(folds), tests)):
         rows += [(k, list(chosen), "test", *bounds[c]) for c in chosen]
         out = sorted((bounds[c][0] - purge, bounds[c][1] + embargo) for c in chosen)
@@ -83,6 +83,95 @@ def walk_forward(total: int, folds: int, anchored: bool = True, gap: int = 0) ->
     return out
 
 
+def purged_folds(total: int, folds: int, purge: int = 1, embargo: int = 7) -> list[tuple[int, str, int, int]]:
+    """(split_id, role, lo, hi): each fold is once the test, train what lies outside it, the
+    `purge` rows before and the `embargo` rows after."""
+    out = []
+    for k, (lo, hi) in enumerate(fold_bounds(total, folds)):
+        out.append((k, "test", lo, hi))
+        out += [(k, "train", a, b) for a, b in ((0, lo - purge), (hi + embargo, total)) if b > a]
+    return out
+
+
+def hold_out(total: int, share: float = 0.7, gap: int = 0) -> list[tuple[int, str, int, int]]:
+    """One split: the first `share` of the rows trains, what follows the gap tests."""
+    cut = int(total * share)
+    return [(0, role, a, b) for role, a, b in (("train", 0, cut), ("test", cut + gap, total)) if b > a]
+
+
+def anchored(total: int, folds: int = 3, share: float = 0.2, gap: int = 0) -> list[tuple[int, str, int, int]]:
+    """Walk-forward with an expanding train part: the last `share` of each fold tests on all
+    that precedes it by the gap; folds without a train part are left out."""
+    out, size = [], total // folds
+    for k in range(folds):
+        hi = (k + 1) * size
+        lo = hi - int(size * share)
+        if lo - gap > 0 and hi > lo:
+            out += [(k, "train", 0, lo - gap), (k, "test", lo, hi)]
+    return out
+
+
+def two_sided(total: int, folds: int, tests: int, share: float = 0.01) -> list[tuple[int, tuple, str, int, int]]:
+    """(split_id, folds, role, lo, hi) of combinatorial splits whose train ranges keep `share`
+    of all rows away on both sides of every test fold."""
+    bounds, pad, out = fold_bounds(total, folds), int(total * share), []
+    for k, chosen in enumerate(combinations(range(folds), tests)):
+        out += [(k, chosen, "test", *bounds[c]) for c in chosen]
+        for f in sorted(set(range(folds)) - set(chosen)):
+            lo, hi = bounds[f]
+            lo, hi = lo + pad * (f - 1 in chosen), hi - pad * (f + 1 in chosen)
+            if hi > lo:
+                out.append((k, chosen, "train", lo, hi))
+    return out
+
+
+def adaptive_bounds(rows: DataFrame, idx: str, feature: str, folds: int, parts: int = 3, low: float = 0.25, high: float = 0.75) -> list[tuple[int, int]]:
+    """Fold bounds that follow a feature of rows numbered 0..n-1: each inner border of equal
+    folds, made of `parts` pieces each, moves one piece later where the feature is below its
+    `low` quantile there, one piece earlier where it is above its `high` one. Then the
+    smallest folds are merged, or the largest halved, until there are `folds`. One
+    aggregation; only the rows at the borders reach the driver."""
+    q = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile(feature, low).alias("a"), F.percentile(feature, high).alias("b")).first()
+    total, pieces = q["n"], folds * parts
+    at = [round(i * total / pieces) for i in range(pieces)]
+    inner = list(range(parts, pieces, parts))
+    value = dict(rows.where(F.col(idx).isin([at[b] for b in inner])).select(idx, feature).collect())
+    moved = [min(pieces - 1, max(1, b + (value[at[b]] < q["a"]) - (value[at[b]] > q["b"]))) for b in inner]
+    cuts = [0, *sorted({at[b] for b in moved} - {0, total}), total]
+    while len(cuts) - 1 > folds:
+        size = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
+        del cuts[max(1, size.index(min(size)))]
+    while len(cuts) - 1 < folds:
+        size = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
+        k = size.index(max(size))
+        cuts.insert(k + 1, (cuts[k] + cuts[k + 1]) // 2)
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def bagged(ranges: DataFrame, bags: int = 5, seed: int = 1943) -> DataFrame:
+    """Each split once for each bag, with the bag's seed."""
+    one = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: F.struct(b.alias("bag"), (b + seed).alias("seed"))))
+    return ranges.withColumn("_b", one).select(*ranges.columns, "_b.bag", "_b.seed")
+
+
+def coverage(assigned: DataFrame, total: int, idx: str = "idx") -> DataFrame:
+    """One row: indexes that no split tests, and the least and most often one is tested."""
+    times = assigned.where("role = 'test'").groupBy(idx).agg(F.count(F.lit(1)).alias("n"))
+    return times.agg((F.lit(total) - F.count(F.lit(1))).alias("untested"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def purge_by_time(train: DataFrame, tests: DataFrame, embargo: str = "0 days") -> DataFrame:
+    """Rows (t, t1: when their label is known) that train beside test periods (t, t1; a few
+    rows): those whose label is known before a period starts, or which come later than its
+    last label by the embargo. Periods are merged to runs first; each row meets the runs by
+    two comparisons in a broadcast anti join."""
+    bad = (F.col("t1") >= F.col("_from")) & (F.col("t") <= F.col("_to") + F.expr(f"INTERVAL {embargo}"))
+    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    runs = tests.withColumn("_m", F.max("t1").over(w)).withColumn("_g", F.coalesce((F.col("t") > F.col("_m")).cast("int"), F.lit(0)))
+    runs = runs.withColumn("_r", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("_r").agg(F.min("t").alias("_from"), F.max("t1").alias("_to"))
+    return train.join(F.broadcast(runs), bad, "left_anti")
+
+
 def islands(df: DataFrame, idx: str, key: str = "symbol") -> DataFrame:
     """(key, lo, hi, n): runs of consecutive integers."""
     w = Window.partitionBy(key).orderBy(idx)

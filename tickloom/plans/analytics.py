@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import features as X
 from tickloom.operators import scans as S
+from tickloom.operators import splits as P
 from tickloom.operators import stats as ST
 from tickloom.operators import trades as TR
 from tickloom.operators import windows as W
@@ -293,3 +294,50 @@ def best_so_far(spark, sf):
 )
 def zigzag_waves(spark, sf):
     return S.waves(hourly(spark, sf), 100.0).select("symbol", "ts", "close", "wave", "direction")
+
+
+FOLDS = "n AS (SELECT count(*) AS n, count(*) // 5 AS s FROM events), f AS (SELECT k, k * s AS lo, CASE WHEN k = 4 THEN n ELSE (k + 1) * s END AS hi, n FROM range(5) x(k), n)"
+
+
+@query(
+    "purged_folds",
+    f"""WITH {FOLDS}, r AS (SELECT k, 'test' AS role, lo, hi FROM f UNION ALL SELECT k, 'train', 0, lo - 1 FROM f UNION ALL SELECT k, 'train', hi + 7, n FROM f)
+    SELECT k::INT AS split_id, role, lo::BIGINT AS lo, hi::BIGINT AS hi FROM r WHERE hi > lo""",
+)
+def purged_folds(spark, sf):
+    return spark.createDataFrame(P.purged_folds(read(spark, sf, "events").count(), 5), "split_id int, role string, lo long, hi long")
+
+
+@query(
+    "walk_forward",
+    """WITH n AS (SELECT count(*) // 3 AS s FROM events), f AS (SELECT k, (k + 1) * s AS hi, (k + 1) * s - (s * 0.2::DOUBLE)::BIGINT AS lo FROM range(3) x(k), n)
+    SELECT k::INT AS split_id, 'train' AS role, 0::BIGINT AS lo, lo - 10 AS hi FROM f UNION ALL SELECT k::INT, 'test', lo, hi FROM f""".replace("(s * 0.2::DOUBLE)::BIGINT", "floor(s * 0.2::DOUBLE)::BIGINT"),
+)
+def walk_forward(spark, sf):
+    return spark.createDataFrame(P.anchored(read(spark, sf, "events").count(), 3, 0.2, 10), "split_id int, role string, lo long, hi long")
+
+
+@query(
+    "bagged_splits",
+    """WITH n AS (SELECT count(*) AS n, count(*) // 6 AS s FROM events), f AS (SELECT a AS fold, a * s AS lo, CASE WHEN a = 5 THEN n ELSE (a + 1) * s END AS hi FROM range(6) x(a), n),
+    c AS (SELECT row_number() OVER (ORDER BY x.fold, y.fold) - 1 AS k, x.lo AS l1, x.hi AS h1, y.lo AS l2, y.hi AS h2 FROM f x, f y WHERE x.fold < y.fold),
+    r AS (SELECT k, l1 AS lo, h1 AS hi FROM c UNION ALL SELECT k, l2, h2 FROM c)
+    SELECT k::INT AS split_id, lo::BIGINT AS lo, hi::BIGINT AS hi, b::INT AS bag, (1943 + b)::INT AS seed FROM r, range(5) g(b)""",
+)
+def bagged_splits(spark, sf):
+    ranges = P.cpcv_ranges(spark, read(spark, sf, "events").count(), 6, 2)
+    return P.bagged(ranges.where("role = 'test'").select("split_id", "lo", "hi"))
+
+
+@query(
+    "purged_by_time",
+    """WITH e AS (SELECT event_id, ts AS t, ts + INTERVAL 1 DAY AS t1 FROM events),
+    p AS (SELECT min(t) AS a, max(t1) AS b FROM e WHERE t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-12'
+      UNION ALL SELECT min(t), max(t1) FROM e WHERE t >= TIMESTAMP '2024-01-20' AND t < TIMESTAMP '2024-01-21')
+    SELECT event_id, t FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE e.t1 >= a AND e.t <= b + INTERVAL 2 DAY)""",
+)
+def purged_by_time(spark, sf):
+    e = read(spark, sf, "events").select("event_id", F.col("ts").alias("t"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("t1"))
+    day = F.to_date("t")
+    tests = e.where(day.isin("2024-01-10", "2024-01-11", "2024-01-20")).groupBy(day.alias("d")).agg(F.min("t").alias("t"), F.max("t1").alias("t1"))
+    return P.purge_by_time(e, tests.select("t", "t1"), "2 days").select("event_id", "t")
