@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar
-from tickloom.operators import bars, joins, labels, recurrence, scans, splits, stats, windows
+from tickloom.operators import bars, joins, labels, panel, recurrence, scans, splits, stats, windows
 from tickloom.plans import analytics, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -217,3 +217,15 @@ def test_stream_hands_state_over_micro_batches(spark, tmp_path):
     want = bars.range_bars(t.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 100.0)
     pick = lambda d: sorted(map(tuple, d.select("symbol", "bar_no", "open", "close", "volume", "num_trades").collect()))
     assert sum(n > 0 for n in batches) >= 4 and pick(spark.table("bars4")) == pick(want)
+
+
+def test_prioritised_draws(spark):
+    """One draw a stratum; frequencies follow the weights."""
+    weight = {i: 1.0 + (i % 7) ** 2 for i in range(200)}
+    df = spark.createDataFrame(list(weight.items()), "step long, w double")
+    got = panel.prioritised(df, "w", 4000).collect()
+    assert sorted(r["draw"] for r in got) == list(range(4000)) and max(r["is_weight"] for r in got) == 1
+    total, times = sum(weight.values()), {}
+    for r in got:
+        times[r["step"]] = times.get(r["step"], 0) + 1
+    assert all(abs(times.get(i, 0) - 4000 * w / total) <= 2 for i, w in weight.items())

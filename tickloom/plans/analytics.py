@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import features as X
+from tickloom.operators import panel as PN
 from tickloom.operators import scans as S
 from tickloom.operators import splits as P
 from tickloom.operators import stats as ST
@@ -341,3 +342,84 @@ def purged_by_time(spark, sf):
     day = F.to_date("t")
     tests = e.where(day.isin("2024-01-10", "2024-01-11", "2024-01-20")).groupBy(day.alias("d")).agg(F.min("t").alias("t"), F.max("t1").alias("t1"))
     return P.purge_by_time(e, tests.select("t", "t1"), "2 days").select("event_id", "t")
+
+
+@query(
+    "panel_columns",
+    f"""WITH {BARS}, g AS (SELECT min(close) AS lo, max(close) AS hi FROM bars)
+    SELECT symbol, ts, round((close - lo) / (hi - lo), 6) AS minmax, round(close / first_value(close) OVER {O} * 1000, 6) AS rebased,
+      (volume >= 1)::INT + (volume >= 2)::INT + (volume >= 4)::INT + (volume >= 8)::INT AS tier,
+      CASE WHEN delta / volume > 0.33 THEN 1 WHEN delta / volume < -0.33 THEN -1 ELSE 0 END::INT AS stance,
+      round(sum(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10, 6) AS smooth,
+      round(close / sum(abs(close)) OVER {W20}, 6) AS l1 FROM bars, g""",
+)
+def panel_columns(spark, sf):
+    b = PN.global_minmax(hourly(spark, sf), "close", "minmax")
+    b = b.withColumn("rebased", PN.rebased("close", 1000.0)).withColumn("tier", PN.tier(F.col("volume"), (1.0, 2.0, 4.0, 8.0)))
+    b = b.withColumn("stance", PN.position_of(F.col("delta") / F.col("volume"))).withColumn("smooth", PN.centred_mean("close", 10)).withColumn("l1", PN.l1_share("close", 20))
+    return out(b, "symbol", "ts", "minmax", "rebased", "tier", "stance", "smooth", "l1")
+
+
+@query(
+    "complete_times",
+    f"WITH {BARS}, k AS (SELECT ts FROM bars GROUP BY ts HAVING count(DISTINCT symbol) >= (SELECT count(DISTINCT symbol) FROM bars)) SELECT symbol, ts, close FROM bars SEMI JOIN k USING (ts)",
+)
+def complete_times(spark, sf):
+    return PN.complete_times(hourly(spark, sf)).select("symbol", "ts", "close")
+
+
+@query(
+    "active_average",
+    f"""WITH {TURNS}, i AS (SELECT symbol, epoch(entry_ts)::BIGINT // 3600 AS a, epoch(exit_ts)::BIGINT // 3600 AS b, entry AS s FROM tr),
+    st AS (SELECT symbol, a AS k, 1 AS d, s FROM i UNION ALL SELECT symbol, b + 1, -1, -s FROM i),
+    g AS (SELECT symbol, k, sum(d) AS d, sum(s) AS s FROM st GROUP BY ALL)
+    SELECT symbol, k AS "at", sum(d) OVER w::BIGINT AS active, round(CASE WHEN sum(d) OVER w > 0 THEN sum(s) OVER w / sum(d) OVER w ELSE 0 END, 4) AS average
+    FROM g WINDOW w AS (PARTITION BY symbol ORDER BY k)""",
+)
+def active_average(spark, sf):
+    hour = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / 3600).cast("bigint")
+    t = trips(spark, sf).select("symbol", hour("entry_ts").alias("a"), hour("exit_ts").alias("b"), "entry")
+    return out(PN.active_average(t, "a", "b", "entry"), "symbol", "at", "active", "average", digits=4)
+
+
+@query(
+    "even_samples",
+    f"""WITH {BARS}, i AS (SELECT *, row_number() OVER {O} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars)
+    SELECT symbol, ts, close FROM i WHERE i IN (SELECT floor(k * (n - 1) / 7.0::DOUBLE)::BIGINT FROM range(8) r(k))""",
+)
+def even_samples(spark, sf):
+    return PN.even_samples(hourly(spark, sf), 8).select("symbol", "ts", "close")
+
+
+@query(
+    "sma_seeded_ema",
+    f"""WITH RECURSIVE {BARS}, k AS (SELECT *, row_number() OVER {O} AS n, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING) AS m FROM bars),
+    y AS (SELECT symbol, n, ts, m AS y FROM k WHERE n = 10 UNION ALL
+      SELECT k.symbol, k.n, k.ts, k.close * (2::DOUBLE / 11) + (1 - 2::DOUBLE / 11) * y.y FROM y JOIN k ON k.symbol = y.symbol AND k.n = y.n + 1)
+    SELECT k.symbol, k.ts, round(y.y, 5) AS y FROM k LEFT JOIN y USING (symbol, n)""",
+)
+def sma_seeded_ema(spark, sf):
+    return out(PN.sma_seeded_ema(hourly(spark, sf), "close", 10, "y"), "symbol", "ts", "y", digits=5)
+
+
+@query(
+    "running_return",
+    """WITH RECURSIVE s AS (SELECT user_id, event_id, sqrt(value) AS r, row_number() OVER w AS n, coalesce(lag((event_type = 'purchase')::INT) OVER w, 0) AS d
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    g AS (SELECT user_id, event_id, n, r AS g FROM s WHERE n = 1
+      UNION ALL SELECT s.user_id, s.event_id, s.n, s.r + 0.99 * (1 - s.d) * g.g FROM g JOIN s ON s.user_id = g.user_id AND s.n = g.n + 1)
+    SELECT user_id, event_id, round(g, 5) AS g FROM g""",
+)
+def running_return(spark, sf):
+    e = read(spark, sf, "events").select("user_id", "event_id", F.sqrt("value").alias("r"), (F.col("event_type") == "purchase").alias("d"))
+    return out(PN.running_return(e, "r", "d", "g", key="user_id", on="event_id"), "user_id", "event_id", "g", digits=5)
+
+
+@query(
+    "wins_by_config",
+    """WITH p AS (SELECT o_orderdate::DATE AS d, o_orderpriority AS c, max(o_totalprice) AS v FROM orders GROUP BY ALL)
+    SELECT c, count(*) AS wins FROM (SELECT d, c FROM p QUALIFY row_number() OVER (PARTITION BY d ORDER BY v DESC, c) = 1) GROUP BY c""",
+)
+def wins_by_config(spark, sf):
+    o = read(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("d"), F.col("o_orderpriority").alias("c")).agg(F.max("o_totalprice").alias("v"))
+    return PN.wins_by(o, "d", "c", "v")
