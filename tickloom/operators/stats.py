@@ -127,22 +127,23 @@ def pbo(returns: DataFrame, chunks: int = 8, r: str = "r", key: str = "symbol",
     """Probability of backtest overfitting by combinatorially symmetric cross-validation.
 
     returns: (strategy, t from 0 without gaps, r). The first T mod chunks rows go. Per
-    strategy and chunk only (n, sum, sum of squares about the strategy's mean) is kept; the
-    combinations, C(chunks, chunks / 2) of them, join those, so that the cost doesn't depend
+    strategy and chunk only (n, mean, squares about the mean) is kept, by partial aggregation;
+    the combinations, C(chunks, chunks / 2) of them, join those, so that the cost doesn't depend
     on T. Returns (combo, best strategy in sample, omega, logit); PBO is the share of
     logits <= 0.
     """
     spark = returns.sparkSession
     total = returns.agg((F.max(on) + 1).alias("t")).first()["t"] or 0
     skip, size = total % chunks, max(1, total // chunks)
-    mean = Window.partitionBy(key)
-    kept = returns.where(F.col(on) >= skip).withColumn("_m", F.avg(r).over(mean)).withColumn("_x", F.col(r) - F.col("_m"))
-    base = kept.groupBy(key, F.floor((F.col(on) - skip) / size).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"), F.first("_m").alias("m"))
+    chunk = F.floor((F.col(on) - skip) / size).cast("int").alias("c")
+    base = returns.where(F.col(on) >= skip).groupBy(key, chunk).agg(F.count(r).alias("n"), F.avg(r).alias("m"), (F.var_pop(r) * F.count(r)).alias("q"))
     combos = [(k, c, int(c in chosen)) for k, chosen in enumerate(combinations(range(chunks), chunks // 2)) for c in range(chunks)]
     joined = base.join(F.broadcast(spark.createDataFrame(combos, "combo int, c int, inside int")), "c")
-    part = joined.groupBy("combo", key, "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.first("m").alias("m"))
-    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
-    part = part.withColumn("sr", (F.col("m") + F.col("s") / F.col("n")) / F.greatest(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(1e-10)))
+    s = F.col("n") * F.col("m")
+    part = joined.groupBy("combo", key, "inside").agg(F.sum("n").alias("n"), F.sum(s).alias("s"), F.sum(F.col("q") + s * F.col("m")).alias("q"))
+    part = part.withColumn("m", F.col("s") / F.col("n"))
+    var = (F.col("q") - F.col("s") * F.col("m")) / (F.col("n") - 1)
+    part = part.withColumn("sr", F.col("m") / F.greatest(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(1e-10)))
     both = part.groupBy("combo", key).agg(F.max(F.when(F.col("inside") == 1, F.col("sr"))).alias("is_sr"), F.max(F.when(F.col("inside") == 0, F.col("sr"))).alias("oos_sr"))
     by = Window.partitionBy("combo")
     ties = Window.partitionBy("combo", "oos_sr")

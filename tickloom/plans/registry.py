@@ -315,7 +315,20 @@ def equity(spark, sf):
     return out(ST.equity_drawdown(returns(spark, sf)), "symbol", "ts", "equity", "drawdown", digits=5)
 
 
-@query("pbo")
+@query(
+    "pbo",
+    f"""WITH {RET}, n AS (SELECT *, row_number() OVER {O} - 1 AS t FROM ret), p AS (SELECT max(t) + 1 AS tt FROM n),
+    k AS (SELECT symbol, r, (t - tt % 8) // (tt // 8) AS c FROM n, p WHERE t >= tt % 8),
+    ms AS (SELECT list_filter(range(8), lambda b: (x >> b) & 1 = 1) AS l FROM range(256) q(x) WHERE bit_count(x) = 4),
+    cb AS (SELECT row_number() OVER (ORDER BY l) - 1 AS combo, l FROM ms),
+    j AS (SELECT combo, symbol, r, list_contains(l, c) AS i FROM k, cb),
+    s AS (SELECT combo, symbol, avg(r) FILTER (WHERE i) / greatest(stddev_samp(r) FILTER (WHERE i), 1e-10) AS is_sr,
+      avg(r) FILTER (WHERE NOT i) / greatest(stddev_samp(r) FILTER (WHERE NOT i), 1e-10) AS oos_sr FROM j GROUP BY ALL),
+    rk AS (SELECT *, rank() OVER (PARTITION BY combo ORDER BY oos_sr) + (count(*) OVER (PARTITION BY combo, oos_sr) - 1) / 2 AS rk,
+      count(*) OVER (PARTITION BY combo) AS n, row_number() OVER (PARTITION BY combo ORDER BY is_sr DESC, symbol) AS f FROM s)
+    SELECT combo::INT AS combo, symbol AS best, round(is_sr, 6) AS is_sr, round(oos_sr, 6) AS oos_sr, round(rk / (n + 1), 6) AS omega,
+      round(ln(rk / (n + 1) / (1 - rk / (n + 1))), 6) AS logit FROM rk WHERE f = 1""",
+)
 def pbo(spark, sf):
     return out(ST.pbo(returns(spark, sf)), "combo", "best", "is_sr", "oos_sr", "omega", "logit")
 
