@@ -7,6 +7,11 @@ read again as the next one's.
 4. mix: each document once for each copy that the source targets take of it.
 5. tokens: token ids to sorted-string-table shards, read back: doc_id, start, n_tokens, ids_crc32.
 
+Columns of `documents` alone go on, whatever others a table has. Nulls in any column, empty and
+very long texts, repeated rows and empty tables pass through every stage: null texts count as
+empty, which the quality curve scores like any text, which all share one SimHash, hold no
+window, have no words and give the end id alone.
+
 SQL can express neither zstandard sizes nor BPE, so that there is no ORACLE_SQL; tests hold
 every stage against a brute-force version.
 """
@@ -32,10 +37,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the row of the least id stays (null ids last, then by text hash)."""
     return simhash_dedup(docs.select(COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row is judged by its own text."""
     return decontaminate(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"), mode="documents")
 
 
@@ -45,6 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in ascending id order, null ids first; copies are entries of their own."""
     return token_table(docs, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
