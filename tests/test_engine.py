@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions import scalar
+from tickloom.functions import rules, scalar
 from tickloom.operators import bars, joins, labels, panel, recurrence, scans, splits, stats, windows
 from tickloom.plans import analytics, registry  # noqa: F401
 
@@ -229,3 +229,13 @@ def test_prioritised_draws(spark):
     for r in got:
         times[r["step"]] = times.get(r["step"], 0) + 1
     assert all(abs(times.get(i, 0) - 4000 * w / total) <= 2 for i, w in weight.items())
+
+
+def test_rules(spark):
+    assert [rules.interval(x) for x in ("5m", "15Min", "1h", "1Day", "day", "1wk", "1mo", "1M")] == ["5 minutes", "15 minutes", "1 hours", "1 days", "1 days", "1 weeks", "1 months", "1 months"]
+    assert rules.split_list("0-2, 5", 6) == [0, 1, 2, 5] and rules.split_list("3,1,1", 4) == [1, 3]
+    for bad in (lambda: rules.interval("x9"), lambda: rules.split_list("0-6", 6), lambda: rules.veto("a = 3")):
+        with pytest.raises(ValueError):
+            bad()
+    df = spark.createDataFrame([(0, 1, 5.0), (0, 1, 0.5), (0, -1, None), (1, -1, 0.5)], "held int, target int, a double")
+    assert [r["target"] for r in rules.vetoed(df, "a < 1,", "held", "target").collect()] == [1, 0, -1, -1]

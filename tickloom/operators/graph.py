@@ -22,3 +22,33 @@ def objectives(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("src").alias("node"), "w").unionAll(edges.select(F.col("dst").alias("node"), "w"))
     return both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("strength"))
+
+
+def partition_value(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row, value: minus the cut's weight, or minus infinity unless half of the nodes
+    have label 0."""
+    cut = labelled_edges(edges, labels).agg(F.coalesce(F.sum(F.when(F.col("la") != F.col("lb"), F.col("w")).otherwise(0.0)), F.lit(0.0)).alias("cut"))
+    half = labels.agg((2 * F.sum((F.col("label") == 0).cast("long")) == F.count(F.lit(1))).alias("even"))
+    return cut.crossJoin(F.broadcast(half)).select(F.when(F.col("even"), -F.col("cut")).otherwise(F.lit(float("-inf"))).alias("value"))
+
+
+def set_cover(sets: DataFrame, chosen: DataFrame, total: int) -> DataFrame:
+    """One row, n_sets and ratio, from sets (id, items array) and the chosen ids: how many
+    sets, and the share of the `total` items that they cover."""
+    picked = sets.join(chosen.select("id").distinct(), "id", "left_semi")
+    covered = picked.select(F.explode("items").alias("i")).distinct().agg(F.count(F.lit(1)).alias("c"))
+    return covered.crossJoin(picked.agg(F.count(F.lit(1)).alias("n_sets"))).select("n_sets", (F.col("c") / total).alias("ratio"))
+
+
+def colours(labels: DataFrame) -> DataFrame:
+    """One row: chosen nodes (label 1) and distinct labels."""
+    return labels.agg(F.sum((F.col("label") == 1).cast("long")).alias("chosen"), F.countDistinct("label").alias("colours"))
+
+
+def scores_by_run(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(run, cut) of many labellings (run, node, label) at once: the edges meet the labels
+    twice, keyed by node."""
+    a = labels.select("run", F.col("node").alias("src"), F.col("label").alias("la"))
+    b = labels.select("run", F.col("node").alias("dst"), F.col("label").alias("lb"))
+    both = edges.join(a, "src").join(b, ["run", "dst"])
+    return both.groupBy("run").agg(F.sum(F.when(F.col("la") != F.col("lb"), F.col("w")).otherwise(0.0)).alias("cut"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import rules
 from tickloom.operators import features as X
+from tickloom.operators import graph as G
 from tickloom.operators import panel as PN
 from tickloom.operators import scans as S
 from tickloom.operators import splits as P
@@ -12,7 +14,7 @@ from tickloom.operators import stats as ST
 from tickloom.operators import trades as TR
 from tickloom.operators import windows as W
 
-from .registry import BARS, EFFORT, O, RET, SBARS, W20, hourly, hourly_signed, out, query, read, returns
+from .registry import BARS, EDGES, EFFORT, O, RET, SBARS, W20, edges, hourly, hourly_signed, out, query, read, returns
 
 
 def div(a: str, b: str) -> str:
@@ -423,3 +425,52 @@ def running_return(spark, sf):
 def wins_by_config(spark, sf):
     o = read(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("d"), F.col("o_orderpriority").alias("c")).agg(F.max("o_totalprice").alias("v"))
     return PN.wins_by(o, "d", "c", "v")
+
+
+@query(
+    "vetoed_entries",
+    f"""WITH {BARS}, o AS (SELECT symbol, ts, sign(delta)::INT AS target, volume, close, coalesce(lag(sign(delta)) OVER {O}, 0)::INT AS held FROM bars)
+    SELECT symbol, ts, CASE WHEN held = 0 AND target <> 0 AND (volume < 2 OR close > 400) THEN 0 ELSE target END::INT AS target FROM o""",
+)
+def vetoed_entries(spark, sf):
+    b = hourly(spark, sf).withColumn("target", F.signum("delta").cast("int"))
+    b = b.withColumn("held", F.coalesce(F.lag("target").over(W.order()), F.lit(0)))
+    return rules.vetoed(b, "volume < 2, close > 400", "held", "target").select("symbol", "ts", "target")
+
+
+@query(
+    "runs_of_cuts",
+    f"""WITH {EDGES}, q AS (SELECT unnest(range(2, 6)) AS run)
+    SELECT run::INT AS run, sum(CASE WHEN src % run <> dst % run THEN w ELSE 0 END) AS cut FROM e, q GROUP BY run""",
+)
+def runs_of_cuts(spark, sf):
+    e = edges(spark, sf)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    labels = nodes.withColumn("run", F.explode(F.sequence(F.lit(2), F.lit(5)))).withColumn("label", F.col("node") % F.col("run"))
+    return G.scores_by_run(e, labels)
+
+
+@query(
+    "partition_value",
+    f"""WITH {EDGES}, v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), l AS (SELECT node, row_number() OVER (ORDER BY node) % 2 AS l FROM v)
+    SELECT CASE WHEN (SELECT 2 * sum((l = 0)::INT) = count(*) FROM l) THEN -sum(CASE WHEN a.l <> b.l THEN w ELSE 0 END) ELSE '-inf'::DOUBLE END AS value
+    FROM e JOIN l a ON a.node = src JOIN l b ON b.node = dst""",
+)
+def partition_value(spark, sf):
+    e = edges(spark, sf)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    numbered = P.runs(nodes, "node")
+    return G.partition_value(e, numbered.select("node", ((F.col("start") + 1) % 2).alias("label")))
+
+
+@query(
+    "set_cover",
+    """WITH s AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS i FROM lineitem WHERE l_orderkey % 50 = 0)
+    SELECT count(DISTINCT id) AS n_sets, count(DISTINCT i) / (SELECT count(*) FROM supplier) AS ratio FROM s""",
+)
+def set_cover(spark, sf):
+    """Orders as sets of suppliers; those whose key is divisible by 50 are the chosen cover."""
+    li = read(spark, sf, "lineitem")
+    sets = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("items"))
+    chosen = li.where(F.col("l_orderkey") % 50 == 0).select(F.col("l_orderkey").alias("id"))
+    return G.set_cover(sets, chosen, read(spark, sf, "supplier").count())
