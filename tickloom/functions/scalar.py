@@ -44,12 +44,36 @@ def clean_number(x: Column) -> Column:
     return F.replace(x, F.lit(","), F.lit("")).try_cast("double")
 
 
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution by its power series about 0, whose terms are positive;
+    arguments beyond 8 count as 8."""
+    t = clip(z.cast("double"), -8.0, 8.0)
+    start = F.struct(t.alias("term"), t.alias("total"))
+    grow = lambda s, k: F.struct((s["term"] * t * t / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * t * t / (2 * k + 1)).alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, grow, lambda s: s["total"])
+    return 0.5 + series * F.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+
+
+def psr_of(sharpe: Column, t: Column, skew: Column, kurtosis: Column, target: Column | float = 0.0, guard: float | None = None) -> Column:
+    """Probabilistic Sharpe ratio of columns (kurtosis: not in excess); where the squared
+    spread isn't positive, `guard`."""
+    target = target if isinstance(target, Column) else F.lit(target)
+    spread = 1 - skew * sharpe + sharpe * sharpe * (kurtosis - 1) / 4
+    z = (sharpe - target) * F.sqrt(t - 1) / F.sqrt(F.greatest(spread, F.lit(1e-300)))
+    return F.when(spread > 0, normal_cdf(z)).otherwise(F.lit(guard).cast("double"))
+
+
 def expected_max(n: int) -> float:
     """Expected maximum of n standard normal draws."""
     z = NormalDist().inv_cdf
     return (1 - EULER) * z(1 - 1 / n) + EULER * z(1 - 1 / (n * math.e))
 
 
+def expected_max_small(n: int) -> float:
+    """The same with the quantile of 1 - 1 / (n + 1) below 5 draws, 0 below 2."""
+    return 0.0 if n < 2 else NormalDist().inv_cdf(1 - 1 / (n + 1)) if n < 5 else expected_max(n)
+
+
 def psr(sharpe: float, t: int, skew: float, kurtosis: float, target: float = 0.0) -> float:
     """Probabilistic Sharpe ratio (kurtosis: not in excess)."""
     spread = math.sqrt(1 - skew * sharpe + sharpe**2 * (kurtosis - 1) / 4)

@@ -19,12 +19,12 @@ def affine_scan(df: DataFrame, a: str, b: str, out: str, key: str = "symbol", or
     rows, nor more than a group's chunks.
     """
     by = F.col(order).desc() if descending else F.col(order)
-    df = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(by)) - 1)
-    row = F.struct(F.col("_n"), F.coalesce(F.col(a), F.lit(1.0)).cast("double").alias("a"), F.when(F.col(a).isNull(), 0.0).otherwise(F.coalesce(F.col(b), F.lit(0.0))).cast("double").alias("b"), F.struct(*[c for c in df.columns if c not in (key, "_n")]).alias("r"))
-    chunks = df.withColumn("_c", F.floor(F.col("_n") / CHUNK)).groupBy(key, "_c").agg(F.array_sort(F.collect_list(row), lambda x, y: (x["_n"] - y["_n"]).cast("int")).alias("rows"))
+    df = df.withColumn("__row", F.row_number().over(Window.partitionBy(key).orderBy(by)) - 1)
+    row = F.struct(F.col("__row"), F.coalesce(F.col(a), F.lit(1.0)).cast("double").alias("a"), F.when(F.col(a).isNull(), 0.0).otherwise(F.coalesce(F.col(b), F.lit(0.0))).cast("double").alias("b"), F.struct(*[c for c in df.columns if c not in (key, "__row")]).alias("r"))
+    chunks = df.withColumn("__chunk", F.floor(F.col("__row") / CHUNK)).groupBy(key, "__chunk").agg(F.array_sort(F.collect_list(row), lambda x, y: (x["__row"] - y["__row"]).cast("int")).alias("rows"))
     fold = "aggregate(rows, named_struct('a', 1.0D, 'b', 0.0D), (s, x) -> named_struct('a', s.a * x.a, 'b', x.a * s.b + x.b))"
     chunks = chunks.withColumn("m", F.expr(fold))
-    before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("ms", F.collect_list("m").over(before))
     chunks = chunks.withColumn("y0", F.expr("aggregate(ms, 0.0D, (s, x) -> x.a * s + x.b)"))
     walk = "aggregate(rows, named_struct('y', y0, 'o', cast(array() as array<double>)), (s, x) -> named_struct('y', x.a * s.y + x.b, 'o', concat(s.o, array(x.a * s.y + x.b))), s -> s.o)"
