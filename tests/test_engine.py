@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import rules, scalar
 from tickloom.operators import bars, joins, labels, panel, recurrence, scans, splits, stats, windows
-from tickloom.plans import analytics, registry  # noqa: F401
+from tickloom.plans import analytics, blocks, evaluations, registry, tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -19,6 +19,7 @@ CONTEXT = ["pct_in_range", "range_width_norm", "bars_in_range", "support_test_co
 
 
 def some(x: Column) -> Column:
+    """x, but at least a tiny amount: that amount where x is null."""
     return F.greatest(x, F.lit(TINY))
 
 
@@ -86,7 +87,7 @@ def wave_features(bars: DataFrame, points: float = 40.0) -> DataFrame:
     mean3 = lambda ks: sum((v(k) for k in ks[1:]), v(ks[0])) / 3
     same, other = mean3((2, 4, 6)), mean3((1, 3, 5))
     bought, sold = F.when(up, same).otherwise(other), F.when(up, other).otherwise(same)
-    power = lambda a, b: clip(F.coalesce(a / some(b), F.lit(1.0)), 0.0, 5.0)
+    known = lambda a, b: clip(F.when(a.isNotNull() & b.isNotNull(), a / some(b)).otherwise(1.0), 0.0, 5.0)
     pick = lambda f, rising: F.when(up == rising, _trend([f(k) for k in (8, 6, 4, 2)])).otherwise(_trend([f(k) for k in (7, 5, 3, 1)]))
     most = lambda x: clip(x, 0.0, 5.0)
     avg4 = sum((v(k) for k in (2, 3, 4)), v(1)) / 4
@@ -105,14 +106,14 @@ def wave_features(bars: DataFrame, points: float = 40.0) -> DataFrame:
         most(against(2, er, some(v(2) / some(d(2))), 1.0)).alias("wave_er_vs_same"),
         most(against(1, er, some(v(1) / some(d(1))), 1.0)).alias("wave_er_vs_prev"),
         clip(F.when(v(2) > TINY, flow - F.col("_q2")).otherwise(0.0), -2.0, 2.0).alias("wave_delta_vs_same"),
-        power(bought, sold).alias("demand_score_3wave"),
-        power(sold, bought).alias("supply_score_3wave"),
+        known(bought, sold).alias("demand_score_3wave"),
+        known(sold, bought).alias("supply_score_3wave"),
         pick(v, True).alias("wave_vol_trend_up"),
         pick(v, False).alias("wave_vol_trend_down"),
         pick(d, True).alias("wave_shortening_up"),
         pick(d, False).alias("wave_shortening_down"),
         F.when(v(2) > TINY, F.least(vol / v(2), F.lit(1.0))).otherwise(0.0).alias("yellow_bar"),
-        most(F.coalesce(vol / some(avg4), F.lit(1.0))).alias("large_wave_score"),
+        known(vol, avg4).alias("large_wave_score"),
     )
 
 

@@ -55,9 +55,9 @@ g AS (SELECT *, d::DOUBLE AS wave_direction, {most("wb / 20.0::DOUBLE")} AS wave
   {against(2, "s", some("s2"))} AS wave_disp_vs_same, {against(1, "s", some("s1"))} AS wave_disp_vs_prev,
   {against(2, "er", some(f"(v2 / {some('s2')})"))} AS wave_er_vs_same, {against(1, "er", some(f"(v1 / {some('s1')})"))} AS wave_er_vs_prev,
   CASE WHEN v2 > 1e-8 THEN least(greatest(q - q2, -2), 2) ELSE 0 END AS wave_delta_vs_same,
-  {most(f"coalesce(bought / {some('sold')}, 1)")} AS demand_score_3wave, {most(f"coalesce(sold / {some('bought')}, 1)")} AS supply_score_3wave,
+  {most(f"CASE WHEN v6 IS NULL THEN 1 ELSE bought / {some('sold')} END")} AS demand_score_3wave, {most(f"CASE WHEN v6 IS NULL THEN 1 ELSE sold / {some('bought')} END")} AS supply_score_3wave,
   {pick("v", 1)} AS wave_vol_trend_up, {pick("v", -1)} AS wave_vol_trend_down, {pick("s", 1)} AS wave_shortening_up, {pick("s", -1)} AS wave_shortening_down,
-  CASE WHEN v2 > 1e-8 THEN least(wv / v2, 1) ELSE 0 END AS yellow_bar, {most(f"coalesce(wv / {some('((v1 + v2 + v3 + v4) / 4)')}, 1)")} AS large_wave_score FROM h2)"""
+  CASE WHEN v2 > 1e-8 THEN least(wv / v2, 1) ELSE 0 END AS yellow_bar, {most(f"CASE WHEN v4 IS NULL THEN 1 ELSE wv / {some('((v1 + v2 + v3 + v4) / 4)')} END")} AS large_wave_score FROM h2)"""
 
 
 def rounded(names: list[str]) -> str:
