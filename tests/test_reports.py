@@ -66,6 +66,11 @@ def test_probabilities(spark):
     assert scalar.expected_max_small(1) == 0.0 and scalar.expected_max_small(3) == pytest.approx(0.6744897501960817)
 
 
+def test_nulls_stay_null(spark):
+    x = spark.createDataFrame([(None,), (3.0,)], "x double").select(scalar.clip(F.col("x"), -1.0, 1.0).alias("c"), scalar.normal_cdf(F.col("x")).alias("p")).collect()
+    assert tuple(x[0]) == (None, None) and x[1]["c"] == 1.0
+
+
 def test_deflated_variants(spark):
     rows = [(s, float(x)) for s, xs in {"a": (0.1, 0.2, 0.0, 0.3), "b": (0.1, -0.2, 0.1, 0.1), "c": (0.1, 0.2, 0.0, 0.3)}.items() for x in xs]
     df = spark.createDataFrame(rows, "symbol string, r double")
@@ -210,3 +215,43 @@ def test_scores_wait_for_six_waves(spark):
     r = waves.wave_features(bars_of(spark, [0, 20, 0, 20, 0, 20, 0]), 10.0).orderBy(F.desc("ts")).collect()
     assert [x["wave"] for x in r[:2]] == [5, 4]
     assert (r[0]["demand_score_3wave"], r[0]["supply_score_3wave"], r[0]["large_wave_score"], r[1]["large_wave_score"]) == (1.0, 1.0, 1.0, pytest.approx(1 / 1.25))
+
+
+def test_tick_slices(spark, tmp_path):
+    """A slice by time, in batch and replayed in small micro-batches; times without a scan."""
+    from tickloom.sources.scid import EPOCH, RECORD, ScidDataSource, span
+
+    r = np.zeros(500, RECORD)
+    at = np.arange(500) // 2 * 1_000_000  # two records a second
+    r["time"], r["close"], r["volume"] = at + 1_704_067_200_000_000 + EPOCH, np.arange(500), 1
+    path = str(tmp_path / "NQ.scid")
+    with open(path, "wb") as f:
+        f.write(b"SCID" + np.array([56, RECORD.itemsize], "<u4").tobytes() + np.array([1], "<u2").tobytes() + bytes(42) + r.tobytes())
+    spark.dataSource.register(ScidDataSource)
+    utc = dt.timezone.utc
+    assert span(path) == (dt.datetime(2024, 1, 1, tzinfo=utc), dt.datetime(2024, 1, 1, 0, 4, 9, tzinfo=utc))
+    cut = {"from": "2024-01-01T00:00:10", "to": "2024-01-01T00:01:40"}
+    got = spark.read.format("scid").options(**cut, partitionRecords=50).load(path)
+    assert [x["seq"] for x in got.orderBy("seq").collect()] == list(range(20, 200))
+    assert spark.read.format("scid").options(**{"from": "2025-01-01"}).load(path).count() == 0
+    assert spark.read.format("scid").options(**cut, tail=5).load(path).agg(F.min("seq")).first()[0] == 195
+    stream = spark.readStream.format("scid").options(**cut, maxRecords=70).load(path)
+    q = stream.writeStream.format("memory").queryName("slice").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(x["seq"] for x in spark.table("slice").collect()) == list(range(20, 200))
+    found = files.tick_files(spark, str(tmp_path), "nq").first()
+    assert found["exact"] and found["length"] == 56 + 500 * RECORD.itemsize
+    assert files.load_bars(spark, path, "NQ", points=40.0).count() > 5 and files.load_bars(spark, path, "NQ", every="1 minute").count() == 5
+
+
+def test_moving_average_kinds(spark):
+    """All kinds keep a constant column constant once they are warm."""
+    from tickloom.operators import features
+
+    b = bars_of(spark, [7] * 40)
+    for kind in features.AVERAGES:
+        got = features.moving_average(b, kind, "close", 5, "y").orderBy(F.desc("ts")).limit(20).collect()
+        assert [r["y"] for r in got] == pytest.approx([7.0] * 20), kind
+    with pytest.raises(ValueError):
+        features.moving_average(b, "other", "close", 5, "y")

@@ -18,7 +18,8 @@ def safe_div(a: Column, b: Column, fill: float = 0.0) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x within low..high; null stays null (greatest and least would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def finite(x: Column) -> Column:

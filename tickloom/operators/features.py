@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import clip, safe_div
 
-from .recurrence import affine_scan
+from .recurrence import affine_scan, ema, kama, wilder
 from .windows import last, order, past, position, rolling_mean, wma
 
 TINY = 1e-8
@@ -123,3 +123,23 @@ def rolling_risk(df: DataFrame, n: int = 200, x: str = "close") -> DataFrame:
     fill = lambda c: F.coalesce(F.first(c, ignorenulls=True).over(ahead), F.lit(0.0))
     peak = F.max(x).over(last(n))
     return df.withColumn("volatility", fill("_v")).withColumn("sharpe", fill("_q")).withColumn("window_drawdown", (F.col(x) - peak) / (peak + 1e-9)).drop("_r", "_v", "_q")
+
+
+#: Kinds of moving averages over a column x with n rows, by name: (df, x, n, out).
+AVERAGES = {
+    "simple": lambda df, x, n, out: df.withColumn(out, rolling_mean(F.col(x), n, strict=True)),
+    "weighted": lambda df, x, n, out: df.withColumn(out, wma(F.col(x), n)),
+    "exponential": ema,
+    "wilder": wilder,
+    "triangular": triangular,
+    "hull": hull,
+    "vidya": vidya,
+    "adaptive": kama,
+}
+
+
+def moving_average(df: DataFrame, kind: str, x: str, n: int, out: str) -> DataFrame:
+    """Adds the moving average of a kind in AVERAGES."""
+    if kind not in AVERAGES:
+        raise ValueError(f"kind: {', '.join(AVERAGES)}")
+    return AVERAGES[kind](df, x, n, out)

@@ -7,34 +7,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def zigzag_step(state: dict, i: int, close: float, points: float) -> None:
-    """Advances direction, extremum and wave number by one close."""
+def zigzag_step(state: dict, close: float, size: float, percent: bool = False) -> None:
+    """Advances direction, extremum and wave number by one close; size in points, or in per
+    cent of the extremum (of positive prices)."""
     if not state:
         state.update(direction=1, extreme=close, wave=0)
-    elif state["direction"] > 0:
-        if close >= state["extreme"]:
-            state["extreme"] = close
-        elif state["extreme"] - close >= points:
-            state.update(direction=-1, extreme=close, wave=state["wave"] + 1)
-    elif close <= state["extreme"]:
+        return
+    way, extreme = state["direction"], state["extreme"]
+    if way * (close - extreme) >= 0:
         state["extreme"] = close
-    elif close - state["extreme"] >= points:
-        state.update(direction=1, extreme=close, wave=state["wave"] + 1)
+    elif way * (extreme - close) >= (extreme * size / 100 if percent else size):
+        state.update(direction=-way, extreme=close, wave=state["wave"] + 1)
 
 
-def waves(bars: DataFrame, points: float) -> DataFrame:
-    """Adds wave and direction of the closes' zigzag with reversals of `points`."""
+def waves(bars: DataFrame, size: float, percent: bool = False, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Adds wave and direction of the closes' zigzag, with reversals of `size` points or per
+    cent; it starts upwards. A task holds one group of `keys`."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, state, wave, way = pdf.sort_values("ts"), {}, [], []
-        for i, c in enumerate(pdf["close"]):
-            zigzag_step(state, i, c, points)
+        for c in pdf["close"]:
+            zigzag_step(state, c, size, percent)
             wave.append(state["wave"])
             way.append(state["direction"])
         return pdf.assign(wave=wave, direction=way)
 
-    return bars.groupBy("symbol").applyInPandas(run, f"{fields}, wave long, direction int")
+    return bars.groupBy(*keys).applyInPandas(run, f"{fields}, wave long, direction int")
+
+
+def session_waves(bars: DataFrame, size: float, session: str, percent: bool = False) -> DataFrame:
+    """The same with each session (a column) starting a new wave, upwards, from a fresh
+    extremum; wave numbers go on over a symbol's sessions. One session a task; the numbers'
+    offsets come from a table of one row a session."""
+    df = waves(bars, size, percent, ("symbol", session))
+    before = Window.partitionBy("symbol").orderBy(session).rowsBetween(Window.unboundedPreceding, -1)
+    per = df.groupBy("symbol", session).agg((F.max("wave") + 1).alias("_w"))
+    per = per.select("symbol", session, F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_at"))
+    return df.join(per, ["symbol", session]).withColumn("wave", F.col("wave") + F.col("_at")).drop("_at").select(*df.columns)
 
 
 def execute(orders: DataFrame, cost: float = 0.0, multiplier: float = 1.0, capital: float = 0.0) -> DataFrame:

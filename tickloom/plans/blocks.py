@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import features as X
+from tickloom.operators import scans as S
 from tickloom.operators import waves as V
 from tickloom.operators import windows as W
 
 from .analytics import div, fit, frame, mean
-from .registry import O, SBARS, hourly_signed, out, query
+from .registry import BARS, SBARS, O, hourly, hourly_signed, out, query
 
 POINTS = 100
 UP = "(PARTITION BY symbol, wave ORDER BY ts)"
@@ -142,3 +142,32 @@ def all_features(spark, sf):
     """The 58 features in one frame; each block has SQL of its own."""
     b = hourly_signed(spark, sf).withColumn("duration_seconds", F.col("num_trades") * 60.0)
     return V.all_features(b, float(POINTS))
+
+
+def zigzag(rows: str, key: str, limit: str) -> str:
+    """Recursive zigzag of rows i (key, n, ts, close) that starts upwards."""
+    return f"""z AS (SELECT {key}, n, ts, close, 1 AS d, close AS e, 0 AS wave FROM {rows} WHERE n = 1
+      UNION ALL SELECT {key}, n, ts, close, CASE WHEN turn THEN -d ELSE d END, CASE WHEN turn OR d * (close - e) >= 0 THEN close ELSE e END, wave + turn::INT
+      FROM (SELECT i.*, z.d, z.e, z.wave, z.d * (z.e - i.close) > 0 AND z.d * (z.e - i.close) >= {limit} AS turn
+        FROM z JOIN {rows} i ON {" AND ".join(f"i.{k} = z.{k}" for k in key.split(", "))} AND i.n = z.n + 1))"""
+
+
+@query(
+    "percent_waves",
+    f"""WITH RECURSIVE {BARS}, i AS (SELECT symbol, ts, close, row_number() OVER {O} AS n FROM bars), {zigzag("i", "symbol", "z.e * 50.0::DOUBLE / 100")}
+    SELECT symbol, ts, close, wave::BIGINT AS wave, d::INT AS direction FROM z""",
+)
+def percent_waves(spark, sf):
+    return S.waves(hourly(spark, sf), 50.0, percent=True).select("symbol", "ts", "close", "wave", "direction")
+
+
+@query(
+    "session_waves",
+    f"""WITH RECURSIVE {BARS}, i AS (SELECT symbol, ts::DATE AS day, ts, close, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS n FROM bars), {zigzag("i", "symbol, day", "100")},
+    m AS (SELECT symbol, day, max(wave) + 1 AS w FROM z GROUP BY 1, 2),
+    o AS (SELECT symbol, day, coalesce(sum(w) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM m)
+    SELECT symbol, ts, close, (wave + o.at)::BIGINT AS wave, d::INT AS direction FROM z JOIN o USING (symbol, day)""",
+)
+def session_waves(spark, sf):
+    b = hourly(spark, sf).withColumn("day", F.to_date("ts"))
+    return S.session_waves(b, 100.0, "day").select("symbol", "ts", "close", "wave", "direction")

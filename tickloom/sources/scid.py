@@ -9,6 +9,7 @@ i32, volume, bid volume, ask volume u32.
 from __future__ import annotations
 
 import struct
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,48 @@ def decode(data: bytes, record_size: int, first: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["ts", "seq", "open", "high", "low", "close", "num_trades", "volume", "bid_volume", "ask_volume", "delta"])
 
 
+def _place(path: str, head: dict, micros: int) -> int:
+    """Number of the first record at or after a time, by bisection: records are in time order."""
+    low, high = 0, head["records"]
+    with _open(path) as f:
+        while low < high:
+            mid = (low + high) // 2
+            f.seek(head["header_size"] + mid * head["record_size"])
+            if struct.unpack("<q", f.read(8))[0] - EPOCH < micros:
+                low = mid + 1
+            else:
+                high = mid
+    return low
+
+
+def bounds(path: str, head: dict, options: dict) -> tuple[int, int]:
+    """First and last + 1 record of the options from and to (ISO times, UTC unless they say
+    otherwise; from is included, to isn't); all records without them."""
+
+    def place(name: str, default: int) -> int:
+        if name not in options:
+            return default
+        at = datetime.fromisoformat(options[name])
+        at = at if at.tzinfo else at.replace(tzinfo=UTC)
+        return _place(path, head, (at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1))
+
+    first = place("from", 0)
+    return first, max(first, place("to", head["records"]))
+
+
+def span(path: str) -> tuple | None:
+    """Times of the first and the last record, without a scan; None if there are no records."""
+    head = header(path)
+    if not head["records"]:
+        return None
+    out = []
+    with _open(path) as f:
+        for i in (0, head["records"] - 1):
+            f.seek(head["header_size"] + i * head["record_size"])
+            out.append(datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=struct.unpack("<q", f.read(8))[0] - EPOCH))
+    return tuple(out)
+
+
 class Range(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -64,10 +107,11 @@ class ScidReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.tail, self.rows = options["path"], int(options.get("tail", 0)), int(options.get("partitionrecords", 4_000_000))
         self.head = header(self.path)
+        self.bounds = bounds(self.path, self.head, options)
 
     def partitions(self):
-        n = self.head["records"]
-        first = max(0, n - self.tail) if self.tail else 0
+        first, n = self.bounds
+        first = max(first, n - self.tail) if self.tail else first
         return [Range(i, min(i + self.rows, n)) for i in range(first, n, self.rows)] or [Range(0, 0)]
 
     def read(self, part: Range):
@@ -83,10 +127,14 @@ class ScidTail(SimpleDataSourceStreamReader):
     """Whole records appended since the last offset, which is a record number."""
 
     def __init__(self, options: dict):
-        self.path, self.most = options["path"], int(options.get("maxrecords", 100_000))
+        self.path, self.most, self.options = options["path"], int(options.get("maxrecords", 100_000)), options
 
     def initialOffset(self):
-        return {"record": 0}
+        return {"record": bounds(self.path, header(self.path), self.options)[0]}
+
+    def _end(self, head: dict) -> int:
+        """The end of a replay is fixed by `to`; a tail has none."""
+        return bounds(self.path, head, self.options)[1] if "to" in self.options else head["records"]
 
     def _rows(self, first: int, last: int, head: dict):
         with _open(self.path) as f:
@@ -96,7 +144,7 @@ class ScidTail(SimpleDataSourceStreamReader):
 
     def read(self, start):
         head, first = header(self.path), start["record"]
-        last = min(head["records"], first + self.most)
+        last = max(first, min(self._end(head), first + self.most))
         return self._rows(first, last, head), {"record": last}
 
     def readBetweenOffsets(self, start, end):
@@ -105,7 +153,9 @@ class ScidTail(SimpleDataSourceStreamReader):
 
 class ScidDataSource(DataSource):
     """spark.dataSource.register(ScidDataSource); spark.read.format("scid").load(path).
-    Options: tail (last records only), partitionRecords, maxRecords (stream)."""
+    Options: from and to (times; both take files whose records are in time order), tail (last
+    records only), partitionRecords, maxRecords (stream, a micro-batch: with from and to it
+    replays a slice)."""
 
     @classmethod
     def name(cls):
