@@ -255,3 +255,13 @@ def test_moving_average_kinds(spark):
         assert [r["y"] for r in got] == pytest.approx([7.0] * 20), kind
     with pytest.raises(ValueError):
         features.moving_average(b, "other", "close", 5, "y")
+
+
+def test_all_features_equal_their_blocks(spark):
+    b = registry.hourly_signed(spark, SF).withColumn("duration_seconds", F.col("num_trades") * 60.0)
+    whole = waves.all_features(b, 100.0).orderBy("symbol", "ts").toPandas()
+    waved = waves.wave_features(b, 100.0)
+    for names, block in ((waves.WAVE, waved), (waves.EVENT, waves.event_scores(waved)), (waves.CONTEXT, waves.context(waved)), (waves.MICRO, waves.microstructure(b))):
+        part = block.select("symbol", "ts", *names).orderBy("symbol", "ts").toPandas()
+        assert len(part) == len(whole) > 100
+        np.testing.assert_allclose(whole[names].to_numpy(), part[names].to_numpy(float), rtol=1e-6, atol=1e-6)

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import expected_max, normal_cdf
 from tickloom.operators import evaluation as E
-from tickloom.operators import stats as ST
 from tickloom.operators import windows as W
 
 from .analytics import TURNS, frame, mean, trips
-from .registry import BARS, RET, SBARS, O, hourly, hourly_signed, out, query, read, returns
+from .registry import BARS, QUERIES, RET, SBARS, SQL, O, hourly, hourly_signed, out, query, read, returns
 
 
 def phi(z: str) -> str:
@@ -93,16 +92,16 @@ def differential_sortino(spark, sf):
     return out(E.differential(returns(spark, sf), downside=True), "symbol", "ts", "reward", digits=4)
 
 
-def _pbo(spark, sf):
-    r = returns(spark, sf)
-    return ST.pbo(r.withColumn("t", F.row_number().over(W.order()) - 1), 8)
-
-
-@query("overfitting_summary")
+@query(
+    "overfitting_summary",
+    f"""WITH c AS ({SQL["pbo"]}), g AS (SELECT avg((logit <= 0)::INT) AS pbo, regr_slope(oos_sr, is_sr) AS slope, regr_intercept(oos_sr, is_sr) AS intercept,
+      regr_r2(oos_sr, is_sr) AS r2, avg((oos_sr < 0)::INT) AS p_below FROM c)
+    SELECT round(pbo, 4) AS pbo, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r2, 4) AS r2, round(p_below, 4) AS p_below,
+      (pbo >= 0.3)::INT + (pbo >= 0.5)::INT + (pbo >= 0.7)::INT AS band FROM g""",
+)
 def overfitting_summary(spark, sf):
-    """The combinations it sums up have SQL of their own (pbo)."""
-    got = E.overfitting(_pbo(spark, sf))
-    return out(got, *got.columns, digits=5)
+    got = E.overfitting(QUERIES["pbo"](spark, sf))
+    return out(got, *got.columns, digits=4)
 
 
 @query(
