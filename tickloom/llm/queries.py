@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op5_ann as o5
 from . import op10_toxicity as o10
+from . import op13_exact_dedup as o13
 from . import op1_html as o1
 from . import op2_line_dedup as o2
 from . import op3_suffix_dedup as o3
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontaminate": o8.op8_decontaminate,
     "op9_tokens": o9.op9_tokens,
     "op10_toxicity": o10.op10_toxicity,
+    "op13_exact_dedup": o13.op13_exact_dedup,
 }
-SQL = {"op2_line_dedup": o2.SQL, "op8_decontaminate": o8.SQL}
+SQL = {"op2_line_dedup": o2.SQL, "op8_decontaminate": o8.SQL, "op13_exact_dedup": o13.SQL}
