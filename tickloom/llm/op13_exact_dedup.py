@@ -18,6 +18,8 @@ from .common import forget, table, text_batches, utf8, written
 BUCKET_BYTES = 64 << 20
 #: Buckets that one job settles; more bytes than these hold are partitioned further first.
 BUCKETS = 8192
+#: Levels of parts; beyond, what is left has few hashes, and buckets stream it past their tables.
+DEEPEST = 6
 #: Tasks that copies found within one input task, and longer texts than LONG_BYTES, are first dealt to.
 SALTS = 64
 LONG_BYTES = 1 << 16
@@ -154,13 +156,13 @@ def _grace(spilled: DataFrame, level: int) -> list[DataFrame]:
     if not total:
         return []
     buckets = -(-2 * total // BUCKET_BYTES)
-    if buckets > BUCKETS:
+    if buckets > BUCKETS and level < DEEPEST:
         n = int(min(1024, -(-buckets * 3 // (2 * BUCKETS))))
         parts = [written(spilled.where(_slice(level, n) == k), f"exact-part-{level}") for k in range(n)]
         found = [t for p in parts for t in _grace(p, level + 1)]
         forget(*parts)
         return found
-    n = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(min(buckets, BUCKETS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = spilled.repartition(int(n), F.xxhash64(F.lit(100 + level), "h"))
     out = written(dealt.mapInArrow(_settle(True, BUCKET_BYTES), _DDL), f"exact-level-{level}")
     return [out, *_grace(out.where(F.col("kind") == SPILLED), level + 1)]

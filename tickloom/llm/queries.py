@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import op5_ann as o5
 from . import op10_toxicity as o10
+from . import op11_centroids as o11
+from . import op12_align as o12
 from . import op13_exact_dedup as o13
 from . import op1_html as o1
 from . import op2_line_dedup as o2
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_decontaminate": o8.op8_decontaminate,
     "op9_tokens": o9.op9_tokens,
     "op10_toxicity": o10.op10_toxicity,
+    "op11_centroids": o11.op11_centroids,
+    "op12_align": o12.op12_align,
     "op13_exact_dedup": o13.op13_exact_dedup,
 }
-SQL = {"op2_line_dedup": o2.SQL, "op8_decontaminate": o8.SQL, "op13_exact_dedup": o13.SQL}
+SQL = {"op2_line_dedup": o2.SQL, "op8_decontaminate": o8.SQL, "op11_centroids": o11.SQL, "op13_exact_dedup": o13.SQL}
