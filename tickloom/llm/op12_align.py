@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import table, text_batches, written
 
 #: Text bytes whose distinct words share a row; a longer text is a row by itself.
-ROW_BYTES = 8 << 20
-#: Words whose tokens an encoder remembers.
-REMEMBERED = 300_000
+ROW_BYTES = 4 << 20
+#: Words that go to the libraries at a time.
+CALL = 4096
 #: Where both tokenizers' tokens are sure to end: before a blank that follows neither white space nor U+2581.
 BORDER = re.compile(r"(?<=[^\s▁\x1c-\x1f])(?= )")
 
@@ -55,42 +56,49 @@ class PairEncoder:
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         to_byte = _byte_level()
-        self.a_bytes = {i: bytes(to_byte[c] for c in piece) for piece, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in to_byte for c in piece)}
+        self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
+        for piece, i in self.a.get_vocab(with_added_tokens=False).items():
+            if all(c in to_byte for c in piece):
+                self.a_bytes[i] = bytes(to_byte[c] for c in piece)
         self.b_bytes, crossing = [], False
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
             crossing |= re.search("[^▁]▁", piece) is not None
+        self.sizes = [np.fromiter(map(len, x), np.int64) for x in (self.a_bytes, self.b_bytes)]
         kind = type(self.a.pre_tokenizer).__name__ if self.a.pre_tokenizer else ""
         plain = self.a.normalizer is None and [p for p, _ in self.a.pre_tokenizer.pre_tokenize_str(" ab  c")] == ["Ġab", "Ġ", "Ġc"] if kind == "ByteLevel" else False
-        self.words_apart = plain and not crossing and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b") and self.b.encode(" a", out_type=str)[0] == "▁▁"
-        self.known: dict[str, tuple | None] = {}
+        self.words_apart = plain and not crossing and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b") and "".join(self.b.encode(" a", out_type=str)) == "▁▁a"
 
     def words(self, text: str) -> list[str]:
         """The words of space + text."""
         return BORDER.split(" " + text) if self.words_apart else [" " + text]
 
-    def encode(self, words: list[str]) -> list[tuple | None]:
-        """(a ids, a ends, b ids, b ends) of each word; None if either's bytes aren't the word's."""
-        new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {w: self.known[w] for w in words if w in self.known}
-            a_all = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-            b_all = self.b.encode([w[1:] for w in new], num_threads=1)
-            for w, a, b in zip(new, a_all, b_all, strict=True):
-                pa_, pb = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-                raw = w.encode()
-                self.known[w] = (a, _ends(pa_), b, _ends(pb)) if b"".join(pa_) == raw == b"".join(pb) else None
-        return [self.known[w] for w in words]
-
-
-def _ends(pieces: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for p in pieces:
-        at += len(p)
-        out.append(at)
-    return out
+    def encode(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which words have tokens: those whose bytes both give back; and, of all words, number of
+        tokens, ids and byte ends under the first and under the second, flat."""
+        good, parts = [], []
+        for at in range(0, max(1, len(words)), CALL):
+            some = words[at : at + CALL]
+            raw = [w.encode() for w in some]
+            wanted = np.fromiter(map(len, raw), np.int64, len(raw))
+            right, part = np.ones(len(raw), bool), []
+            ids = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)], self.b.encode([w[1:] for w in some], num_threads=1)
+            if " " in some:  # a text's last blank, for which there is nothing to put a space in front of
+                ids[1][some.index(" ")] = [self.b.piece_to_id("▁")]
+            for each, pieces, sizes in zip(ids, (self.a_bytes, self.b_bytes), self.sizes, strict=True):
+                n = np.fromiter(map(len, each), np.int64, len(each))
+                flat = np.fromiter(chain.from_iterable(each), np.int32, int(n.sum()))
+                ends, last = np.cumsum(sizes[flat]), np.cumsum(n)
+                first = np.concatenate([[0], ends])[last - n]
+                total = np.concatenate([[0], ends])[last] - first
+                right &= total == wanted
+                if not right.all() or b"".join([pieces[t] for t in flat.tolist()]) != b"".join(raw):
+                    right &= np.fromiter((b"".join([pieces[t] for t in e]) == r for e, r in zip(each, raw, strict=True)), bool, len(raw))
+                part += [n, flat, (ends - np.repeat(first, n)).astype(np.int32)]
+            good.append(right)
+            parts.append(part)
+        return np.concatenate(good), [np.concatenate(p) for p in zip(*parts, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -98,10 +106,8 @@ def _encoder(a_path: str, b_path: str) -> PairEncoder:
     return PairEncoder(a_path, b_path)
 
 
-def _lists(values: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)])
-    flat = np.fromiter((x for v in values for x in v), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+def _lists(lengths: np.ndarray, flat: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, pa.int32()))
 
 
 _WORD = "struct<a:array<int>,ae:array<int>,b:array<int>,be:array<int>>"
@@ -121,23 +127,18 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col:
 
         def row() -> pa.RecordBatch:
             nonlocal number, ids, texts, size, task
-            coded = enc.encode(list(number))
-            good = np.array([c is not None for c in coded], bool)
-            held = [t if good[t].all() else t[:0] for t in (np.array(t, np.int32) for t in texts)]
+            good, (n_a, a, a_ends, n_b, b, b_ends) = enc.encode(list(number))
+            held = [t if good[t].all() else t[:0] for t in texts]
             # Words that a text with tokens has, numbered anew without gaps.
-            used = np.zeros(len(coded), bool)
+            used = np.zeros(len(good), bool)
             for t in held:
                 used[t] = True
-            coded, anew = [c for c, u in zip(coded, used, strict=True) if u], np.cumsum(used, dtype=np.int32) - 1
-            held = [anew[t] for t in held]
-            n_a, n_b = np.array([len(c[0]) for c in coded], np.int64), np.array([len(c[2]) for c in coded], np.int64)
-            offsets = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
-            flat = np.concatenate(held)
-            each = pa.StructArray.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([int(n_a[t].sum()) for t in held], pa.int64()), pa.array([int(n_b[t].sum()) for t in held], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))],
-                ["id", "n_a", "n_b", "words"],
-            )
-            words = pa.StructArray.from_arrays([_lists([c[i] for c in coded]) for i in range(4)], ["a", "ae", "b", "be"])
+            in_a, in_b, anew = np.repeat(used, n_a), np.repeat(used, n_b), np.cumsum(used, dtype=np.int32) - 1
+            counts = [pa.array([int(n[t].sum()) for t in held], pa.int64()) for n in (n_a, n_b)]
+            own = _lists(np.array([len(t) for t in held], np.int64), anew[np.concatenate(held)])
+            each = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), *counts, own], ["id", "n_a", "n_b", "words"])
+            n_a, n_b = n_a[used], n_b[used]
+            words = pa.StructArray.from_arrays([_lists(n_a, a[in_a]), _lists(n_a, a_ends[in_a]), _lists(n_b, b[in_b]), _lists(n_b, b_ends[in_b])], ["a", "ae", "b", "be"])
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             out = pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), one(words), one(each)], ["row", "words", "docs"])
             number, ids, texts, size = {}, [], [], 0
@@ -149,7 +150,7 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col:
                 if size and size + len(t or "") > most:
                     yield row()
                 ids.append(i)
-                texts.append([number.setdefault(w, len(number)) for w in enc.words(t)] if t else [])
+                texts.append(np.array([number.setdefault(w, len(number)) for w in enc.words(t)] if t else [], np.int32))
                 size += len(t or "") + 50
         if ids:
             yield row()
