@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .machines import slice_cuts, slice_of
+
 #: Rows of a chunk.
 CHUNK = 4096
 
@@ -13,20 +15,29 @@ def affine_scan(df: DataFrame, a: str, b: str, out: str, key: str = "symbol", or
     """Adds y[t] = a[t] y[t-1] + b[t], y before the first row being 0 (give the seed as the
     first row's b). Null a or b count as a = 1, b = 0 (the state stays).
 
-    Affine maps compose, so that a group is cut into chunks of CHUNK rows: each chunk folds
-    its rows into one map, a window over the (few) chunks folds those into entry states, and
-    each chunk replays its rows from its entry state. No task gathers more than a chunk's
-    rows, nor more than a group's chunks.
+    Affine maps compose, so that a group is cut into slices of time and those into chunks of
+    CHUNK rows. A chunk folds its rows into one map; the maps of a slice's chunks are composed
+    in order, and so are the maps of a group's slices; each chunk then replays its rows from
+    its entry state. Rows are numbered within a slice only. A task sorts one slice of a group,
+    and no array is longer than a chunk's rows, a slice's chunks or a group's slices, each
+    composed by one pass.
     """
     by = F.col(order).desc() if descending else F.col(order)
-    df = df.withColumn("__row", F.row_number().over(Window.partitionBy(key).orderBy(by)) - 1)
-    row = F.struct(F.col("__row"), F.coalesce(F.col(a), F.lit(1.0)).cast("double").alias("a"), F.when(F.col(a).isNull(), 0.0).otherwise(F.coalesce(F.col(b), F.lit(0.0))).cast("double").alias("b"), F.struct(*[c for c in df.columns if c not in (key, "__row")]).alias("r"))
-    chunks = df.withColumn("__chunk", F.floor(F.col("__row") / CHUNK)).groupBy(key, "__chunk").agg(F.array_sort(F.collect_list(row), lambda x, y: (x["__row"] - y["__row"]).cast("int")).alias("rows"))
-    fold = "aggregate(rows, named_struct('a', 1.0D, 'b', 0.0D), (s, x) -> named_struct('a', s.a * x.a, 'b', x.a * s.b + x.b))"
-    chunks = chunks.withColumn("m", F.expr(fold))
-    before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("ms", F.collect_list("m").over(before))
-    chunks = chunks.withColumn("y0", F.expr("aggregate(ms, 0.0D, (s, x) -> x.a * s + x.b)"))
+    cuts = slice_cuts(df, order)
+    place = slice_of(order, cuts)
+    df = df.withColumn("__slice", -place if descending else place)
+    df = df.withColumn("__row", F.row_number().over(Window.partitionBy(key, "__slice").orderBy(by)) - 1)
+    own = [c for c in df.columns if c not in (key, "__row", "__slice")]
+    values = F.struct(F.col("__row"), F.coalesce(F.col(a), F.lit(1.0)).cast("double").alias("a"), F.when(F.col(a).isNull(), 0.0).otherwise(F.coalesce(F.col(b), F.lit(0.0))).cast("double").alias("b"), F.struct(*own).alias("r"))
+    rows = F.array_sort(F.collect_list(values), lambda x, y: x["__row"] - y["__row"])
+    chunks = df.withColumn("__chunk", F.floor(F.col("__row") / CHUNK).cast("int")).groupBy(key, "__slice", "__chunk").agg(rows.alias("rows"))
+    chunks = chunks.withColumn("m", F.expr("aggregate(rows, named_struct('a', 1.0D, 'b', 0.0D), (s, x) -> named_struct('a', s.a * x.a, 'b', x.a * s.b + x.b))"))
+    if cuts:
+        entry = _entries(chunks, key)
+        chunks = chunks.join(entry.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__s")) & (F.col("__chunk") == F.col("__c"))).drop("__key", "__s", "__c")
+    else:
+        before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        chunks = chunks.withColumn("y0", F.aggregate(F.collect_list("m").over(before), F.lit(0.0), lambda y, x: x["a"] * y + x["b"]))
     walk = "aggregate(rows, named_struct('y', y0, 'o', cast(array() as array<double>)), (s, x) -> named_struct('y', x.a * s.y + x.b, 'o', concat(s.o, array(x.a * s.y + x.b))), s -> s.o)"
     small = 64  # appending copies the array: replay in pieces
     walk = f"flatten(aggregate(transform(sequence(0, cast(floor((size(rows) - 1) / {small}) as int)), k -> slice(rows, k * {small} + 1, {small})), named_struct('y', y0, 'o', cast(array() as array<array<double>>)), (t, part) -> named_struct('y', aggregate(part, t.y, (s, x) -> x.a * s + x.b), 'o', concat(t.o, array({walk.replace('rows', 'part').replace('y0', 't.y')}))), t -> t.o))"
@@ -34,6 +45,27 @@ def affine_scan(df: DataFrame, a: str, b: str, out: str, key: str = "symbol", or
     return flat.select(key, "z.rows.r.*", F.col("z.y").alias(out))
 
 
+def _prefixes(items: Column) -> Column:
+    """Of maps {k, m} in order: an array of {k, p}, the composition p of all maps before each,
+    and last one with k null, that of all."""
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    then = lambda p, m: F.struct((p["a"] * m["a"]).alias("a"), (m["a"] * p["b"] + m["b"]).alias("b"))
+    empty = F.array().cast("array<struct<k:int,p:struct<a:double,b:double>>>")
+    walked = F.aggregate(items, F.struct(none.alias("p"), empty.alias("o")), lambda s, x: F.struct(then(s["p"], x["m"]).alias("p"), F.concat(s["o"], F.array(F.struct(x["k"].alias("k"), s["p"].alias("p")))).alias("o")))
+    return F.transform(F.array(walked), lambda w: F.concat(w["o"], F.array(F.struct(F.lit(None).cast("int").alias("k"), w["p"].alias("p")))))[0]
+
+
+def _entries(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, __s, __c, y0): the state in which each chunk is entered. Slices have at most
+    SLICE / CHUNK chunks or so, groups at most MOST_SLICES slices."""
+    per = chunks.groupBy(key, F.col("__slice").alias("__s")).agg(_prefixes(F.array_sort(F.collect_list(F.struct(F.col("__chunk").alias("k"), "m")))).alias("w"))
+    whole = per.groupBy(key).agg(_prefixes(F.array_sort(F.collect_list(F.struct(F.col("__s").alias("k"), F.element_at("w", -1)["p"].alias("m"))))).alias("v"))
+    starts = whole.select(F.col(key).alias("__g"), F.explode("v").alias("x")).select("__g", F.col("x.k").alias("__t"), F.col("x.p.b").alias("__y"))
+    at = per.select(key, "__s", F.explode("w").alias("x")).where("x.k IS NOT NULL")
+    at = at.join(starts, F.col(key).eqNullSafe(F.col("__g")) & (F.col("__s") == F.col("__t")))
+    return at.select(key, "__s", F.col("x.k").alias("__c"), (F.col("x.p.a") * F.col("__y") + F.col("x.p.b")).alias("y0"))
+
+
 def ema(df: DataFrame, x: str, span: int, out: str, alpha: float | None = None, **kw) -> DataFrame:
     """Exponential mean seeded with the first value; alpha = 2 / (span + 1)."""
     alpha = 2 / (span + 1) if alpha is None else alpha

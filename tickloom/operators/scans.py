@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .machines import carried_scan
+
 
 def zigzag_step(state: dict, close: float, size: float, percent: bool = False) -> None:
     """Advances direction, extremum and wave number by one close; size in points, or in per
@@ -20,27 +22,32 @@ def zigzag_step(state: dict, close: float, size: float, percent: bool = False) -
         state.update(direction=-way, extreme=close, wave=state["wave"] + 1)
 
 
-def waves(bars: DataFrame, size: float, percent: bool = False, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def waves(bars: DataFrame, size: float, percent: bool = False, key: str = "symbol") -> DataFrame:
     """Adds wave and direction of the closes' zigzag, with reversals of `size` points or per
-    cent; it starts upwards. A task holds one group of `keys`."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
+    cent; it starts upwards. Direction, extremum and number pass from slice to slice of time
+    (machines.carried_scan), so that a task holds a slice of a key's rows."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields if f.name != key)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, wave, way = pdf.sort_values("ts"), {}, [], []
+    def run(value, before: tuple | None, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        state = dict(zip(("direction", "extreme", "wave"), before, strict=True)) if before and before[0] else {}
+        wave, way = [], []
         for c in pdf["close"]:
             zigzag_step(state, c, size, percent)
             wave.append(state["wave"])
             way.append(state["direction"])
-        return pdf.assign(wave=wave, direction=way)
+        last = (state["direction"], float(state["extreme"]), state["wave"]) if state else (None, None, None)
+        return last, pdf.drop(columns=[key]).assign(wave=wave, direction=way)
 
-    return bars.groupBy(*keys).applyInPandas(run, f"{fields}, wave long, direction int")
+    got = carried_scan(bars, "direction int, extreme double, wave bigint", f"{fields}, wave long, direction int", run, key)
+    return got.select(*bars.columns, "wave", "direction")
 
 
 def session_waves(bars: DataFrame, size: float, session: str, percent: bool = False) -> DataFrame:
     """The same with each session (a column) starting a new wave, upwards, from a fresh
     extremum; wave numbers go on over a symbol's sessions. One session a task; the numbers'
     offsets come from a table of one row a session."""
-    df = waves(bars, size, percent, ("symbol", session))
+    own = bars.withColumn("_key", F.concat_ws("\x00", F.col("symbol"), F.col(session).cast("string")))
+    df = waves(own, size, percent, "_key").drop("_key")
     before = Window.partitionBy("symbol").orderBy(session).rowsBetween(Window.unboundedPreceding, -1)
     per = df.groupBy("symbol", session).agg((F.max("wave") + 1).alias("_w"))
     per = per.select("symbol", session, F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_at"))

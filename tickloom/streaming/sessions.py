@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tickloom.operators.machines import carried_scan
 from tickloom.operators.windows import last, order
 
 ORDERS = "symbol string, ts timestamp, target int, position int, realised double, daily double, halted boolean"
@@ -95,13 +96,19 @@ class OrderState:
 
 
 def managed(orders: DataFrame, most: int = 1, limit: float = 5000.0, cost: float = 5.0, multiplier: float = 20.0) -> DataFrame:
-    """Orders (symbol, ts, target, price) through an OrderState, one symbol a task."""
+    """Orders (symbol, ts, target, price) through an OrderState, which passes from slice to
+    slice of time, so that a task holds a slice of a symbol's orders."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return OrderState(most, limit, cost, multiplier).rows(key[0], pdf)
+    def run(key, before: tuple | None, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        book = OrderState(most, limit, cost, multiplier)
+        if before is not None:
+            book.position, book.entry, book.daily, book.halted, book.day = before
+        rows = book.rows(key, pdf).drop(columns=["symbol"])
+        return (book.position, book.entry, book.daily, book.halted, book.day), rows
 
     kind = dict(orders.dtypes)["ts"]
-    return orders.groupBy("symbol").applyInPandas(run, ORDERS.replace("ts timestamp", f"ts {kind}"))
+    fields = ORDERS.split(", ", 1)[1].replace("ts timestamp", f"ts {kind}")
+    return carried_scan(orders.select("symbol", "ts", "target", "price"), "position int, entry double, daily double, halted boolean, day string", fields, run)
 
 
 def stream_managed(orders: DataFrame, most: int = 1, limit: float = 5000.0, cost: float = 5.0, multiplier: float = 20.0) -> DataFrame:
