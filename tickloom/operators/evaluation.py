@@ -70,11 +70,13 @@ def overfitting(combos: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 
 def report(returns: DataFrame, r: str = "r", key: str = "symbol", on: str = "ts", factor: float = 252.0) -> DataFrame:
-    """(key, n, sharpe, sortino, total, max_drawdown, psr) of simple returns."""
+    """(key, n, sharpe, sortino, calmar, total, max_drawdown, psr) of simple returns. The curve's
+    peak starts at its first value, after the first return; sortino is 0 without any spread of
+    losses, calmar (mean times factor over the greatest drawdown) 0 without a drawdown."""
     w = Window.partitionBy(key).orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
     x = F.col(r)
-    df = returns.withColumn("_e", F.sum(F.log1p(x)).over(w)).withColumn("_d", F.exp(F.col("_e") - F.greatest(F.max("_e").over(w), F.lit(0.0))) - 1)
-    got = df.groupBy(key).agg(sharpe(x, "iid", factor).alias("sharpe"), sortino(x, "pipeline").alias("sortino"), F.expm1(F.sum(F.log1p(x))).alias("total"), F.min("_d").alias("max_drawdown"))
+    df = returns.withColumn("_e", F.sum(F.log1p(x)).over(w)).withColumn("_d", F.exp(F.col("_e") - F.max("_e").over(w)) - 1)
+    got = df.groupBy(key).agg(sharpe(x, "iid", factor).alias("sharpe"), F.coalesce(sortino(x, "pipeline"), F.lit(0.0)).alias("sortino"), F.coalesce(F.try_divide(F.avg(x) * factor, F.abs(F.min("_d"))), F.lit(0.0)).alias("calmar"), F.expm1(F.sum(F.log1p(x))).alias("total"), F.min("_d").alias("max_drawdown"))
     return got.join(psr_from_returns(returns, r, key).select(key, "n", "psr"), key)
 
 

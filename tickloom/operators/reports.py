@@ -72,10 +72,11 @@ def window_vector(x: Column, n: int) -> Column:
 
 
 def chained(segments: DataFrame, r: str, segment: str, on: str) -> DataFrame:
-    """(segment, growth, chained): product of 1 + r a segment, and over all segments up to it."""
+    """(segment, growth, chained, log_chained): product of 1 + r a segment, and over all segments
+    up to it, with its logarithm. One row a segment is in the last step's window."""
     per = segments.groupBy(segment).agg(F.sum(F.log1p(r)).alias("_g"), F.min(on).alias("_t"))
     w = Window.orderBy("_t", segment).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(segment, F.expm1("_g").alias("growth"), F.expm1(F.sum("_g").over(w)).alias("chained"))
+    return per.select(segment, F.expm1("_g").alias("growth"), F.expm1(F.sum("_g").over(w)).alias("chained"), F.sum("_g").over(w).alias("log_chained"))
 
 
 def kept_better(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -38,6 +38,18 @@ def backtest_paths(spark: SparkSession, folds: int, tests: int) -> DataFrame:
     return df.withColumn("path_id", F.row_number().over(Window.partitionBy("fold").orderBy("split_id")) - 1)
 
 
+def path_rows(df: DataFrame, by: str, folds: int, tests: int) -> DataFrame:
+    """The rows of df (ordered by the numeric column `by`) in every backtest path: df's columns,
+    path_id, fold, split_id. A row's fold comes from the index of its value's first row, so that
+    rows of one value share a fold; the table of paths has tests times C(folds, tests) / folds
+    rows a fold."""
+    total = df.count()
+    bounds = fold_bounds(total, folds)
+    at = runs(df, by).select(F.col(by).alias("_by"), F.size(F.filter(F.array(*[F.lit(lo) for lo, _ in bounds[1:]]), lambda lo: lo <= F.col("start"))).alias("fold"))
+    placed = df.join(at, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    return placed.join(F.broadcast(backtest_paths(df.sparkSession, folds, tests)), "fold")
+
+
 def runs(df: DataFrame, by: str) -> DataFrame:
     """(by, start, n): each value of the numeric column `by`, nulls last, with its number of
     rows and the 0-based index of its first row in that order. Ranges of values are summed

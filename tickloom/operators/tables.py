@@ -24,9 +24,10 @@ def trade_summary(trades: DataFrame, pnl: str, group: str) -> DataFrame:
     return trades.groupBy(group).agg(F.count(p).alias("n"), F.sum((p > 0).cast("long")).alias("wins"), F.sum(p).alias("total"), F.when(loss > 0, F.try_divide(win, loss)).otherwise(F.lit(float("inf"))).alias("profit_factor"))
 
 
-def pivot_first(df: DataFrame, on: str, column: str, values: list[str], x: str) -> DataFrame:
-    """Long to wide; the columns are listed, so that Spark needs no extra pass."""
-    return df.groupBy(on).pivot(column, values).agg(F.first(x))
+def pivot_first(df: DataFrame, on: str, column: str, values: list[str], x: str, first: str | None = None) -> DataFrame:
+    """Long to wide; the columns are listed, so that Spark needs no extra pass. Of rows that
+    repeat a key the one of least `first` counts (by default, of least value)."""
+    return df.groupBy(on).pivot(column, values).agg(F.min_by(x, first or x))
 
 
 def zscore_tanh(df: DataFrame, columns: list[str]) -> DataFrame:

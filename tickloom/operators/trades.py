@@ -11,8 +11,8 @@ def hold_bucket(bars: Column) -> Column:
 
 
 def session(hour: Column) -> Column:
-    """Five sessions of the UTC day."""
-    return F.when(hour < 7, "asia").when(hour < 13, "europe").when(hour < 16, "morning").when(hour < 20, "afternoon").otherwise("evening")
+    """Five sessions of the UTC day, which start at 0, 6, 12, 15 and 20."""
+    return F.when(hour < 6, "asia").when(hour < 12, "europe_am").when(hour < 15, "europe_pm").when(hour < 20, "us_am").otherwise("us_pm")
 
 
 def bucketed(trades: DataFrame, bucket: str, pnl: str) -> DataFrame:
@@ -51,26 +51,85 @@ def equal_weight(panel: DataFrame, asset: str = "symbol", on: str = "ts", price:
     return by_time.agg(F.count("r").alias("n"), (F.exp(F.sum(F.log1p("r"))) - 1).alias("total"), (F.avg("r") / (F.stddev_pop("r") + 1e-8) * 252**0.5).alias("sharpe"))
 
 
-def baselines(bars: DataFrame, n: int = 20, key: str = "symbol", on: str = "ts") -> DataFrame:
-    """(key, buy_hold, sma, oracle): final growth of always holding, of holding after closes
-    above their rolling mean (strict), and of holding before each rise."""
+def growth(x: Column) -> tuple[Column, Column]:
+    """Product of 1 + x as aggregates (ln of its magnitude, sign): it may be negative, where a
+    short position loses more than there is, and beyond doubles; 0 has the sign 0 and counts 1
+    in the logarithm."""
+    g = 1 + x
+    minus = F.sum(F.coalesce((g < 0).cast("long"), F.lit(0)))
+    sign = F.when(F.min(F.coalesce((g != 0).cast("int"), F.lit(1))) == 0, 0).otherwise(1 - 2 * (minus % 2))
+    return F.sum(F.ln(F.when(g != 0, F.abs(g)))), sign.cast("int")
+
+
+def crossover(bars: DataFrame, fast: int = 20, slow: int = 50, centred: bool = True, key: str = "symbol", on: str = "ts") -> Column:
+    """Position of a two-mean crossover: 1 where the fast mean lies above the slow one, else -1,
+    0 on the first `slow` rows. Centred means look ahead by about half their length, and rows
+    beyond either end count as zero prices; trailing ones (centred false) don't."""
+    w = Window.partitionBy(key).orderBy(on)
+
+    def mean(n: int) -> Column:
+        ahead = (n - 1) // 2 if centred else 0
+        return F.sum("close").over(w.rowsBetween(ahead + 1 - n, ahead)) / n
+
+    return F.when(F.row_number().over(w) <= slow, 0).when(mean(fast) > mean(slow), 1).otherwise(-1)
+
+
+def _held(df: DataFrame, position: str, turn: Column, cost: float, key: str, on: str) -> Column:
+    """What a position gains until the next row, less `cost` price units a unit of `turn`."""
+    w = Window.partitionBy(key).orderBy(on)
+    after = F.lead("close").over(w)
+    return F.col(position) * (after / F.col("close") - 1) - F.abs(turn) * cost / after
+
+
+def baselines(bars: DataFrame, cost: float = 0.5, fast: int = 20, slow: int = 50, centred: bool = True, key: str = "symbol", on: str = "ts") -> DataFrame:
+    """(key, n, then <name>_log and <name>_sign, the growth of one unit, see `growth`, for
+    hold, sma and oracle): always holding; a crossover of two means, long and short, that pays
+    for a change of position on the row that follows the change's return; and the position of
+    the next return's sign, that pays for each change from the one before, the first one too."""
+    w = Window.partitionBy(key).orderBy(on)
+    df = bars.select(key, on, "close", crossover(bars, fast, slow, centred, key, on).alias("_s"))
+    df = df.withColumn("_o", F.signum(F.lead("close").over(w) - F.col("close")))
+    df = df.withColumn("_ds", F.lead("_s").over(w) - F.col("_s")).withColumn("_do", F.col("_o") - F.coalesce(F.lag("_o").over(w), F.lit(0.0)))
+    df = df.withColumn("_h", F.lead("close").over(w) / F.col("close") - 1)
+    df = df.withColumn("_x", _held(df, "_s", F.col("_ds"), cost, key, on)).withColumn("_y", _held(df, "_o", F.col("_do"), cost, key, on))
+    found = []
+    for name, c in (("hold", "_h"), ("sma", "_x"), ("oracle", "_y")):
+        size, sign = growth(F.col(c))
+        found += [size.alias(f"{name}_log"), sign.alias(f"{name}_sign")]
+    return df.groupBy(key).agg(F.count("_h").alias("n"), *found)
+
+
+def drawn(seed: int, trial: Column, row: Column) -> Column:
+    """-1, 0 or 1, evenly, as a function of seed, trial and row number."""
+    text = F.concat_ws(":", F.lit(str(seed)), trial.cast("string"), row.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % 3 - 1
+
+
+def random_baseline(bars: DataFrame, trials: int = 100, cost: float = 0.5, seed: int = 42, key: str = "symbol", on: str = "ts") -> DataFrame:
+    """(key, trial, n, growth_log, growth_sign): growth of one unit under random positions of -1,
+    0 or 1 on every row, with costs of each change. A row becomes `trials` rows of its number,
+    return and next price, summed up on the map side."""
     w = Window.partitionBy(key).orderBy(on)
-    mean = F.when(F.count("close").over(w.rowsBetween(-(n - 1), 0)) == n, F.avg("close").over(w.rowsBetween(-(n - 1), 0)))
-    df = bars.select(key, on, "close", mean.alias("_m"))
-    df = df.withColumn("_r", F.lead("close").over(w) / F.col("close") - 1).where(F.col("_r").isNotNull())
-    grow = lambda c: F.exp(F.sum(F.log1p(c)))
-    held = F.when(F.col("close") > F.col("_m"), F.col("_r")).otherwise(0.0)
-    return df.groupBy(key).agg(grow(F.col("_r")).alias("buy_hold"), grow(held).alias("sma"), grow(F.greatest("_r", F.lit(0.0))).alias("oracle"))
+    after = F.lead("close").over(w)
+    df = bars.select(key, (F.row_number().over(w) - 1).alias("_i"), (after / F.col("close") - 1).alias("_r"), after.alias("_a")).where("_a IS NOT NULL")
+    df = df.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    now, before = drawn(seed, F.col("trial"), F.col("_i")), F.when(F.col("_i") > 0, drawn(seed, F.col("trial"), F.col("_i") - 1)).otherwise(0)
+    size, sign = growth(now * F.col("_r") - F.abs(now - before) * cost / F.col("_a"))
+    return df.groupBy(key, "trial").agg(F.count(F.lit(1)).alias("n"), size.alias("growth_log"), sign.alias("growth_sign"))
 
 
 def beat(curves: DataFrame, key: str, on: str, value: str, base: str) -> DataFrame:
-    """(key, alpha, first_beat, rows_beating, pct_beating) of one curve against another:
-    final difference in per cent points of growth, and when and how often it lies above."""
-    above = F.col(value) > F.col(base)
-    got = curves.groupBy(key).agg(
-        (F.max_by(value, on) - F.max_by(base, on)).alias("alpha"),
-        F.min(F.when(above, F.col(on))).alias("first_beat"),
-        F.sum(above.cast("long")).alias("rows_beating"),
+    """(key, alpha, first_beat, rows_beating, pct_beating) of one curve against another, each as
+    growth since its own first row: the difference of their total returns in per cent points,
+    the number of the first row (from 0) on which it lies above, -1 if none, and on how many."""
+    w = Window.partitionBy(key).orderBy(on)
+    grown = lambda c: F.col(c) / F.first(c).over(w)
+    df = curves.select(key, on, grown(value).alias("_v"), grown(base).alias("_b"), (F.row_number().over(w) - 1).alias("_i"))
+    above = F.col("_v") > F.col("_b")
+    got = df.groupBy(key).agg(
+        ((F.max_by("_v", on) - F.max_by("_b", on)) * 100).alias("alpha"),
+        F.coalesce(F.min(F.when(above, F.col("_i"))), F.lit(-1)).alias("first_beat"),
+        F.sum(F.coalesce(above.cast("long"), F.lit(0))).alias("rows_beating"),
         F.count(F.lit(1)).alias("_n"),
     )
     return got.withColumn("pct_beating", F.col("rows_beating") / F.col("_n") * 100).drop("_n")

@@ -182,7 +182,7 @@ def round_trips(spark, sf):
 @query(
     "trade_buckets",
     f"""WITH {TURNS}, h AS (SELECT *, hour(entry_ts) AS h FROM tr)
-    SELECT CASE WHEN h < 7 THEN 'asia' WHEN h < 13 THEN 'europe' WHEN h < 16 THEN 'morning' WHEN h < 20 THEN 'afternoon' ELSE 'evening' END AS session,
+    SELECT CASE WHEN h < 6 THEN 'asia' WHEN h < 12 THEN 'europe_am' WHEN h < 15 THEN 'europe_pm' WHEN h < 20 THEN 'us_am' ELSE 'us_pm' END AS session,
       count(*) AS n, sum((pnl > 0)::INT)::BIGINT AS wins, round(sum(pnl), 4) AS total, round(avg(pnl), 4) AS mean FROM h GROUP BY 1""",
 )
 def trade_buckets(spark, sf):
@@ -200,26 +200,47 @@ def equal_weight(spark, sf):
     return out(got, "n", "total", "sharpe", digits=5)
 
 
+def grown(name: str, x: str) -> str:
+    """Growth in SQL: logarithm of the magnitude, and sign."""
+    return f"round(sum(ln(abs(CASE WHEN 1 + {x} = 0 THEN NULL ELSE 1 + {x} END))), 4) AS {name}_log, (CASE WHEN bool_or(1 + {x} = 0) THEN 0 WHEN count(*) FILTER (WHERE 1 + {x} < 0) % 2 = 1 THEN -1 ELSE 1 END)::INT AS {name}_sign"
+
+
 @query(
     "baselines",
-    f"""WITH {BARS}, nx AS (SELECT symbol, close, lead(close) OVER {O} / close - 1 AS r, CASE WHEN count(*) OVER {W20} = 20 THEN avg(close) OVER {W20} END AS m FROM bars)
-    SELECT symbol, round(sum(ln(1 + r)), 4) AS buy_hold, round(sum(CASE WHEN close > m THEN ln(1 + r) ELSE 0 END), 4) AS sma,
-      round(sum(ln(1 + greatest(r, 0))), 4) AS oracle FROM nx WHERE r IS NOT NULL GROUP BY symbol""",
+    f"""WITH {BARS}, i AS (SELECT *, row_number() OVER {O} - 1 AS i, lead(close) OVER {O} AS nx FROM bars),
+    m AS (SELECT *, CASE WHEN i < 50 THEN 0 WHEN sum(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) / 20
+      > sum(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) / 50 THEN 1 ELSE -1 END AS s, sign(nx - close) AS o FROM i),
+    p AS (SELECT *, nx / close - 1 AS h, s * (nx / close - 1) - abs(lead(s) OVER {O} - s) * 0.5 / nx AS x, abs(nx / close - 1) - abs(o - coalesce(lag(o) OVER {O}, 0)) * 0.5 / nx AS y FROM m)
+    SELECT symbol, count(h) AS n, {grown("hold", "h")}, {grown("sma", "x")}, {grown("oracle", "y")} FROM p GROUP BY symbol""",
 )
 def baselines(spark, sf):
     got = TR.baselines(hourly(spark, sf))
-    return out(got.select("symbol", *[F.ln(c).alias(c) for c in ("buy_hold", "sma", "oracle")]), "symbol", "buy_hold", "sma", "oracle", digits=4)
+    return out(got, *got.columns, digits=4)
+
+
+@query(
+    "random_baseline",
+    f"""WITH {BARS}, i AS (SELECT symbol, row_number() OVER {O} - 1 AS i, close, lead(close) OVER {O} AS nx FROM bars),
+    d AS (SELECT *, ('0x' || substr(md5('42:' || trial || ':' || i), 1, 8))::BIGINT % 3 - 1 AS p FROM i, range(20) AS t(trial)),
+    q AS (SELECT *, coalesce(lag(p) OVER (PARTITION BY symbol, trial ORDER BY i), 0) AS b FROM d),
+    x AS (SELECT symbol, trial, p * (nx / close - 1) - abs(p - b) * 0.5 / nx AS x FROM q WHERE nx IS NOT NULL)
+    SELECT symbol, trial::INT AS trial, count(*) AS n, {grown("growth", "x")} FROM x GROUP BY symbol, trial""",
+)
+def random_baseline(spark, sf):
+    got = TR.random_baseline(hourly(spark, sf), trials=20)
+    return out(got, *got.columns, digits=4)
 
 
 @query(
     "beats_average",
-    f"""WITH {BARS}, a AS (SELECT *, avg(close) OVER {O} AS base FROM bars)
-    SELECT symbol, round(arg_max(close, ts) - arg_max(base, ts), 5) AS alpha, min(ts) FILTER (WHERE close > base) AS first_beat,
-      sum((close > base)::INT)::BIGINT AS rows_beating, round(avg((close > base)::INT) * 100, 5) AS pct_beating FROM a GROUP BY symbol""",
+    f"""WITH {BARS}, a AS (SELECT *, avg(close) OVER {O} AS base, row_number() OVER {O} - 1 AS i FROM bars),
+    g AS (SELECT symbol, i, close / first_value(close) OVER {O} AS v, base / first_value(base) OVER {O} AS b FROM a)
+    SELECT symbol, round((arg_max(v, i) - arg_max(b, i)) * 100, 4) AS alpha, coalesce(min(i) FILTER (WHERE v > b), -1)::INT AS first_beat,
+      sum((v > b)::INT)::BIGINT AS rows_beating, round(avg((v > b)::INT) * 100, 4) AS pct_beating FROM g GROUP BY symbol""",
 )
 def beats_average(spark, sf):
     b = hourly(spark, sf).withColumn("base", F.avg("close").over(W.past()))
-    return out(TR.beat(b, "symbol", "ts", "close", "base"), "symbol", "alpha", "first_beat", "rows_beating", "pct_beating", digits=5)
+    return out(TR.beat(b, "symbol", "ts", "close", "base"), "symbol", "alpha", "first_beat", "rows_beating", "pct_beating", digits=4)
 
 
 @query(

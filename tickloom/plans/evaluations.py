@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalar import expected_max, normal_cdf
+from tickloom.functions.scalar import normal_cdf
 from tickloom.operators import evaluation as E
 from tickloom.operators import windows as W
 
@@ -35,10 +35,13 @@ def psr_from_returns(spark, sf):
 
 @query(
     "deflated_sharpe",
-    f"""WITH {RET}, g AS (SELECT symbol, count(r) AS t, avg(r) / stddev_samp(r) AS s, kurtosis_pop(r) + 3 AS u,
+    f"""WITH RECURSIVE {RET}, g AS (SELECT symbol, count(r) AS t, avg(r) / stddev_samp(r) AS s, kurtosis_pop(r) + 3 AS u,
       skewness(r) * (count(r) - 2) / sqrt(count(r) * (count(r) - 1.0::DOUBLE)) AS k FROM ret GROUP BY symbol),
     b AS (SELECT *, stddev_samp(s) OVER () AS sd, count(*) OVER () AS n, row_number() OVER (ORDER BY s DESC, symbol) AS i FROM g),
-    z AS (SELECT *, sd * CASE WHEN n = 25 THEN {expected_max(25)!r} END AS target FROM b WHERE i = 1),
+    q AS (SELECT 0 AS step, w, p, -8.0::DOUBLE AS lo, 8.0::DOUBLE AS hi FROM (SELECT unnest([1, 2]) AS w, unnest([1 - 1.0::DOUBLE / n, 1 - exp(-1) / n]) AS p FROM (SELECT count(*) AS n FROM g))
+      UNION ALL SELECT step + 1, w, p, CASE WHEN {phi("((lo + hi) / 2)")} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {phi("((lo + hi) / 2)")} < p THEN hi ELSE (lo + hi) / 2 END FROM q WHERE step < 50),
+    x AS (SELECT sum(CASE WHEN w = 1 THEN 1 - 0.5772156649015329 ELSE 0.5772156649015329 END * lo) AS most FROM q WHERE step = 50),
+    z AS (SELECT b.*, sd * most AS target FROM b, x WHERE i = 1),
     y AS (SELECT *, (s - target) * sqrt(t - 1) / sqrt(1 - k * s + s * s * (u - 1) / 4) AS z FROM z)
     SELECT symbol AS best, t, n::INT AS n, round(s, 5) AS sharpe, round(target, 5) AS target, round({phi("z")}, 5) AS dsr FROM y""",
 )
@@ -48,13 +51,13 @@ def deflated_sharpe(spark, sf):
 
 @query(
     "strategy_report",
-    f"""WITH {RET}, e AS (SELECT *, sum(ln(1 + r)) OVER {O} AS e FROM ret), d AS (SELECT *, exp(e - greatest(max(e) OVER {O}, 0)) - 1 AS d FROM e),
-    g AS (SELECT symbol, count(r) AS n, avg(r) / stddev_samp(r) AS s, skewness(r) AS k, kurtosis(r) + 3 AS u, avg(r) / stddev_pop(r) FILTER (WHERE r < 0) AS so,
+    f"""WITH {RET}, e AS (SELECT *, sum(ln(1 + r)) OVER {O} AS e FROM ret), d AS (SELECT *, exp(e - max(e) OVER {O}) - 1 AS d FROM e),
+    g AS (SELECT symbol, count(r) AS n, avg(r) / stddev_samp(r) AS s, skewness(r) AS k, kurtosis(r) + 3 AS u, coalesce(avg(r) / stddev_pop(r) FILTER (WHERE r < 0), 0) AS so, coalesce(avg(r) * 12 / abs(min(d)), 0) AS ca,
       exp(sum(ln(1 + r))) - 1 AS total, min(d) AS dd FROM d GROUP BY symbol), z AS (SELECT *, s * sqrt(n - 1) / sqrt(1 - k * s + s * s * (u - 1) / 4) AS z FROM g)
-    SELECT symbol, n, round(s * sqrt(12), 5) AS sharpe, round(so, 5) AS sortino, round(total, 5) AS total, round(dd, 5) AS max_drawdown, round({phi("z")}, 5) AS psr FROM z""",
+    SELECT symbol, n, round(s * sqrt(12), 5) AS sharpe, round(so, 5) AS sortino, round(ca, 5) AS calmar, round(total, 5) AS total, round(dd, 5) AS max_drawdown, round({phi("z")}, 5) AS psr FROM z""",
 )
 def strategy_report(spark, sf):
-    return out(E.report(returns(spark, sf), factor=12.0), "symbol", "n", "sharpe", "sortino", "total", "max_drawdown", "psr", digits=5)
+    return out(E.report(returns(spark, sf), factor=12.0), "symbol", "n", "sharpe", "sortino", "calmar", "total", "max_drawdown", "psr", digits=5)
 
 
 @query("rolling_sharpe", f"WITH {RET} SELECT symbol, ts, round(CASE WHEN count(r) OVER {frame(12)} >= 6 THEN avg(r) OVER {frame(12)} / stddev_samp(r) OVER {frame(12)} END * sqrt(12), 5) AS sharpe FROM ret")

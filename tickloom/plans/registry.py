@@ -355,9 +355,16 @@ def cpcv_sizes(spark, sf):
     return got.select(F.col("folds")[0].alias("fold_a"), F.col("folds")[1].alias("fold_b"), "role", "n")
 
 
-@query("backtest_paths", "WITH c AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS split_id, a, b FROM range(6) x(a), range(6) y(b) WHERE a < b), f AS (SELECT split_id, a AS fold FROM c UNION ALL SELECT split_id, b FROM c) SELECT fold::INT AS fold, split_id::INT AS split_id, (row_number() OVER (PARTITION BY fold ORDER BY split_id) - 1)::INT AS path_id FROM f")
+@query(
+    "backtest_paths",
+    """WITH c AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS split_id, a, b FROM range(6) x(a), range(6) y(b) WHERE a < b),
+    f AS (SELECT split_id, a AS fold FROM c UNION ALL SELECT split_id, b FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY split_id) - 1 AS path_id FROM f),
+    e AS (SELECT value, least((row_number() OVER (ORDER BY event_id) - 1) // (count(*) OVER () // 6), 5) AS fold FROM events)
+    SELECT path_id::INT AS path_id, p.fold::INT AS fold, split_id::INT AS split_id, count(*) AS n, round(sum(value), 4) AS total FROM p JOIN e ON e.fold = p.fold GROUP BY ALL""",
+)
 def backtest_paths(spark, sf):
-    return P.backtest_paths(spark, 6, 2)
+    rows = P.path_rows(read(spark, sf, "events").select("event_id", "value"), "event_id", 6, 2)
+    return rows.groupBy("path_id", "fold", "split_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("islands", f"WITH {BARS}, h AS (SELECT symbol, (epoch(ts) // 3600)::BIGINT AS i FROM bars), g AS (SELECT symbol, i, i - row_number() OVER (PARTITION BY symbol ORDER BY i) AS g FROM h) SELECT symbol, min(i) AS lo, max(i) AS hi, count(*) AS n FROM g GROUP BY symbol, g")

@@ -12,6 +12,8 @@ from tickloom.streaming import sessions as SS
 from .analytics import frame
 from .registry import BARS, EDGES, RET, SBARS, O, edges, hourly, hourly_signed, out, query, read, returns
 
+#: The digits in order: numbers, capitals, small letters, _ and $.
+CODE = "'0123456789' || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || 'abcdefghijklmnopqrstuvwxyz' || '_$'"
 BITS = "b AS (SELECT user_id, string_agg(CASE event_type WHEN 'click' THEN '1' ELSE '0' END, '' ORDER BY event_id) AS bits FROM events GROUP BY user_id)"
 
 
@@ -24,8 +26,10 @@ def user_bits(spark, sf):
     "bit_codec",
     f"""WITH {BITS}, p AS (SELECT *, ceil(length(bits) / 6)::INT AS n, lpad(bits, ceil(length(bits) / 6)::INT * 6, '0') AS p FROM b),
     d AS (SELECT *, list_transform(range(0, n), lambda i: list_sum(list_transform(range(0, 6), lambda j: substr(p, i * 6 + j + 1, 1)::INT * (1 << (5 - j)))))
-      AS v FROM p)
-    SELECT user_id, list_aggregate(list_transform(v, lambda x: substr('{files.DIGITS}', x::INT + 1, 1)), 'string_agg', '') AS text, bits AS decoded FROM d""",
+      AS v FROM p),
+    x AS (SELECT user_id, list_aggregate(list_transform(v, lambda x: substr(({CODE}), x::INT + 1, 1)), 'string_agg', '') AS text, bits FROM d),
+    k AS (SELECT *, list_aggregate(list_transform(string_split(text, ''), lambda c: lpad(bin(instr(({CODE}), c) - 1), 6, '0')), 'string_agg', '') AS back FROM x)
+    SELECT user_id, text, substr(back, length(back) - length(bits) + 1) AS decoded FROM k""",
 )
 def bit_codec(spark, sf):
     b = user_bits(spark, sf).withColumn("text", files.encode_bits(F.col("bits"), wrap=False))
@@ -129,12 +133,12 @@ def window_vectors(spark, sf):
 
 @query(
     "chained_segments",
-    f"""WITH {RET}, g AS (SELECT ts AS segment, sum(ln(1 + r)) AS g FROM ret WHERE symbol = 'FRANCE' GROUP BY 1)
+    f"""WITH {RET}, g AS (SELECT ts AS segment, sum(ln(1 + r)) AS g FROM ret GROUP BY 1)
     SELECT segment, round(exp(g) - 1, 5) AS growth, round(sum(g) OVER (ORDER BY segment), 5) AS log_chained FROM g""",
 )
 def chained_segments(spark, sf):
-    got = R.chained(returns(spark, sf).where("symbol = 'FRANCE'"), "r", "ts", "ts")
-    return got.select(F.col("ts").alias("segment"), F.round("growth", 5).alias("growth"), F.round(F.log1p("chained"), 5).alias("log_chained"))
+    got = R.chained(returns(spark, sf), "r", "ts", "ts")
+    return got.select(F.col("ts").alias("segment"), F.round("growth", 5).alias("growth"), F.round("log_chained", 5).alias("log_chained"))
 
 
 @query(
