@@ -139,9 +139,12 @@ def brute_alignment(rows):
     return sorted(((i, n_a, n_b, n, sum(c.values()), sum(m for p, m in c.items() if docs[p] == best[p[0]]), sum(m * docs[p] for p, m in c.items()), sha) for i, n_a, n_b, n, c, sha in per), key=str)
 
 
-@pytest.mark.parametrize("row_bytes", [8 << 20, 40])
-def test_op12(spark, monkeypatch, row_bytes):
+@pytest.mark.parametrize(("row_bytes", "short", "most"), [(8 << 20, 64, 10**6), (40, 1, 0)])
+def test_op12(spark, monkeypatch, row_bytes, short, most):
+    """Also with a text a row, every end counted by sorting, and counts joined by shuffles."""
     monkeypatch.setattr(op12_align, "ROW_BYTES", row_bytes)
+    monkeypatch.setattr(op12_align, "SHORT", short)
+    monkeypatch.setattr(op12_align, "BROADCAST_PAIRS", most)
     r = random.Random(8)
     parts = [" ", "  ", "\n", "\t", "é", "word", "Words'll", "<|endoftext|>", "</s>", "▁", "日本語の", "　", "\x00", "12345", "🙂", "antidis", "xxxxxxxx", ".", "\r\n", "\xa0", "\x1c"]
     texts = [None, "", " ", "   ", "a▁b", "The quick brown fox, the end.", "same words here", "same words here", "x" * 3000, "ab " * 2000, "日本" * 200]

@@ -6,7 +6,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +17,16 @@ from .common import table, text_batches, written
 
 #: Text bytes whose distinct words share a row; a longer text is a row by itself.
 ROW_BYTES = 4 << 20
-#: Words that go to the libraries at a time.
-CALL = 4096
+#: Words that go to the libraries as one text.
+CALL = 512
+#: Tokens of a word up to which its common ends are looked for one by one.
+SHORT = 64
+#: Linked pairs of ids whose counts are broadcast (some 60 bytes each); more are joined by shuffles.
+BROADCAST_PAIRS = 1_000_000
 #: Where both tokenizers' tokens are sure to end: before a blank that follows neither white space nor U+2581.
 BORDER = re.compile(r"(?<=[^\s▁\x1c-\x1f])(?= )")
+#: The end of a word, only a text's last one, after which another word would not stand apart.
+OPEN = re.compile(r"[\s▁\x1c-\x1f]\Z")
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -65,7 +70,7 @@ class PairEncoder:
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
             crossing |= re.search("[^▁]▁", piece) is not None
-        self.sizes = [np.fromiter(map(len, x), np.int64) for x in (self.a_bytes, self.b_bytes)]
+        self.tables = [_table(x) for x in (self.a_bytes, self.b_bytes)]
         kind = type(self.a.pre_tokenizer).__name__ if self.a.pre_tokenizer else ""
         plain = self.a.normalizer is None and [p for p, _ in self.a.pre_tokenizer.pre_tokenize_str(" ab  c")] == ["Ġab", "Ġ", "Ġc"] if kind == "ByteLevel" else False
         self.words_apart = plain and not crossing and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b") and "".join(self.b.encode(" a", out_type=str)) == "▁▁a"
@@ -76,30 +81,65 @@ class PairEncoder:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Which words have tokens: those whose bytes both give back; and, of all words, number of
-        tokens, ids and byte ends under the first and under the second, flat."""
-        good, parts = [], []
-        for at in range(0, max(1, len(words)), CALL):
-            some = words[at : at + CALL]
-            raw = [w.encode() for w in some]
-            wanted = np.fromiter(map(len, raw), np.int64, len(raw))
-            right, part = np.ones(len(raw), bool), []
-            ids = [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)], self.b.encode([w[1:] for w in some], num_threads=1)
-            if " " in some:  # a text's last blank, for which there is nothing to put a space in front of
-                ids[1][some.index(" ")] = [self.b.piece_to_id("▁")]
-            for each, pieces, sizes in zip(ids, (self.a_bytes, self.b_bytes), self.sizes, strict=True):
-                n = np.fromiter(map(len, each), np.int64, len(each))
-                flat = np.fromiter(chain.from_iterable(each), np.int32, int(n.sum()))
-                ends, last = np.cumsum(sizes[flat]), np.cumsum(n)
-                first = np.concatenate([[0], ends])[last - n]
-                total = np.concatenate([[0], ends])[last] - first
-                right &= total == wanted
-                if not right.all() or b"".join([pieces[t] for t in flat.tolist()]) != b"".join(raw):
-                    right &= np.fromiter((b"".join([pieces[t] for t in e]) == r for e, r in zip(each, raw, strict=True)), bool, len(raw))
-                part += [n, flat, (ends - np.repeat(first, n)).astype(np.int32)]
-            good.append(right)
-            parts.append(part)
+        tokens, ids and byte ends under the first and under the second, flat.
+
+        Words that stand apart are joined, many to a text; the tokens are dealt to them by their
+        byte ends. A text that either doesn't give back goes word by word."""
+        texts, at = [], 0
+        while at < len(words):
+            some = words[at : at + (CALL if self.words_apart else 1)]
+            stop = next((i for i, w in enumerate(some) if OPEN.search(w)), len(some) - 1) + 1
+            texts.append(some[:stop])
+            at += stop
+        joined = ["".join(t) for t in texts]
+        coded = self._coded(joined)
+        good, parts = [np.empty(0, bool)], [[np.empty(0, np.int64), *[np.empty(0, np.int32)] * 2] * 2]
+        for some, text, *ids in zip(texts, joined, *coded, strict=True):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            sizes = np.fromiter((len(w.encode()) for w in some), np.int64, len(some))
+            found = [_dealt(i, t, raw, sizes) for i, t in zip(ids, self.tables, strict=True)]
+            if None not in found:
+                good.append(np.ones(len(some), bool))
+                parts.append([x for f in found for x in f])
+            elif len(some) > 1:
+                for w in some:
+                    right, part = self.encode([w])
+                    good.append(right)
+                    parts.append(part)
+            else:
+                good.append(np.zeros(1, bool))
+                parts.append([np.zeros(1, np.int64), *[np.empty(0, np.int32)] * 2] * 2)
         return np.concatenate(good), [np.concatenate(p) for p in zip(*parts, strict=True)]
 
+    def _coded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each text, which starts with a blank, under both."""
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        if " " in texts:  # a text's last blank, for which there is nothing to put a space in front of
+            b = [[self.b.piece_to_id("▁")] if t == " " else i for t, i in zip(texts, b, strict=True)]
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], b
+
+
+def _table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length and place of each piece in their joined bytes."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    return sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), np.uint8)
+
+
+def _dealt(ids: list[int], table: tuple, raw: np.ndarray, sizes: np.ndarray) -> tuple | None:
+    """(tokens a word, ids, byte ends within the word) of a text of words of these sizes; None if
+    the tokens' bytes aren't the text's or a token crosses a word's end."""
+    flat = np.array(ids, np.int32)
+    own, places, held = table
+    n, bounds = own[flat], np.cumsum(sizes)
+    ends = np.cumsum(n)
+    if not len(ends) or ends[-1] != len(raw) or not np.array_equal(held[np.repeat(places[flat] - ends + n, n) + np.arange(len(raw))], raw):
+        return None
+    last = np.searchsorted(ends, bounds)
+    if not np.array_equal(ends[last], bounds):
+        return None
+    each = np.diff(last + 1, prepend=0)
+    return each, flat, (ends - np.repeat(bounds - sizes, each)).astype(np.int32)
+
 
 @lru_cache(maxsize=2)
 def _encoder(a_path: str, b_path: str) -> PairEncoder:
@@ -158,46 +198,58 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col:
     return docs.select(F.col(id_col).cast("bigint").alias("_i"), F.col(text_col).alias("_t")).mapInArrow(run, _TOKENS)
 
 
-def _till(ends: Column, common: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _marked(ends: Column, common: Column) -> Column:
     """Ends, doubled, with a mark after each common one, in order."""
     return F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(common, lambda e: e * 2 + 1)))
 
 
-def _counts(marked: Column) -> Column:
-    """How many tokens there are up to each mark."""
-    at = F.filter(F.sequence(F.lit(0), F.size(marked) - 1), lambda i: F.get(marked, i) % 2 == 1)
-    return F.transform(at, lambda p, k: p - k)
+def _till(ends: Column, common: Column) -> Column:
+    """How many tokens there are up to each common end: by its place in a short array; in a long
+    one by the marks' places among sorted ends and marks, less the marks before, so that the
+    work grows as n log n."""
+    marks = lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i) % 2 == 1), lambda p, k: (p - k).cast("bigint"))
+    return F.when(F.size(ends) <= SHORT, F.transform(common, lambda e: F.array_position(ends, e))).otherwise(_let(_marked(ends, common), marks))
 
 
 def _pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("bigint"), 32).bitwiseOR(b.cast("bigint"))
 
 
-def _part(ids: Column, till: Column, k: Column) -> Column:
-    first = F.when(k == 0, F.lit(0)).otherwise(F.get(till, k - 1))
-    return F.slice(ids, first + 1, F.get(till, k) - first)
-
-
 def _listed(ids: Column) -> Column:
     return F.array_join(ids.cast("array<string>"), ",")
 
 
+def _said(a: Column, b: Column) -> Column:
+    return F.concat(a.cast("string"), F.lit("|"), b.cast("string"))
+
+
+def _group(w: Column, k: Column) -> Column:
+    """Links and text of group k of a word with tokens a and b, of which till.a and till.b give
+    the number up to each group's end."""
+    to_a, to_b = (F.get(w["till"][x], k).cast("int") for x in "ab")
+    from_a, from_b = (F.when(k == 0, 0).otherwise(F.get(w["till"][x], k - 1)).cast("int") for x in "ab")
+    last_a, last_b = F.get(w["a"], to_a - 1), F.get(w["b"], to_b - 1)
+    wide = lambda g: F.struct(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y)))).alias("l"), F.concat(_listed(g["a"]), F.lit("|"), _listed(g["b"])).alias("s"))
+    several = _let(F.struct(F.slice(w["a"], from_a + 1, to_a - from_a).alias("a"), F.slice(w["b"], from_b + 1, to_b - from_b).alias("b")), wide)
+    one = F.struct(F.array(_pair(last_a, last_b)).alias("l"), _said(last_a, last_b).alias("s"))
+    return F.when((to_a - from_a == 1) & (to_b - from_b == 1), one).otherwise(several)
+
+
 def aligned_words(words: Column) -> Column:
-    """Per word: number of groups n, links as an array of longs (a id in the high half), and the
-    groups as text. Ends where tokens of both end are the intersection of the two arrays of
-    ends; the tokens up to each are counted by sorting the ends together with marks, so that
-    the work grows as n log n; words whose tokens all agree pair them off directly."""
-    found = F.transform(words, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["ae"].alias("ae"), w["be"].alias("be"), F.array_intersect(w["ae"], w["be"]).alias("c")))
-    even = lambda w: (F.size(w["a"]) == F.size(w["c"])) & (F.size(w["b"]) == F.size(w["c"]))
-    none = F.array().cast("array<int>")
-    marked = F.transform(found, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), F.size(w["c"]).alias("n"), F.when(even(w), none).otherwise(_till(w["ae"], w["c"])).alias("ma"), F.when(even(w), none).otherwise(_till(w["be"], w["c"])).alias("mb")))
-    counted = F.transform(marked, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["n"].alias("n"), F.when(F.size(w["ma"]) > 0, _counts(w["ma"])).alias("ta"), F.when(F.size(w["mb"]) > 0, _counts(w["mb"])).alias("tb")))
-    group = lambda w, k: F.struct(_part(w["a"], w["ta"], k).alias("a"), _part(w["b"], w["tb"], k).alias("b"))
-    grouped = F.transform(counted, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["n"].alias("n"), F.when(w["ta"].isNotNull(), F.transform(F.sequence(F.lit(0), w["n"] - 1), lambda k: group(w, k))).alias("g")))
-    wide = lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y))))
-    links = lambda w: F.when(w["g"].isNull(), F.zip_with(w["a"], w["b"], _pair)).otherwise(F.flatten(F.transform(w["g"], wide)))
-    said = lambda w: F.when(w["g"].isNull(), F.array_join(F.zip_with(w["a"], w["b"], lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")).otherwise(F.array_join(F.transform(w["g"], lambda g: F.concat(_listed(g["a"]), F.lit("|"), _listed(g["b"]))), ";"))
-    return F.transform(grouped, lambda w: F.struct(w["n"].alias("n"), links(w).alias("l"), said(w).alias("s")))
+    """Per word: number of groups n, links l as an array of longs (a id in the high half), and
+    the groups as text s. Ends where tokens of both end are the intersection of the two arrays
+    of ends; words whose tokens all agree pair them off directly."""
+    joined = lambda n: lambda g: F.struct(n.alias("n"), F.flatten(F.transform(g, lambda x: x["l"])).alias("l"), F.array_join(F.transform(g, lambda x: x["s"]), ";").alias("s"))
+    grouped = lambda w: _let(F.transform(F.sequence(F.lit(0), w["n"] - 1), lambda k: _group(w, k)), joined(w["n"]))
+    uneven = lambda w, c: _let(F.struct(w["a"].alias("a"), w["b"].alias("b"), F.size(c).alias("n"), F.struct(_till(w["ae"], c).alias("a"), _till(w["be"], c).alias("b")).alias("till")), grouped)
+    even = lambda w, c: F.struct(F.size(c).alias("n"), F.zip_with(w["a"], w["b"], _pair).alias("l"), F.array_join(F.zip_with(w["a"], w["b"], _said), ";").alias("s"))
+    each = lambda w: _let(F.array_intersect(w["ae"], w["be"]), lambda c: F.when((F.size(w["a"]) == F.size(c)) & (F.size(w["b"]) == F.size(c)), even(w, c)).otherwise(uneven(w, c)))
+    return F.transform(words, each)
 
 
 def _over(words: Column, values) -> Column:
@@ -221,7 +273,8 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     After tokenising, rows hold the distinct words of some MB of texts, so that groups and
     links are built once for each of those, by array functions; a document looks its words up by
     number. Documents of a pair are counted after partial aggregation; the counts come back to
-    the words' links by a join that adaptive execution may split or broadcast by its size.
+    documents' links by a broadcast of BROADCAST_PAIRS pairs at most, or else by a join of each
+    document's distinct pairs.
     """
     own = default_tokenizers()
     tokens = tokenised(docs, a_path or own[0], b_path or own[1], id_col, text_col)
@@ -236,18 +289,21 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     )
     rows = written(rows.select("row", links.alias("links"), F.transform("docs", digest).alias("docs")), "aligned")
     # Documents that hold a pair.
-    held = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["words"]), lambda i: F.get("links", i)))))
+    of_doc = lambda words: F.flatten(F.transform(words, lambda i: F.get("links", i)))
+    held = F.transform("docs", lambda d: F.array_distinct(of_doc(F.array_distinct(d["words"]))))
     pair = rows.select(F.explode(held).alias("p")).select(F.explode("p").alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
-    pair = pair.withColumn("best", F.col("n_docs") == F.max("n_docs").over(Window.partitionBy(F.shiftright("pair", 32))))
-    pair = written(pair, "pairs")
-    # Per row and word: sums over its links.
-    flat = rows.select("row", F.posexplode("links").alias("word", "l")).select("row", "word", F.explode("l").alias("pair"))
-    sums = flat.join(pair, "pair").groupBy("row", "word").agg(F.sum("n_docs").alias("c"), F.count_if("best").alias("m"))
-    sums = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("word", "c", "m"))).alias("v"))
-    rows = rows.join(sums, "row", "left")
-    counted = F.transform("docs", lambda d: F.struct(d.dropFields("words").alias("d"), _over(d["words"], lambda i: F.get("v", i)["m"]).alias("n_best"), _over(d["words"], lambda i: F.get("v", i)["c"]).alias("count_sum")))
-    out = rows.select(F.explode(counted).alias("x"))
-    out = out.select(F.col("x.d.id").alias(id_col), "x.d.n_a", "x.d.n_b", "x.d.n_groups", "x.d.n_links", "x.n_best", "x.count_sum", F.col("x.d.sha").alias("groups_sha256"))
+    pair = written(pair.withColumn("best", F.col("n_docs") == F.max("n_docs").over(Window.partitionBy(F.shiftright("pair", 32)))), "pairs")
+    # Per document: sums over its links, each as often as it occurs.
+    docs = rows.select("row", F.posexplode(F.transform("docs", lambda d: F.struct(d.dropFields("words").alias("d"), of_doc(d["words"]).alias("l")))).alias("at", "x"))
+    if pair.count() <= BROADCAST_PAIRS:
+        links = docs.select("row", "at", F.explode("x.l").alias("pair")).join(F.broadcast(pair), "pair")
+        sums = links.groupBy("row", "at").agg(F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
+    else:
+        times = docs.select("row", "at", F.explode("x.l").alias("pair")).groupBy("row", "at", "pair").agg(F.count("*").alias("m"))
+        sums = times.join(pair, "pair").groupBy("row", "at").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("n_docs")).alias("count_sum"))
+    out = rows.select("row", F.posexplode(F.transform("docs", lambda d: d.dropFields("words"))).alias("at", "d")).join(sums, ["row", "at"], "left")
+    none = F.lit(0).cast("bigint")
+    out = out.select(F.col("d.id").alias(id_col), "d.n_a", "d.n_b", "d.n_groups", "d.n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), F.col("d.sha").alias("groups_sha256"))
     low = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     return out, pair.select(F.shiftright("pair", 32).cast("int").alias("a_id"), low.cast("int").alias("b_id"), "n_docs", "best")
 
