@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalar
 
+from .machines import slice_cuts
 from .recurrence import affine_scan
 from .splits import runs
 from .stats import sharpe, sortino
@@ -109,8 +110,9 @@ def differential(df: DataFrame, r: str = "r", downside: bool = False, eta: float
     x = F.col(r)
     square = F.when(x < 0, x * x).otherwise(0.0) if downside else x * x
     df = df.withColumn("_q", square).withColumn("_k", F.lit(1 - eta))
+    cuts = slice_cuts(df, on)
     for out, b in (("_m1", x), ("_m2", F.col("_q"))):
-        df = affine_scan(df.withColumn("_b", b * eta), "_k", "_b", out, key=key, order=on).drop("_b")
+        df = affine_scan(df.withColumn("_b", b * eta), "_k", "_b", out, key=key, order=on, cuts=cuts).drop("_b")
     a, b = (F.coalesce(F.lag(c).over(w), F.lit(0.0)) for c in ("_m1", "_m2"))
     df = df.withColumn("_a", a).withColumn("_b", b)
     a, b = F.col("_a"), F.col("_b")
@@ -263,7 +265,8 @@ def effort_score(bars: DataFrame, n: int = 14) -> DataFrame:
     from .recurrence import ema
 
     df = bars.withColumn("_c", F.sum("delta").over(order().rowsBetween(Window.unboundedPreceding, 0)).cast("double"))
-    df = ema(ema(df, "_c", n, "_f"), "_c", 3 * n, "_s").withColumn("_g", F.col("_f") - F.col("_s")).withColumn("_i", F.row_number().over(order()))
+    cuts = slice_cuts(bars, "ts")
+    df = ema(ema(df, "_c", n, "_f", cuts=cuts), "_c", 3 * n, "_s", cuts=cuts).withColumn("_g", F.col("_f") - F.col("_s")).withColumn("_i", F.row_number().over(order()))
     scale = F.avg(F.when(F.col("_i") > n, F.abs("_g"))).over(Window.partitionBy("symbol")) + 1e-9
     mean = F.avg("volume").over(last(n))
     push = scalar.clip(F.when(mean > 0, F.try_divide(F.col("delta"), mean)).otherwise(0.0), -1.0, 1.0)

@@ -45,7 +45,7 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def machine_scan(df: DataFrame, code: str, after: list[list[int]], out: str = "state", key: str = "symbol", order: tuple[str, ...] = ("ts",), start: int = 0) -> DataFrame:
+def machine_scan(df: DataFrame, code: str, after: list[list[int]], out: str = "state", key: str = "symbol", order: tuple[str, ...] = ("ts",), start: int = 0, cuts: list | None = None) -> DataFrame:
     """Adds the state that a finite-state machine is in after each row, and `before`_`out` the
     one before it.
 
@@ -53,10 +53,12 @@ def machine_scan(df: DataFrame, code: str, after: list[list[int]], out: str = "s
     key's rows is folded to the map from each state that it may be entered in to the one that
     it is left in; a key's maps (a few integers a slice) compose in order to the states that
     its slices are entered in, and each slice is run from its own. Ties of `order` follow in
-    any order: give enough columns. Null codes leave the state as it is.
+    any order: give enough columns. Null codes leave the state as it is. cuts: slice_cuts of
+    the same rows, where a caller has them.
     """
     table, n = np.array(after, np.int64), len(after[0])
-    cuts, first = slice_cuts(df, order[0]), order[0]
+    first = order[0]
+    cuts = slice_cuts(df, first) if cuts is None else cuts
     sliced = df.withColumn("__slice", slice_of(first, cuts))
     stay = np.arange(n)
 

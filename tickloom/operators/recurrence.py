@@ -11,7 +11,7 @@ from .machines import slice_cuts, slice_of
 CHUNK = 4096
 
 
-def affine_scan(df: DataFrame, a: str, b: str, out: str, key: str = "symbol", order: str = "ts", descending: bool = False) -> DataFrame:
+def affine_scan(df: DataFrame, a: str, b: str, out: str, key: str = "symbol", order: str = "ts", descending: bool = False, cuts: list | None = None) -> DataFrame:
     """Adds y[t] = a[t] y[t-1] + b[t], y before the first row being 0 (give the seed as the
     first row's b). Null a or b count as a = 1, b = 0 (the state stays).
 
@@ -20,29 +20,47 @@ def affine_scan(df: DataFrame, a: str, b: str, out: str, key: str = "symbol", or
     in order, and so are the maps of a group's slices; each chunk then replays its rows from
     its entry state. Rows are numbered within a slice only. A task sorts one slice of a group,
     and no array is longer than a chunk's rows, a slice's chunks or a group's slices, each
-    composed by one pass.
+    composed by one pass. cuts: machines.slice_cuts of the same rows, where a caller has them
+    (finding them is a pass over the rows).
     """
+    return affine_scans(df, [(a, b, out)], key, order, descending, cuts)
+
+
+def affine_scans(df: DataFrame, series: list[tuple[str, str, str]], key: str = "symbol", order: str = "ts", descending: bool = False, cuts: list | None = None) -> DataFrame:
+    """affine_scan of several series (a, b, out) at once: one sort and one dealing of the rows."""
     by = F.col(order).desc() if descending else F.col(order)
-    cuts = slice_cuts(df, order)
+    cuts = slice_cuts(df, order) if cuts is None else cuts
     place = slice_of(order, cuts)
     df = df.withColumn("__slice", -place if descending else place)
     df = df.withColumn("__row", F.row_number().over(Window.partitionBy(key, "__slice").orderBy(by)) - 1)
     own = [c for c in df.columns if c not in (key, "__row", "__slice")]
-    values = F.struct(F.col("__row"), F.coalesce(F.col(a), F.lit(1.0)).cast("double").alias("a"), F.when(F.col(a).isNull(), 0.0).otherwise(F.coalesce(F.col(b), F.lit(0.0))).cast("double").alias("b"), F.struct(*own).alias("r"))
+    maps = []
+    for k, (a, b, _) in enumerate(series):
+        maps += [F.coalesce(F.col(a), F.lit(1.0)).cast("double").alias(f"a{k}"), F.when(F.col(a).isNull(), 0.0).otherwise(F.coalesce(F.col(b), F.lit(0.0))).cast("double").alias(f"b{k}")]
+    values = F.struct(F.col("__row"), *maps, F.struct(*own).alias("r"))
     rows = F.array_sort(F.collect_list(values), lambda x, y: x["__row"] - y["__row"])
     chunks = df.withColumn("__chunk", F.floor(F.col("__row") / CHUNK).cast("int")).groupBy(key, "__slice", "__chunk").agg(rows.alias("rows"))
-    chunks = chunks.withColumn("m", F.expr("aggregate(rows, named_struct('a', 1.0D, 'b', 0.0D), (s, x) -> named_struct('a', s.a * x.a, 'b', x.a * s.b + x.b))"))
+    for k in range(len(series)):
+        chunks = chunks.withColumn(f"m{k}", F.expr(f"aggregate(rows, named_struct('a', 1.0D, 'b', 0.0D), (s, x) -> named_struct('a', s.a * x.a{k}, 'b', x.a{k} * s.b + x.b{k}))"))
     if cuts:
-        entry = _entries(chunks, key)
+        entry = _entries(chunks, key, len(series))
         chunks = chunks.join(entry.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__s")) & (F.col("__chunk") == F.col("__c"))).drop("__key", "__s", "__c")
     else:
         before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-        chunks = chunks.withColumn("y0", F.aggregate(F.collect_list("m").over(before), F.lit(0.0), lambda y, x: x["a"] * y + x["b"]))
-    walk = "aggregate(rows, named_struct('y', y0, 'o', cast(array() as array<double>)), (s, x) -> named_struct('y', x.a * s.y + x.b, 'o', concat(s.o, array(x.a * s.y + x.b))), s -> s.o)"
-    small = 64  # appending copies the array: replay in pieces
-    walk = f"flatten(aggregate(transform(sequence(0, cast(floor((size(rows) - 1) / {small}) as int)), k -> slice(rows, k * {small} + 1, {small})), named_struct('y', y0, 'o', cast(array() as array<array<double>>)), (t, part) -> named_struct('y', aggregate(part, t.y, (s, x) -> x.a * s + x.b), 'o', concat(t.o, array({walk.replace('rows', 'part').replace('y0', 't.y')}))), t -> t.o))"
-    flat = chunks.select(key, F.explode(F.arrays_zip("rows", F.expr(walk).alias("y"))).alias("z"))
-    return flat.select(key, "z.rows.r.*", F.col("z.y").alias(out))
+        for k in range(len(series)):
+            chunks = chunks.withColumn(f"y{k}", F.aggregate(F.collect_list(f"m{k}").over(before), F.lit(0.0), lambda y, x: x["a"] * y + x["b"]))
+    found = [F.expr(_walk(k)).alias(f"y{k}") for k in range(len(series))]
+    flat = chunks.select(key, F.explode(F.arrays_zip("rows", *found)).alias("z"))
+    return flat.select(key, "z.rows.r.*", *[F.col(f"z.y{k}").alias(out) for k, (_, _, out) in enumerate(series)])
+
+
+def _walk(k: int, small: int = 64) -> str:
+    """The states of series k after each of a chunk's rows. Appending copies an array, so that
+    the rows are replayed in pieces of `small`."""
+    step = f"x.a{k} * s.y + x.b{k}"
+    piece = f"aggregate(part, named_struct('y', t.y, 'o', cast(array() as array<double>)), (s, x) -> named_struct('y', {step}, 'o', concat(s.o, array({step}))), s -> s.o)"
+    pieces = f"transform(sequence(0, cast(floor((size(rows) - 1) / {small}) as int)), k -> slice(rows, k * {small} + 1, {small}))"
+    return f"flatten(aggregate({pieces}, named_struct('y', y{k}, 'o', cast(array() as array<array<double>>)), (t, part) -> named_struct('y', aggregate(part, t.y, (s, x) -> x.a{k} * s + x.b{k}), 'o', concat(t.o, array({piece}))), t -> t.o))"
 
 
 def _prefixes(items: Column) -> Column:
@@ -55,15 +73,16 @@ def _prefixes(items: Column) -> Column:
     return F.transform(F.array(walked), lambda w: F.concat(w["o"], F.array(F.struct(F.lit(None).cast("int").alias("k"), w["p"].alias("p")))))[0]
 
 
-def _entries(chunks: DataFrame, key: str) -> DataFrame:
-    """(key, __s, __c, y0): the state in which each chunk is entered. Slices have at most
-    SLICE / CHUNK chunks or so, groups at most MOST_SLICES slices."""
-    per = chunks.groupBy(key, F.col("__slice").alias("__s")).agg(_prefixes(F.array_sort(F.collect_list(F.struct(F.col("__chunk").alias("k"), "m")))).alias("w"))
-    whole = per.groupBy(key).agg(_prefixes(F.array_sort(F.collect_list(F.struct(F.col("__s").alias("k"), F.element_at("w", -1)["p"].alias("m"))))).alias("v"))
-    starts = whole.select(F.col(key).alias("__g"), F.explode("v").alias("x")).select("__g", F.col("x.k").alias("__t"), F.col("x.p.b").alias("__y"))
-    at = per.select(key, "__s", F.explode("w").alias("x")).where("x.k IS NOT NULL")
+def _entries(chunks: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, __s, __c, y0, y1, ...): the states in which each chunk is entered. Slices have at
+    most SLICE / CHUNK chunks or so, groups at most MOST_SLICES slices."""
+    listed = lambda of, m: _prefixes(F.array_sort(F.collect_list(F.struct(F.col(of).alias("k"), m.alias("m")))))
+    per = chunks.groupBy(key, F.col("__slice").alias("__s")).agg(*[listed("__chunk", F.col(f"m{k}")).alias(f"w{k}") for k in range(n)])
+    whole = per.groupBy(key).agg(*[listed("__s", F.element_at(f"w{k}", -1)["p"]).alias(f"v{k}") for k in range(n)])
+    starts = whole.select(F.col(key).alias("__g"), F.explode(F.arrays_zip(*[f"v{k}" for k in range(n)])).alias("x")).select("__g", F.col("x.v0.k").alias("__t"), *[F.col(f"x.v{k}.p.b").alias(f"__y{k}") for k in range(n)])
+    at = per.select(key, "__s", F.explode(F.arrays_zip(*[f"w{k}" for k in range(n)])).alias("x")).where("x.w0.k IS NOT NULL")
     at = at.join(starts, F.col(key).eqNullSafe(F.col("__g")) & (F.col("__s") == F.col("__t")))
-    return at.select(key, "__s", F.col("x.k").alias("__c"), (F.col("x.p.a") * F.col("__y") + F.col("x.p.b")).alias("y0"))
+    return at.select(key, "__s", F.col("x.w0.k").alias("__c"), *[(F.col(f"x.w{k}.p.a") * F.col(f"__y{k}") + F.col(f"x.w{k}.p.b")).alias(f"y{k}") for k in range(n)])
 
 
 def ema(df: DataFrame, x: str, span: int, out: str, alpha: float | None = None, **kw) -> DataFrame:
