@@ -19,8 +19,8 @@ from .common import table, text_batches, written
 ROW_BYTES = 4 << 20
 #: Words that go to the libraries as one text.
 CALL = 512
-#: Tokens of a word up to which its common ends are looked for one by one.
-SHORT = 64
+#: Tokens of a word, of both, up to which its common ends are looked for one by one.
+SHORT = 128
 #: Linked pairs of ids whose counts are broadcast (some 60 bytes each); more are joined by shuffles.
 BROADCAST_PAIRS = 1_000_000
 #: Where both tokenizers' tokens are sure to end: before a blank that follows neither white space nor U+2581.
@@ -209,11 +209,17 @@ def _marked(ends: Column, common: Column) -> Column:
 
 
 def _till(ends: Column, common: Column) -> Column:
-    """How many tokens there are up to each common end: by its place in a short array; in a long
-    one by the marks' places among sorted ends and marks, less the marks before, so that the
-    work grows as n log n."""
-    marks = lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i) % 2 == 1), lambda p, k: (p - k).cast("bigint"))
-    return F.when(F.size(ends) <= SHORT, F.transform(common, lambda e: F.array_position(ends, e))).otherwise(_let(_marked(ends, common), marks))
+    """How many tokens there are up to each common end: the marks' places among sorted ends and
+    marks, less the marks before, so that the work grows as n log n."""
+    return _let(_marked(ends, common), lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i) % 2 == 1), lambda p, k: (p - k).cast("bigint")))
+
+
+def _places(w: Column, common: Column) -> Column:
+    """Structs (a, b): how many tokens of each there are up to each common end. In a short word
+    by the end's place in either array, in a long one by sorting."""
+    sought = F.transform(common, lambda e: F.struct(F.array_position(w["ae"], e).alias("a"), F.array_position(w["be"], e).alias("b")))
+    long = F.zip_with(_till(w["ae"], common), _till(w["be"], common), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.when(F.size(w["ae"]) + F.size(w["be"]) <= SHORT, sought).otherwise(long)
 
 
 def _pair(a: Column, b: Column) -> Column:
@@ -228,16 +234,17 @@ def _said(a: Column, b: Column) -> Column:
     return F.concat(a.cast("string"), F.lit("|"), b.cast("string"))
 
 
-def _group(w: Column, k: Column) -> Column:
-    """Links and text of group k of a word with tokens a and b, of which till.a and till.b give
-    the number up to each group's end."""
-    to_a, to_b = (F.get(w["till"][x], k).cast("int") for x in "ab")
-    from_a, from_b = (F.when(k == 0, 0).otherwise(F.get(w["till"][x], k - 1)).cast("int") for x in "ab")
-    last_a, last_b = F.get(w["a"], to_a - 1), F.get(w["b"], to_b - 1)
+def _group(w: Column, x: Column, k: Column) -> Column:
+    """Links and text of group k of a word with tokens a and b, of which x counts those up to its
+    end. A group of one token each, as most are, takes no slices."""
+    before = F.get(w["p"], k - 1)
+    from_a, from_b = F.coalesce(before["a"], F.lit(0)), F.coalesce(before["b"], F.lit(0))
     wide = lambda g: F.struct(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y)))).alias("l"), F.concat(_listed(g["a"]), F.lit("|"), _listed(g["b"])).alias("s"))
-    several = _let(F.struct(F.slice(w["a"], from_a + 1, to_a - from_a).alias("a"), F.slice(w["b"], from_b + 1, to_b - from_b).alias("b")), wide)
+    tokens = lambda c, start: F.slice(w[c], (start + 1).cast("int"), (x[c] - start).cast("int")).alias(c)
+    several = _let(F.struct(tokens("a", from_a), tokens("b", from_b)), wide)
+    last_a, last_b = F.get(w["a"], x["a"].cast("int") - 1), F.get(w["b"], x["b"].cast("int") - 1)
     one = F.struct(F.array(_pair(last_a, last_b)).alias("l"), _said(last_a, last_b).alias("s"))
-    return F.when((to_a - from_a == 1) & (to_b - from_b == 1), one).otherwise(several)
+    return F.when((x["a"] - from_a == 1) & (x["b"] - from_b == 1), one).otherwise(several)
 
 
 def aligned_words(words: Column) -> Column:
@@ -245,8 +252,8 @@ def aligned_words(words: Column) -> Column:
     the groups as text s. Ends where tokens of both end are the intersection of the two arrays
     of ends; words whose tokens all agree pair them off directly."""
     joined = lambda n: lambda g: F.struct(n.alias("n"), F.flatten(F.transform(g, lambda x: x["l"])).alias("l"), F.array_join(F.transform(g, lambda x: x["s"]), ";").alias("s"))
-    grouped = lambda w: _let(F.transform(F.sequence(F.lit(0), w["n"] - 1), lambda k: _group(w, k)), joined(w["n"]))
-    uneven = lambda w, c: _let(F.struct(w["a"].alias("a"), w["b"].alias("b"), F.size(c).alias("n"), F.struct(_till(w["ae"], c).alias("a"), _till(w["be"], c).alias("b")).alias("till")), grouped)
+    grouped = lambda w: _let(F.transform(w["p"], lambda x, k: _group(w, x, k)), joined(F.size(w["p"])))
+    uneven = lambda w, c: _let(F.struct(w["a"].alias("a"), w["b"].alias("b"), _places(w, c).alias("p")), grouped)
     even = lambda w, c: F.struct(F.size(c).alias("n"), F.zip_with(w["a"], w["b"], _pair).alias("l"), F.array_join(F.zip_with(w["a"], w["b"], _said), ";").alias("s"))
     each = lambda w: _let(F.array_intersect(w["ae"], w["be"]), lambda c: F.when((F.size(w["a"]) == F.size(c)) & (F.size(w["b"]) == F.size(c)), even(w, c)).otherwise(uneven(w, c)))
     return F.transform(words, each)
@@ -283,7 +290,6 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     digest = lambda d: F.struct(
         d["id"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"),
         _over(d["words"], lambda i: F.get("w", i)["n"]).alias("n_groups"),
-        _over(d["words"], lambda i: F.size(F.get("w", i)["l"])).alias("n_links"),
         F.when(d["n_a"] == 0, F.lit("")).otherwise(F.sha2(F.array_join(F.transform(d["words"], lambda i: F.get("w", i)["s"]), ";"), 256)).alias("sha"),
         d["words"].alias("words"),
     )
@@ -297,13 +303,13 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     docs = rows.select("row", F.posexplode(F.transform("docs", lambda d: F.struct(d.dropFields("words").alias("d"), of_doc(d["words"]).alias("l")))).alias("at", "x"))
     if pair.count() <= BROADCAST_PAIRS:
         links = docs.select("row", "at", F.explode("x.l").alias("pair")).join(F.broadcast(pair), "pair")
-        sums = links.groupBy("row", "at").agg(F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
+        sums = links.groupBy("row", "at").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
     else:
         times = docs.select("row", "at", F.explode("x.l").alias("pair")).groupBy("row", "at", "pair").agg(F.count("*").alias("m"))
-        sums = times.join(pair, "pair").groupBy("row", "at").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("n_docs")).alias("count_sum"))
+        sums = times.join(pair, "pair").groupBy("row", "at").agg(F.sum("m").alias("n_links"), F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("n_docs")).alias("count_sum"))
     out = rows.select("row", F.posexplode(F.transform("docs", lambda d: d.dropFields("words"))).alias("at", "d")).join(sums, ["row", "at"], "left")
-    none = F.lit(0).cast("bigint")
-    out = out.select(F.col("d.id").alias(id_col), "d.n_a", "d.n_b", "d.n_groups", "d.n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), F.col("d.sha").alias("groups_sha256"))
+    known = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_links", "n_best", "count_sum")]
+    out = out.select(F.col("d.id").alias(id_col), "d.n_a", "d.n_b", "d.n_groups", *known, F.col("d.sha").alias("groups_sha256"))
     low = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     return out, pair.select(F.shiftright("pair", 32).cast("int").alias("a_id"), low.cast("int").alias("b_id"), "n_docs", "best")
 
