@@ -89,7 +89,7 @@ class OrderState:
 
     def rows(self, key: str, orders: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for ts, target, price in orders.sort_values("ts")[["ts", "target", "price"]].itertuples(index=False):
+        for ts, target, price in orders.sort_values("ts", kind="stable")[["ts", "target", "price"]].itertuples(index=False):
             gain = self.step(str(ts.date()), int(target), float(price))
             out.append((key, ts, int(target), self.position, gain, self.daily, self.halted))
         return pd.DataFrame(out, columns=["symbol", "ts", "target", "position", "realised", "daily", "halted"])
@@ -97,18 +97,23 @@ class OrderState:
 
 def managed(orders: DataFrame, most: int = 1, limit: float = 5000.0, cost: float = 5.0, multiplier: float = 20.0) -> DataFrame:
     """Orders (symbol, ts, target, price) through an OrderState, which passes from slice to
-    slice of time, so that a task holds a slice of a symbol's orders."""
+    slice of time, so that a task holds a slice of a symbol's orders. With a column bar_no
+    orders of one time go by it, and it and the price stay in the result."""
+    numbered = [c for c in ("bar_no",) if c in orders.columns]
 
     def run(key, before: tuple | None, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         book = OrderState(most, limit, cost, multiplier)
         if before is not None:
             book.position, book.entry, book.daily, book.halted, book.day = before
         rows = book.rows(key, pdf).drop(columns=["symbol"])
+        if numbered:
+            rows = rows.assign(bar_no=pdf["bar_no"].to_numpy(), price=pdf["price"].to_numpy())
         return (book.position, book.entry, book.daily, book.halted, book.day), rows
 
     kind = dict(orders.dtypes)["ts"]
     fields = ORDERS.split(", ", 1)[1].replace("ts timestamp", f"ts {kind}")
-    return carried_scan(orders.select("symbol", "ts", "target", "price"), "position int, entry double, daily double, halted boolean, day string", fields, run)
+    fields += ", bar_no long, price double" if numbered else ""
+    return carried_scan(orders.select("symbol", "ts", "target", "price", *numbered), "position int, entry double, daily double, halted boolean, day string", fields, run, order=("ts", *numbered))
 
 
 def stream_managed(orders: DataFrame, most: int = 1, limit: float = 5000.0, cost: float = 5.0, multiplier: float = 20.0) -> DataFrame:
