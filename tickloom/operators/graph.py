@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .machines import kept
+
 
 def labelled_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("la")), labels.select(F.col("node").alias("dst"), F.col("label").alias("lb"))
@@ -52,3 +54,61 @@ def scores_by_run(edges: DataFrame, labels: DataFrame) -> DataFrame:
     b = labels.select("run", F.col("node").alias("dst"), F.col("label").alias("lb"))
     both = edges.join(a, "src").join(b, ["run", "dst"])
     return both.groupBy("run").agg(F.sum(F.when(F.col("la") != F.col("lb"), F.col("w")).otherwise(0.0)).alias("cut"))
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """(node, to) in both directions, without loops and repeats."""
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("to")))
+    return both.where("node <> to").distinct()
+
+
+def greedy_cover(edges: DataFrame) -> DataFrame:
+    """(node, chosen): the vertex cover that takes nodes by falling degree, then rising number,
+    until every edge is covered. An edge is covered once the earlier of its ends is taken, so
+    that the last node taken is that of the latest such end; nodes that tie in degree are told
+    apart by number, and no order of all nodes is made."""
+    both = _both_ways(edges)
+    place = both.groupBy("node").agg((-F.count(F.lit(1))).alias("d")).select("node", F.struct("d", "node").alias("r"))
+    ends = both.join(place, "node").select("node", "to", F.col("r").alias("x")).join(place.select(F.col("node").alias("to"), F.col("r").alias("y")), "to")
+    last = ends.agg(F.max(F.least("x", "y")).alias("k"))
+    return place.join(F.broadcast(last)).select("node", (F.col("r") <= F.col("k")).cast("int").alias("chosen"))
+
+
+def _rounds(edges: DataFrame, order: Column, decide, most: int) -> DataFrame:
+    """Decides nodes in the order's sequence, many at a time: in a round, every open node all of
+    whose earlier neighbours are decided. decide(open nodes ready, with the array `seen` of those
+    neighbours' values) gives `value`. Edges point from later to earlier ends and are written
+    once; a round joins them with what the round before has decided."""
+    both = _both_ways(edges)
+    place = both.groupBy("node").agg(order.alias("d")).select("node", F.struct("d", "node").alias("r"))
+    back = both.join(place, "node").join(place.select(F.col("node").alias("to"), F.col("r").alias("q")), "to").where("q < r").select("node", "to")
+    back = kept(back, "graph")
+    need = back.groupBy("node").agg(F.count(F.lit(1)).alias("need"))
+    state = kept(place.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need"), F.array().cast("array<int>").alias("seen"), F.lit(None).cast("int").alias("value")), "graph")
+    for _ in range(most):
+        ready = decide(state.where("value IS NULL AND size(seen) = need"))
+        fresh = kept(ready.select("node", "value"), "graph")
+        if fresh.isEmpty():
+            break
+        told = back.join(fresh.select(F.col("node").alias("to"), "value"), "to").groupBy("node").agg(F.collect_list("value").alias("_v"))
+        state = kept(state.join(fresh.withColumnRenamed("value", "_n"), "node", "left").join(told, "node", "left").select("node", "need", F.concat("seen", F.coalesce("_v", F.array().cast("array<int>"))).alias("seen"), F.coalesce("value", "_n").alias("value")), "graph")
+    if not state.where("value IS NULL").isEmpty():
+        raise RuntimeError(f"undecided nodes after {most} rounds")
+    return state.select("node", "value")
+
+
+def greedy_independent_set(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """(node, chosen): the independent set of the sequential greedy that takes nodes by rising
+    degree, then number, and skips the neighbours of those taken. A node is decided as soon as
+    all earlier neighbours are; rounds are as many as the longest chain of such."""
+    got = _rounds(edges, F.count(F.lit(1)), lambda ready: ready.withColumn("value", F.when(F.array_contains("seen", 1), 0).otherwise(1)), most)
+    return got.withColumnRenamed("value", "chosen")
+
+
+def greedy_colours(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """(node, colour): first fit by falling degree, then number: the least colour from 1 that no
+    earlier neighbour has. (A rule that also balances how often colours are used needs all nodes
+    in one sequence; it isn't built.)"""
+    free = lambda seen: F.array_min(F.array_except(F.sequence(F.lit(1), F.size(seen) + 1), seen))
+    got = _rounds(edges, -F.count(F.lit(1)), lambda ready: ready.withColumn("value", free(F.col("seen"))), most)
+    return got.withColumnRenamed("value", "colour")

@@ -4,6 +4,7 @@ hand it on from slice to slice."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a slice, about, and slices at most.
 SLICE, MOST_SLICES = 1_000_000, 10_000
+#: Folders of local sessions that name none.
+_OWN: dict[str, str] = {}
 
 
 def slice_cuts(df: DataFrame, order: str) -> list:
@@ -32,15 +35,23 @@ def slice_of(order: str, cuts: list) -> Column:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share. A local session without
-    spark.checkpoint.dir uses its warehouse; on a cluster that is an error."""
+    spark.checkpoint.dir gets a folder of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = spark.conf.get("spark.sql.warehouse.dir")
+        found = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tickloom-"))
     return f"{found.rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: the rows as a Parquet table in the shared folder, for steps that read them
+    many times."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
