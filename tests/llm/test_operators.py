@@ -323,6 +323,16 @@ def test_op6_held_out(spark):
     assert len(got) == len(ODD) and got[0]["score"] == got[1]["score"]
 
 
+def test_op6_calibration(spark):
+    """Held-out scores mean what they say: mean gap of score and label over tenths of the scale."""
+    sf = "/root/testdata/sf0.1"
+    rows = op6_quality.op6_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "quality").collect()
+    x, y = np.array([r["score"] for r in rows]), np.array([r["quality"] for r in rows])
+    tenth = np.minimum((x * 10).astype(int), 9)
+    gap = sum(abs(x[tenth == b].mean() - y[tenth == b].mean()) * (tenth == b).mean() for b in set(tenth))
+    assert len(x) > 500 and gap < 0.04 and abs(x.mean() - y.mean()) < 0.03
+
+
 def test_op10_held_out(spark):
     assert scored(spark, op10_toxicity.op10_toxicity(spark, "/root/testdata/sf0.01"), "toxic", 5, 0) > 0.93
     r = random.Random(0)

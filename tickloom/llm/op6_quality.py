@@ -50,29 +50,24 @@ class QualityModel:
             b += len(bad(part))
         return (b - g) / (b + g) if b + g else 0.0
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic fit of the label on the difference, both labels weighing alike, by
-        Newton steps with a small ridge. The curve is then moved so that the decision
-        score 0.7 falls where the two labels of the sample are told apart best."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """Logistic fit of the label on the difference by Newton steps: slope (with a small
+        ridge, so that labels told apart without fault have a curve too) and intercept. weight:
+        how many labelled rows a row of the sample stands for."""
         if not len(x) or y.min() == y.max():
             self.curve = (0.0, 4.0 if not len(y) or y.max() else -4.0)
             return
-        self.mean, self.std = float(x.mean()), float(x.std() or 1.0)
-        z = np.stack([(x - self.mean) / self.std, np.ones_like(x)], 1)
-        weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+        mean, std = float(x.mean()), float(x.std() or 1.0)
+        z = np.stack([(x - mean) / std, np.ones_like(x)], 1)
+        weight, ridge = np.ones(len(x)) if weight is None else weight * len(x) / weight.sum(), np.array([0.05, 1e-9])
         w = np.zeros(2)
-        for _ in range(30):
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (weight * (p - y)) + 0.05 * w
-            hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(2)
+            grad = z.T @ (weight * (p - y)) + ridge * w
+            hess = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(ridge)
             w -= np.linalg.solve(hess, grad)
-        order = np.sort(x)
-        cuts = np.concatenate(([order[0] - 1e-6], (order[1:] + order[:-1]) / 2, [order[-1] + 1e-6]))
-        right = [(y[x >= c] == 1).sum() / (y == 1).sum() + (y[x < c] == 0).sum() / (y == 0).sum() for c in cuts]
-        best = cuts[np.isclose(right, max(right), atol=1e-9)]
-        cut = float(best[len(best) // 2])
-        slope = max(float(w[0]), 1e-3) / self.std
-        self.curve = (slope, float(np.log(0.7 / 0.3)) - slope * cut)
+        slope = max(float(w[0]), 1e-3) / std
+        self.curve = (slope, float(w[1]) - slope * mean)
 
     def score(self, text: bytes) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.curve[0] * self.difference(text) + self.curve[1], -30, 30))))
@@ -82,13 +77,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """Fits on labelled rows whose crc32(doc_id as text) mod 4 is not 2: at most
     `sample_rows` of each label, those of the least hash of the id, with their whole texts: a documented
     bound that lets the driver hold them. Two thirds make the dictionaries, the rest the
-    curve."""
+    curve, in which each row weighs as many usable labels as it stands for."""
     got = sample(docs, labels, "quality", remainder(F.col("doc_id"), 4) != 2, {0: sample_rows, 1: sample_rows})
     sides = {side: [t.encode() for s, t in got if s == side] for side in (0, 1)}
     parts = {s: ([t for i, t in enumerate(v) if i % 3], [t for i, t in enumerate(v) if i % 3 == 0]) for s, v in sides.items()}
     model = QualityModel(parts[1][0], parts[0][0])
     held = [(model.difference(t), s) for s in (0, 1) for t in parts[s][1] if t]
-    model.calibrate(np.array([x for x, _ in held]), np.array([y for _, y in held]))
+    usable = labels.where(remainder(F.col("doc_id"), 4) != 2).groupBy("quality").count().collect()
+    stands = {r["quality"]: r["count"] / max(1, len(sides[r["quality"]])) for r in usable if r["quality"] in sides}
+    model.calibrate(np.array([x for x, _ in held]), np.array([y for _, y in held]), np.array([stands.get(y, 1.0) for _, y in held]))
     return model
 
 
