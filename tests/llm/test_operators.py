@@ -116,6 +116,22 @@ def test_op4_tree(spark, shards):
     assert sorted(rows) == sorted(op4_mix.tree_leaves(spark, quotas, shards, 3).collect())
 
 
+def test_op4_defaults(spark):
+    """With the production constants: at least 16 shards, at least 8 blocks a source, draws that add
+    up to each source's target, none beyond three copies, reruns alike."""
+    rows = op4_mix.op4_mix(spark, "/root/testdata/sf0.01").collect()
+    again = op4_mix.op4_mix(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again)) and len(rows) == 1000
+    assert {s for r in rows for s in r["shards"]} == set(range(16)) and all(len(r["shards"]) <= 3 and r["taken"] == r["size"] * len(r["shards"]) for r in rows)
+    for target, size in {(r["target"], r["source_size"]) for r in rows}:
+        own = [r for r in rows if (r["target"], r["source_size"]) == (target, size)]
+        assert abs(sum(r["taken"] for r in own) - target) < 0.01 * target and len({s for r in own for s in r["shards"]}) >= 3
+    words = Counter()
+    for r in rows:
+        words.update({s: r["size"] for s in r["shards"]})
+    assert max(words.values()) < 4 * sum(words.values()) / 16
+
+
 def test_op4_draws_make_what_is_taken(spark, monkeypatch):
     """Small blocks, a hot source, repeated ids and rows: shards of the written mix against the plan."""
     monkeypatch.setattr(op4_mix, "BLOCK_DOCS", 8)

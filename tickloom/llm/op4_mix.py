@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Documents of a block, on average.
-BLOCK_DOCS = 4096
-#: Words of an output shard, on average.
-SHARD_WORDS = 4_000_000
+#: Documents of a block, on average, and blocks of a source at least (but for smaller sources).
+BLOCK_DOCS, BLOCKS = 4096, 8
+#: Words of an output shard, on average, and shards at least.
+SHARD_WORDS, SHARDS = 4_000_000, 16
 
 
 def cycle_weights(sources: list) -> list[float]:
@@ -89,7 +89,7 @@ def tree_leaves(spark: SparkSession, quotas: list[int], shards: int, seed: int)
 
 
 def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Takes documents of the border block in permuted order while they fit what is left;
+    """Takes documents of the border's blocks in permuted order while they fit what is left;
     the smallest that doesn't fit is taken too if that comes nearer."""
     pdf = pdf.sort_values(["_o", "doc_id", "size"], kind="stable")
     left, take, spare = float(pdf["_left"].iloc[0]), [], None
@@ -128,17 +128,25 @@ class Mix:
         for k, (r, w, t) in enumerate(zip(recipe, sizes, targets, strict=True)):
             full = min(cap, int(t // w)) if w else 1
             rest = max(0.0, float(t - full * w)) if full < cap and w else 0.0
-            plan.append((k, r["source"], w, float(t), full, rest, max(1, -(-int(r["n"]) // BLOCK_DOCS))))
-        self.recipe = _small(spark.createDataFrame(plan, "_k int, _s string, source_size long, target double, _full int, _rest double, _nb int"), len(plan))
+            n = int(r["n"])
+            blocks = max(1, min(n, max(BLOCKS, -(-n // BLOCK_DOCS))))
+            plan.append((k, r["source"], w, float(t), full, rest, blocks, max(0, BLOCK_DOCS // max(1, -(-n // blocks)) - 1)))
+        self.recipe = _small(spark.createDataFrame(plan, "_k int, _s string, source_size long, target double, _full int, _rest double, _nb int, _more int"), len(plan))
         words = F.col("size") * F.col("n_rows")
-        blocks = self.place(self.keyed).groupBy("_k", "_b", "_full", "_rest").agg(F.sum(words).alias("_w"))
+        blocks = self.place(self.keyed).groupBy("_k", "_b", "_full", "_rest", "_more").agg(F.sum(words).alias("_w"))
         order = Window.partitionBy("_k").orderBy(F.xxhash64(F.lit(seed + 1), "_k", "_b"), "_b")
         blocks = blocks.withColumn("_rank", (F.row_number().over(order) - 1).cast("long")).withColumn("_to", F.sum("_w").over(order))
         # 2: the last, partial copy takes the block; 1: its border runs through it; 0: it stays out.
         state = F.when(F.col("_rest") <= 0, 0).when(F.col("_to") <= F.col("_rest"), 2).when(F.col("_to") - F.col("_w") < F.col("_rest"), 1).otherwise(0)
-        blocks = written(blocks.withColumn("_state", state).withColumn("_left", F.col("_rest") - F.col("_to") + F.col("_w")), "mix-blocks")
+        blocks = blocks.withColumn("_state", state).withColumn("_left", F.col("_rest") - F.col("_to") + F.col("_w"))
+        # With blocks of few documents the border takes in the next ones, up to BLOCK_DOCS documents.
+        whole = Window.partitionBy("_k")
+        at = F.min(F.when(F.col("_state") == 1, F.col("_rank"))).over(whole)
+        blocks = blocks.withColumn("_at", at).withColumn("_left", F.max(F.when(F.col("_state") == 1, F.col("_left"))).over(whole))
+        more = (F.col("_rank") > F.col("_at")) & (F.col("_rank") <= F.col("_at") + F.col("_more"))
+        blocks = written(blocks.withColumn("_state", F.when(more, 1).otherwise(F.col("_state"))).drop("_at", "_more"), "mix-blocks")
         quota = {r["_k"]: r for r in blocks.groupBy("_k").agg(F.sum(F.col("_full") + (F.col("_state") > 0).cast("int")).alias("q"), F.count(F.lit(1)).alias("n")).collect()}
-        n = shards or max(1, -(-sum(sizes) // SHARD_WORDS))
+        n = shards or max(SHARDS, -(-sum(sizes) // SHARD_WORDS))
         leaves = tree_leaves(spark, [int(quota[k]["q"]) if k in quota else 0 for k in range(len(plan))], n, seed)
         counts = _small(spark.createDataFrame([(k, int(r["n"])) for k, r in quota.items()], "k int, blocks long"), len(quota))
         # Unit u of a source is its block of rank u mod blocks, in copy u div blocks.
@@ -149,10 +157,10 @@ class Mix:
         drawn = drawn.groupBy("_k", "_b").agg(F.array_sort(F.collect_list(F.struct("copy", "shard", border.alias("border")))).alias("_draws"))
         self.draws = written(drawn, "mix-draws")
         self.n_blocks = sum(int(r["n"]) for r in quota.values())
-        edge = _small(blocks.where("_state = 1").select("_k", "_b", "_left"), len(plan))
+        edge = _small(blocks.where("_state = 1").select("_k", "_b", "_left"), sum(1 + r[-1] for r in plan))
         edge = self.place(self.keyed).join(edge, ["_k", "_b"]).select("_k", "_b", "doc_id", "size", words.alias("_words"), "_left", F.xxhash64(F.lit(seed + 2), "doc_id", "size").alias("_o"))
         kind = self.keyed.schema["doc_id"].dataType.simpleString()
-        self.chosen = written(edge.groupBy("_k", "_b").applyInPandas(_first_fit, f"_k int, doc_id {kind}, size long"), "mix-border")
+        self.chosen = written(edge.groupBy("_k").applyInPandas(_first_fit, f"_k int, doc_id {kind}, size long"), "mix-border")
 
     def place(self, rows: DataFrame) -> DataFrame:
         """Adds source number and block, and the source's recipe. A block is a hash of id and
@@ -179,12 +187,12 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
     source: last). Documents without words fit any quota. An empty table gives an empty
     result.
 
-    A source's documents fall into hashed blocks of about BLOCK_DOCS documents, which a
-    seeded hash permutes. Its units are whole copies of all its blocks, then the blocks of
+    A source's documents fall into hashed blocks of about BLOCK_DOCS documents, BLOCKS of them at
+    least, which a seeded hash permutes. Its units are whole copies of all its blocks, then the blocks of
     one more, partial copy as far as its target goes. The splitting tree gives each shard
     its exact quota of every source's units, and the shard draws that many of the permuted
-    ones, none drawn twice; of the block at the border, the shard that owns it takes
-    documents by first fit. Through the driver pass one row a source (size, target, quota)
+    ones, none drawn twice; of the block at the border (of small blocks, of as many as hold
+    BLOCK_DOCS documents), the shards that own it take documents by first fit. Through the driver pass one row a source (size, target, quota)
     and the top of the tree; documents, blocks and leaves don't. No task gathers more than a
     block's documents, a source's blocks or a node's units.
     """
