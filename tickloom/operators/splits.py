@@ -188,3 +188,60 @@ def islands(df: DataFrame, idx: str, key: str = "symbol") -> DataFrame:
     """(key, lo, hi, n): runs of consecutive integers."""
     w = Window.partitionBy(key).orderBy(idx)
     return df.withColumn("_g", F.col(idx) - F.row_number().over(w)).groupBy(key, "_g").agg(F.min(idx).alias("lo"), F.max(idx).alias("hi"), F.count(F.lit(1)).alias("n")).drop("_g")
+
+
+def even_bounds(total: int, folds: int) -> list[tuple[int, int]]:
+    """Half-open bounds of folds of nearly equal size; the first ones take the rest, one each."""
+    size, rest = divmod(total, folds)
+    ends = [0]
+    for i in range(folds):
+        ends.append(ends[-1] + size + (i < rest))
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
+def embargoed_folds(df: DataFrame, t: str, known: str, folds: int, share: float) -> DataFrame:
+    """df's rows with fold and role for every fold: test, the rows of one of `folds` even folds in
+    the order of the numeric time t (rows of one time stay together in the fold of the first);
+    train, other rows whose label, known at time `known`, lies before the fold's first time less
+    an embargo or after its last time plus it. The embargo is `share` of the fold's time span.
+    A row meets the few folds by a generated array."""
+    bounds = even_bounds(df.count(), folds)
+    starts = F.array(*[F.lit(lo) for lo, _ in bounds[1:]])
+    at = runs(df, t).select(F.col(t).alias("_t"), F.size(F.filter(starts, lambda lo: lo <= F.col("start"))).alias("_own"))
+    rows = df.join(at, F.col(t).eqNullSafe(F.col("_t"))).drop("_t")
+    spans = rows.groupBy(F.col("_own").alias("fold")).agg(F.min(t).alias("_from"), F.max(t).alias("_to"))
+    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).join(F.broadcast(spans), "fold")
+    rest = (F.col("_to") - F.col("_from")) * share
+    apart = (F.col(known) < F.col("_from") - rest) | (F.col(known) > F.col("_to") + rest)
+    role = F.when(F.col("_own") == F.col("fold"), "test").when(apart, "train")
+    return rows.withColumn("role", role).where("role IS NOT NULL").drop("_own", "_from", "_to")
+
+
+def rolling_windows(train: int, trade: int, length: int) -> list[tuple[int, str, int, int]]:
+    """(window, role, lo, hi) over train + trade dates in order: each window trades the next
+    `length` dates (the last what is left) and trains on the `train` dates before them."""
+    length, out = max(1, min(length, trade)), []
+    for k, lo in enumerate(range(train, train + trade, length)):
+        out += [(k, "train", lo - train, lo), (k, "trade", lo, min(lo + length, train + trade))]
+    return out
+
+
+def split_by(df: DataFrame, method: str, t: str, known: str | None = None, folds: int = 5, **options) -> DataFrame:
+    """(split_id, role, lo, hi) row ranges in the order of t by name of the method: holdout,
+    walk_forward, purged, cpcv. Options are those of the method's own function."""
+    total, spark = df.count(), df.sparkSession
+    if method == "cpcv":
+        return cpcv_ranges(spark, total, folds, **{"tests": 2, **options}).select("split_id", "role", "lo", "hi")
+    if method == "walk_forward":
+        rows = walk_forward(total, folds, **options)
+    elif method == "purged":
+        bounds = even_bounds(total, folds)
+        purge, embargo = options.get("purge", 1), options.get("embargo", 0)
+        rows = [(k, "test", lo, hi) for k, (lo, hi) in enumerate(bounds)]
+        rows += [(k, "train", a, b) for k, (lo, hi) in enumerate(bounds) for a, b in ((0, lo - purge), (hi + embargo, total)) if b > a]
+    elif method == "holdout":
+        cut = int(total * (1 - options.get("share", 0.2)))
+        rows = [(0, "train", 0, cut), (0, "test", cut, total)]
+    else:
+        raise ValueError(f"method: {method}")
+    return spark.createDataFrame(rows, "split_id int, role string, lo long, hi long")
