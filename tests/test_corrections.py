@@ -136,3 +136,16 @@ def test_machine_scan(spark, small_slices):
     got = M.machine_scan(spark.createDataFrame(rows, "symbol string, ts int, c int"), "c", table, start=2).orderBy("symbol", "ts").collect()
     want = [x for k in sorted(codes) for x in brute_machine(codes[k], table, 2)]
     assert [(x["before_state"], x["state"]) for x in got] == want
+
+
+def test_slices_of_text(spark, small_slices):
+    """Months as text: they sort as text, and slices follow."""
+    rows = [("a", f"{2000 + i // 12}-{i % 12 + 1:02}", float(i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "symbol string, ts string, x double").repartition(3)
+    assert 1 < len(M.slice_cuts(df, "ts")) < 6
+    got = R.affine_scan(df.withColumn("a", F.lit(0.5)), "a", "x", "y").orderBy("ts").collect()
+    y, want = 0.0, []
+    for _, _, x in rows:
+        y = 0.5 * y + x
+        want.append(y)
+    assert [g["y"] for g in got] == pytest.approx(want)

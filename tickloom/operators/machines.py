@@ -12,25 +12,42 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 #: Rows of a slice, about, and slices at most.
-SLICE, MOST_SLICES = 1_000_000, 10_000
+SLICE, MOST_SLICES = 1_000_000, 2_000
 #: Folders of local sessions that name none.
 _OWN: dict[str, str] = {}
 
 
 def slice_cuts(df: DataFrame, order: str) -> list:
     """Values of `order` that cut the table's rows into slices of about SLICE rows: constants of
-    the plan, so that every evaluation cuts alike. None for a small table."""
+    the plan, so that every evaluation cuts alike. None for a small table. Quantiles for numbers
+    and times; for other types those of a hashed sample of the distinct values, some hundred a
+    slice, which takes each value to have as many rows."""
     n = min(df.count() // SLICE, MOST_SLICES)
     if n < 1:
         return []
-    return sorted(set(df.agg(F.percentile_approx(order, [i / (n + 1) for i in range(1, n + 1)], 100 * (n + 1))).first()[0] or []))
+    if isinstance(df.schema[order].dataType, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        return sorted(set(df.agg(F.percentile_approx(order, [i / (n + 1) for i in range(1, n + 1)], 100 * (n + 1))).first()[0] or []))
+    kinds = df.agg(F.approx_count_distinct(order)).first()[0]
+    every = max(1, kinds // (100 * (n + 1)))
+    found = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull() & (F.pmod(F.xxhash64(order), F.lit(every)) == 0)).distinct().collect())
+    return sorted({found[len(found) * i // (n + 1)] for i in range(1, n + 1)}) if found else []
 
 
 def slice_of(order: str, cuts: list) -> Column:
-    """How many cuts lie below: rows of one order value share a slice, nulls are in the first."""
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))), F.lit(0)) if cuts else F.lit(0)
+    """How many cuts lie below: rows of one order value share a slice, nulls are in the first. A
+    tree of comparisons, so that a row takes as many as the cuts' number has binary digits."""
+    x = F.col(order)
+
+    def below(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x <= F.lit(cuts[mid]), below(lo, mid)).otherwise(below(mid + 1, hi))
+
+    return F.when(x.isNull(), 0).otherwise(below(0, len(cuts)))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
