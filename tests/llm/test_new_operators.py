@@ -156,3 +156,27 @@ def test_op12(spark, monkeypatch, row_bytes, short, most):
     found = pairs.collect()
     assert len({(x["a_id"], x["b_id"]) for x in found}) == len(found) and {x["a_id"] for x in found} == {x["a_id"] for x in found if x["best"]}
     assert op12_align.alignment(docs.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 9, 1 << 16])
+def test_op12_words(monkeypatch, most):
+    """Words of random cuts, aligned in NumPy: all at once, several at a time, each by itself."""
+    monkeypatch.setattr(op12_align, "SHORT", most)
+    r = random.Random(4)
+    sizes = [r.randint(1, 12) for _ in range(60)]
+    cuts = [[[*sorted(r.sample(range(1, n), r.randint(0, n - 1))), n] for n in sizes] for _ in "ab"]
+    ids = [[[r.randrange(500) for _ in ends] for ends in side] for side in cuts]
+    flat = lambda side: np.array([x for word in side for x in word], np.int32)
+    tokens = [x for side in (0, 1) for x in (np.array(list(map(len, cuts[side]))), flat(ids[side]), flat(cuts[side]))]
+    groups, linked, links, texts = op12_align.aligned_words(*tokens, op12_align._table([b"%d," % i for i in range(500)]))
+    want = []
+    for a_ends, b_ends, a, b in zip(*cuts, *ids, strict=True):
+        low, said, pairs = 0, "", []
+        for end in sorted({*a_ends} & {*b_ends}):
+            p, q = ([t for t, e in zip(x, ends, strict=True) if low < e <= end] for x, ends in ((a, a_ends), (b, b_ends)))
+            said += ",".join(map(str, p)) + "|" + ",".join(map(str, q)) + ";"
+            pairs += [x << 32 | y for x in p for y in q]
+            low = end
+        want.append((said.count(";"), pairs, said.encode()))
+    held = np.split(links, np.cumsum(linked)[:-1])
+    assert [(n, p.tolist(), s) for n, p, s in zip(groups.tolist(), held, texts, strict=True)] == want

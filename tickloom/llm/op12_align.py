@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -10,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_batches, written
@@ -19,8 +20,8 @@ from .common import table, text_batches, written
 ROW_BYTES = 4 << 20
 #: Words that go to the libraries as one text.
 CALL = 512
-#: Tokens of a word, of both, up to which its common ends are looked for one by one.
-SHORT = 128
+#: Tokens, of both, whose words are aligned at once; a longer word is aligned by itself.
+SHORT = 1 << 16
 #: Linked pairs of ids whose counts are broadcast (some 60 bytes each); more are joined by shuffles.
 BROADCAST_PAIRS = 1_000_000
 #: Where both tokenizers' tokens are sure to end: before a blank that follows neither white space nor U+2581.
@@ -71,6 +72,7 @@ class PairEncoder:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
             crossing |= re.search("[^▁]▁", piece) is not None
         self.tables = [_table(x) for x in (self.a_bytes, self.b_bytes)]
+        self.said = _table([b"%d," % i for i in range(max(len(self.a_bytes), len(self.b_bytes)))])
         kind = type(self.a.pre_tokenizer).__name__ if self.a.pre_tokenizer else ""
         plain = self.a.normalizer is None and [p for p, _ in self.a.pre_tokenizer.pre_tokenize_str(" ab  c")] == ["Ġab", "Ġ", "Ġc"] if kind == "ByteLevel" else False
         self.words_apart = plain and not crossing and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b") and "".join(self.b.encode(" a", out_type=str)) == "▁▁a"
@@ -125,14 +127,20 @@ def _table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), np.uint8)
 
 
+def _joined(ids: np.ndarray, ends: np.ndarray, table: tuple) -> np.ndarray:
+    """The joined bytes of these ids' pieces, which end at these places."""
+    own, places, held = table
+    n = own[ids]
+    return held[np.repeat(places[ids] - ends + n, n) + np.arange(ends[-1])]
+
+
 def _dealt(ids: list[int], table: tuple, raw: np.ndarray, sizes: np.ndarray) -> tuple | None:
     """(tokens a word, ids, byte ends within the word) of a text of words of these sizes; None if
     the tokens' bytes aren't the text's or a token crosses a word's end."""
     flat = np.array(ids, np.int32)
-    own, places, held = table
-    n, bounds = own[flat], np.cumsum(sizes)
-    ends = np.cumsum(n)
-    if not len(ends) or ends[-1] != len(raw) or not np.array_equal(held[np.repeat(places[flat] - ends + n, n) + np.arange(len(raw))], raw):
+    bounds = np.cumsum(sizes)
+    ends = np.cumsum(table[0][flat])
+    if not len(ends) or ends[-1] != len(raw) or not np.array_equal(_joined(flat, ends, table), raw):
         return None
     last = np.searchsorted(ends, bounds)
     if not np.array_equal(ends[last], bounds):
@@ -146,18 +154,65 @@ def _encoder(a_path: str, b_path: str) -> PairEncoder:
     return PairEncoder(a_path, b_path)
 
 
-def _lists(lengths: np.ndarray, flat: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, pa.int32()))
-
-
-_WORD = "struct<a:array<int>,ae:array<int>,b:array<int>,be:array<int>>"
-_TOKENS = f"row bigint, words array<{_WORD}>, docs array<struct<id:bigint,n_a:bigint,n_b:bigint,words:array<int>>>"
+def _aligned(n_a: np.ndarray, a: np.ndarray, a_ends: np.ndarray, n_b: np.ndarray, b: np.ndarray, b_ends: np.ndarray, said: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of words with tokens: number of groups, number of links, links (flat, a id in the high
+    half), and the groups as text, each with a semicolon behind it.
+
+    A group ends where a token of both ends. All words are laid end to end; as each word's end
+    is common, no group crosses it."""
+    till_a, till_b = np.cumsum(n_a), np.cumsum(n_b)
+    size = a_ends[till_a - 1].astype(np.int64)
+    start = np.cumsum(size) - size
+    a_at, b_at = a_ends + np.repeat(start, n_a), b_ends + np.repeat(start, n_b)
+    is_a, is_b = np.zeros((2, int(size.sum()) + 1), bool)
+    is_a[a_at] = is_b[b_at] = True
+    last_a, last_b = np.flatnonzero(is_b[a_at]), np.flatnonzero(is_a[b_at])
+    own_a, own_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    groups = np.searchsorted(last_a, till_a)
+    # Links, group by group.
+    times = own_a * own_b
+    linked = np.cumsum(times)
+    of = np.repeat(np.arange(len(times)), times)
+    inside = np.arange(len(of)) - (linked - times)[of]
+    links = a[(last_a + 1 - own_a)[of] + inside // own_b[of]].astype(np.int64) << 32 | b[(last_b + 1 - own_b)[of] + inside % own_b[of]]
+    # Text: a group's tokens of the first, then those of the second, each with a comma behind it but for a group's last ones.
+    ids = np.empty(len(a) + len(b), np.int32)
+    of_a, of_b = np.repeat(np.arange(len(own_a)), own_a), np.repeat(np.arange(len(own_b)), own_b)
+    ids[np.arange(len(a)) + (last_b + 1 - own_b)[of_a]] = a
+    ids[np.arange(len(b)) + last_a[of_b] + 1] = b
+    ends = np.cumsum(said[0][ids])
+    text = _joined(ids, ends, said)
+    text[ends[last_a + 1 + last_b - own_b] - 1] = ord("|")
+    text[ends[last_a + 1 + last_b] - 1] = ord(";")
+    text, cuts = text.tobytes(), ends[till_a + till_b - 1].tolist()
+    return np.diff(groups, prepend=0), np.diff(linked[groups - 1], prepend=0), links, [text[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+
+
+def aligned_words(n_a: np.ndarray, a: np.ndarray, a_ends: np.ndarray, n_b: np.ndarray, b: np.ndarray, b_ends: np.ndarray, said: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """_aligned, some words at a time."""
+    till_a, till_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+    parts, texts, lo = [[np.empty(0, np.int64)] * 3], [], 0
+    while lo < len(n_a):
+        hi = max(lo + 1, int(np.searchsorted(till_a + till_b, till_a[lo] + till_b[lo] + SHORT, side="right")) - 1)
+        in_a, in_b = slice(till_a[lo], till_a[hi]), slice(till_b[lo], till_b[hi])
+        *numbers, said_so = _aligned(n_a[lo:hi], a[in_a], a_ends[in_a], n_b[lo:hi], b[in_b], b_ends[in_b], said)
+        parts.append(numbers)
+        texts += said_so
+        lo = hi
+    return *(np.concatenate(p) for p in zip(*parts, strict=True)), texts
+
+
+def _lists(lengths: np.ndarray, flat: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, kind))
+
+
+_ALIGNED = "row bigint, links array<array<bigint>>, docs array<struct<id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,sha:string,words:array<int>>>"
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
-    """(row, words, docs): each row has the distinct words of up to ROW_BYTES of texts with both
-    tokenizers' ids and byte ends, and for each text its words by number, in order. Texts
-    without tokens have none."""
+    """(row, links, docs): each row has the links of the distinct words of up to ROW_BYTES of
+    texts, and for each text its numbers of tokens and groups, the hash of its groups, and its
+    words by number, in order. Texts without tokens have none."""
     text_batches(docs.sparkSession)
     most = ROW_BYTES
 
@@ -174,13 +229,15 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col:
             for t in held:
                 used[t] = True
             in_a, in_b, anew = np.repeat(used, n_a), np.repeat(used, n_b), np.cumsum(used, dtype=np.int32) - 1
-            counts = [pa.array([int(n[t].sum()) for t in held], pa.int64()) for n in (n_a, n_b)]
-            own = _lists(np.array([len(t) for t in held], np.int64), anew[np.concatenate(held)])
-            each = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), *counts, own], ["id", "n_a", "n_b", "words"])
+            held = [anew[t] for t in held]
             n_a, n_b = n_a[used], n_b[used]
-            words = pa.StructArray.from_arrays([_lists(n_a, a[in_a]), _lists(n_a, a_ends[in_a]), _lists(n_b, b[in_b]), _lists(n_b, b_ends[in_b])], ["a", "ae", "b", "be"])
+            groups, linked, links, said = aligned_words(n_a, a[in_a], a_ends[in_a], n_b, b[in_b], b_ends[in_b], enc.said)
+            counts = [pa.array([int(n[t].sum()) for t in held], pa.int64()) for n in (n_a, n_b, groups)]
+            hashes = pa.array([hashlib.sha256(b"".join([said[i] for i in t.tolist()])[:-1]).hexdigest() if len(t) else "" for t in held], pa.string())
+            own = _lists(np.array([len(t) for t in held], np.int64), np.concatenate(held), pa.int32())
+            each = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), *counts, hashes, own], ["id", "n_a", "n_b", "n_groups", "sha", "words"])
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            out = pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), one(words), one(each)], ["row", "words", "docs"])
+            out = pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), one(_lists(linked, links, pa.int64())), one(each)], ["row", "links", "docs"])
             number, ids, texts, size = {}, [], [], 0
             task += 1
             return out
@@ -195,73 +252,7 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col:
         if ids:
             yield row()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("_i"), F.col(text_col).alias("_t")).mapInArrow(run, _TOKENS)
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def _marked(ends: Column, common: Column) -> Column:
-    """Ends, doubled, with a mark after each common one, in order."""
-    return F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(common, lambda e: e * 2 + 1)))
-
-
-def _till(ends: Column, common: Column) -> Column:
-    """How many tokens there are up to each common end: the marks' places among sorted ends and
-    marks, less the marks before, so that the work grows as n log n."""
-    return _let(_marked(ends, common), lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i) % 2 == 1), lambda p, k: (p - k).cast("bigint")))
-
-
-def _places(w: Column, common: Column) -> Column:
-    """Structs (a, b): how many tokens of each there are up to each common end. In a short word
-    by the end's place in either array, in a long one by sorting."""
-    sought = F.transform(common, lambda e: F.struct(F.array_position(w["ae"], e).alias("a"), F.array_position(w["be"], e).alias("b")))
-    long = F.zip_with(_till(w["ae"], common), _till(w["be"], common), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.when(F.size(w["ae"]) + F.size(w["be"]) <= SHORT, sought).otherwise(long)
-
-
-def _pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("bigint"), 32).bitwiseOR(b.cast("bigint"))
-
-
-def _listed(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
-
-
-def _said(a: Column, b: Column) -> Column:
-    return F.concat(a.cast("string"), F.lit("|"), b.cast("string"))
-
-
-def _group(w: Column, x: Column, k: Column) -> Column:
-    """Links and text of group k of a word with tokens a and b, of which x counts those up to its
-    end. A group of one token each, as most are, takes no slices."""
-    before = F.get(w["p"], k - 1)
-    from_a, from_b = F.coalesce(before["a"], F.lit(0)), F.coalesce(before["b"], F.lit(0))
-    wide = lambda g: F.struct(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _pair(x, y)))).alias("l"), F.concat(_listed(g["a"]), F.lit("|"), _listed(g["b"])).alias("s"))
-    tokens = lambda c, start: F.slice(w[c], (start + 1).cast("int"), (x[c] - start).cast("int")).alias(c)
-    several = _let(F.struct(tokens("a", from_a), tokens("b", from_b)), wide)
-    last_a, last_b = F.get(w["a"], x["a"].cast("int") - 1), F.get(w["b"], x["b"].cast("int") - 1)
-    one = F.struct(F.array(_pair(last_a, last_b)).alias("l"), _said(last_a, last_b).alias("s"))
-    return F.when((x["a"] - from_a == 1) & (x["b"] - from_b == 1), one).otherwise(several)
-
-
-def aligned_words(words: Column) -> Column:
-    """Per word: number of groups n, links l as an array of longs (a id in the high half), and
-    the groups as text s. Ends where tokens of both end are the intersection of the two arrays
-    of ends; words whose tokens all agree pair them off directly."""
-    joined = lambda n: lambda g: F.struct(n.alias("n"), F.flatten(F.transform(g, lambda x: x["l"])).alias("l"), F.array_join(F.transform(g, lambda x: x["s"]), ";").alias("s"))
-    grouped = lambda w: _let(F.transform(w["p"], lambda x, k: _group(w, x, k)), joined(F.size(w["p"])))
-    uneven = lambda w, c: _let(F.struct(w["a"].alias("a"), w["b"].alias("b"), _places(w, c).alias("p")), grouped)
-    even = lambda w, c: F.struct(F.size(c).alias("n"), F.zip_with(w["a"], w["b"], _pair).alias("l"), F.array_join(F.zip_with(w["a"], w["b"], _said), ";").alias("s"))
-    each = lambda w: _let(F.array_intersect(w["ae"], w["be"]), lambda c: F.when((F.size(w["a"]) == F.size(c)) & (F.size(w["b"]) == F.size(c)), even(w, c)).otherwise(uneven(w, c)))
-    return F.transform(words, each)
-
-
-def _over(words: Column, values) -> Column:
-    """Sum over a text's words of a value of each."""
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda total, i: total + values(i).cast("bigint"))
+    return docs.select(F.col(id_col).cast("bigint").alias("_i"), F.col(text_col).alias("_t")).mapInArrow(run, _ALIGNED)
 
 
 def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -277,23 +268,14 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     documents: id, n_a, n_b, n_groups, n_links, n_best, count_sum long, groups_sha256 string.
     pairs: a_id int, b_id int, n_docs long, best boolean, for every linked pair of ids.
 
-    After tokenising, rows hold the distinct words of some MB of texts, so that groups and
-    links are built once for each of those, by array functions; a document looks its words up by
-    number. Documents of a pair are counted after partial aggregation; the counts come back to
+    Rows hold the distinct words of some MB of texts, so that groups and links are built once
+    for each of those, by NumPy within the task; a document looks its words up by number.
+    Documents of a pair are counted after partial aggregation; the counts come back to
     documents' links by a broadcast of BROADCAST_PAIRS pairs at most, or else by a join of each
     document's distinct pairs.
     """
     own = default_tokenizers()
-    tokens = tokenised(docs, a_path or own[0], b_path or own[1], id_col, text_col)
-    rows = tokens.select("row", aligned_words(F.col("words")).alias("w"), "docs")
-    links = F.transform("w", lambda w: w["l"])
-    digest = lambda d: F.struct(
-        d["id"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"),
-        _over(d["words"], lambda i: F.get("w", i)["n"]).alias("n_groups"),
-        F.when(d["n_a"] == 0, F.lit("")).otherwise(F.sha2(F.array_join(F.transform(d["words"], lambda i: F.get("w", i)["s"]), ";"), 256)).alias("sha"),
-        d["words"].alias("words"),
-    )
-    rows = written(rows.select("row", links.alias("links"), F.transform("docs", digest).alias("docs")), "aligned")
+    rows = written(tokenised(docs, a_path or own[0], b_path or own[1], id_col, text_col), "aligned")
     # Documents that hold a pair.
     of_doc = lambda words: F.flatten(F.transform(words, lambda i: F.get("links", i)))
     held = F.transform("docs", lambda d: F.array_distinct(of_doc(F.array_distinct(d["words"]))))
