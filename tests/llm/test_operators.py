@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -69,6 +70,37 @@ def test_op3(spark, monkeypatch, crowd):
     assert op3_suffix_dedup.suffix_dedup(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_op3_sorts_no_copies(monkeypatch):
+    """Cores whose blocks all occur more than once hit everywhere without a suffix array; others go in whole."""
+    given = []
+    monkeypatch.setattr(op3_suffix_dedup, "repeated_starts", lambda blocks, width: given.extend(blocks) or repeated_starts(blocks, width))
+    blocks = [(1, b"abcdefgh", 2), (2, b"xabcd", 3), (2, b"yabcd", 2), (3, b"pqrstu", 2), (3, b"qrstuv", 1), (3, b"zzzzab", 1)]
+    core, data, n = zip(*blocks, strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(core), pa.array(range(6)), pa.array(range(6)), pa.array(data), pa.array(n)], names=["core", "h1", "h2", "bytes", "n"])
+    (out,) = op3_suffix_dedup._sorted_hits(4)(iter([batch]))
+    masks = {h: format(m[0], "08b") for h, m in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True)}
+    assert given == [b"pqrstu", b"qrstuv", b"zzzzab"]
+    assert masks == {0: "11111000", 1: "11000000", 2: "11000000", 3: "11100000", 4: "11000000"}
+
+
+def test_op3_anchors():
+    """Runs against the least gram of each string, one by one; texts too short for any lie between."""
+    r = random.Random(9)
+    for sizes in ([0, 3, 39, 40, 41, 200, 1, 90, 39], [39], [40], [0, 0], [300, 40, 40]):
+        raw = [bytes(r.choice(b"ab") for _ in range(n)) for n in sizes]
+        doc, data = np.cumsum([0, *sizes]), np.frombuffer(b"".join(raw), np.uint8)
+        hashes = op3_suffix_dedup.Rolling(data).each(op3_suffix_dedup.GRAM) if len(data) >= 40 else []
+        want = []
+        for i, n in enumerate(sizes):
+            for at in range(doc[i], doc[i] + n - 39):
+                place = min(range(at, at + 9), key=lambda p: (int(hashes[p]) >> 32, p))
+                if want and want[-1][0] == i and want[-1][3] == place:
+                    want[-1][2] = at
+                else:
+                    want.append([i, at, at, place, int(hashes[place])])
+        assert list(map(list, zip(*(x.tolist() for x in op3_suffix_dedup.anchors(data, doc, 40)), strict=True))) == want
+
+
 def test_op2(spark):
     got = sorted(line_dedup(docs_of(spark, ODD)).collect())
     by = {x["doc_id"]: x for x in got}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +34,17 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any substring of a byte array, from prefix sums."""
+    """Hashes of the substrings of a byte array, from prefix sums."""
 
     def __init__(self, data: np.ndarray):
         with np.errstate(over="ignore"):
             self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + 1) * _powers(_BASE, len(data)), dtype=np.uint64)))
         self.inverse = _powers(_INVERSE, len(data) + 1)
 
-    def at(self, start: np.ndarray, size: int) -> np.ndarray:
+    def each(self, size: int) -> np.ndarray:
+        """Those of `size` bytes, in order of their starts."""
         with np.errstate(over="ignore"):
-            h = (self.sums[start + size] - self.sums[start]) * self.inverse[start]
+            h = (self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size]
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             return h ^ (h >> np.uint64(32))
@@ -59,7 +62,7 @@ def anchors(data: np.ndarray, doc: np.ndarray, width: int):
     none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
     if size < width:
         return none
-    hashes = Rolling(data).at(np.arange(size - GRAM + 1), GRAM)
+    hashes = Rolling(data).each(GRAM)
     key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     least, span = key, 1
     while span * 2 <= grams:
@@ -67,13 +70,19 @@ def anchors(data: np.ndarray, doc: np.ndarray, width: int):
         span *= 2
     least = np.minimum(least[: size - width + 1], least[grams - span : grams - span + size - width + 1])
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    own = np.searchsorted(doc, np.arange(len(place)), side="right") - 1
-    start = np.flatnonzero(np.arange(len(place)) + width <= doc[own + 1])
-    if not len(start):
+    # Starts of each text's first string and of its last; strings of different texts share no run.
+    held = np.flatnonzero(np.diff(doc) >= width)
+    if not len(held):
         return none
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(place[start]) != 0) | (np.diff(own[start]) != 0))))
-    first, last = start[new], start[np.concatenate((new[1:] - 1, [len(start) - 1]))]
-    return own[first], first, last, place[first], hashes[place[first]]
+    low, high = doc[held], doc[held + 1] - width
+    new = np.concatenate(([True], place[1:] != place[:-1]))
+    new[low] = True
+    first = np.flatnonzero(new)
+    till = np.append(first[1:], len(place)) - 1
+    text = np.searchsorted(low, first, side="right") - 1
+    inside = (text >= 0) & (first <= high[text])
+    first, till, text = first[inside], till[inside], text[inside]
+    return held[text], first, np.minimum(till, high[text]), place[first], hashes[place[first]]
 
 
 def _encoded(width: int):
@@ -109,6 +118,11 @@ def _slices(texts: list[bytes], most: int = 1 << 20):
         yield lo, len(texts)
 
 
+def _sizes(lists: pa.Array) -> np.ndarray:
+    """Items of each list, none for null."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _blocks(width: int):
     """The marked anchors' runs as blocks: (rid, start, core, h1, h2, bytes). A block holds
     the bytes of all strings of the run; its core is the anchor's hash. Bytes are null where
@@ -118,15 +132,18 @@ def _blocks(width: int):
         unzip, seen = zstandard.ZstdDecompressor(), set()
         for b in batches:
             rows: list[tuple] = []
-            for rid, packed, core, first, last, marked in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            each, marks = _sizes(b.column(2)), _sizes(b.column(5))
+            at = np.repeat(np.cumsum(each) - each, marks) + b.column(5).flatten().to_numpy()
+            runs = zip(*(b.column(i).flatten().to_numpy()[at].tolist() for i in (2, 3, 4)), strict=True)
+            for rid, packed, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), marks.tolist(), strict=True):
                 text = unzip.decompress(packed)
-                for k in marked:
-                    part = text[first[k] : last[k] + width]
+                for core, first, last in islice(runs, n):
+                    part = text[first : last + width]
                     h = xxhash.xxh3_128_digest(part)
                     new = h not in seen
                     if new:
                         seen.add(h)
-                    rows.append((rid, first[k], core[k], h, part if new else None))
+                    rows.append((rid, first, core, h, part if new else None))
                 if len(rows) > 20_000:
                     yield _block_batch(rows)
                     rows = []
@@ -146,11 +163,19 @@ def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
 def _sorted_hits(width: int):
     """Suffix arrays over whole cores (rows come sorted by core): (h1, h2, mask), a bit for
     each start that hits, for blocks with any. Several cores share an array: equal strings
-    lie in one. A block that occurs more than once hits at every start."""
+    lie in one. A block that occurs more than once hits at every start, so that a core
+    of such blocks alone is not sorted."""
 
     def emit(rows: list[tuple]):
-        hits = repeated_starts([r[3] for r in rows], width)
-        out = [(r[1], r[2], np.packbits(m if r[4] == 1 else np.ones(len(m), bool)).tobytes()) for r, m in zip(rows, hits, strict=True) if r[4] > 1 or m.any()]
+        open_cores = {r[0] for r in rows if r[4] == 1}
+        hits = iter(repeated_starts([r[3] for r in rows if r[0] in open_cores], width))
+        out = []
+        for core, h1, h2, data, n in rows:
+            mask = next(hits) if core in open_cores else None
+            if n > 1:
+                mask = np.ones(len(data) - width + 1, bool)
+            if mask.any():
+                out.append((h1, h2, np.packbits(mask).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 2 else pa.int64()) for i in range(3)], names=["h1", "h2", "mask"])
 
     def run(batches):
@@ -236,12 +261,16 @@ def _finish(width: int):
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for packed, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            runs = zip(*(f.to_pylist() for f in b.column(2).flatten().flatten()), strict=True)
+            for packed, n in zip(b.column(1).to_pylist(), _sizes(b.column(2)).tolist(), strict=True):
                 text = unzip.decompress(packed)
-                if not hits:
+                if not n:
                     out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text.decode()))
                     continue
-                at = np.concatenate([np.flatnonzero(np.unpackbits(np.frombuffer(h["mask"], np.uint8))) + h["start"] for h in hits])
+                starts, masks = zip(*islice(runs, n), strict=True)
+                sizes = 8 * np.fromiter(map(len, masks), np.int64, n)
+                bits = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(masks), np.uint8)))
+                at = bits + np.repeat(np.array(starts) - np.cumsum(sizes) + sizes, sizes)[bits]
                 edge = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + width, minlength=len(text) + 1)
                 gone = np.cumsum(edge)[: len(text)] > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()

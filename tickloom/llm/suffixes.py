@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Strings compared at once.
+CHUNK = 1 << 12
+
 
 def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """The wanted suffixes (ascending positions of bytes > 0) in suffix order; `text`
@@ -17,9 +20,8 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """
     size = len(text)
     # A run of one byte has the type of its end: compare with the next byte that differs.
-    change = np.flatnonzero(np.diff(text)) + 1
-    run_end = np.append(change, size)[np.searchsorted(change, np.arange(size), side="right")]
-    later = np.where(run_end < size, text[np.minimum(run_end, size - 1)], 0)
+    change = np.flatnonzero(text[1:] != text[:-1]) + 1
+    later = np.repeat(np.append(text[change], np.uint8(0)), np.diff(change, prepend=0, append=size))
     is_b = text < later
     # Type A suffixes need their successors up to the next type B one or end of text.
     need = np.zeros(size + 1, bool)
@@ -32,9 +34,9 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
         need[new] = True
     need = need[:size]
     raw = text.tobytes()
-    # Direct sort of type B; an end of text (0) sorts before all.
+    # Direct sort of type B; an end of text (0) sorts before all, and what follows it decides among equals only.
     b_at = np.flatnonzero(need & is_b & (text > 0)).tolist()
-    keys = [raw[p : p + depth].partition(b"\x00")[0] for p in b_at]
+    keys = [raw[p : p + depth] for p in b_at]
     order = sorted(range(len(keys)), key=keys.__getitem__)
     b_sorted = np.array([b_at[i] for i in order], np.int64)
     bounds = np.searchsorted(text[b_sorted], np.arange(257)) if len(b_sorted) else np.zeros(257, np.int64)
@@ -70,22 +72,18 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     return found[keep[found]]
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Bytes that each suffix has in common with its predecessor in `order`, up to `depth`;
-    the first has 0. Zeros, which end suffixes, agree with nothing."""
-    out = np.zeros(len(order), np.int64)
-    if len(order) < 2:
+def agreeing(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Whether each suffix has its first `depth` bytes in common with its predecessor in
+    `order`; the first has not. No suffix ends within `depth` bytes."""
+    out = np.zeros(len(order), bool)
+    if not len(order):
         return out
-    wide = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    left, right, live = order[:-1], order[1:], np.arange(len(order) - 1)
-    for at in range(0, depth, 8):
-        a = wide[left[live, None] + np.arange(at, min(at + 8, depth))]
-        b = wide[right[live, None] + np.arange(at, min(at + 8, depth))]
-        same = np.cumprod((a == b) & (a > 0), axis=1).sum(1)
-        out[live + 1] += same
-        live = live[same == a.shape[1]]
-        if not len(live):
-            break
+    # The `depth` bytes from each place on, as one item: taken whole, some thousand at a time.
+    strings = np.ndarray((len(text) - depth + 1,), f"V{depth}", text, strides=(1,))
+    word = np.uint64 if depth % 8 == 0 else np.uint8
+    for lo in range(0, len(order) - 1, CHUNK):
+        some = strings[order[lo : lo + CHUNK + 1]].view(word).reshape(-1, depth // np.dtype(word).itemsize)
+        out[lo + 1 : lo + len(some)] = (some[1:] == some[:-1]).all(1)
     return out
 
 
@@ -101,7 +99,7 @@ def repeated_starts(blocks: list[bytes], depth: int) -> list[np.ndarray]:
     counts = np.array([max(0, len(b) - depth + 1) for b in blocks], np.int64)
     wanted = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, counts, strict=True)]) if blocks else np.zeros(0, np.int64)
     order = two_stage(text, wanted, depth)
-    full = common_prefixes(text, order, depth) >= depth
+    full = agreeing(text, order, depth)
     hit = np.zeros(len(text), bool)
     hit[order[full]] = True
     hit[order[np.flatnonzero(full) - 1]] = True
