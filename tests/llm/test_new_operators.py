@@ -158,6 +158,39 @@ def test_op12(spark, monkeypatch, row_bytes, short, most):
     assert op12_align.alignment(docs.limit(0))[0].count() == 0
 
 
+def test_op12_pairs(spark):
+    """A document has each linked pair once, with its number, and the documents of a pair are counted before Spark deals them."""
+    texts = ["ab " * 2000, "ab " * 7, None, "", "x. ab"]
+    rows = op12_align.tokenised(documents(spark, texts).coalesce(1), *op12_align.default_tokenizers(), "doc_id", "text").collect()
+    for r in rows:
+        assert len({x["pair"] for x in r["links"]}) == len(r["links"]) < 10 and sum(x["n"] for x in r["links"]) == r["n_links"]
+    assert Counter({x["pair"]: x["n"] for r in rows for x in r["held"]}) == Counter(x["pair"] for r in rows for x in r["links"])
+    assert sum(len(r["held"]) > 0 for r in rows) == 1 and max(r["n_links"] for r in rows) >= 2000
+
+
+@pytest.mark.parametrize(("known", "long"), [(1 << 18, 32), (6, 32), (6, 0)])
+def test_op12_known(monkeypatch, known, long):
+    """Remembered words are not encoded again; what is forgotten, by number or length, comes out the same."""
+    monkeypatch.setattr(op12_align, "KNOWN", known)
+    monkeypatch.setattr(op12_align, "LONG", long)
+    encoder = op12_align._encoder(*op12_align.default_tokenizers())
+    asked, book, r = Counter(), op12_align.WordBook(encoder), random.Random(5)
+    say = lambda b, i: (b.counts[:, i].tolist(), b.said[i], b.links[(n := b.counts[3])[:i].sum() : n[: i + 1].sum()].tolist())
+    for _ in range(12):
+        texts = [" ".join(r.choice(["the", "Fox,", "a\u2581b", "", "antidisestablishment.\nNot", "\u65e5\u672c\u8a9e", "x" * 40, "12 345\n", "\u3000"]) for _ in range(4)) for _ in range(3)]
+        held = [book.numbers(t) for t in texts]
+        asked.update(list(book.number)[len(book.said) :])
+        book.learn()
+        for text, numbers in zip(texts, held, strict=True):
+            fresh = op12_align.WordBook(encoder)
+            other = fresh.numbers(text)
+            fresh.learn()
+            assert [say(book, i) for i in numbers.tolist()] == [say(fresh, i) for i in other.tolist()]
+        book.trim(np.concatenate(held))
+        assert len(book.number) == len(book.said) == len(book.uses) <= known
+    assert (max(asked.values()) == 1) == (known > 6)
+
+
 @pytest.mark.parametrize("most", [1, 9, 1 << 16])
 def test_op12_words(monkeypatch, most):
     """Words of random cuts, aligned in NumPy: all at once, several at a time, each by itself."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import table, text_batches, written
 
-#: Text bytes whose distinct words share a row; a longer text is a row by itself.
-ROW_BYTES = 4 << 20
+#: Text bytes whose documents go through NumPy at once; a longer text goes by itself.
+ROW_BYTES = 1 << 20
+#: Words that a worker remembers between those, some 300 bytes each; of more, half as many stay: the most used.
+KNOWN = 1 << 18
+#: Characters of a word that is worth remembering.
+LONG = 32
 #: Words that go to the libraries as one text.
 CALL = 512
 #: Tokens, of both, whose words are aligned at once; a longer word is aligned by itself.
@@ -25,9 +31,8 @@ SHORT = 1 << 16
 #: Linked pairs of ids whose counts are broadcast (some 60 bytes each); more are joined by shuffles.
 BROADCAST_PAIRS = 1_000_000
 #: Where both tokenizers' tokens are sure to end: before a blank that follows neither white space nor U+2581.
-BORDER = re.compile(r"(?<=[^\s▁\x1c-\x1f])(?= )")
-#: The end of a word, only a text's last one, after which another word would not stand apart.
-OPEN = re.compile(r"[\s▁\x1c-\x1f]\Z")
+#: The blank comes first, as a search for a fixed character is fast.
+BORDER = re.compile(r" (?<=[^\s▁\x1c-\x1f] )")
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -47,7 +52,8 @@ def _byte_level() -> dict[str, int]:
 class PairEncoder:
     """Ids and byte ends of a text's tokens under both tokenizers, word by word.
 
-    A word is a blank or more with what follows up to the next BORDER. Where the first
+    A word is a blank or more with what follows up to the next BORDER; it goes without its
+    first blank. Where the first
     tokenizer cuts by the byte-level pattern and no piece of the second has U+2581 after
     another character, no token crosses a border, so that a text's tokens are those of its
     words; other tokenizers get whole texts as words.
@@ -78,8 +84,11 @@ class PairEncoder:
         self.words_apart = plain and not crossing and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b") and "".join(self.b.encode(" a", out_type=str)) == "▁▁a"
 
     def words(self, text: str) -> list[str]:
-        """The words of space + text."""
-        return BORDER.split(" " + text) if self.words_apart else [" " + text]
+        """The words of space + text, each without its first blank."""
+        if not self.words_apart:
+            return [text]
+        first, *others = BORDER.split(" " + text)
+        return [first[1:], *others]
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Which words have tokens: those whose bytes both give back; and, of all words, number of
@@ -87,18 +96,19 @@ class PairEncoder:
 
         Words that stand apart are joined, many to a text; the tokens are dealt to them by their
         byte ends. A text that either doesn't give back goes word by word."""
+        # Behind a word that ends in a blank, only a text's last one, another would not stand apart.
+        stops = [i + 1 for i, w in enumerate(words) if not w or w[-1] == "▁" or w[-1].isspace()] if self.words_apart else []
         texts, at = [], 0
-        while at < len(words):
-            some = words[at : at + (CALL if self.words_apart else 1)]
-            stop = next((i for i, w in enumerate(some) if OPEN.search(w)), len(some) - 1) + 1
-            texts.append(some[:stop])
-            at += stop
-        joined = ["".join(t) for t in texts]
+        for stop in [*stops, len(words)]:
+            while at < stop:
+                texts.append(words[at : min(stop, at + (CALL if self.words_apart else 1))])
+                at += len(texts[-1])
+        joined = [" " + " ".join(t) for t in texts]
         coded = self._coded(joined)
         good, parts = [np.empty(0, bool)], [[np.empty(0, np.int64), *[np.empty(0, np.int32)] * 2] * 2]
         for some, text, *ids in zip(texts, joined, *coded, strict=True):
             raw = np.frombuffer(text.encode(), np.uint8)
-            sizes = np.fromiter((len(w.encode()) for w in some), np.int64, len(some))
+            sizes = np.fromiter(map(len, some if len(raw) == len(text) else map(str.encode, some)), np.int64, len(some)) + 1
             found = [_dealt(i, t, raw, sizes) for i, t in zip(ids, self.tables, strict=True)]
             if None not in found:
                 good.append(np.ones(len(some), bool))
@@ -202,55 +212,122 @@ def aligned_words(n_a: np.ndarray, a: np.ndarray, a_ends: np.ndarray, n_b: np.nd
     return *(np.concatenate(p) for p in zip(*parts, strict=True)), texts
 
 
-def _lists(lengths: np.ndarray, flat: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, kind))
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs that start here and are so long, one run behind the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class WordBook:
+    """What a worker knows of words, by number: how often they served, their tokens under both,
+    groups and links (no tokens: 0), the links themselves and the groups as text.
+
+    It only saves work: what is forgotten is encoded anew."""
+
+    def __init__(self, enc: PairEncoder):
+        self.enc = enc
+        self._hold([], np.zeros(0, np.int64), np.zeros((4, 0), np.int64), np.zeros(0, np.int64), [])
+
+    def _hold(self, words: list[str], uses: np.ndarray, counts: np.ndarray, links: np.ndarray, said: list[bytes]) -> None:
+        self.number = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.number.update(zip(words, range(len(words)), strict=True))
+        self.chars, self.uses, self.counts, self.links, self.said = sum(map(len, words)), uses, counts, links, said
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """Numbers of a text's words, in order; new words get the next ones, and must be learnt."""
+        words = self.enc.words(text) if text else []
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+
+    def learn(self) -> None:
+        """Tokens, groups and links of all words numbered since."""
+        words = list(islice(self.number, len(self.said), None))
+        good, (n_a, a, a_ends, n_b, b, b_ends) = self.enc.encode(words)
+        n_a, n_b = n_a[good], n_b[good]
+        groups, linked, links, said = aligned_words(n_a, a, a_ends, n_b, b, b_ends, self.enc.said)
+        counts, said = np.zeros((4, len(words)), np.int64), iter(said)
+        counts[:, good] = n_a, n_b, groups, linked
+        self.counts = np.concatenate([self.counts, counts], axis=1)
+        self.links = np.concatenate([self.links, links])
+        self.said += [next(said) if g else b"" for g in good.tolist()]
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+        self.chars += sum(map(len, words))
+
+    def trim(self, numbers: np.ndarray) -> None:
+        """After a use of these words: forgets words beyond KNOWN."""
+        used = np.zeros(len(self.uses), bool)
+        used[numbers] = True
+        self.uses += used
+        if len(self.uses) <= KNOWN and self.chars <= LONG * KNOWN:
+            return
+        words, linked = list(self.number), self.counts[3]
+        short = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) <= LONG)
+        kept = np.sort(short[np.argsort(-self.uses[short], kind="stable")[: KNOWN // 2]])
+        links = self.links[_runs((np.cumsum(linked) - linked)[kept], linked[kept])]
+        self._hold([words[i] for i in kept.tolist()], self.uses[kept] // 2, self.counts[:, kept], links, [self.said[i] for i in kept.tolist()])
 
 
-_ALIGNED = "row bigint, links array<array<bigint>>, docs array<struct<id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,sha:string,words:array<int>>>"
+@lru_cache(maxsize=2)
+def _book(a_path: str, b_path: str) -> WordBook:
+    return WordBook(_encoder(a_path, b_path))
+
+
+_PAIRS = "array<struct<pair:bigint,n:int>>"
+_ALIGNED = f"row bigint, id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, sha string, links {_PAIRS}, held {_PAIRS}"
+
+
+def _pairs(lengths: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> pa.Array:
+    flat = pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(n, pa.int32())], ["pair", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), flat)
+
+
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each part: number of distinct values; those of all parts, flat, and how often each is there."""
+    found = [np.unique(p, return_counts=True) for p in parts]
+    none = np.empty(0, np.int64)
+    return np.array([len(v) for v, _ in found], np.int64), np.concatenate([none, *(v for v, _ in found)]), np.concatenate([none, *(n for _, n in found)])
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
-    """(row, links, docs): each row has the links of the distinct words of up to ROW_BYTES of
-    texts, and for each text its numbers of tokens and groups, the hash of its groups, and its
-    words by number, in order. Texts without tokens have none."""
+    """One row a document, numbered: its numbers of tokens, groups and links, the hash of its
+    groups, and its distinct links, each with how often it occurs. The first of the documents
+    of up to ROW_BYTES of texts also has, for every pair linked in these, how many hold it."""
     text_batches(docs.sparkSession)
     most = ROW_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, enc = TaskContext.get().partitionId() << 32, _encoder(a_path, b_path)
-        number, ids, texts, size = {}, [], [], 0
-
-        def row() -> pa.RecordBatch:
-            nonlocal number, ids, texts, size, task
-            good, (n_a, a, a_ends, n_b, b, b_ends) = enc.encode(list(number))
-            held = [t if good[t].all() else t[:0] for t in texts]
-            # Words that a text with tokens has, numbered anew without gaps.
-            used = np.zeros(len(good), bool)
-            for t in held:
-                used[t] = True
-            in_a, in_b, anew = np.repeat(used, n_a), np.repeat(used, n_b), np.cumsum(used, dtype=np.int32) - 1
-            held = [anew[t] for t in held]
-            n_a, n_b = n_a[used], n_b[used]
-            groups, linked, links, said = aligned_words(n_a, a[in_a], a_ends[in_a], n_b, b[in_b], b_ends[in_b], enc.said)
-            counts = [pa.array([int(n[t].sum()) for t in held], pa.int64()) for n in (n_a, n_b, groups)]
-            hashes = pa.array([hashlib.sha256(b"".join([said[i] for i in t.tolist()])[:-1]).hexdigest() if len(t) else "" for t in held], pa.string())
-            own = _lists(np.array([len(t) for t in held], np.int64), np.concatenate(held), pa.int32())
-            each = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), *counts, hashes, own], ["id", "n_a", "n_b", "n_groups", "sha", "words"])
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            out = pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), one(_lists(linked, links, pa.int64())), one(each)], ["row", "links", "docs"])
-            number, ids, texts, size = {}, [], [], 0
-            task += 1
-            return out
+        task, book = TaskContext.get().partitionId() << 32, _book(a_path, b_path)
+        ids, texts, size = [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            nonlocal ids, texts, size, task
+            book.learn()
+            texts = [t if book.counts[0, t].all() else t[:0] for t in texts]
+            sizes, flat = np.array([len(t) for t in texts], np.int64), np.concatenate(texts)
+            ends = np.cumsum(sizes)
+            till = np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(book.counts[:, flat], axis=1)], axis=1)
+            counts = till[:, ends] - till[:, ends - sizes]
+            hashes = [hashlib.sha256(b"".join([book.said[i] for i in t.tolist()])[:-1]).hexdigest() if len(t) else "" for t in texts]
+            linked = book.counts[3]
+            links = book.links[_runs((np.cumsum(linked) - linked)[flat], linked[flat])]
+            own = _counted(np.split(links, np.cumsum(counts[3])[:-1]))
+            n, *held = _counted([own[1]])
+            n = np.concatenate([n, np.zeros(len(ids) - 1, np.int64)])
+            book.trim(flat)
+            columns = [pa.array(np.arange(task, task + len(ids)), pa.int64()), pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes, pa.string()), _pairs(*own), _pairs(n, *held)]
+            task += len(ids)
+            ids, texts, size = [], [], 0
+            return pa.RecordBatch.from_arrays(columns, ["row", "id", "n_a", "n_b", "n_groups", "n_links", "sha", "links", "held"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if size and size + len(t or "") > most:
-                    yield row()
+                    yield rows()
                 ids.append(i)
-                texts.append(np.array([number.setdefault(w, len(number)) for w in enc.words(t)] if t else [], np.int32))
+                texts.append(book.numbers(t))
                 size += len(t or "") + 50
         if ids:
-            yield row()
+            yield rows()
 
     return docs.select(F.col(id_col).cast("bigint").alias("_i"), F.col(text_col).alias("_t")).mapInArrow(run, _ALIGNED)
 
@@ -268,30 +345,23 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
     documents: id, n_a, n_b, n_groups, n_links, n_best, count_sum long, groups_sha256 string.
     pairs: a_id int, b_id int, n_docs long, best boolean, for every linked pair of ids.
 
-    Rows hold the distinct words of some MB of texts, so that groups and links are built once
-    for each of those, by NumPy within the task; a document looks its words up by number.
-    Documents of a pair are counted after partial aggregation; the counts come back to
-    documents' links by a broadcast of BROADCAST_PAIRS pairs at most, or else by a join of each
-    document's distinct pairs.
+    Workers remember words, so that groups and links are built once for a frequent one, by
+    NumPy within the task; a document has its distinct pairs with their numbers. Documents of a
+    pair are counted within some MB of texts, then summed; the counts come back to documents'
+    pairs by a broadcast of BROADCAST_PAIRS pairs at most, or else by a join.
     """
     own = default_tokenizers()
     rows = written(tokenised(docs, a_path or own[0], b_path or own[1], id_col, text_col), "aligned")
     # Documents that hold a pair.
-    of_doc = lambda words: F.flatten(F.transform(words, lambda i: F.get("links", i)))
-    held = F.transform("docs", lambda d: F.array_distinct(of_doc(F.array_distinct(d["words"]))))
-    pair = rows.select(F.explode(held).alias("p")).select(F.explode("p").alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
+    pair = rows.select(F.inline("held")).groupBy("pair").agg(F.sum("n").alias("n_docs"))
     pair = written(pair.withColumn("best", F.col("n_docs") == F.max("n_docs").over(Window.partitionBy(F.shiftright("pair", 32)))), "pairs")
     # Per document: sums over its links, each as often as it occurs.
-    docs = rows.select("row", F.posexplode(F.transform("docs", lambda d: F.struct(d.dropFields("words").alias("d"), of_doc(d["words"]).alias("l")))).alias("at", "x"))
-    if pair.count() <= BROADCAST_PAIRS:
-        links = docs.select("row", "at", F.explode("x.l").alias("pair")).join(F.broadcast(pair), "pair")
-        sums = links.groupBy("row", "at").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum"))
-    else:
-        times = docs.select("row", "at", F.explode("x.l").alias("pair")).groupBy("row", "at", "pair").agg(F.count("*").alias("m"))
-        sums = times.join(pair, "pair").groupBy("row", "at").agg(F.sum("m").alias("n_links"), F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("n_docs")).alias("count_sum"))
-    out = rows.select("row", F.posexplode(F.transform("docs", lambda d: d.dropFields("words"))).alias("at", "d")).join(sums, ["row", "at"], "left")
-    known = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_links", "n_best", "count_sum")]
-    out = out.select(F.col("d.id").alias(id_col), "d.n_a", "d.n_b", "d.n_groups", *known, F.col("d.sha").alias("groups_sha256"))
+    few = pair.count() <= BROADCAST_PAIRS
+    links = rows.select("row", F.inline("links")).join(F.broadcast(pair) if few else pair, "pair")
+    sums = links.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("n_docs")).alias("count_sum"))
+    out = rows.drop("links", "held").join(sums, "row", "left")
+    known = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_best", "count_sum")]
+    out = out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", *known, F.col("sha").alias("groups_sha256"))
     low = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     return out, pair.select(F.shiftright("pair", 32).cast("int").alias("a_id"), low.cast("int").alias("b_id"), "n_docs", "best")
 
