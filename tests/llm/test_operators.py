@@ -283,6 +283,25 @@ def test_links_and_components(spark, crowded):
     assert {x["root"] for x in connected_components(chain).collect()} == {0}
 
 
+@pytest.mark.parametrize("crowded", [64, 3])
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_links_broadcast_no_exploded_rows(spark, monkeypatch, crowded, most):
+    """A few KB of fingerprints lie far below Spark's threshold; their probes must not go through
+    the driver all the same. Crowded segment values do up to `most` only; links stay the same."""
+    monkeypatch.setattr(op7_simhash, "BROADCAST", most)
+    r = random.Random(5)
+    base = [r.getrandbits(63) for _ in range(40)]
+    fps = sorted({b ^ m for b in base for m in [0, *(1 << r.randrange(30) for _ in range(5))]})
+    edges = op7_simhash.links(written(spark.createDataFrame([(f,) for f in fps], "fp long"), "fps"), crowded=crowded)
+    got = {x["node"]: x["root"] for x in connected_components(edges).collect()}
+    assert [got[f] for f in fps] == [min(b for b in fps if (b ^ f) >> 30 == 0) for f in fps]
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    for part in plan.split("BroadcastExchange")[1:]:
+        below = part.split("Scan parquet")[0]
+        assert crowded == 3 and most and "Generate" not in below and "Exchange" not in below
+
+
 def test_op8(spark):
     item = "The quick brown fox jumps over the lazy dog and runs"
     bench = spark.createDataFrame([(1, item), (2, "Übung macht"), (3, None), (4, "..."), (None, "secret phrase"), (10, item)], "item_id long, text string")

@@ -57,6 +57,8 @@ def ball(radius: int, bits: int = 64) -> list[int]:
 
 #: Table rows of a segment value from which on it counts as crowded.
 CROWDED = 64
+#: Crowded segment values that are broadcast; more of them go by shuffles.
+BROADCAST = 200_000
 
 
 def _segments() -> Column:
@@ -80,6 +82,9 @@ def links(fps: DataFrame, max_distance: int = 2, crowded: int = CROWDED) -> Data
     ball of half the distance around it, and the two of a pair meet at their midpoint, as do
     at most as many as the ball has members (65 at distance 2). Nothing is left out, and
     nothing grows with the square of a group.
+
+    Spark sizes exploded rows by those before, and so would broadcast the probes of a few MB of
+    fingerprints, 18 rows each: their joins are merge joins at any size.
     """
     if max_distance not in (0, 2, 4):
         raise ValueError("max_distance: 0, 2 or 4")
@@ -92,10 +97,12 @@ def links(fps: DataFrame, max_distance: int = 2, crowded: int = CROWDED) -> Data
     full = written(table.groupBy("seg", "val").count().where(F.col("count") > crowded).select("seg", "val"), "simhash-crowded")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance
     pairs = lambda df: df.where((F.col("u") != F.col("v")) & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    if full.isEmpty():
-        return pairs(table.join(probes, ["seg", "val"]).select(F.col("by").alias("u"), F.col("fp").alias("v"))).distinct()
-    sparse = table.join(full, ["seg", "val"], "left_anti").join(probes, ["seg", "val"])
-    sparse = pairs(sparse.select(F.col("by").alias("u"), F.col("fp").alias("v")))
+    found = lambda t, p: pairs(t.join(p.hint("merge"), ["seg", "val"]).select(F.col("by").alias("u"), F.col("fp").alias("v")))
+    n = full.count()
+    if not n:
+        return found(table, probes).distinct()
+    full = F.broadcast(full) if n <= BROADCAST else full.hint("merge")
+    sparse = found(table.join(full, ["seg", "val"], "left_anti"), probes.join(full, ["seg", "val"], "left_anti"))
     meet = probes.join(full, ["seg", "val"], "left_semi").select(F.col("by").alias("fp")).distinct()
     masks = F.array(*[F.lit(m).cast("long") for m in ball(max_distance // 2)])
     entered = meet.repartition(parts, "fp").select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
@@ -107,13 +114,14 @@ def links(fps: DataFrame, max_distance: int = 2, crowded: int = CROWDED) -> Data
 def _roots(rows: DataFrame, max_distance: int, low: Column) -> tuple[DataFrame, DataFrame]:
     """(fp, root) of every fingerprint and (root, low) of every component, from rows
     (fp, ...). Copies meet in the map-side combined aggregation by fingerprint, so that only
-    distinct fingerprints are linked."""
+    distinct fingerprints are linked. Both joins are of tables with a row a fingerprint: merge
+    joins, nothing of them goes through the driver."""
     fps = written(rows.groupBy("fp").agg(F.min(low).alias("low")), "simhash-fps")
     edges = written(links(fps, max_distance), "simhash-links")
     roots = connected_components(edges)
-    placed = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), "simhash-placed")
+    placed = written(fps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), "simhash-placed")
     least = written(placed.groupBy("root").agg(F.min("low").alias("low")), "simhash-least")
-    return placed.select("fp", "root"), least
+    return placed.select("fp", "root"), least.hint("merge")
 
 
 def simhash_groups(docs: DataFrame, max_distance: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
