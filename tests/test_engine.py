@@ -239,3 +239,20 @@ def test_rules(spark):
             bad()
     df = spark.createDataFrame([(0, 1, 5.0), (0, 1, 0.5), (0, -1, None), (1, -1, 0.5)], "held int, target int, a double")
     assert [r["target"] for r in rules.vetoed(df, "a < 1,", "held", "target").collect()] == [1, 0, -1, -1]
+
+
+def test_replay_comparison_without_any_win(spark, tmp_path):
+    """Trades that all lose, with a symbol and without one, and some that gain: as the SQL has it, 0
+    against 0 is undefined and fails. The operator's own rule counts it as no difference."""
+    at, closes = dt.datetime(2024, 1, 1), {"lose": [90, 10] * 40, None: [80, 20] * 3, "gain": [90, 410, 90, 10] * 20}
+    rows = [(t + h * 3 + k, at + dt.timedelta(hours=h, minutes=k), s, float(p)) for t, (s, cs) in zip((0, 1000, 2000), closes.items()) for h, c in enumerate(cs) for k, p in enumerate((c // 400 * 400, c // 400 * 400 + 100, c))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = registry.QUERIES["replay_comparison"](spark, str(tmp_path)).select("symbol", "name", "actual", "replay", "diff_pct", "passed")
+    want = con.execute(f"SELECT symbol, name, actual, replay, diff_pct, passed FROM ({registry.SQL['replay_comparison']})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert len(want) == 6 and sum(r[4] != r[4] and not r[5] for r in want) == 2
+    a = spark.createDataFrame([("s", 0.0, 0.0)], "k string, x double, y double")
+    rule = evaluations.E.compared(a, a.withColumn("y", F.lit(1.0)), "k", {"x": 0.1, "y": 0.1}).orderBy("name").collect()
+    assert [(r["diff_pct"], r["passed"]) for r in rule] == [(0.0, True), (math.inf, False)]

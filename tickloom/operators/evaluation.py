@@ -191,14 +191,17 @@ def log_metrics(log: DataFrame, key: str, on: str, realised: str = "realised", e
     return df.groupBy(key).agg(F.max(on).alias("bars"), F.count(F.lit(1)).alias("trades"), (win + loss).alias("round_trips"), (win / F.greatest(win + loss, F.lit(1)) * 100).alias("win_rate"), F.sum(realised).alias("total"), F.min("_d").alias("max_drawdown"))
 
 
-def compared(actual: DataFrame, replay: DataFrame, key: str, tolerances: dict[str, float]) -> DataFrame:
+def compared(actual: DataFrame, replay: DataFrame, key: str, tolerances: dict[str, float], zeros: float = 0.0) -> DataFrame:
     """(key, name, actual, replay, diff_pct, passed): two metric tables against relative
-    tolerances; both 0 is no difference, 0 against anything else an infinite one."""
+    tolerances; both 0 is a difference of `zeros` (NaN: an undefined one, which doesn't pass), 0
+    against anything else an infinite one. Null keys meet."""
     long = lambda d, out: d.select(key, *[F.col(c).cast("double").alias(c) for c in tolerances]).unpivot([key], list(tolerances), "name", out)
     a, b = F.col("actual"), F.col("replay")
-    diff = F.when((a == 0) & (b == 0), 0.0).when(a == 0, float("inf")).otherwise(F.abs(b - a) / F.abs(F.when(a != 0, a)))
+    diff = F.when((a == 0) & (b == 0), zeros).when(a == 0, float("inf")).otherwise(F.abs(b - a) / F.abs(F.when(a != 0, a)))
     most = F.create_map(*[F.lit(x) for kv in tolerances.items() for x in kv])[F.col("name")]
-    return long(actual, "actual").join(long(replay, "replay"), [key, "name"]).select(key, "name", "actual", "replay", (diff * 100).alias("diff_pct"), (diff <= most).alias("passed"))
+    other = long(replay, "replay").withColumnsRenamed({key: "_k", "name": "_n"})
+    both = long(actual, "actual").join(other, F.col(key).eqNullSafe(F.col("_k")) & (F.col("name") == F.col("_n")))
+    return both.select(key, "name", "actual", "replay", (diff * 100).alias("diff_pct"), (diff <= most).alias("passed"))
 
 
 def turbulence(panel: DataFrame, assets: list[str], n: int = 252, on: str = "ts") -> DataFrame:
